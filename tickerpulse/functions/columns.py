@@ -53,12 +53,24 @@ def rolling(agg_fn, c, window, min_periods: int) -> Column:
     return F.when(F.count(c).over(window) >= min_periods, agg_fn(c).over(window))
 
 
+def stable_round(c, scale: int = 6) -> Column:
+    """Round half away from zero, robust to last-bit noise.
+
+    The value is first snapped to ``scale + 3`` decimals through DECIMAL, so two
+    engines that summed in different orders (…49999 vs …50001 at a tie) agree;
+    non-finite values pass through unchanged.
+    """
+    c = col(c).cast("double")
+    snapped = c.cast(f"decimal(38,{scale + 3})").cast(f"decimal(38,{scale})").cast("double")
+    return F.when(is_finite(c), snapped).otherwise(c)
+
+
 def round_doubles(df: DataFrame, scale: int = 6) -> DataFrame:
     """Round every float/double column (used where results are compared or exported)."""
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            out.append(F.round(F.col(f.name).cast("double"), scale).alias(f.name))
+            out.append(stable_round(f.name, scale).alias(f.name))
         else:
             out.append(F.col(f.name))
     return df.select(*out)

@@ -49,11 +49,17 @@ def with_ctes(*ctes: str, body: str) -> str:
     return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n" + body
 
 
+def rnd(expr: str, scale: int = 6) -> str:
+    """Half-away-from-zero rounding snapped through DECIMAL (twin of ``stable_round``)."""
+    return (f"(CASE WHEN isfinite({expr}) THEN CAST(CAST(CAST({expr} AS DECIMAL(38,{scale + 3})) "
+            f"AS DECIMAL(38,{scale})) AS DOUBLE) ELSE {expr} END)")
+
+
 def rounded(sql: str, cols: list[str], scale: int = 6) -> str:
     """Wrap ``sql`` so the listed double columns are rounded like the Spark side."""
     if not cols:
         return sql
-    rep = ", ".join(f"round({c}, {scale}) AS {c}" for c in cols)
+    rep = ", ".join(f"{rnd(c, scale)} AS {c}" for c in cols)
     return f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) AS q"
 
 
@@ -118,3 +124,63 @@ def shock_ctes(window_days=3, baseline_days=30, min_baseline=15, min_mentions=5,
 
 SIGNAL_DOUBLES = ["sentiment_mean", "total_upvotes", "window_sentiment", "window_mentions",
                   "baseline_mean", "baseline_std", "z_score", "signal_score"]
+
+
+# ------------------------------------------------------- market
+def market_ctes(z=2.0, vol_exp=1.75, atr=2.0, recent=5, lookback=20, atr_days=14) -> list[str]:
+    lb = f"ROWS BETWEEN {lookback - 1} PRECEDING AND CURRENT ROW"
+
+    def zs(c):
+        return (f"CASE WHEN count({c}) OVER wl >= {lookback} THEN ({c} - avg({c}) OVER wl) "
+                f"/ stddev_samp({c}) OVER wl END")
+    hit = (f"coalesce(abs(pct_3d_z) >= {z}, false) OR coalesce(abs(ret_z) >= {z}, false) "
+           f"OR coalesce(abs(vol_z) >= {z}, false) OR coalesce(vol_expansion >= {vol_exp}, false) "
+           f"OR coalesce(atr_move >= {atr}, false)")
+    return [
+        """m1 AS (SELECT *, row_number() OVER w AS bar_n, lag(close, 1) OVER w AS prev_close,
+                         lag(close, 3) OVER w AS close_3
+                  FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date))""",
+        """m2 AS (SELECT *, close / prev_close - 1 AS returns,
+                         (close / close_3 - 1) * 100 AS pct_3d_series,
+                         (close - close_3) / close_3 * 100 AS pct_change_3d,
+                         greatest(high - low, abs(high - prev_close), abs(low - prev_close)) AS tr
+                  FROM m1)""",
+        f"""m3 AS (SELECT *, {zs('pct_3d_series')} AS pct_3d_z, {zs('returns')} AS ret_z,
+                          {zs('volume')} AS vol_z,
+                          (CASE WHEN count(returns) OVER w3 >= 3 THEN stddev_samp(returns) OVER w3 END)
+                          / (CASE WHEN count(returns) OVER wl >= {lookback} THEN stddev_samp(returns) OVER wl END)
+                            AS vol_expansion,
+                          CASE WHEN count(tr) OVER wa >= {atr_days} THEN avg(tr) OVER wa END AS atr_14
+                   FROM m2
+                   WINDOW wl AS (PARTITION BY ticker ORDER BY date {lb}),
+                          w3 AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW),
+                          wa AS (PARTITION BY ticker ORDER BY date
+                                 ROWS BETWEEN {atr_days - 1} PRECEDING AND CURRENT ROW))""",
+        """m4 AS (SELECT *, abs(close - close_3) / atr_14 AS atr_move FROM m3)""",
+        f"""mkt AS (SELECT *, CAST(max(CASE WHEN {hit} THEN 1 ELSE 0 END) OVER w5 AS INTEGER)
+                           AS market_moved_flag
+                    FROM m4 WINDOW w5 AS (PARTITION BY ticker ORDER BY date
+                                          ROWS BETWEEN {recent - 1} PRECEDING AND CURRENT ROW))""",
+    ]
+
+
+TRADING_DAY = "(signal_date - CAST(greatest(isodow(signal_date) - 5, 0) AS INTEGER))"
+MARKET_COLS = ["pct_change_3d", "pct_3d_z", "ret_z", "vol_z", "vol_expansion", "atr_14", "atr_move"]
+
+FILTERED_CTE = f"""
+joined AS (
+  SELECT s.*, {TRADING_DAY} AS target,
+         {', '.join(rnd('m.' + c, 2) + ' AS ' + c for c in MARKET_COLS)},
+         m.market_moved_flag, m.bar_n
+  FROM signals s JOIN mkt m ON m.ticker = s.ticker AND m.date = {TRADING_DAY}),
+filtered AS (
+  SELECT signal_date, ticker, sentiment_mean, total_upvotes, window_sentiment, window_mentions,
+         baseline_mean, baseline_std, z_score, signal_type, signal_direction, signal_score,
+         strftime(target, '%Y-%m-%d') AS target_date,
+         {', '.join(MARKET_COLS)}, market_moved_flag
+  FROM joined
+  WHERE bar_n >= 20 AND market_moved_flag = 0
+    AND signal_date IS NOT NULL AND window_mentions >= 5 AND isfinite(z_score)
+    AND signal_type IN ('BUY', 'SELL')
+  QUALIFY row_number() OVER (PARTITION BY ticker, signal_date, signal_type
+                             ORDER BY sentiment_mean, total_upvotes, window_sentiment) = 1)"""

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import daily as daily_ops
+from ..operators import gates, market
 from ..operators import shock
 from ..sources import fixtures as fx
 from . import oracle as O
@@ -24,3 +25,120 @@ from .registry import register
 def q_shock_signals(spark, sf_dir):
     """A2 -> J4 -> W2 -> W3 -> W4 -> M1 -> M2 on F2: the sentiment_signals table."""
     return shock.shock_signals(fx.sentiment_results(spark, sf_dir))
+
+
+def _filtered(spark, sf_dir):
+    sig = shock.shock_signals(fx.sentiment_results(spark, sf_dir))
+    return gates.apply_quality_gates(market.filter_unmoved(sig, fx.price_bars(spark, sf_dir)))
+
+
+_A1_SQL = O.with_ctes(O.F2_SENTIMENT_RESULTS, body=f"""
+SELECT ticker, {O.EPOCH_DAY} AS sentiment_date,
+       avg(final_sentiment_score) AS sentiment_mean,
+       median(final_sentiment_score) AS sentiment_median,
+       CASE WHEN count(final_sentiment_score) = 1 THEN 0.0 ELSE stddev_samp(final_sentiment_score) END
+         AS sentiment_std,
+       count(*) AS mentions,
+       sum(normalized_upvotes) AS total_upvotes,
+       avg(normalized_upvotes) AS avg_upvotes,
+       sum(final_sentiment_score * normalized_upvotes) / nullif(sum(normalized_upvotes), 0)
+         AS weighted_sentiment,
+       count(*) FILTER (WHERE final_sentiment_label = 'positive') AS positive_count,
+       count(*) FILTER (WHERE final_sentiment_label = 'neutral') AS neutral_count,
+       count(*) FILTER (WHERE final_sentiment_label = 'negative') AS negative_count
+FROM sentiment_results GROUP BY 1, 2""")
+
+
+@register("daily_sentiment", O.rounded(_A1_SQL, ["sentiment_mean", "sentiment_median", "sentiment_std",
+                                                "total_upvotes", "avg_upvotes", "weighted_sentiment"]))
+def q_daily_sentiment(spark, sf_dir):
+    """A1: canonical sentiment_daily table (AVG, MEDIAN, STDDEV(1 row = 0), counts) on F2."""
+    return daily_ops.daily_sentiment_sql(fx.sentiment_results(spark, sf_dir))
+
+
+@register("daily_weighted_sparse", O.rounded(O.with_ctes(O.F4_SPARSE_MENTIONS, O.DAILY_WEIGHTED,
+                                                         body="SELECT * FROM daily"),
+                                             ["sentiment_mean", "total_upvotes", "sentiment_median"]))
+def q_daily_weighted_sparse(spark, sf_dir):
+    """A2 on the sparse F4 stream: weighted mean, zero-upvote days fall back to the median."""
+    return daily_ops.daily_sentiment_weighted(fx.sparse_mentions(spark, sf_dir))
+
+
+@register("shock_signals_sparse", O.rounded(O.with_ctes(O.F4_SPARSE_MENTIONS, O.DAILY_WEIGHTED,
+                                                        *O.shock_ctes(), body="SELECT * FROM signals"),
+                                            O.SIGNAL_DOUBLES))
+def q_shock_signals_sparse(spark, sf_dir):
+    """Flagship rule on the sparse F4 stream (gap days exercise the calendar fill)."""
+    return shock.shock_signals(fx.sparse_mentions(spark, sf_dir))
+
+
+_MKT_OUT = ["returns", "pct_change_3d", "pct_3d_z", "ret_z", "vol_z", "vol_expansion", "atr_14", "atr_move", "tr"]
+
+
+@register("market_metrics", O.rounded(O.with_ctes(O.F3_PRICE_BARS, *O.market_ctes(), body=f"""
+SELECT ticker, date, bar_n, {', '.join(_MKT_OUT)}, market_moved_flag FROM mkt"""), _MKT_OUT))
+def q_market_metrics(spark, sf_dir):
+    """W7-W14 on every F3 bar: returns, 3-bar change and z, return z, volume z,
+    volatility expansion, true range, ATR-14, ATR move, moved-in-last-5 flag."""
+    st = market.market_state(fx.price_bars(spark, sf_dir))
+    return st.select("ticker", "date", F.col("bar_n").cast("bigint").alias("bar_n"), *_MKT_OUT,
+                     F.col("market_moved_flag").cast("int").alias("market_moved_flag"))
+
+
+@register("filtered_signals", O.rounded(O.with_ctes(
+        O.F2_SENTIMENT_RESULTS, O.DAILY_WEIGHTED, *O.shock_ctes(), O.F3_PRICE_BARS, *O.market_ctes(),
+        O.FILTERED_CTE, body="SELECT * FROM filtered"), O.SIGNAL_DOUBLES))
+def q_filtered_signals(spark, sf_dir):
+    """D4 + J5 + P11 + P12: signals whose market had not moved, after the five quality gates."""
+    return _filtered(spark, sf_dir)
+
+
+@register("gate_counts", O.with_ctes(
+        O.F2_SENTIMENT_RESULTS, O.DAILY_WEIGHTED, *O.shock_ctes(), O.F3_PRICE_BARS, *O.market_ctes(), f"""
+unmoved AS (SELECT s.* FROM signals s JOIN mkt m ON m.ticker = s.ticker AND m.date = {O.TRADING_DAY}
+            WHERE m.bar_n >= 20 AND m.market_moved_flag = 0)""", """
+tagged AS (SELECT *, CASE WHEN signal_date IS NULL THEN 'gate1_signal_date'
+                          WHEN NOT coalesce(window_mentions >= 5, false) THEN 'gate2_window_mentions'
+                          WHEN z_score IS NULL OR NOT isfinite(z_score) THEN 'gate3_z_score'
+                          WHEN NOT coalesce(signal_type IN ('BUY', 'SELL'), false) THEN 'gate4_signal_type'
+                     END AS g FROM unmoved)""", """
+counted AS (SELECT coalesce(g, 'gate5_duplicates') AS gate,
+                   CASE WHEN g IS NULL THEN count(*) - 1 ELSE count(*) END AS n
+            FROM tagged GROUP BY g, ticker, signal_date, signal_type)""", """
+spine AS (SELECT unnest(['gate1_signal_date', 'gate2_window_mentions', 'gate3_z_score',
+                         'gate4_signal_type', 'gate5_duplicates']) AS gate)""",
+        body="""SELECT s.gate, CAST(coalesce(sum(c.n), 0) AS BIGINT) AS removed
+                FROM spine s LEFT JOIN counted c ON c.gate = s.gate GROUP BY s.gate"""))
+def q_gate_counts(spark, sf_dir):
+    """Rows removed by each of the five gates, from one grouped pass."""
+    sig = shock.shock_signals(fx.sentiment_results(spark, sf_dir))
+    unmoved = market.filter_unmoved(sig, fx.price_bars(spark, sf_dir))
+    return gates.gate_report(unmoved)
+
+
+@register("zscore_check", O.with_ctes(
+        O.F2_SENTIMENT_RESULTS, O.DAILY_WEIGHTED, *O.shock_ctes(), O.F3_PRICE_BARS, *O.market_ctes(),
+        O.FILTERED_CTE, body="""
+SELECT CASE WHEN window_sentiment IS NULL OR baseline_mean IS NULL OR baseline_std IS NULL
+                 OR baseline_std <= 0 OR z_score IS NULL THEN 'not_checkable'
+            WHEN abs(z_score - (window_sentiment - baseline_mean) / baseline_std) > 0.01 THEN 'mismatch'
+            ELSE 'ok' END AS z_status,
+       count(*) AS n
+FROM filtered GROUP BY 1"""))
+def q_zscore_check(spark, sf_dir):
+    """Recomputed z vs stored z on the filtered signals (tolerance 0.01), counted by status."""
+    return gates.zscore_consistency(_filtered(spark, sf_dir)).groupBy("z_status").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@register("null_audit", O.with_ctes(
+        O.F2_SENTIMENT_RESULTS, O.DAILY_WEIGHTED, *O.shock_ctes(), O.F3_PRICE_BARS, *O.market_ctes(),
+        O.FILTERED_CTE, body="""
+SELECT count(*) AS total_rows,
+       count(*) FILTER (WHERE window_sentiment IS NULL) AS null_window_sentiment,
+       count(*) FILTER (WHERE z_score IS NULL) AS null_z_score,
+       count(*) FILTER (WHERE baseline_mean IS NULL) AS null_baseline_mean
+FROM filtered"""))
+def q_null_audit(spark, sf_dir):
+    """NULL counts of window_sentiment, z_score, baseline_mean on the filtered signals."""
+    return gates.null_metric_audit(_filtered(spark, sf_dir))
