@@ -184,3 +184,111 @@ filtered AS (
     AND signal_type IN ('BUY', 'SELL')
   QUALIFY row_number() OVER (PARTITION BY ticker, signal_date, signal_type
                              ORDER BY sentiment_mean, total_upvotes, window_sentiment) = 1)"""
+
+
+# ------------------------------------------------------------ F1 mentions
+WS = ("chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) "
+      "|| ' ' || chr(133) || chr(160) || chr(5760) || chr(8192) || chr(8193) || chr(8194) || chr(8195) "
+      "|| chr(8196) || chr(8197) || chr(8198) || chr(8199) || chr(8200) || chr(8201) || chr(8202) "
+      "|| chr(8232) || chr(8233) || chr(8239) || chr(8287) || chr(12288)")
+WS_RE = (r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}"
+         r"\x{205F}\x{3000}]+")
+
+
+def strip(x: str) -> str:
+    return f"trim({x}, {WS})"
+
+
+def blank(x: str) -> str:
+    return (f"(CASE WHEN coalesce(lower({strip(x)}) IN ('', '[deleted]', '[removed]', 'nan'), true) "
+            f"THEN '' ELSE {strip(x)} END)")
+
+
+F1_RAW = """
+conv AS (
+  SELECT conv_id, turn, role AS author,
+         CASE (conv_id * 3 + turn) % 8
+              WHEN 0 THEN '[removed]' WHEN 1 THEN text || ' $CI ' WHEN 2 THEN text || ' DER.A QUE '
+              WHEN 3 THEN text || ' https://ex.com/x ' WHEN 4 THEN text || ' [link](https://ex.com) '
+              WHEN 5 THEN 'short' WHEN 6 THEN NULL ELSE text END AS body,
+         CAST(1704067200 + conv_id * 3600 + turn * 60 AS BIGINT) AS created_utc,
+         CAST(length(text) % 500 AS BIGINT) AS score,
+         'r' || CAST(conv_id % 5 AS VARCHAR) AS subreddit
+  FROM conversations),
+raw AS (
+  SELECT 'post' AS type, 'c' || CAST(conv_id AS VARCHAR) AS id, substring(body, 1, 40) AS title, body,
+         created_utc, score, subreddit, CAST(NULL AS VARCHAR) AS parent_post_id
+  FROM conv WHERE turn = 0
+  UNION ALL
+  SELECT 'comment', 'c' || CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR), NULL, body,
+         created_utc, score, subreddit, 'c' || CAST(conv_id AS VARCHAR)
+  FROM conv WHERE turn > 0
+  UNION ALL
+  SELECT 'comment', 'c' || CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR), NULL, body,
+         created_utc + 30, score, subreddit, 'c' || CAST(conv_id AS VARCHAR)
+  FROM conv WHERE turn > 0 AND conv_id % 10 = 0)"""
+
+F1_CLEAN = f"""
+blanked AS (SELECT type, id, {blank('substring(title, 1, 4000)')} AS title,
+                   {blank('substring(body, 1, 4000)')} AS text, created_utc, score, subreddit, parent_post_id
+            FROM raw),
+kept AS (SELECT * FROM blanked WHERE text <> '' OR (type = 'post' AND title <> '')),
+merged AS (SELECT type, id, created_utc, score, subreddit, parent_post_id,
+                  concat_ws('. ', CASE WHEN type = 'post' AND title NOT IN ('', 'nan') THEN title END,
+                                  CASE WHEN type <> 'post' OR text NOT IN ('', 'nan') THEN text END) AS text
+           FROM kept),
+valid AS (SELECT * FROM merged
+          WHERE {strip('text')} NOT IN ('[deleted]', '[removed]', '') AND length({strip('text')}) > 10),
+dedup AS (SELECT * FROM valid
+          QUALIFY row_number() OVER (PARTITION BY id ORDER BY CASE WHEN type = 'post' THEN 0 ELSE 1 END,
+                                     created_utc DESC, text) = 1),
+clean AS (SELECT *, CAST(score - min(score) OVER (PARTITION BY subreddit) AS DOUBLE)
+                    / (max(score) OVER (PARTITION BY subreddit) - min(score) OVER (PARTITION BY subreddit) + 1e-6)
+                      AS normalized_upvotes,
+                 make_timestamp(created_utc * 1000000) AS ts
+          FROM dedup)"""
+
+# Ticker candidates with RE2 (no look-around): Unicode word boundaries are
+# emulated by requiring a non-word neighbour; separators are doubled first so
+# that a consumed neighbour never hides the next token.
+W = r"[\pL\pN_]"
+NW = r"[^\pL\pN_]"
+
+
+def dbl(x: str) -> str:
+    """Pad with spaces and double every whitespace character (never part of a token)."""
+    return f"regexp_replace(' ' || {x} || ' ', '({WS_RE[:-1]})', '\\1\\1', 'g')"
+
+
+F1_TICKERS_SQL = f"""
+dim AS (SELECT unnest(['CI', 'DER', 'DER-A', 'QUE', 'OU', 'EN', 'LA', 'SS', 'LE', 'THE', 'OF', 'TO', 'IN'])
+               AS ticker),
+stop AS (SELECT DISTINCT upper(w) AS ticker FROM (SELECT unnest(['US', 'in', 'SS', 'ss', 'EUR']) AS w)),
+english AS (SELECT unnest(string_split('{{ENGLISH}}', ' ')) AS word),
+cands AS (
+  SELECT id, upper(c) AS cand FROM clean,
+         unnest(regexp_extract_all({dbl('text')}, '\\$([A-Za-z]{{1,5}}(?:[.-][A-Za-z]{{1,2}})?){NW}', 1)) AS t(c)
+  UNION
+  SELECT id, c FROM clean,
+         unnest(regexp_extract_all({dbl('text')}, '{NW}([A-Z]{{2,5}}(?:[.-][A-Z]{{1,2}})?){NW}', 1)) AS t(c)
+  WHERE c NOT IN (SELECT word FROM english)),
+variants AS (
+  SELECT id, cand, 0 AS pos, cand AS v FROM cands
+  UNION ALL SELECT id, cand, 1, replace(cand, '.', '-') FROM cands WHERE contains(cand, '.')
+  UNION ALL SELECT id, cand, 2, replace(cand, '-', '.') FROM cands WHERE contains(cand, '-')),
+hits AS (SELECT id, cand, arg_min(v, pos) AS ticker FROM variants WHERE v IN (SELECT ticker FROM dim)
+         GROUP BY id, cand),
+own AS (SELECT id, list_sort(list_distinct(list(ticker))) AS t FROM hits
+        WHERE ticker NOT IN (SELECT ticker FROM stop) GROUP BY id),
+detected AS (SELECT c.*, coalesce(o.t, []) AS own_tickers FROM clean c LEFT JOIN own o USING (id)),
+inherited AS (
+  SELECT d.*, CASE WHEN p.own_tickers IS NOT NULL AND d.type = 'comment'
+                   THEN list_sort(list_distinct(list_concat(d.own_tickers, p.own_tickers)))
+                   ELSE d.own_tickers END AS mentioned_tickers
+  FROM detected d LEFT JOIN (SELECT id, own_tickers FROM detected
+                             WHERE type = 'post' AND len(own_tickers) > 0) p ON p.id = d.parent_post_id)"""
+
+
+def f1_tickers_sql() -> str:
+    from ..functions.text import ENGLISH_WORDS
+    return F1_TICKERS_SQL.replace("{ENGLISH}", " ".join(sorted(ENGLISH_WORDS)))

@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import daily as daily_ops
-from ..operators import gates, market
+from ..functions import text as tx
+from ..operators import clean, gates, market, tickers
 from ..operators import shock
 from ..sources import fixtures as fx
 from . import oracle as O
+from . import pipelines
 from .registry import register
 
 # ------------------------------------------------------------------ flagship
@@ -142,3 +144,88 @@ FROM filtered"""))
 def q_null_audit(spark, sf_dir):
     """NULL counts of window_sentiment, z_score, baseline_mean on the filtered signals."""
     return gates.null_metric_audit(_filtered(spark, sf_dir))
+
+
+# --------------------------------------------------------- preprocessing (F1)
+
+def _f1_clean(spark, sf_dir):
+    u = clean.harmonize(clean.scan_posts(fx.raw_posts(spark, sf_dir)),
+                        clean.scan_comments(fx.raw_comments(spark, sf_dir)))
+    u = clean.merge_title(clean.blank_and_drop_placeholders(u))
+    u = clean.dedupe_by_id(clean.drop_invalid_texts(clean.coerce_types(u)))
+    u = clean.add_features(clean.drop_columns(u))
+    return clean.minmax_by_group(u, "score", "subreddit", "normalized_upvotes")
+
+
+def _f1_tickers(spark, sf_dir):
+    u = tickers.detect_tickers(_f1_clean(spark, sf_dir), fx.ticker_dim(spark), fx.ticker_stoplist(spark))
+    return tickers.inherit_parent_tickers(u.withColumn("own_tickers", F.col("mentioned_tickers")))
+
+
+_F1_CLEAN_OUT = f"""
+SELECT id, type, subreddit, created_utc, text, CAST(length(text) AS INTEGER) AS text_length,
+       CAST(len(list_filter(regexp_split_to_array(text, '{O.WS_RE}'), lambda x: x <> '')) AS INTEGER) AS word_count,
+       CAST(ts AS DATE) AS date, CAST(hour(ts) AS INTEGER) AS hour, CAST(isodow(ts) - 1 AS INTEGER) AS day_of_week,
+       CAST(month(ts) AS INTEGER) AS month, isodow(ts) >= 6 AS is_weekend, normalized_upvotes
+FROM clean"""
+
+
+@register("preprocess_clean", O.rounded(O.with_ctes(O.F1_RAW, O.F1_CLEAN, body=_F1_CLEAN_OUT),
+                                        ["normalized_upvotes"]))
+def q_preprocess_clean(spark, sf_dir):
+    """S1/S2 + P1/U1 + P4 + X1 + P7 + P5 + P6 + P8 + D2/D3 + X8 + W1 on F1 posts and comments."""
+    u = _f1_clean(spark, sf_dir)
+    return u.select("id", "type", "subreddit", F.unix_timestamp("created_utc").alias("created_utc"), "text",
+                    "text_length", "word_count", "date", "hour",
+                    F.weekday("created_utc").alias("day_of_week"), "month", "is_weekend", "normalized_upvotes")
+
+
+@register("mention_tickers", O.with_ctes(O.F1_RAW, O.F1_CLEAN, O.f1_tickers_sql(), body="""
+SELECT id, type, array_to_string(own_tickers, ',') AS own_tickers,
+       array_to_string(mentioned_tickers, ',') AS mentioned_tickers,
+       CAST(len(mentioned_tickers) AS INTEGER) AS n_tickers
+FROM inherited"""))
+def q_mention_tickers(spark, sf_dir):
+    """X2-X5 + J1 + J2 + J3 + U3: detected symbols, stop-list removal, inheritance from the parent post."""
+    u = _f1_tickers(spark, sf_dir)
+    return u.select("id", "type", tx.ticker_csv("own_tickers").alias("own_tickers"),
+                    tx.ticker_csv("mentioned_tickers").alias("mentioned_tickers"), "n_tickers")
+
+
+@register("placeholder_report", O.with_ctes(O.F1_RAW, body=f"""
+SELECT type, count(*) AS rows,
+       count(*) FILTER (WHERE (type = 'post' AND coalesce(lower({O.strip('substring(title, 1, 4000)')})
+                                                      IN ('', '[deleted]', '[removed]', 'nan'), true)
+                               AND coalesce(lower({O.strip('substring(body, 1, 4000)')})
+                                            IN ('', '[deleted]', '[removed]', 'nan'), true))
+                           OR (type = 'comment' AND coalesce(lower({O.strip('substring(body, 1, 4000)')})
+                                                            IN ('', '[deleted]', '[removed]', 'nan'), true)))
+         AS placeholder_only
+FROM raw GROUP BY type"""))
+def q_placeholder_report(spark, sf_dir):
+    """P2 + P3: placeholder-only rows by type on the harmonised F1 input."""
+    u = clean.harmonize(clean.scan_posts(fx.raw_posts(spark, sf_dir)),
+                        clean.scan_comments(fx.raw_comments(spark, sf_dir)))
+    return clean.placeholder_report(u)
+
+
+@register("preprocessed_mentions")
+def q_preprocessed_mentions(spark, sf_dir):
+    """Full preprocessing (all steps above + X6 normalisation + P9 + R5 + D3) -> preprocessed_data."""
+    pp = pipelines.preprocess(fx.raw_posts(spark, sf_dir), fx.raw_comments(spark, sf_dir),
+                              fx.ticker_dim(spark), fx.ticker_stoplist(spark))
+    return pipelines.preprocessed_table(pp)
+
+
+@register("document_tickers", O.with_ctes(
+        "clean AS (SELECT 'd' || CAST(doc_id AS VARCHAR) AS id, text FROM documents)",
+        O.f1_tickers_sql().split("detected AS")[0].rstrip().rstrip(","), body="""
+SELECT c.id, coalesce(array_to_string(o.t, ','), '') AS mentioned_tickers,
+       CAST(coalesce(len(o.t), 0) AS INTEGER) AS n_tickers
+FROM clean c LEFT JOIN own o USING (id)"""))
+def q_document_tickers(spark, sf_dir):
+    """X5 + J1 + J2 over the whole text of every ``documents`` row (scale variant of F1)."""
+    d = fx.table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text")
+    out = tickers.detect_tickers(d, fx.ticker_dim(spark), fx.ticker_stoplist(spark))
+    return out.select("id", tx.ticker_csv("mentioned_tickers").alias("mentioned_tickers"), "n_tickers")

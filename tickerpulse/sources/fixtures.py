@@ -87,3 +87,72 @@ def sparse_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("text_length"),
         F.lit(None).cast("int").alias("word_count"),
     ).select(*SENTIMENT_RESULTS_COLUMNS)
+
+
+# ------------------------------------------------------------------ F1
+# Fixed fixture values: the ticker dimension and ticker stop-list of F1.
+F1_TICKERS = ("CI", "DER", "DER-A", "QUE", "OU", "EN", "LA", "SS", "LE", "THE", "OF", "TO", "IN")
+F1_STOPLIST = ("US", "in", "SS", "ss", "EUR")
+
+
+def ticker_dim(spark: SparkSession) -> DataFrame:
+    """F1 ticker dimension (ticker, company_name, exchange)."""
+    rows = [(t, f"{t} Holdings", "NASDAQ" if i % 2 == 0 else "NYSE") for i, t in enumerate(F1_TICKERS)]
+    return spark.createDataFrame(rows, "ticker string, company_name string, exchange string")
+
+
+def ticker_stoplist(spark: SparkSession) -> DataFrame:
+    """F1 stop-list as read from ``{"stopwords": [...]}`` (one ``word`` column)."""
+    return spark.createDataFrame([(w,) for w in F1_STOPLIST], "word string")
+
+
+def _f1_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = table(spark, sf_dir, "conversations")
+    k = (F.col("conv_id") * 3 + F.col("turn")) % 8
+    t = F.col("text")
+    body = (F.when(k == 0, F.lit("[removed]"))
+             .when(k == 1, F.concat(t, F.lit(" $CI ")))
+             .when(k == 2, F.concat(t, F.lit(" DER.A QUE ")))
+             .when(k == 3, F.concat(t, F.lit(" https://ex.com/x ")))
+             .when(k == 4, F.concat(t, F.lit(" [link](https://ex.com) ")))
+             .when(k == 5, F.lit("short"))
+             .when(k == 6, F.lit(None).cast("string"))
+             .otherwise(t))
+    return conv.select(
+        "conv_id", "turn", F.col("role").alias("author"), body.alias("body"),
+        (F.lit(1704067200) + F.col("conv_id") * 3600 + F.col("turn") * 60).cast("long").alias("created_utc"),
+        (F.length(t) % 500).cast("long").alias("score"),
+        F.concat(F.lit("r"), (F.col("conv_id") % 5).cast("string")).alias("subreddit"))
+
+
+def raw_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1 posts: turn 0 of each conversation (historical_posts schema)."""
+    b = _f1_base(spark, sf_dir).filter(F.col("turn") == 0)
+    return b.select("author", F.substring("body", 1, 40).alias("title"), "created_utc",
+                    F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("id"),
+                    F.lit(1).alias("is_original_content"), "score", "body", "subreddit",
+                    ((F.col("conv_id") % 10) / 10.0).alias("upvote_ratio"),
+                    F.lit(None).cast("string").alias("url"))
+
+
+def raw_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1 comments: turns > 0, plus a later second copy of every comment of conv_id % 10 = 0."""
+    b = _f1_base(spark, sf_dir).filter(F.col("turn") > 0)
+    c = b.select("author", "created_utc",
+                 F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("_"),
+                          F.col("turn").cast("string")).alias("id"),
+                 F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("parent_post_id"),
+                 "score", "body", "subreddit", "conv_id")
+    dup = c.filter(F.col("conv_id") % 10 == 0).withColumn("created_utc", F.col("created_utc") + 30)
+    return c.unionByName(dup).drop("conv_id")
+
+
+def documents_as_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scale variant of F1: every ``documents`` row as a comment (whole texts)."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("source").alias("author"),
+                    (F.lit(1704067200) + F.col("doc_id") * 600).cast("long").alias("created_utc"),
+                    F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"),
+                    F.lit(None).cast("string").alias("parent_post_id"),
+                    F.col("n_chars").alias("score"), F.col("text").alias("body"),
+                    F.col("lang").alias("subreddit"))
