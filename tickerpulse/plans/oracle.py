@@ -292,3 +292,48 @@ inherited AS (
 def f1_tickers_sql() -> str:
     from ..functions.text import ENGLISH_WORDS
     return F1_TICKERS_SQL.replace("{ENGLISH}", " ".join(sorted(ENGLISH_WORDS)))
+
+
+# ------------------------------------------------------------ F5 scores
+def f5_cte() -> str:
+    from ..sources.fixtures import F5_RESPONSES, N_MODELS
+    parts = ["vec_id", "'S' || CAST(vec_id % 10 AS VARCHAR) AS ticker",
+             "DATE '2024-01-01' + CAST(vec_id % 30 AS INTEGER) AS date"]
+    for j in range(N_MODELS):
+        e = [f"exp(8 * CAST(embedding[{3 * j + k}] AS DOUBLE))" for k in (1, 2, 3)]
+        tot = " + ".join(e)
+        for name, x in zip(("p_neg", "p_neu", "p_pos"), e):
+            parts.append(f"{x} / ({tot}) AS m{j}_{name}")
+    arr = ", ".join("'" + r.replace("'", "''") + "'" for r in F5_RESPONSES)
+    parts.append(f"[{arr}][CAST(vec_id % 6 AS INTEGER) + 1] AS response")
+    return "f5 AS (SELECT " + ",\n  ".join(parts) + " FROM embeddings)"
+
+
+def m4(j: int) -> dict[str, str]:
+    n, u, p = f"m{j}_p_neg", f"m{j}_p_neu", f"m{j}_p_pos"
+    return {"score": f"({p} - {n})",
+            "label": f"(CASE WHEN {p} > {n} AND {p} > {u} THEN 'positive' "
+                     f"WHEN {n} > {p} AND {n} > {u} THEN 'negative' ELSE 'neutral' END)",
+            "confidence": f"greatest({p}, {u}, {n})"}
+
+
+def k1(c: str, clamp: bool = False) -> dict[str, str]:
+    raw = f"regexp_extract(coalesce({c}, ''), '(?s)\\{{.*\\}}', 0)"
+    js = f"(CASE WHEN json_valid({raw}) THEN (CASE WHEN json_type({raw}) = 'OBJECT' THEN {raw} END) END)"
+    valid = f"({js} IS NOT NULL)"
+    has_s = f"coalesce(json_exists({js}, '$.sentiment'), false)"
+    has_c = f"coalesce(json_exists({js}, '$.score'), false)"
+    s_val = f"json_extract_string({js}, '$.sentiment')"
+    c_val = f"TRY_CAST(json_extract_string({js}, '$.score') AS DOUBLE)"
+    ok = f"({valid} AND (NOT {has_s} OR {s_val} IS NOT NULL) AND (NOT {has_c} OR {c_val} IS NOT NULL))"
+    rx = f"regexp_extract(coalesce({c}, ''), 'score\":\\s*(-?0\\.\\d+|1\\.0|-1\\.0|-?\\d+)', 1)"
+    rv = f"TRY_CAST({rx} AS DOUBLE)"
+    rs = f"greatest(-1.0, least(1.0, {rv}))" if clamp else rv
+    return {
+        "label": (f"(CASE WHEN {ok} THEN lower(CASE WHEN {has_s} THEN {s_val} ELSE 'Neutral' END) "
+                  f"WHEN {rx} <> '' THEN (CASE WHEN {rv} > 0.1 THEN 'positive' WHEN {rv} < -0.1 THEN 'negative' "
+                  f"ELSE 'neutral' END) ELSE 'neutral' END)"),
+        "score": (f"(CASE WHEN {ok} THEN (CASE WHEN {has_c} THEN {c_val} ELSE 0.0 END) "
+                  f"WHEN {rx} <> '' THEN {rs} ELSE 0.0 END)"),
+        "route": f"(CASE WHEN {ok} THEN 'json' WHEN {rx} <> '' THEN 'regex' ELSE 'default' END)",
+    }

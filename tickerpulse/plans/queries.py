@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..operators import daily as daily_ops
 from ..functions import text as tx
-from ..operators import clean, gates, market, tickers
+from ..functions import scores as sc
+from ..operators import clean, gates, market, scoring, tickers
 from ..operators import shock
 from ..sources import fixtures as fx
 from . import oracle as O
@@ -229,3 +230,125 @@ def q_document_tickers(spark, sf_dir):
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text")
     out = tickers.detect_tickers(d, fx.ticker_dim(spark), fx.ticker_stoplist(spark))
     return out.select("id", tx.ticker_csv("mentioned_tickers").alias("mentioned_tickers"), "n_tickers")
+
+
+# ------------------------------------------------------------- scoring
+
+def _f5_scored(spark, sf_dir):
+    df = fx.class_probabilities(spark, sf_dir)
+    return scoring.with_model_scores(df, "m0_p_neg", "m0_p_neu", "m0_p_pos", prefix="tw_")
+
+
+def _m5_sql(j):
+    n, u, p = f"m{j}_p_neg", f"m{j}_p_neu", f"m{j}_p_pos"
+    best = f"greatest({n}, {u}, {p})"
+    return f"(CASE WHEN {n} = {best} THEN 'negative' WHEN {u} = {best} THEN 'neutral' ELSE 'positive' END)"
+
+
+_ENS = [O.m4(j)["score"] for j in range(4)]
+
+
+def _fold_sum(terms):
+    acc = "0.0"
+    for t in terms:
+        acc = f"({acc} + {t})"
+    return acc
+
+
+_ENS_MEAN = f"({_fold_sum(_ENS)} / 4)"
+_ENS_VAR = f"({_fold_sum(f'({x} - {_ENS_MEAN}) * ({x} - {_ENS_MEAN})' for x in _ENS)} / 3)"
+_M4 = O.m4(0)
+
+
+@register("class_scores", O.rounded(O.with_ctes(O.f5_cte(), body=f"""
+SELECT vec_id, {_M4['score']} AS tw_score, {_M4['label']} AS tw_label, {_M4['confidence']} AS tw_confidence,
+       {', '.join(f"{_m5_sql(j)} AS m{j}_label" for j in range(4))},
+       {_ENS_MEAN} AS ens_mean, {_ENS_VAR} AS ens_variance, sqrt({_ENS_VAR}) AS ens_std,
+       CASE WHEN {_M4['confidence']} < 0.5 THEN 'drop' WHEN {_M4['confidence']} < 0.65 THEN 'second'
+            ELSE 'keep' END AS route
+FROM f5"""), ["tw_score", "tw_confidence", "ens_mean", "ens_variance", "ens_std"]))
+def q_class_scores(spark, sf_dir):
+    """M4 (score/label/confidence), M5 (first-max label per model), M6 (ensemble mean/var/std), P10 route."""
+    df = _f5_scored(spark, sf_dir)
+    ens = sc.ensemble_stats([F.col(f"m{j}_p_pos") - F.col(f"m{j}_p_neg") for j in range(4)])
+    labels = [sc.label_first_max([("negative", f"m{j}_p_neg"), ("neutral", f"m{j}_p_neu"),
+                                  ("positive", f"m{j}_p_pos")]).alias(f"m{j}_label") for j in range(4)]
+    return df.select("vec_id", "tw_score", "tw_label", "tw_confidence", *labels,
+                     ens["mean"].alias("ens_mean"), ens["variance"].alias("ens_variance"),
+                     ens["std"].alias("ens_std"),
+                     sc.route_by_confidence("tw_confidence").alias("route"))
+
+
+_K1 = O.k1("response")
+_K1C = O.k1("response", clamp=True)
+
+
+@register("model_response_parse", O.rounded(O.with_ctes(O.f5_cte(), body=f"""
+SELECT vec_id, {_K1['label']} AS label, {_K1['score']} AS score, {_K1['route']} AS route,
+       {_K1C['label']} AS label_clamped, {_K1C['score']} AS score_clamped
+FROM f5"""), ["score", "score_clamped"]))
+def q_model_response_parse(spark, sf_dir):
+    """K1: JSON-or-regex parse of generative answers, both variants (plain and clamped)."""
+    df = fx.class_probabilities(spark, sf_dir)
+    a, b = sc.parse_model_response("response"), sc.parse_model_response("response", clamp=True)
+    return df.select("vec_id", a["label"].alias("label"), a["score"].alias("score"), a["route"].alias("route"),
+                     b["label"].alias("label_clamped"), b["score"].alias("score_clamped"))
+
+
+@register("hybrid_sentiment", O.rounded(O.with_ctes(O.f5_cte(), body=f"""
+SELECT vec_id, ticker, CAST(epoch(CAST(date AS TIMESTAMP)) AS BIGINT) + vec_id AS created_utc,
+       CASE WHEN {_M4['confidence']} < 0.65 THEN {_K1['score']} ELSE {_M4['score']} END AS final_sentiment_score,
+       CASE WHEN {_M4['confidence']} < 0.65 THEN {_K1['label']} ELSE {_M4['label']} END AS final_sentiment_label,
+       CASE WHEN {_M4['confidence']} < 0.65 THEN 'LLM' ELSE 'RoBERTa' END AS source_model,
+       {_M4['confidence']} AS tw_confidence
+FROM f5 WHERE {_M4['confidence']} >= 0.5"""), ["final_sentiment_score", "tw_confidence"]))
+def q_hybrid_sentiment(spark, sf_dir):
+    """P10 + K1 + J9: drop < 0.50, second model for [0.50, 0.65), overwrite by row key, source_model."""
+    df = _f5_scored(spark, sf_dir)
+    p = sc.parse_model_response("response")
+    second = df.select(F.col("vec_id").alias("row_id"), p["label"].alias("label"), p["score"].alias("score"))
+    out = scoring.hybrid_results(df.withColumnRenamed("vec_id", "row_id"), second, key="row_id")
+    return out.select(F.col("row_id").alias("vec_id"), "ticker", "created_utc", "final_sentiment_score",
+                      "final_sentiment_label", "source_model", "tw_confidence")
+
+
+@register("hybrid_source_counts", O.with_ctes(O.f5_cte(), body=f"""
+SELECT source_model, label, count(*) AS n FROM (
+  SELECT CASE WHEN {_M4['confidence']} < 0.65 THEN 'LLM' ELSE 'RoBERTa' END AS source_model,
+         CASE WHEN {_M4['confidence']} < 0.65 THEN {_K1['label']} ELSE {_M4['label']} END AS label
+  FROM f5 WHERE {_M4['confidence']} >= 0.5) GROUP BY 1, 2"""))
+def q_hybrid_source_counts(spark, sf_dir):
+    """Value counts of (source_model, final label) after the hybrid overwrite."""
+    return (q_hybrid_sentiment(spark, sf_dir).groupBy("source_model", F.col("final_sentiment_label").alias("label"))
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+@register("batch_scorer_hook", O.rounded(O.with_ctes(O.f5_cte(), body=f"""
+SELECT vec_id, {_m5_sql(0)} AS m_label, {_M4['score']} AS m_score,
+       m0_p_pos AS m_p_pos, m0_p_neu AS m_p_neu, m0_p_neg AS m_p_neg
+FROM f5"""), ["m_score", "m_p_pos", "m_p_neu", "m_p_neg"]))
+def q_batch_scorer_hook(spark, sf_dir):
+    """the mapInPandas batch hook (64 texts per call) over every embeddings row
+    with the stand-in softmax scorer; compared with the same rule in SQL."""
+    df = fx.class_probabilities(spark, sf_dir).select("vec_id", F.col("raw_text").alias("model_input"))
+    out = scoring.score_batches(df, fx.make_fixture_scorer, "model_input", batch_size=64, prefix="m_")
+    return out.select("vec_id", "m_label", "m_score", "m_p_pos", "m_p_neu", "m_p_neg")
+
+
+@register("exploded_mentions", O.with_ctes(O.F1_RAW, O.F1_CLEAN, O.f1_tickers_sql(), f"""
+csv AS (SELECT id, text, array_to_string(mentioned_tickers, ',') AS tickers_csv FROM inherited)""", f"""
+lst AS (SELECT id, text, list_filter(list_transform(string_split(regexp_replace(tickers_csv, '[\\[\\]''"]', '', 'g'),
+                                                                 ','), lambda x: trim(x)), lambda x: x <> '') AS l
+        FROM csv)""", body=f"""
+SELECT id, ticker, CAST(len(l) AS INTEGER) AS n_tickers, ticker || ': ' || text AS model_input,
+       printf('{scoring.DEFAULT_PROMPT.replace("'", "''").replace('{ticker}', '%s').replace('{text}', '%s')}',
+              ticker, substring(text, 1, 300)) AS prompt
+FROM lst, unnest(l) AS u(ticker)"""))
+def q_exploded_mentions(spark, sf_dir):
+    """R5 -> R1 -> R2 + R3 -> X9 + X10: CSV ticker list parsed back, one row per
+    (mention, ticker), classifier input and prompt (text cut to 300 characters)."""
+    u = _f1_tickers(spark, sf_dir).withColumn("tickers_csv", tx.ticker_csv("mentioned_tickers"))
+    ex = scoring.explode_tickers(u.select("id", "text", "tickers_csv"), "tickers_csv")
+    return ex.select("id", "ticker", F.col("n_tickers").cast("int").alias("n_tickers"),
+                     scoring.model_input("ticker", "text").alias("model_input"),
+                     scoring.prompt_text("ticker", "text", max_chars=300).alias("prompt"))

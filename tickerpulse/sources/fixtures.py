@@ -156,3 +156,56 @@ def documents_as_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit(None).cast("string").alias("parent_post_id"),
                     F.col("n_chars").alias("score"), F.col("text").alias("body"),
                     F.col("lang").alias("subreddit"))
+
+
+# ------------------------------------------------------------------ F5
+N_MODELS = 4
+# Fixed fixture values: generative-model answers by vec_id % 6.
+F5_RESPONSES = (
+    '{"sentiment": "Positive", "score": 0.8}',
+    'Sure. Here is my answer: {"sentiment": "negative", "score": -0.45} Hope it helps.',
+    '{"sentiment": "neutral", "score": "0.5"}',
+    'Result {"sentiment": "positive", score": -0.7',
+    '',
+    '{"sentiment": null}',
+)
+
+
+def class_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """per ``embeddings`` row, softmax(8 x) of elements 3j+1..3j+3 as
+    (p_neg, p_neu, p_pos) of model j = 0..3, a ticker, a date and a model answer."""
+    emb = table(spark, sf_dir, "embeddings")
+    cols = [F.col("vec_id"),
+            F.concat(F.lit("S"), (F.col("vec_id") % 10).cast("string")).alias("ticker"),
+            F.date_add(F.lit("2024-01-01").cast("date"), (F.col("vec_id") % 30).cast("int")).alias("date")]
+    for j in range(N_MODELS):
+        e = [F.exp(8 * F.element_at("embedding", 3 * j + k).cast("double")) for k in (1, 2, 3)]
+        tot = e[0] + e[1] + e[2]
+        for name, x in zip(("p_neg", "p_neu", "p_pos"), e):
+            cols.append((x / tot).alias(f"m{j}_{name}"))
+    resp = F.element_at(F.array(*[F.lit(r) for r in F5_RESPONSES]), (F.col("vec_id") % 6 + 1).cast("int"))
+    cols.append(resp.alias("response"))
+    cols.append(F.concat_ws(",", *[F.element_at("embedding", k).cast("double").cast("string")
+                                   for k in (1, 2, 3)]).alias("raw_text"))
+    return emb.select(*cols).withColumn(
+        "created_utc", F.unix_timestamp(F.col("date").cast("timestamp")) + F.col("vec_id"))
+
+
+def make_fixture_scorer(temperature: float = 8.0):
+    """Stand-in batch classifier for the F4 hook: each text is "x1,x2,x3" and the
+    class probabilities are softmax(temperature * x) in (negative, neutral, positive)
+    order; the label is the first maximum in that order (M5)."""
+    import numpy as np
+
+    def score(texts):
+        out = []
+        for t in texts:
+            x = np.array([float(v) for v in t.split(",")], dtype="float64")
+            e = np.exp(temperature * x)
+            p = e / e.sum()
+            probs = {"negative": float(p[0]), "neutral": float(p[1]), "positive": float(p[2])}
+            out.append({"label": max(probs, key=probs.get),
+                        "score": probs["positive"] - probs["negative"],
+                        "p_pos": probs["positive"], "p_neu": probs["neutral"], "p_neg": probs["negative"]})
+        return out
+    return score
