@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from ..operators import daily as daily_ops
 from ..functions import text as tx
 from ..functions import scores as sc
-from ..operators import clean, gates, market, scoring, tickers
+from ..operators import clean, gates, market, metrics, scoring, tickers, trades
 from ..operators import shock
 from ..sources import fixtures as fx
 from . import oracle as O
 from . import pipelines
 from .registry import register
+from ..session import materialize
 
 # ------------------------------------------------------------------ flagship
 
@@ -352,3 +353,112 @@ def q_exploded_mentions(spark, sf_dir):
     return ex.select("id", "ticker", F.col("n_tickers").cast("int").alias("n_tickers"),
                      scoring.model_input("ticker", "text").alias("model_input"),
                      scoring.prompt_text("ticker", "text", max_chars=300).alias("prompt"))
+
+
+# ------------------------------------------------------------- trades (T, M)
+
+def _bt_params(bars, **kw):
+    """Backtest window = the bars' own date range (scalar subqueries, no driver action)."""
+    return trades.BacktestParams(start=bars.agg(F.min("date")).scalar(), end=bars.agg(F.max("date")).scalar(), **kw)
+
+
+def _stage_inputs(spark, sf_dir):
+    """Bars and filtered signals, each checkpointed once: both feed several branches."""
+    bars = materialize(fx.price_bars(spark, sf_dir))
+    sig = shock.shock_signals(fx.sentiment_results(spark, sf_dir))
+    filt = materialize(gates.apply_quality_gates(market.filter_unmoved(sig, bars)))
+    return bars, filt
+
+
+def _trades(spark, sf_dir, **kw):
+    bars, filt = _stage_inputs(spark, sf_dir)
+    p = _bt_params(bars, **kw)
+    return materialize(trades.trade_table(filt, bars, p)), bars, p
+
+
+_TRADE_COLS = ["ticker", "signal_date", "signal_type", "entry_date", "exit_date", "direction", "entry_price",
+               "exit_price", "position_size", "signal_score", "pnl", "pnl_pct", "exit_reason"]
+
+
+@register("candidate_trades")
+def q_candidate_trades(spark, sf_dir):
+    """T1 + T2/J6 + T3/J7 + T4: entry and first-barrier exit of every tradable filtered signal."""
+    bars, filt = _stage_inputs(spark, sf_dir)
+    c = trades.candidate_trades(filt, bars, _bt_params(bars))
+    return c.select("ticker", "signal_date", "signal_type", "entry_date", "entry_price", "exit_date",
+                    "exit_price", "exit_reason", "ret")
+
+
+@register("backtest_trades")
+def q_backtest_trades(spark, sf_dir):
+    """T5 + T6 + M10 + M11: accepted trades (one open position per ticker), sized by composite score."""
+    t, _, _ = _trades(spark, sf_dir)
+    return t.select(*_TRADE_COLS)
+
+
+@register("equity_curve")
+def q_equity_curve(spark, sf_dir):
+    """T7 + J8 + D5: daily portfolio value over the business-day calendar."""
+    t, bars, p = _trades(spark, sf_dir)
+    return trades.equity_curve(t, bars, p)
+
+
+@register("performance_report")
+def q_performance_report(spark, sf_dir):
+    """T8 + M12 + W16 + W17: metrics of the strategy curve and the three benchmark curves."""
+    t, bars, p = _trades(spark, sf_dir)
+    curve = trades.equity_curve(t, bars, p).select(F.lit("strategy").alias("name"), "date", "portfolio_value")
+    bench = metrics.benchmark_curves(fx.benchmark_bars(spark, sf_dir), p.capital, p.start, p.end)
+    return metrics.performance(curve.unionByName(bench), p.capital)
+
+
+@register("benchmark_comparison")
+def q_benchmark_comparison(spark, sf_dir):
+    """J12 + O5: strategy vs each benchmark (difference, status)."""
+    return metrics.compare_to_benchmarks(q_performance_report(spark, sf_dir))
+
+
+@register("best_performers")
+def q_best_performers(spark, sf_dir):
+    """Best curve by total return, Sharpe and drawdown."""
+    return metrics.best_by(q_performance_report(spark, sf_dir))
+
+
+@register("trade_statistics")
+def q_trade_statistics(spark, sf_dir):
+    """A6 + A7 + M8 + M9: trade counts, rates, means, total, profit factor, score-vs-return fit."""
+    t, _, _ = _trades(spark, sf_dir)
+    st = metrics.trade_stats(t)
+    rel = metrics.score_relationship(t)
+    return st.select("*", *[rel.select(c).scalar().alias(c) for c in rel.columns])
+
+
+@register("trade_value_counts")
+def q_trade_value_counts(spark, sf_dir):
+    """Value counts of exit_reason and direction."""
+    t, _, _ = _trades(spark, sf_dir)
+    a = metrics.value_counts(t, F.concat(F.lit("exit_reason="), F.col("exit_reason")).alias("value"))
+    b = metrics.value_counts(t, F.concat(F.lit("direction="), F.col("direction")).alias("value"))
+    return a.unionByName(b)
+
+
+@register("quartile_performance")
+def q_quartile_performance(spark, sf_dir):
+    """M7 + A9: performance by signal-score quartile (qcut edges, right-closed)."""
+    t, _, _ = _trades(spark, sf_dir)
+    return metrics.quartile_performance(t)
+
+
+@register("top_trades")
+def q_top_trades(spark, sf_dir):
+    """O2: top 20 trades by P&L with long count, total and share of all profit."""
+    t, _, _ = _trades(spark, sf_dir)
+    return metrics.top_trades(t.select(*_TRADE_COLS), 20)
+
+
+@register("monthly_returns")
+def q_monthly_returns(spark, sf_dir):
+    """Monthly return of the strategy curve."""
+    t, bars, p = _trades(spark, sf_dir)
+    curve = trades.equity_curve(t, bars, p).select(F.lit("strategy").alias("name"), "date", "portfolio_value")
+    return metrics.monthly_returns(curve)

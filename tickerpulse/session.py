@@ -62,3 +62,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         current = tempfile.mkdtemp(prefix="tickerpulse-ckpt-")  # unset: local runs only
     sc.setCheckpointDir(current)
     return current
+
+
+def materialize(df, eager: bool = True):
+    """Cut lineage at a stage boundary: a reliable checkpoint in the shared
+    checkpoint folder (survives executor loss; never a local checkpoint)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=eager)
