@@ -44,16 +44,18 @@ class BacktestParams:
 
 # ------------------------------------------------------------------ sizing
 
-def _nz(c: str, default: float) -> Column:
-    x = F.col(c).cast("double")
-    return F.when(x.isNull() | F.isnan(x), F.lit(default)).otherwise(x)
-
-
-def composite_score() -> Column:
+def composite_score(columns=None) -> Column:
     """0.35 sentiment quality + 0.25 strength + 0.20 entry timing + 0.20 volatility.
 
-    NULL inputs default to 0, except window_mentions (5) and vol_expansion (1.0).
+    NULL (or absent, when ``columns`` is given) inputs default to 0, except
+    window_mentions (5) and vol_expansion (1.0).
     """
+    def _nz(c: str, default: float) -> Column:
+        if columns is not None and c not in columns:
+            return F.lit(default)
+        x = F.col(c).cast("double")
+        return F.when(x.isNull() | F.isnan(x), F.lit(default)).otherwise(x)
+
     sq = (0.4 * F.least(F.abs(_nz("window_sentiment", 0.0)) * 2, F.lit(1.0))
           + 0.4 * F.least(F.abs(_nz("z_score", 0.0)) / 3.0, F.lit(1.0))
           + 0.2 * F.least(_nz("window_mentions", 5.0) / 20.0, F.lit(1.0)))
@@ -221,7 +223,7 @@ def one_position_per_ticker(cands: DataFrame) -> DataFrame:
 def trade_table(signals: DataFrame, bars: DataFrame, p: BacktestParams) -> DataFrame:
     """Accepted trades with notional, P&L and exit reason."""
     t = one_position_per_ticker(candidate_trades(signals, bars, p))
-    comp = composite_score()
+    comp = composite_score(t.columns)
     share = position_share(comp, p.max_position, flat=(p.sizing == "flat"))
     return t.select(
         "trade_id", "ticker", "signal_date", "signal_type", "entry_date", "exit_date",
@@ -259,7 +261,10 @@ def equity_curve(trades: DataFrame, bars: DataFrame, p: BacktestParams, spark=No
     last_held = F.when(F.col("exit_reason") == "end_of_period", end).otherwise(F.date_sub("exit_date", 1))
     held = (trades.select("ticker", "entry_price", "position_size",
                           F.when(F.col("direction") == "long", 1).otherwise(-1).alias("dir"),
-                          F.explode(F.sequence(F.col("entry_date"), F.least(last_held, end))).alias("date"))
+                          # sequence() counts down when stop < start: no held day then
+                          F.explode(F.when(F.least(last_held, end) >= F.col("entry_date"),
+                                           F.sequence(F.col("entry_date"), F.least(last_held, end))))
+                          .alias("date"))
                   .filter(F.weekday("date") < 5))
     marks = (held.join(bars.select("ticker", "date", "close"), ["ticker", "date"], "left")
                  .withColumn("_m", F.coalesce(F.col("position_size") * _signed_return(F.col("close")), F.lit(0.0)))
