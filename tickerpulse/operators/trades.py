@@ -135,6 +135,10 @@ def next_bar(events: DataFrame, bars: DataFrame, date_col: str, inclusive: bool
 
 # ------------------------------------------------------------------- exits
 
+def _pcol(v) -> Column:
+    return v if isinstance(v, Column) else F.lit(v)
+
+
 def _signed_return(price: Column) -> Column:
     """T4: long (x - e)/e, short (e - x)/e."""
     e = F.col("entry_price")
@@ -153,7 +157,11 @@ def candidate_trades(signals: DataFrame, bars: DataFrame, p: BacktestParams) ->
     entry + max_holding with one more as-of lookup.
     """
     start, end = as_date(p.start), as_date(p.end)
-    sig = tradable_signals(signals, p)
+    # exit parameters travel as columns, so a sweep can vary them per row
+    sig = (tradable_signals(signals, p)
+           .withColumn("_stop", _pcol(p.stop_loss).cast("double"))
+           .withColumn("_take", _pcol(p.take_profit).cast("double"))
+           .withColumn("_mh", _pcol(p.max_holding_days).cast("int")))
     bars_in = bars.filter(F.col("date") <= end)
     ent = next_bar(sig, bars_in, "signal_date", inclusive=False, fields=("open",), prefix="entry_")
     ent = (ent.filter(F.col("entry_date").isNotNull())
@@ -161,42 +169,35 @@ def candidate_trades(signals: DataFrame, bars: DataFrame, p: BacktestParams) ->
               .withColumn("trade_id", F.concat_ws("|", "ticker", F.col("signal_date").cast("string"),
                                                   "signal_type")))
     checked = bars_in.filter((F.weekday("date") < 5) & (F.col("date") >= start)).select("ticker", "date", "close")
-    mh = int(p.max_holding_days)
+    stop, take, mh = F.col("_stop"), F.col("_take"), F.col("_mh")
 
     # (a) stop / take inside the first max_holding calendar days
-    if mh > 0:
-        early = (ent.select("trade_id", "ticker", "entry_date", "entry_price", "dir",
-                            F.explode(F.sequence(F.col("entry_date"),
-                                                 F.date_add("entry_date", mh - 1))).alias("date"))
-                    .join(checked, ["ticker", "date"])
-                    .withColumn("ret", _signed_return(F.col("close")))
-                    .filter((F.col("ret") <= -p.stop_loss) | (F.col("ret") >= p.take_profit))
-                    .groupBy("trade_id")
-                    .agg(F.min_by(F.struct("date", "close", "ret"), "date").alias("_a")))
-    else:
-        early = None
+    early = (ent.select("trade_id", "ticker", "entry_date", "entry_price", "dir", "_stop", "_take",
+                        F.explode(F.when(mh > 0, F.sequence(F.col("entry_date"),
+                                                            F.date_add("entry_date", mh - 1)))).alias("date"))
+                .join(checked, ["ticker", "date"])
+                .withColumn("ret", _signed_return(F.col("close")))
+                .filter((F.col("ret") <= -stop) | (F.col("ret") >= take))
+                .groupBy("trade_id")
+                .agg(F.min_by(F.struct("date", "close", "ret"), "date").alias("_a")))
     # (b) first checked bar on or after entry + max_holding
-    late_key = ent.select("trade_id", "ticker", F.date_add("entry_date", mh).alias("_late"))
+    late_key = ent.select("trade_id", "ticker", F.date_add("entry_date", F.col("_mh")).alias("_late"))
     late = (next_bar(late_key, checked, "_late", inclusive=True, fields=("close",), prefix="late_")
             .select("trade_id", "late_date", "late_close"))
     # (c) last bar <= end
     last = bars_in.groupBy("ticker").agg(F.max_by(F.struct("date", "close"), "date").alias("_c"))
 
-    t = ent.join(late, "trade_id", "left").join(last, "ticker", "left")
-    if early is not None:
-        t = t.join(early, "trade_id", "left")
-    else:
-        t = t.withColumn("_a", F.lit(None).cast("struct<date:date,close:double,ret:double>"))
+    t = ent.join(late, "trade_id", "left").join(last, "ticker", "left").join(early, "trade_id", "left")
     late_ret = _signed_return(F.col("late_close"))
-    late_reason = (F.when(late_ret <= -p.stop_loss, "stop_loss")
-                    .when(late_ret >= p.take_profit, "take_profit").otherwise("max_holding"))
-    a_reason = F.when(F.col("_a.ret") <= -p.stop_loss, "stop_loss").otherwise("take_profit")
+    late_reason = (F.when(late_ret <= -F.col("_stop"), "stop_loss")
+                    .when(late_ret >= F.col("_take"), "take_profit").otherwise("max_holding"))
+    a_reason = F.when(F.col("_a.ret") <= -F.col("_stop"), "stop_loss").otherwise("take_profit")
     t = (t.withColumn("exit_date", F.coalesce(F.col("_a.date"), F.col("late_date"), F.col("_c.date")))
           .withColumn("exit_price", F.coalesce(F.col("_a.close"), F.col("late_close"), F.col("_c.close")))
           .withColumn("exit_reason", F.when(F.col("_a").isNotNull(), a_reason)
                       .when(F.col("late_date").isNotNull(), late_reason).otherwise(F.lit("end_of_period")))
           .withColumn("ret", _signed_return(F.col("exit_price")))
-          .drop("_a", "late_date", "late_close", "_c"))
+          .drop("_a", "late_date", "late_close", "_c", "_stop", "_take", "_mh"))
     return t
 
 
@@ -242,7 +243,8 @@ def calendar(spark, start, end) -> DataFrame:
     return days.filter(F.weekday("date") < 5)
 
 
-def equity_curve(trades: DataFrame, bars: DataFrame, p: BacktestParams, spark=None) -> DataFrame:
+def equity_curve(trades: DataFrame, bars: DataFrame, p: BacktestParams, spark=None,
+                 key: str | None = None, keys: DataFrame | None = None) -> DataFrame:
     """T7 (+J8): portfolio value on every business day of [start, end].
 
     value = capital + realised P&L of trades closed on or before the day
@@ -252,14 +254,22 @@ def equity_curve(trades: DataFrame, bars: DataFrame, p: BacktestParams, spark=No
     Each trade is expanded to its held days only (bounded by its holding
     period), then everything is aggregated to one row per day before the
     single, calendar-sized running sum.
+
+    With ``key`` (a column of ``trades``) there is one curve per key value;
+    ``keys`` lists all of them (a curve without trades stays at capital).
     """
     spark = spark or trades.sparkSession
     end = as_date(p.end)
-    cal = calendar(spark, p.start, p.end)
+    kc = [key] if key else []
+    if key:
+        days = keys.select(key, F.explode(F.sequence(as_date(p.start), end)).alias("date"))
+        cal = days.filter(F.weekday("date") < 5)
+    else:
+        cal = calendar(spark, p.start, p.end)
     closed = (trades.filter(F.col("exit_reason") != "end_of_period")
-                    .groupBy(F.col("exit_date").alias("date")).agg(F.sum("pnl").alias("_realised")))
+                    .groupBy(*kc, F.col("exit_date").alias("date")).agg(F.sum("pnl").alias("_realised")))
     last_held = F.when(F.col("exit_reason") == "end_of_period", end).otherwise(F.date_sub("exit_date", 1))
-    held = (trades.select("ticker", "entry_price", "position_size",
+    held = (trades.select(*kc, "ticker", "entry_price", "position_size",
                           F.when(F.col("direction") == "long", 1).otherwise(-1).alias("dir"),
                           # sequence() counts down when stop < start: no held day then
                           F.explode(F.when(F.least(last_held, end) >= F.col("entry_date"),
@@ -268,11 +278,11 @@ def equity_curve(trades: DataFrame, bars: DataFrame, p: BacktestParams, spark=No
                   .filter(F.weekday("date") < 5))
     marks = (held.join(bars.select("ticker", "date", "close"), ["ticker", "date"], "left")
                  .withColumn("_m", F.coalesce(F.col("position_size") * _signed_return(F.col("close")), F.lit(0.0)))
-                 .groupBy("date").agg(F.sum("_m").alias("_open"), F.count(F.lit(1)).alias("n_positions")))
-    w = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    return (cal.join(closed, "date", "left").join(marks, "date", "left")
+                 .groupBy(*kc, "date").agg(F.sum("_m").alias("_open"), F.count(F.lit(1)).alias("n_positions")))
+    w = Window.partitionBy(*kc).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    return (cal.join(closed, kc + ["date"], "left").join(marks, kc + ["date"], "left")
                .withColumn("realised_pnl", F.sum(F.coalesce(F.col("_realised"), F.lit(0.0))).over(w))
                .withColumn("open_pnl", F.coalesce(F.col("_open"), F.lit(0.0)))
                .withColumn("portfolio_value", F.lit(p.capital) + F.col("realised_pnl") + F.col("open_pnl"))
                .withColumn("n_positions", F.coalesce(F.col("n_positions"), F.lit(0)).cast("long"))
-               .select("date", "portfolio_value", "realised_pnl", "open_pnl", "n_positions"))
+               .select(*kc, "date", "portfolio_value", "realised_pnl", "open_pnl", "n_positions"))

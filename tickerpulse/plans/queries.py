@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import daily as daily_ops
 from ..functions import text as tx
 from ..functions import scores as sc
-from ..operators import clean, gates, market, metrics, scoring, tickers, trades
+from ..operators import clean, gates, market, metrics, scoring, sweep, tickers, trades
 from ..operators import shock
 from ..sources import fixtures as fx
 from . import oracle as O
@@ -462,3 +462,63 @@ def q_monthly_returns(spark, sf_dir):
     t, bars, p = _trades(spark, sf_dir)
     curve = trades.equity_curve(t, bars, p).select(F.lit("strategy").alias("name"), "date", "portfolio_value")
     return metrics.monthly_returns(curve)
+
+
+# ---------------------------------------------------------------- sweep
+
+def _sweep_inputs(spark, sf_dir):
+    """Parameter-free parts, computed once: shock windows, market metrics, bars."""
+    bars = materialize(fx.price_bars(spark, sf_dir))
+    daily_t = daily_ops.daily_sentiment_weighted(fx.sentiment_results(spark, sf_dir))
+    windows = materialize(shock.shock_windows(daily_t, shock.ShockParams()))
+    mstate = materialize(market.market_metrics(bars))
+    return windows, mstate, bars
+
+
+def _phase1(spark, sf_dir):
+    windows, mstate, bars = _sweep_inputs(spark, sf_dir)
+    bp = _bt_params(bars, sizing="flat", **sweep.PHASE1_BACKTEST)
+    pts = [dict(**a, **b) for a in sweep.grid(sweep.PHASE1_SIGNAL_GRID) for b in sweep.grid(sweep.PHASE1_FILTER_GRID)]
+    res = sweep.sweep(windows, mstate, bars, pts, shock.ShockParams(), market.MarketParams(), bp)
+    return res, (windows, mstate, bars, bp)
+
+
+@register("sweep_phase1")
+def q_sweep_phase1(spark, sf_dir):
+    """T9 phase 1 + J11 + A28: 2 x 2 signal thresholds x 2 market-filter thresholds, fixed exits."""
+    return _phase1(spark, sf_dir)[0]
+
+
+@register("sweep_leaderboard")
+def q_sweep_leaderboard(spark, sf_dir):
+    """Top 10 phase-1 points by Sharpe."""
+    return sweep.leaderboard(_phase1(spark, sf_dir)[0], "sharpe", 10)
+
+
+@register("sweep_impact")
+def q_sweep_impact(spark, sf_dir):
+    """mean/max/std/min total return by each phase-1 parameter."""
+    return sweep.impact_by_parameter(_phase1(spark, sf_dir)[0], ["min_mentions", "base_z_threshold", "z_threshold"])
+
+
+def _phase2(spark, sf_dir):
+    res1, (windows, mstate, bars, bp) = _phase1(spark, sf_dir)
+    best = sweep.leaderboard(materialize(res1), "sharpe", 1).first()  # one row picks phase 2's base
+    sp = shock.ShockParams(min_mentions=best["min_mentions"], base_z_threshold=best["base_z_threshold"])
+    mp = market.MarketParams(z_threshold=best["z_threshold"])
+    return sweep.sweep(windows, mstate, bars, sweep.grid(sweep.PHASE2_BACKTEST_GRID), sp, mp, bp)
+
+
+@register("sweep_phase2")
+def q_sweep_phase2(spark, sf_dir):
+    """T9 phase 2: 3 x 3 x 3 exit grid on the best phase-1 signal/filter point."""
+    return _phase2(spark, sf_dir)
+
+
+@register("sweep_stop_take_pivot")
+def q_sweep_stop_take_pivot(spark, sf_dir):
+    """Mean total return, stop-loss rows x take-profit columns (phase 2)."""
+    res = _phase2(spark, sf_dir)
+    piv = sweep.pivot_mean(res, "stop_loss", "take_profit", "total_return",
+                           values=sweep.PHASE2_BACKTEST_GRID["take_profit"])
+    return piv.toDF(*[c if c == "stop_loss" else "take_" + c.replace(".", "_") for c in piv.columns])
