@@ -337,3 +337,29 @@ def k1(c: str, clamp: bool = False) -> dict[str, str]:
                   f"WHEN {rx} <> '' THEN {rs} ELSE 0.0 END)"),
         "route": f"(CASE WHEN {ok} THEN 'json' WHEN {rx} <> '' THEN 'regex' ELSE 'default' END)",
     }
+
+
+# ------------------------------------------------------------ report (demo)
+FILTERED_CHAIN = None  # filled lazily below
+
+
+def filtered_chain() -> list[str]:
+    return [F2_SENTIMENT_RESULTS, DAILY_WEIGHTED, *shock_ctes(), F3_PRICE_BARS, *market_ctes(), FILTERED_CTE]
+
+
+REPORT_HISTORY = f"""
+anchors AS (SELECT DISTINCT ticker, signal_date AS end_date FROM filtered),
+per_day AS (SELECT ticker, {EPOCH_DAY} AS date, avg(final_sentiment_score) AS sentiment_mean,
+                   count(*) AS mentions, sum(normalized_upvotes) AS total_upvotes,
+                   CASE WHEN count(final_sentiment_score) = 1 THEN 0.0
+                        ELSE stddev_samp(final_sentiment_score) END AS sentiment_stddev
+            FROM sentiment_results GROUP BY 1, 2),
+hist0 AS (SELECT a.ticker, a.end_date, p.date, p.sentiment_mean, p.mentions, p.total_upvotes, p.sentiment_stddev
+          FROM anchors a JOIN per_day p ON p.ticker = a.ticker AND p.date BETWEEN a.end_date - 30 AND a.end_date),
+hist1 AS (SELECT *, sentiment_mean * mentions AS weighted_sentiment,
+                 sum(sentiment_mean * mentions) OVER w3 / nullif(CAST(sum(mentions) OVER w3 AS DOUBLE), 0)
+                   AS window_sentiment
+          FROM hist0 WINDOW w3 AS (PARTITION BY ticker, end_date ORDER BY date
+                                   ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
+hist AS (SELECT h.*, f.baseline_mean, f.baseline_std, f.z_score, f.signal_type
+         FROM hist1 h LEFT JOIN filtered f ON f.ticker = h.ticker AND f.signal_date = h.date)"""

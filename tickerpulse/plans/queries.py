@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import daily as daily_ops
 from ..functions import text as tx
 from ..functions import scores as sc
-from ..operators import clean, gates, market, metrics, scoring, sweep, tickers, trades
+from ..operators import clean, gates, market, metrics, report, scoring, sweep, tickers, trades
 from ..operators import shock
 from ..sources import fixtures as fx
 from . import oracle as O
@@ -522,3 +522,106 @@ def q_sweep_stop_take_pivot(spark, sf_dir):
     piv = sweep.pivot_mean(res, "stop_loss", "take_profit", "total_return",
                            values=sweep.PHASE2_BACKTEST_GRID["take_profit"])
     return piv.toDF(*[c if c == "stop_loss" else "take_" + c.replace(".", "_") for c in piv.columns])
+
+
+# ------------------------------------------------------------ report (demo)
+
+def _anchors(filt):
+    return filt.select("ticker", F.col("signal_date").alias("end_date"))
+
+
+def _history(spark, sf_dir):
+    filt = _filtered(spark, sf_dir)
+    return report.sentiment_history(fx.sentiment_results(spark, sf_dir), _anchors(filt), filt)
+
+
+_HIST_D = ["sentiment_mean", "total_upvotes", "sentiment_stddev", "weighted_sentiment", "window_sentiment",
+           "baseline_mean", "baseline_std", "z_score"]
+
+
+@register("report_dates", O.with_ctes(*O.filtered_chain(), body="SELECT DISTINCT signal_date FROM filtered"))
+def q_report_dates(spark, sf_dir):
+    """Distinct signal days of the filtered signals."""
+    return report.available_dates(_filtered(spark, sf_dir))
+
+
+@register("report_signals_by_date", O.with_ctes(*O.filtered_chain(), body="""
+SELECT signal_date, count(*) FILTER (WHERE signal_type = 'BUY') AS n_buy,
+       count(*) FILTER (WHERE signal_type = 'SELL') AS n_sell, count(*) AS n_signals,
+       string_agg(ticker, ',' ORDER BY ticker) AS tickers
+FROM filtered GROUP BY signal_date"""))
+def q_report_signals_by_date(spark, sf_dir):
+    """P14 for every date: BUY / SELL counts and the tickers in order."""
+    return report.signals_by_date(_filtered(spark, sf_dir))
+
+
+@register("report_history", O.rounded(O.with_ctes(*O.filtered_chain(), O.REPORT_HISTORY,
+                                                  body="SELECT * FROM hist"), _HIST_D))
+def q_report_history(spark, sf_dir):
+    """A3 + W5 + J10 for every filtered signal: 31-day daily history, 3-row window, signal markers."""
+    return _history(spark, sf_dir)
+
+
+@register("report_bands", O.rounded(O.with_ctes(*O.filtered_chain(), O.REPORT_HISTORY, """
+b AS (SELECT *, CASE WHEN count(window_sentiment) OVER w30 >= 15 THEN avg(window_sentiment) OVER w30 END
+                  AS baseline_mean_computed,
+                CASE WHEN count(window_sentiment) OVER w30 >= 15 THEN stddev_samp(window_sentiment) OVER w30 END
+                  AS baseline_std_computed
+      FROM hist WINDOW w30 AS (PARTITION BY ticker, end_date ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))""",
+        """t AS (SELECT *, sum(mentions) OVER w3 AS mention_factor FROM b
+      WHERE baseline_mean_computed IS NOT NULL AND baseline_std_computed IS NOT NULL
+      WINDOW w3 AS (PARTITION BY ticker, end_date ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))""",
+        body="""SELECT *, 2.0 / (1 + 0.2 * ln(1 + greatest(CAST(mention_factor AS DOUBLE), 1.0))) AS z_threshold,
+       baseline_mean_computed + (2.0 / (1 + 0.2 * ln(1 + greatest(CAST(mention_factor AS DOUBLE), 1.0))))
+         * baseline_std_computed AS upper_band,
+       baseline_mean_computed - (2.0 / (1 + 0.2 * ln(1 + greatest(CAST(mention_factor AS DOUBLE), 1.0))))
+         * baseline_std_computed AS lower_band
+FROM t"""), _HIST_D + ["baseline_mean_computed", "baseline_std_computed", "z_threshold", "upper_band",
+                       "lower_band"]))
+def q_report_bands(spark, sf_dir):
+    """Baseline (30 rows, >= 15) over each history slice, then the dynamic bands."""
+    return report.history_bands(_history(spark, sf_dir))
+
+
+@register("report_summary", O.with_ctes(*O.filtered_chain(), O.REPORT_HISTORY, body=f"""
+SELECT ticker, end_date, {O.rnd('avg(sentiment_mean)', 3)} AS avg_sentiment, sum(mentions) AS total_mentions,
+       {O.rnd('avg(window_sentiment)', 3)} AS window_sentiment,
+       CASE WHEN count(*) > 1 THEN {O.rnd('stddev_samp(sentiment_mean)', 3)} ELSE 0.0 END AS sentiment_volatility,
+       count(*) AS total_days, count(z_score) AS signal_days,
+       count(*) FILTER (WHERE z_score > 0) AS buy_signals, count(*) FILTER (WHERE z_score < 0) AS sell_signals,
+       {O.rnd('avg(z_score)', 2)} AS avg_z_score
+FROM hist GROUP BY ticker, end_date"""))
+def q_report_summary(spark, sf_dir):
+    """A4: history summary per filtered signal."""
+    return report.history_summary(_history(spark, sf_dir))
+
+
+_PANEL_SQL = """
+anchors AS (SELECT DISTINCT ticker, signal_date AS end_date FROM filtered),
+panel AS (SELECT a.ticker, a.end_date, b.date, b.open, b.high, b.low, b.close, b.volume,
+                 (b.close / lag(b.close) OVER w - 1) * 100 AS pct_change,
+                 CASE WHEN count(b.close) OVER w3 >= 3 THEN avg(b.close) OVER w3 END AS ma_3
+          FROM anchors a JOIN bars b ON b.ticker = a.ticker AND b.date BETWEEN a.end_date - 30 AND a.end_date
+          WINDOW w AS (PARTITION BY a.ticker, a.end_date ORDER BY b.date),
+                 w3 AS (PARTITION BY a.ticker, a.end_date ORDER BY b.date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))"""
+
+
+@register("report_price_panel", O.rounded(O.with_ctes(*O.filtered_chain(), _PANEL_SQL, body="SELECT * FROM panel"),
+                                          ["open", "high", "low", "close", "volume", "pct_change", "ma_3"]))
+def q_report_price_panel(spark, sf_dir):
+    """W7 + W15 per filtered signal: 31-day bars, daily % change, 3-bar average."""
+    filt = _filtered(spark, sf_dir)
+    return report.price_panel(fx.price_bars(spark, sf_dir), _anchors(filt))
+
+
+@register("report_price_summary", O.rounded(O.with_ctes(*O.filtered_chain(), _PANEL_SQL, body="""
+SELECT ticker, end_date, arg_min(close, date) AS first_price, arg_max(close, date) AS last_price,
+       min(close) AS price_min, max(close) AS price_max,
+       (arg_max(close, date) - arg_min(close, date)) / arg_min(close, date) * 100 AS price_change_pct,
+       min(close) - (max(close) - min(close)) * 0.08 AS y_min, max(close) + (max(close) - min(close)) * 0.08 AS y_max
+FROM panel GROUP BY ticker, end_date"""), ["first_price", "last_price", "price_min", "price_max", "price_change_pct",
+                                           "y_min", "y_max"]))
+def q_report_price_summary(spark, sf_dir):
+    """A5: first/last/%-change/min/max and padded range of each 31-day price panel."""
+    filt = _filtered(spark, sf_dir)
+    return report.price_summary(report.price_panel(fx.price_bars(spark, sf_dir), _anchors(filt)))
