@@ -217,23 +217,25 @@ conv AS (
   FROM conversations),
 raw AS (
   SELECT 'post' AS type, 'c' || CAST(conv_id AS VARCHAR) AS id, substring(body, 1, 40) AS title, body,
-         created_utc, score, subreddit, CAST(NULL AS VARCHAR) AS parent_post_id
+         created_utc, score, subreddit, CAST(NULL AS VARCHAR) AS parent_post_id,
+         (conv_id % 10) / 10.0 AS upvote_ratio
   FROM conv WHERE turn = 0
   UNION ALL
   SELECT 'comment', 'c' || CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR), NULL, body,
-         created_utc, score, subreddit, 'c' || CAST(conv_id AS VARCHAR)
+         created_utc, score, subreddit, 'c' || CAST(conv_id AS VARCHAR), NULL
   FROM conv WHERE turn > 0
   UNION ALL
   SELECT 'comment', 'c' || CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR), NULL, body,
-         created_utc + 30, score, subreddit, 'c' || CAST(conv_id AS VARCHAR)
+         created_utc + 30, score, subreddit, 'c' || CAST(conv_id AS VARCHAR), NULL
   FROM conv WHERE turn > 0 AND conv_id % 10 = 0)"""
 
 F1_CLEAN = f"""
 blanked AS (SELECT type, id, {blank('substring(title, 1, 4000)')} AS title,
-                   {blank('substring(body, 1, 4000)')} AS text, created_utc, score, subreddit, parent_post_id
+                   {blank('substring(body, 1, 4000)')} AS text, created_utc, score, subreddit, parent_post_id,
+                   upvote_ratio
             FROM raw),
 kept AS (SELECT * FROM blanked WHERE text <> '' OR (type = 'post' AND title <> '')),
-merged AS (SELECT type, id, created_utc, score, subreddit, parent_post_id,
+merged AS (SELECT type, id, created_utc, score, subreddit, parent_post_id, upvote_ratio,
                   concat_ws('. ', CASE WHEN type = 'post' AND title NOT IN ('', 'nan') THEN title END,
                                   CASE WHEN type <> 'post' OR text NOT IN ('', 'nan') THEN text END) AS text
            FROM kept),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import daily as daily_ops
 from ..functions import text as tx
 from ..functions import scores as sc
-from ..operators import clean, gates, market, metrics, report, scoring, sweep, tickers, trades
+from ..operators import clean, gates, market, metrics, profile, report, scoring, sweep, tickers, trades
 from ..operators import shock
 from ..sources import fixtures as fx
 from . import oracle as O
@@ -625,3 +625,175 @@ def q_report_price_summary(spark, sf_dir):
     """A5: first/last/%-change/min/max and padded range of each 31-day price panel."""
     filt = _filtered(spark, sf_dir)
     return report.price_summary(report.price_panel(fx.price_bars(spark, sf_dir), _anchors(filt)))
+
+
+# ------------------------------------------------------------- profile (EDA)
+_PROFILE_COLS = ["id", "type", "text", "created_utc", "score", "subreddit", "upvote_ratio", "parent_post_id"]
+
+
+def _unified(spark, sf_dir):
+    """F1 after harmonise / placeholders / title merge / type coercion (the EDA input)."""
+    u = clean.harmonize(clean.scan_posts(fx.raw_posts(spark, sf_dir)),
+                        clean.scan_comments(fx.raw_comments(spark, sf_dir)))
+    return clean.coerce_types(clean.merge_title(clean.blank_and_drop_placeholders(u))).select(*_PROFILE_COLS)
+
+
+def _f1_sql(body, *extra):
+    return O.with_ctes(O.F1_RAW, O.F1_CLEAN, *extra, body=body)
+
+
+_TS = "make_timestamp(created_utc * 1000000)"
+
+
+@register("profile_distinct_counts", _f1_sql(" UNION ALL ".join(
+    f"SELECT '{c}' AS column, count(DISTINCT {c}) AS n_unique FROM merged" for c in _PROFILE_COLS)))
+def q_profile_distinct_counts(spark, sf_dir):
+    """Distinct non-null values per column of the unified mentions."""
+    return profile.distinct_counts(_unified(spark, sf_dir))
+
+
+@register("profile_missing", _f1_sql(
+    "SELECT * FROM (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS column, count(*) FILTER (WHERE {c} IS NULL) AS missing, "
+        f"count(*) FILTER (WHERE {c} IS NULL) * 100.0 / count(*) AS pct FROM merged" for c in _PROFILE_COLS)
+    + ") WHERE missing > 0"))
+def q_profile_missing(spark, sf_dir):
+    """NULL counts and shares of the unified mentions (columns with NULLs only)."""
+    return profile.missingness(_unified(spark, sf_dir))
+
+
+_WC = f"len(list_filter(regexp_split_to_array(text, '{O.WS_RE}'), lambda x: x <> ''))"
+_WSTAT = (f"count(*) AS texts, avg({_WC}) AS mean_words, median({_WC}) AS median_words, "
+          f"min({_WC}) AS min_words, max({_WC}) AS max_words, "
+          f"count(*) FILTER (WHERE length(text) <= 10) * 100.0 / count(*) AS short_pct")
+
+
+@register("profile_word_stats", O.rounded(_f1_sql(
+    f"SELECT type AS scope, {_WSTAT} FROM merged WHERE text IS NOT NULL AND text <> '' GROUP BY type "
+    f"UNION ALL SELECT 'all', {_WSTAT} FROM merged WHERE text IS NOT NULL AND text <> ''"),
+    ["mean_words", "median_words", "short_pct"]))
+def q_profile_word_stats(spark, sf_dir):
+    """A15 + X8: word-count mean/median/min/max and short-text share, per type and overall."""
+    return profile.word_stats(_unified(spark, sf_dir))
+
+
+@register("profile_activity", _f1_sql(f"""
+SELECT 'weekday' AS dimension, s.value, coalesce(c.n, 0) AS n
+FROM (SELECT CAST(range AS INTEGER) AS value FROM range(7)) s
+LEFT JOIN (SELECT CAST(isodow({_TS}) - 1 AS INTEGER) AS value, count(*) AS n FROM merged GROUP BY 1) c USING (value)
+UNION ALL
+SELECT 'hour', s.value, coalesce(c.n, 0)
+FROM (SELECT CAST(range AS INTEGER) AS value FROM range(24)) s
+LEFT JOIN (SELECT CAST(hour({_TS}) AS INTEGER) AS value, count(*) AS n FROM merged GROUP BY 1) c USING (value)"""))
+def q_profile_activity(spark, sf_dir):
+    """A16 + D3: mentions by weekday (0 = Monday) and hour, all 7 / 24 values kept."""
+    return profile.activity(_unified(spark, sf_dir))
+
+
+@register("profile_dates_ids", _f1_sql(f"""
+SELECT min(CAST({_TS} AS DATE)) AS first_date, max(CAST({_TS} AS DATE)) AS last_date,
+       datediff('day', min(CAST({_TS} AS DATE)), max(CAST({_TS} AS DATE))) AS span_days,
+       count(*) AS total, count(DISTINCT id) AS unique_ids, count(*) - count(DISTINCT id) AS duplicates,
+       avg(upvote_ratio) FILTER (WHERE type = 'post') AS mean_ratio,
+       median(upvote_ratio) FILTER (WHERE type = 'post') AS median_ratio
+FROM merged"""))
+def q_profile_dates_ids(spark, sf_dir):
+    """A17 + A18 + A19: date range and span, id integrity, upvote-ratio mean/median of posts."""
+    u = _unified(spark, sf_dir)
+    a, b, c = profile.date_range(u), profile.id_integrity(u), profile.ratio_stats(u)
+    return a.select("*", *[b.select(x).scalar().alias(x) for x in b.columns],
+                    *[c.select(x).scalar().alias(x) for x in c.columns])
+
+
+@register("profile_ticker_coverage", O.rounded(O.with_ctes(O.F1_RAW, O.F1_CLEAN, O.f1_tickers_sql(), body="""
+SELECT type, count(*) AS rows, count(*) FILTER (WHERE len(own_tickers) > 0) AS with_tickers_before,
+       count(*) FILTER (WHERE len(mentioned_tickers) > 0) AS with_tickers_after,
+       count(*) FILTER (WHERE len(mentioned_tickers) > 0) - count(*) FILTER (WHERE len(own_tickers) > 0) AS gained,
+       count(*) FILTER (WHERE len(own_tickers) > 0) * 100.0 / count(*) AS pct_before,
+       count(*) FILTER (WHERE len(mentioned_tickers) > 0) * 100.0 / count(*) AS pct_after
+FROM inherited GROUP BY type"""), ["pct_before", "pct_after"]))
+def q_profile_ticker_coverage(spark, sf_dir):
+    """Ticker coverage by type before / after inheritance."""
+    return profile.ticker_coverage(_f1_tickers(spark, sf_dir))
+
+
+_F2_GROUPS = O.with_ctes(O.F2_SENTIMENT_RESULTS, body="SELECT * FROM sentiment_results")
+
+
+@register("sentiment_by_subreddit", O.rounded(O.with_ctes(O.F2_SENTIMENT_RESULTS, body="""
+SELECT subreddit, avg(final_sentiment_score) AS mean_sentiment, count(*) AS n
+FROM sentiment_results GROUP BY subreddit HAVING count(*) >= 10"""), ["mean_sentiment"]))
+def q_sentiment_by_subreddit(spark, sf_dir):
+    """A10: mean sentiment and count by subreddit, HAVING count >= 10."""
+    return profile.group_sentiment(fx.sentiment_results(spark, sf_dir), "subreddit", min_count=10)
+
+
+@register("sentiment_by_ticker", O.rounded(O.with_ctes(O.F2_SENTIMENT_RESULTS, body="""
+SELECT ticker, avg(final_sentiment_score) AS mean_sentiment, count(*) AS n FROM sentiment_results GROUP BY ticker"""),
+    ["mean_sentiment"]))
+def q_sentiment_by_ticker(spark, sf_dir):
+    """Mean sentiment and mention count by ticker."""
+    return profile.group_sentiment(fx.sentiment_results(spark, sf_dir), "ticker")
+
+
+@register("sentiment_over_time", O.rounded(O.with_ctes(O.F2_SENTIMENT_RESULTS, body=f"""
+SELECT {O.EPOCH_DAY} AS date, avg(final_sentiment_score) AS mean_sentiment, count(*) AS n
+FROM sentiment_results GROUP BY 1"""), ["mean_sentiment"]))
+def q_sentiment_over_time(spark, sf_dir):
+    """A12 + D1: mean sentiment by UTC day."""
+    sr = fx.sentiment_results(spark, sf_dir)
+    return profile.group_sentiment(sr, F.to_date(F.timestamp_seconds("created_utc")).alias("date"))
+
+
+@register("top_tickers", O.with_ctes(O.F4_SPARSE_MENTIONS, body="""
+SELECT ticker, count(*) AS mentions FROM sentiment_results GROUP BY ticker ORDER BY mentions DESC, ticker LIMIT 20"""))
+def q_top_tickers(spark, sf_dir):
+    """O3: top 20 symbols by mentions on the F4 stream (150 symbols; ties by symbol)."""
+    return profile.top_by_count(fx.sparse_mentions(spark, sf_dir), "ticker", 20)
+
+
+_SCORES = [f"s{j}" for j in range(4)]
+_SCORE_CTE = "sc AS (SELECT " + ", ".join(f"{O.m4(j)['score']} AS s{j}" for j in range(4)) + " FROM f5)"
+
+
+@register("describe_scores", O.rounded(O.with_ctes(O.f5_cte(), _SCORE_CTE, body=" UNION ALL ".join(
+    f"SELECT '{c}' AS column, CAST(count({c}) AS DOUBLE) AS count, avg({c}) AS mean, stddev_samp({c}) AS std, "
+    f"min({c}) AS min, quantile_cont({c}, 0.25) AS p25, quantile_cont({c}, 0.5) AS p50, "
+    f"quantile_cont({c}, 0.75) AS p75, max({c}) AS max FROM sc" for c in _SCORES)),
+    ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]))
+def q_describe_scores(spark, sf_dir):
+    """Describe the four model scores (exact interpolated quartiles)."""
+    df = fx.class_probabilities(spark, sf_dir).select(
+        *[(F.col(f"m{j}_p_pos") - F.col(f"m{j}_p_neg")).alias(f"s{j}") for j in range(4)])
+    return profile.describe(df, _SCORES)
+
+
+@register("score_correlations", O.rounded(O.with_ctes(O.f5_cte(), _SCORE_CTE, body=" UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS corr FROM sc" for a in _SCORES for b in _SCORES)),
+    ["corr"]))
+def q_score_correlations(spark, sf_dir):
+    """Pearson correlation matrix of the four model scores (long form)."""
+    df = fx.class_probabilities(spark, sf_dir).select(
+        *[(F.col(f"m{j}_p_pos") - F.col(f"m{j}_p_neg")).alias(f"s{j}") for j in range(4)])
+    return profile.correlation_matrix(df, _SCORES)
+
+
+_EDGE = "(CASE WHEN ({k}) >= 50 THEN hi ELSE lo + ({k}) * ((hi - lo) / 50) END)"
+_K0 = "least(CAST(floor((final_sentiment_score - lo) * (50.0 / (hi - lo))) AS INTEGER), 49)"
+
+
+@register("score_histogram", O.rounded(O.with_ctes(O.F2_SENTIMENT_RESULTS, """
+mm AS (SELECT min(final_sentiment_score) AS lo, max(final_sentiment_score) AS hi FROM sentiment_results)""", f"""
+k0 AS (SELECT final_sentiment_score AS x, lo, hi, {_K0} AS k FROM sentiment_results, mm
+       WHERE final_sentiment_score IS NOT NULL)""", f"""
+binned AS (SELECT CASE WHEN x < {_EDGE.format(k='k')} THEN k - 1
+                       WHEN x >= {_EDGE.format(k='k + 1')} AND k <> 49 THEN k + 1 ELSE k END + 1 AS bin
+           FROM k0)""", body=f"""
+SELECT CAST(s.bin AS INTEGER) AS bin, {_EDGE.format(k='s.bin - 1')} AS bin_start, {_EDGE.format(k='s.bin')} AS bin_end,
+       coalesce(c.n, 0) AS n
+FROM (SELECT range AS bin FROM range(1, 51)) s, mm
+LEFT JOIN (SELECT bin, count(*) AS n FROM binned GROUP BY bin) c ON c.bin = s.bin"""),
+    ["bin_start", "bin_end"]))
+def q_score_histogram(spark, sf_dir):
+    """50 equal-width bins of the sentiment score, last bin closed, empty bins kept."""
+    return profile.histogram(fx.sentiment_results(spark, sf_dir), "final_sentiment_score", 50)
