@@ -18,7 +18,8 @@ from ..sources import fixtures as fx
 from . import oracle as O
 from . import pipelines
 from .registry import register
-from ..session import materialize
+from ..session import materialize, scratch_path
+from ..sources import readers, sinks
 
 # ------------------------------------------------------------------ flagship
 
@@ -797,3 +798,163 @@ LEFT JOIN (SELECT bin, count(*) AS n FROM binned GROUP BY bin) c ON c.bin = s.bi
 def q_score_histogram(spark, sf_dir):
     """50 equal-width bins of the sentiment score, last bin closed, empty bins kept."""
     return profile.histogram(fx.sentiment_results(spark, sf_dir), "final_sentiment_score", 50)
+
+
+# ------------------------------------------------------- sources and sinks (S)
+
+@register("incremental_daily", O.rounded(_A1_SQL, ["sentiment_mean", "sentiment_median", "sentiment_std",
+                                                   "total_upvotes", "avg_upvotes", "weighted_sentiment"]))
+def q_incremental_daily(spark, sf_dir):
+    """S13 + streaming: F2 results land as 4 files (rows spread by a hash, so every
+    file holds rows of the same days); a Structured Streaming job (one file per
+    micro-batch) refreshes the touched day partitions of the daily table; the
+    final table equals A1 over everything."""
+    from ..streaming.incremental import start_daily_refresh
+    base = scratch_path(spark, "incremental")
+    sr = fx.sentiment_results(spark, sf_dir)
+    bucket = F.pmod(F.xxhash64(*sr.columns), F.lit(4))
+    for i in range(4):
+        sr.filter(bucket == i).coalesce(1).write.mode("append").parquet(f"{base}/source")
+    q = start_daily_refresh(spark, f"{base}/source", f"{base}/daily", f"{base}/_checkpoint", max_files_per_trigger=1)
+    q.awaitTermination()
+    out = spark.read.parquet(f"{base}/daily")
+    return out.select("ticker", "sentiment_date", "sentiment_mean", "sentiment_median", "sentiment_std",
+                      "mentions", "total_upvotes", "avg_upvotes", "weighted_sentiment",
+                      "positive_count", "neutral_count", "negative_count")
+
+
+@register("sink_signals_typed", O.with_ctes(O.F2_SENTIMENT_RESULTS, O.DAILY_WEIGHTED, *O.shock_ctes(), body="""
+SELECT signal_date, ticker, CAST(sentiment_mean AS DECIMAL(15,6)) AS sentiment_mean,
+       CAST(total_upvotes AS DECIMAL(15,6)) AS total_upvotes, CAST(window_sentiment AS DECIMAL(15,6)) AS window_sentiment,
+       CAST(window_mentions AS DECIMAL(15,6)) AS window_mentions, CAST(baseline_mean AS DECIMAL(15,6)) AS baseline_mean,
+       CAST(baseline_std AS DECIMAL(15,6)) AS baseline_std, CAST(z_score AS DECIMAL(15,6)) AS z_score, signal_type,
+       CAST(signal_direction AS DECIMAL(3,0)) AS signal_direction, CAST(signal_score AS DECIMAL(15,6)) AS signal_score
+FROM signals"""))
+def q_sink_signals_typed(spark, sf_dir):
+    """S10 (+S8): BUY/SELL rows typed (NUMBER(15,6) -> DECIMAL), NaN/inf -> NULL,
+    overwritten as a table and as CSV, read back from the table."""
+    sig = shock.shock_signals(fx.sentiment_results(spark, sf_dir))
+    base = scratch_path(spark, "signals")
+    sinks.load_signals(sig, f"{base}/table")
+    sinks.to_csv(sig, f"{base}/csv")
+    return spark.read.parquet(f"{base}/table")
+
+
+@register("sink_filtered_typed", O.with_ctes(*O.filtered_chain(), body=f"""
+SELECT signal_date, ticker, target_date, {', '.join(f'CAST({c} AS DECIMAL(15,4)) AS {c}' for c in O.MARKET_COLS)},
+       CAST(market_moved_flag AS DECIMAL(1,0)) AS market_moved_flag,
+       CAST(z_score AS DECIMAL(15,6)) AS z_score, signal_type
+FROM filtered"""))
+def q_sink_filtered_typed(spark, sf_dir):
+    """The 21-column filtered-signal table, typed, overwritten, read back (subset compared)."""
+    base = scratch_path(spark, "filtered")
+    out = sinks.load_filtered_signals(_filtered(spark, sf_dir), f"{base}/table")
+    del out
+    t = spark.read.parquet(f"{base}/table")
+    return t.select("signal_date", "ticker", "target_date", *O.MARKET_COLS, "market_moved_flag", "z_score",
+                    "signal_type")
+
+
+@register("reference_dim_files", O.with_ctes("""
+nas AS (SELECT 'P' || CAST(p_partkey AS VARCHAR) AS ticker, p_name AS company_name, 'NASDAQ' AS exchange, 0 AS prio
+        FROM part WHERE p_size % 10 <> 0)""", """
+nyse AS (SELECT 'P' || CAST(s_suppkey AS VARCHAR) AS ticker, s_name AS company_name, 'NYSE' AS exchange, 1 AS prio
+         FROM supplier)""", """
+stop AS (SELECT 'P' || CAST(n_nationkey AS VARCHAR) AS ticker FROM nation)""", body="""
+SELECT ticker, company_name, exchange FROM (SELECT * FROM nas UNION ALL SELECT * FROM nyse)
+WHERE ticker NOT IN (SELECT ticker FROM stop)
+QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY prio, company_name, exchange) = 1"""))
+def q_reference_dim_files(spark, sf_dir):
+    """S4 + S5 + S6 + S7 + S8 + U2 + J2: a pipe-delimited listing (with comment, footer
+    and test-issue rows) from ``part``, an exchange CSV from ``supplier`` and a JSON
+    stop-list from ``nation`` are written, read back, unioned with first-list
+    priority, stop-listed, exported and re-read with normalised headers."""
+    base = scratch_path(spark, "dims")
+    part = fx.table(spark, sf_dir, "part")
+    test = (F.when(F.col("p_size") % 10 == 0, "Y").when(F.col("p_size") % 10 == 1, F.lit(None)).otherwise("N"))
+    listing = part.select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("Symbol"),
+                          F.col("p_name").alias("Security Name"), test.alias("Test Issue"))
+    footer = spark.createDataFrame([("File Creation Time: 0000", None, None)],
+                                   "Symbol string, `Security Name` string, `Test Issue` string")
+    sinks.to_csv(listing.unionByName(footer), f"{base}/nasdaq", sep="|")
+    sup = fx.table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("P"), F.col("s_suppkey").cast("string")).alias("ACT Symbol"),
+        F.col("s_name").alias("Company Name"))
+    sinks.to_csv(sup, f"{base}/nyse")
+    (fx.table(spark, sf_dir, "nation")
+       .agg(F.to_json(F.struct(F.collect_list(F.concat(F.lit("p"), F.col("n_nationkey").cast("string")))
+                               .alias("stopwords"))).alias("value"))
+       .write.mode("overwrite").text(f"{base}/stop"))
+    nas = readers.read_symbol_list(spark, f"{base}/nasdaq", "NASDAQ")
+    ny = readers.read_exchange_csv(spark, f"{base}/nyse", "NYSE")
+    dim = tickers.combine_exchanges(nas, ny)
+    stop = readers.read_stoplist(spark, f"{base}/stop").withColumnRenamed("word", "ticker")
+    dim = dim.join(stop, "ticker", "left_anti")
+    dim.toDF("Ticker", " Company Name ", "Exchange").write.mode("overwrite").option("header", True).csv(
+        f"{base}/tickers")
+    return readers.read_ticker_csv(spark, f"{base}/tickers").select("ticker", "company_name", "exchange")
+
+
+# ------------------------------------------------------------ remaining ops
+
+@register("document_text_views")
+def q_document_text_views(spark, sf_dir):
+    """X6 (default and compatibility modes) + X7 + X8 over the whole text of every
+    ``documents`` row, with the row's detected symbols protected."""
+    d = fx.table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text")
+    t = tickers.detect_tickers(d, fx.ticker_dim(spark))
+    return t.select("id", tx.normalize_text("text", "mentioned_tickers").alias("normalized"),
+                    tx.normalize_text("text", compat=True).alias("normalized_compat"),
+                    tx.remove_stopwords("text", "mentioned_tickers").alias("without_stopwords"),
+                    tx.text_length("text").alias("text_length"), tx.word_count("text").alias("word_count"))
+
+
+@register("charting_window")
+def q_charting_window(spark, sf_dir):
+    """The 40-bar charting slice of every filtered signal with metrics
+    recomputed on the slice and the triggers of its last 5 bars."""
+    bars, filt = _stage_inputs(spark, sf_dir)
+    anchors = filt.select("ticker", F.col("target_date").cast("date").alias("target_date")).distinct()
+    return market.charting_window(bars, anchors).select(
+        "ticker", "target_date", "date", "bar_n", "pct_3d_z", "ret_z", "vol_z", "vol_expansion", "atr_move",
+        "is_recent", "trig_pct_3d_z", "trig_ret_z", "trig_vol_z", "trig_vol_expansion", "trig_atr_move")
+
+
+@register("signal_sample", O.rounded(O.with_ctes(*O.filtered_chain(), body="""
+SELECT signal_date, ticker, signal_type, window_sentiment, z_score FROM filtered
+ORDER BY signal_date, ticker LIMIT 25"""), ["window_sentiment", "z_score"]))
+def q_signal_sample(spark, sf_dir):
+    """O6 + S3 + O1: a deterministic sample - ordered first, then the first 25 rows."""
+    f = _filtered(spark, sf_dir)
+    return readers.sample_preprocessed(f, 25, order=("signal_date", "ticker")).select(
+        "signal_date", "ticker", "signal_type", "window_sentiment", "z_score")
+
+
+@register("long_only_trades")
+def q_long_only_trades(spark, sf_dir):
+    """P13 + T1-T6: long-only backtest (BUY or direction +1 signals only)."""
+    t, _, _ = _trades(spark, sf_dir, long_only=True)
+    return t.select(*_TRADE_COLS)
+
+
+@register("schema_check", O.with_ctes(*O.filtered_chain(), body=" UNION ALL ".join(
+    f"SELECT '{c}' AS required_column, true AS present, count({c}) AS non_null_rows FROM filtered"
+    for c in ["signal_date", "ticker", "signal_type", "window_sentiment", "window_mentions",
+              "baseline_mean", "baseline_std", "z_score", "signal_score"])))
+def q_schema_check(spark, sf_dir):
+    """P17 (+P16): each required column of the filtered-signal table, whether it is
+    present, and its non-NULL row count (one aggregate pass)."""
+    from ..schemas import REQUIRED_SIGNAL_COLUMNS
+    f = _filtered(spark, sf_dir)
+    missing = set(gates.missing_columns(f))
+    present = [c for c in REQUIRED_SIGNAL_COLUMNS if c not in missing]
+    counts = f.agg(*[F.count(c).alias(c) for c in present])
+    parts = [counts.select(F.lit(c).alias("required_column"), F.lit(True).alias("present"),
+                           F.col(c).alias("non_null_rows")) for c in present]
+    parts += [counts.select(F.lit(c).alias("required_column"), F.lit(False).alias("present"),
+                            F.lit(0).cast("bigint").alias("non_null_rows")) for c in sorted(missing)]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out

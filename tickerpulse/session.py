@@ -69,3 +69,10 @@ def materialize(df, eager: bool = True):
     checkpoint folder (survives executor loss; never a local checkpoint)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def scratch_path(spark, name: str) -> str:
+    """A fresh folder under the shared checkpoint folder (never machine-local on a cluster)."""
+    import uuid
+    base = checkpoint_dir(spark).rstrip("/")
+    return f"{base}/tickerpulse-scratch/{name}-{uuid.uuid4().hex[:12]}"
