@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.dates import temporal_features
-from .tickers import broadcast_if_small
 
 POST_RENAME = {"body": "text"}
 COMMENT_RENAME = {"body": "text"}
@@ -129,11 +128,15 @@ def minmax_by_group(df: DataFrame, value: str = "score", group: str = "subreddit
 
     Group extremes come from a map-side-combined aggregation (one row per
     group) joined back, rather than a window: a group holding a third of all
-    rows would otherwise be one task.
+    rows would otherwise be one task. The join strategy is left to AQE, which
+    measures the aggregated side at runtime and broadcasts it only under
+    ``spark.sql.adaptive.autoBroadcastJoinThreshold`` (else a shuffle join,
+    whose hot keys the skew-join rule splits). An explicit pre-count here
+    would run the whole upstream twice.
     """
     stats = (df.filter(F.col(group).isNotNull())
                .groupBy(group).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi")))
-    j = df.join(broadcast_if_small(stats), group, "left")
+    j = df.join(stats, group, "left")
     val = (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + F.lit(eps))
     return j.withColumn(out, val.cast("double")).drop("_lo", "_hi")
 

@@ -950,11 +950,9 @@ def q_schema_check(spark, sf_dir):
     missing = set(gates.missing_columns(f))
     present = [c for c in REQUIRED_SIGNAL_COLUMNS if c not in missing]
     counts = f.agg(*[F.count(c).alias(c) for c in present])
-    parts = [counts.select(F.lit(c).alias("required_column"), F.lit(True).alias("present"),
-                           F.col(c).alias("non_null_rows")) for c in present]
-    parts += [counts.select(F.lit(c).alias("required_column"), F.lit(False).alias("present"),
-                            F.lit(0).cast("bigint").alias("non_null_rows")) for c in sorted(missing)]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
+    pairs = ", ".join(f"'{c}', `{c}`" for c in present)
+    out = counts.selectExpr(f"stack({len(present)}, {pairs}) as (required_column, non_null_rows)")
+    out = out.select("required_column", F.lit(True).alias("present"), "non_null_rows")
+    for c in sorted(missing):
+        out = out.unionByName(spark.createDataFrame([(c, False, 0)], out.schema))
     return out
