@@ -956,3 +956,28 @@ def q_schema_check(spark, sf_dir):
     for c in sorted(missing):
         out = out.unionByName(spark.createDataFrame([(c, False, 0)], out.schema))
     return out
+
+
+@register("daily_table_load", O.rounded(_A1_SQL, ["sentiment_mean", "sentiment_median", "sentiment_std",
+                                                  "total_upvotes", "avg_upvotes", "weighted_sentiment"]))
+def q_daily_table_load(spark, sf_dir):
+    """S13 (batch refresh, day-partitioned) + S12 (load with partition pruning; a
+    missing table falls back to aggregating on the fly)."""
+    sr = fx.sentiment_results(spark, sf_dir)
+    base = scratch_path(spark, "daily")
+    missing = readers.load_daily(spark, f"{base}/absent", results=sr)   # fallback route
+    sinks.refresh_daily(sr, f"{base}/daily")
+    stored = readers.load_daily(spark, f"{base}/daily").drop("created_at")
+    cols = missing.columns
+    # stored rows; the fallback frame contributes the same schema and no rows
+    return stored.select(*cols).unionByName(missing.filter(F.lit(False)))
+
+
+@register("preprocessed_table_load")
+def q_preprocessed_table_load(spark, sf_dir):
+    """Truncate-and-load of preprocessed_data (date stored as date_col), read back."""
+    pp = pipelines.preprocessed_table(pipelines.preprocess(
+        fx.raw_posts(spark, sf_dir), fx.raw_comments(spark, sf_dir), fx.ticker_dim(spark), fx.ticker_stoplist(spark)))
+    path = scratch_path(spark, "preprocessed")
+    sinks.load_preprocessed(pp, path)
+    return spark.read.parquet(path)
