@@ -806,7 +806,7 @@ def q_score_histogram(spark, sf_dir):
                                                    "total_upvotes", "avg_upvotes", "weighted_sentiment"]))
 def q_incremental_daily(spark, sf_dir):
     """S13 + streaming: F2 results land as 4 files (rows spread by a hash, so every
-    file holds rows of the same days); a Structured Streaming job (one file per
+    file holds rows of the same days); a Structured Streaming job (two files per
     micro-batch) refreshes the touched day partitions of the daily table; the
     final table equals A1 over everything."""
     from ..streaming.incremental import start_daily_refresh
@@ -815,7 +815,7 @@ def q_incremental_daily(spark, sf_dir):
     bucket = F.pmod(F.xxhash64(*sr.columns), F.lit(4))
     for i in range(4):
         sr.filter(bucket == i).coalesce(1).write.mode("append").parquet(f"{base}/source")
-    q = start_daily_refresh(spark, f"{base}/source", f"{base}/daily", f"{base}/_checkpoint", max_files_per_trigger=1)
+    q = start_daily_refresh(spark, f"{base}/source", f"{base}/daily", f"{base}/_checkpoint", max_files_per_trigger=2)
     q.awaitTermination()
     out = spark.read.parquet(f"{base}/daily")
     return out.select("ticker", "sentiment_date", "sentiment_mean", "sentiment_median", "sentiment_std",
