@@ -1,4 +1,4 @@
-"""End-to-end compositions of the operators (the reference's notebooks as plans)."""
+"""End-to-end compositions of the operators (preprocessing as one lazy plan)."""
 
 from __future__ import annotations
 
