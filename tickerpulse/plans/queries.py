@@ -409,7 +409,9 @@ def q_performance_report(spark, sf_dir):
     """T8 + M12 + W16 + W17: metrics of the strategy curve and the three benchmark curves."""
     t, bars, p = _trades(spark, sf_dir)
     curve = trades.equity_curve(t, bars, p).select(F.lit("strategy").alias("name"), "date", "portfolio_value")
-    bench = metrics.benchmark_curves(fx.benchmark_bars(spark, sf_dir), p.capital, p.start, p.end)
+    # the benchmark symbols' bars come from the already checkpointed bar table
+    bench_bars = bars.filter(F.col("ticker").isin(*fx.BENCHMARK_SYMBOLS))
+    bench = metrics.benchmark_curves(bench_bars, p.capital, p.start, p.end)
     return metrics.performance(curve.unionByName(bench), p.capital)
 
 
