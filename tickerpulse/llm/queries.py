@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, pii, quality_rules, secrets, simhash
+from . import decontaminate, html_text, licences, packing, pii, quality_model, quality_rules, secrets, simhash
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -19,6 +19,17 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; label 1 is predicted from 0.3 up."""
+    scored = quality_model.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, line losses and verdict of every document."""
     return quality_rules.apply_rules(table(spark, sf_dir, "documents")).drop("clean_text")
@@ -45,7 +56,14 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
 
 
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families of every document."""
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op4_quality_rules, op5_packing, op6_secrets, op8_simhash, op9_pii)}
+    f.__name__: f for f in (
+        op1_decontaminate, op2_html_text, op3_quality_model, op4_quality_rules, op5_packing, op6_secrets, op8_simhash,
+        op9_pii, op10_licences)}
 
 SQL: dict[str, str] = {}
