@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, licences, packing, pii, quality_model, quality_rules, secrets, simhash
+from . import decontaminate, html_text, katz, licences, packing, pii, quality_model, quality_rules, secrets, simhash
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -45,6 +45,11 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Katz back-off score of every document, learnt from the ids whose crc32 modulo 5 is not 1."""
+    return katz.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document: 3-word shingles, 3 or fewer differing bits."""
     marked = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
@@ -63,7 +68,7 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_decontaminate, op2_html_text, op3_quality_model, op4_quality_rules, op5_packing, op6_secrets, op8_simhash,
+        op1_decontaminate, op2_html_text, op3_quality_model, op4_quality_rules, op5_packing, op6_secrets, op7_katz, op8_simhash,
         op9_pii, op10_licences)}
 
 SQL: dict[str, str] = {}
