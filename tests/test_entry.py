@@ -1,13 +0,0 @@
-import __spark_entry__ as E
-
-
-def test_entry_runs(spark):
-    df = E.entry(spark)
-    assert df.count() >= 0
-    assert "signal_type" in df.columns
-
-
-def test_oracle_keys_subset():
-    q, o = E.queries(), E.oracle_sql()
-    assert set(o) <= set(q)
-    assert len(q) >= 30

@@ -32,6 +32,12 @@ def test_k1_parse_routes(spark):
         ('{"sentiment": null}', "neutral", 0.0, "default"),
         ('score": 5', "positive", 5.0, "regex"),
         ('', "neutral", 0.0, "default"),
+        ("{'sentiment': 'positive', 'score': 0.9}", "neutral", 0.0, "default"),
+        ('{"sentiment": "positive", "score": 0.05} and {more}', "neutral", 0.05, "regex"),
+        ('{"sentiment": 1, "score": 0.3}', "positive", 0.3, "regex"),
+        ('{"sentiment": "Negative", "score": true}', "negative", 1.0, "json"),
+        ('{"sentiment": "neutral", "score": [1]}', "neutral", 0.0, "default"),
+        ('{"sentiment": "positive"} {"score": 0.2}', "positive", 0.2, "regex"),
     ]
     df = spark.createDataFrame([(c[0],) for c in cases], "r string")
     p, q = sc.parse_model_response("r"), sc.parse_model_response("r", clamp=True)
@@ -39,6 +45,8 @@ def test_k1_parse_routes(spark):
     for (txt, lab, score, route), g in zip(cases, got):
         assert (g[0], round(g[1], 9), g[2]) == (lab, score, route), txt
     assert got[5][3] == 1.0
+    nan = spark.createDataFrame([('{"sentiment": "Positive", "score": "NaN"}',)], "r string").select(p["label"], p["score"]).first()
+    assert tuple(nan) == ("positive", None)
 
 
 def test_routing(spark):

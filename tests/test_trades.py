@@ -1,51 +1,8 @@
 import datetime as dt
 
-from pyspark.sql import functions as F
+import pytest
 
-import brute
-from conftest import SF01
-from tickerpulse.operators import gates, market, metrics, shock, trades
-from tickerpulse.sources import fixtures as fx
-
-
-def _inputs(spark):
-    bars = fx.price_bars(spark, SF01).cache()
-    sig = gates.apply_quality_gates(market.filter_unmoved(shock.shock_signals(fx.sentiment_results(spark, SF01)),
-                                                          bars)).cache()
-    return bars, sig
-
-
-def test_trades_and_equity_match_day_loop(spark):
-    bars, sig = _inputs(spark)
-    lo, hi = bars.agg(F.min("date"), F.max("date")).first()
-    p = trades.BacktestParams(start=str(lo), end=str(hi), sizing="flat", max_holding_days=5)
-    got = trades.trade_table(sig, bars, p).collect()
-    sigs = [r.asDict() for r in sig.collect()]
-    bd = {}
-    for r in bars.select("ticker", "date", "open", "close").collect():
-        bd.setdefault(r["ticker"], []).append((r["date"], r["open"], r["close"]))
-    for v in bd.values():
-        v.sort()
-    want, hist = brute.simulate(sigs, bd, lo, hi, max_hold=5)
-    key = lambda t: (t["ticker"], t["signal_date"])
-    g = {key(r): r for r in got}
-    w = {key(t): t for t in want}
-    assert set(g) == set(w)
-    for k, t in w.items():
-        r = g[k]
-        assert (r["entry_date"], r["exit_date"], r["exit_reason"]) == (t["entry_date"], t["exit_date"],
-                                                                       t["exit_reason"]), k
-        assert abs(r["pnl_pct"] - t["ret"] * 100) < 1e-9
-    eq = {r["date"]: r for r in trades.equity_curve(trades.trade_table(sig, bars, p), bars, p).collect()}
-    assert len(eq) == len(hist)
-    for day, val, n in hist:
-        assert abs(eq[day]["portfolio_value"] - val) < 1e-6, day
-        assert eq[day]["n_positions"] == n
-    perf = metrics.performance(trades.equity_curve(trades.trade_table(sig, bars, p), bars, p)
-                               .withColumn("name", F.lit("s")), 10000.0).first()
-    ref = brute.metrics([v for _, v, _ in hist], 10000.0)
-    for k in ("total_return", "sharpe", "max_drawdown"):
-        assert abs(perf[k] - ref[k]) < 1e-6, k
+from tickerpulse.operators import market, metrics, shock, sweep, trades
 
 
 def test_signal_on_exit_date_is_accepted_and_eop_blocks(spark):
@@ -65,3 +22,37 @@ def test_signal_on_exit_date_is_accepted_and_eop_blocks(spark):
     assert t[3]["entry_date"] == d(2024, 1, 4) and t[3]["exit_reason"] == "max_holding"
     assert t[3]["exit_date"] == d(2024, 1, 9)
     assert 8 not in t  # position from Jan 3 still open on Jan 8
+
+
+def test_composite_and_position_share(spark):
+    rows = [(0.25, 1.5, 10.0, 1.0, 1.0, 1.0, 1.0, 1.5, -1.5), (None,) * 9, (9.0, -9.0, 99.0, 9.0, 9.0, 9.0, 2.75, 3.0, 9.0)]
+    names = ["window_sentiment", "z_score", "window_mentions", "pct_3d_z", "ret_z", "vol_z", "vol_expansion", "atr_move", "signal_score"]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names))
+    comp = trades.composite_score(df.columns)
+    got = df.select(comp, trades.position_share(comp, 0.05), trades.position_share(comp, 0.05, "flat")).collect()
+    # quality 0.2 + 0.2 + 0.1, strength 0.5, entry 1 - 1/2, volatility 0.5 + 0.5
+    assert got[0][0] == pytest.approx(0.35 * 0.5 + 0.25 * 0.5 + 0.2 * 0.5 + 0.2 * 1.0)
+    # defaults: five mentions (0.2 * 0.25), calm market (entry 1), expansion 1 and no move (0.5)
+    assert got[1][0] == pytest.approx(0.35 * 0.05 + 0.2 * 1.0 + 0.2 * 0.5)
+    # all quality, all strength, no entry, expansion 2.75 gives 0.5 and a move of 3 gives 0.5
+    assert got[2][0] == pytest.approx(0.35 + 0.25 + 0.2 * 0.5)
+    assert got[0][1] == pytest.approx(0.05) and got[1][1] == pytest.approx(0.05) and got[2][2] == pytest.approx(0.05)
+    assert df.select(trades.position_share(comp, 1.0)).collect()[1][0] == pytest.approx(0.03 + 0.07 * 0.3175)
+
+
+def test_metrics_of_a_curve_that_is_lost(spark):
+    d = dt.date
+    curve = spark.createDataFrame([("s", d(2024, 1, k + 1), v) for k, v in enumerate([100.0, 50.0, -10.0, 20.0])],
+                                  "name string, date date, portfolio_value double")
+    got = metrics.performance(curve.filter("portfolio_value <> 20"), 100.0).first()
+    assert got["annualized_return"] == -100.0 and got["total_return"] == pytest.approx(-110.0) and got["max_drawdown"] == pytest.approx(-110.0)
+    steps = {r["date"].day: r["daily_return"] for r in metrics.with_returns(curve).collect()}
+    assert steps[1] is None and steps[2] == -0.5 and steps[3] == pytest.approx(-1.2) and steps[4] is None
+
+
+def test_sweep_rejects_unknown_parameters():
+    base = shock.ShockParams(), market.MarketParams(), trades.BacktestParams(start="2024-01-01", end="2024-02-01")
+    with pytest.raises(ValueError, match="stop_los"):
+        sweep.resolve([{"stop_los": 0.1}], *base)
+    full = sweep.resolve([{"long_only": True}, {"window_days": 5}], *base)
+    assert full[0]["long_only"] is True and full[1]["window_days"] == 5 and full[1]["long_only"] is False

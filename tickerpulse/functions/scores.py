@@ -52,32 +52,37 @@ def route_by_confidence(conf, drop_below: float | None = 0.50, second_below: flo
     return r
 
 
+# Fixed value: the score fallback pattern.
 _SCORE_RE = r"score\":\s*(-?0\.\d+|1\.0|-1\.0|-?\d+)"
 
 
 def parse_model_response(c, clamp: bool = False) -> dict[str, Column]:
     """K1: (label, score) from a generative model's text answer.
 
-    1. The greedy first ``{...}`` span is parsed as a JSON object: ``sentiment``
-       (lower-cased, default 'neutral') and ``score`` (default 0.0; numeric
-       strings accepted). A NULL sentiment/score or a score that is not a
-       number makes the JSON route fail.
+    1. The greedy first ``{...}`` span, if it is exactly one JSON object by strict
+       rules: ``sentiment`` (a string, lower-cased; 'neutral' if absent) and ``score``
+       (a number, a numeric string, or a truth value as 1 or 0; 0.0 if absent; NaN
+       becomes NULL). Any other type of either makes the JSON route fail.
     2. Otherwise the first ``score": <number>`` in the text gives the score
        (clamped to [-1, 1] when ``clamp``) and the label by +-0.1.
     3. Otherwise ('neutral', 0.0).
     """
     t = F.coalesce(col(c), F.lit(""))
     js = F.regexp_extract(t, r"(?s)\{.*\}", 0)
-    keys = F.json_object_keys(js)
-    has = lambda k: F.coalesce(F.array_contains(keys, k), F.lit(False))
-    sent = F.get_json_object(js, "$.sentiment")
-    score_txt = F.get_json_object(js, "$.score")
-    score_num = score_txt.try_cast("double")
-    json_ok = (keys.isNotNull()
-               & (~has("sentiment") | sent.isNotNull())
-               & (~has("score") | score_num.isNotNull()))
-    j_label = F.lower(F.when(has("sentiment"), sent).otherwise(F.lit("Neutral")))
-    j_score = F.when(has("score"), score_num).otherwise(F.lit(0.0))
+    # inside brackets, text after the object or a second object is an error or a second element
+    parsed = F.try_parse_json(F.concat(F.lit("["), js, F.lit("]")))
+    one = F.try_variant_get(parsed, "$[0]", "variant").isNotNull() & F.try_variant_get(parsed, "$[1]", "variant").isNull()
+    kind = lambda field: F.schema_of_variant(F.try_variant_get(parsed, f"$[0].{field}", "variant"))
+    value = lambda field, to: F.try_variant_get(parsed, f"$[0].{field}", to)
+    sent_kind, score_kind = kind("sentiment"), kind("score")
+    score_num = (F.when(score_kind == "BOOLEAN", value("score", "boolean").cast("double"))
+                  .when(score_kind.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)"), value("score", "double"))
+                  .when(score_kind == "STRING", F.btrim(value("score", "string")).try_cast("double")))
+    json_ok = (F.coalesce(one, F.lit(False))
+               & F.coalesce(sent_kind == "STRING", F.lit(True))
+               & (score_kind.isNull() | score_num.isNotNull()))
+    j_label = F.lower(F.when(sent_kind.isNotNull(), value("sentiment", "string")).otherwise(F.lit("Neutral")))
+    j_score = F.when(score_kind.isNull(), F.lit(0.0)).otherwise(F.nanvl(score_num, F.lit(None).cast("double")))
     rx = F.regexp_extract(t, _SCORE_RE, 1)
     rx_ok = rx != ""
     rx_val = rx.try_cast("double")

@@ -9,26 +9,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.columns import nan_to_null
 from ..functions.dates import temporal_features
 
+EPOCH_RANGE = (-62135596800, 253402300799)  # years 1 to 9999
 POST_RENAME = {"body": "text"}
 COMMENT_RENAME = {"body": "text"}
 OPTIONAL_COLUMNS = ("author", "url", "parent_post_id", "is_original_content", "upvote_ratio", "title")
 
 
-def scan_posts(df: DataFrame, max_chars: int = 4000) -> DataFrame:
-    """The post columns, body cut to ``max_chars`` characters."""
+def scan_posts(df: DataFrame) -> DataFrame:
+    """The post columns; whole bodies."""
     cols = ["author", "title", "created_utc", "id", "is_original_content", "score", "body",
             "subreddit", "upvote_ratio", "url"]
-    return df.select(*[F.substring("body", 1, max_chars).alias("body") if c == "body" else F.col(c)
-                       for c in cols])
+    return df.select(*cols)
 
 
-def scan_comments(df: DataFrame, max_chars: int = 4000) -> DataFrame:
-    """The comment columns, body cut to ``max_chars`` characters."""
+def scan_comments(df: DataFrame) -> DataFrame:
+    """The comment columns; whole bodies."""
     cols = ["author", "created_utc", "id", "parent_post_id", "score", "body", "subreddit"]
-    return df.select(*[F.substring("body", 1, max_chars).alias("body") if c == "body" else F.col(c)
-                       for c in cols])
+    return df.select(*cols)
 
 
 def harmonize(posts: DataFrame, comments: DataFrame) -> DataFrame:
@@ -93,16 +93,18 @@ def dedupe_by_id(df: DataFrame, id_col: str = "id") -> DataFrame:
 
 
 def coerce_types(df: DataFrame) -> DataFrame:
-    """created_utc -> timestamp (epoch seconds, or a date-time string; bad -> NULL);
-    score -> integer (bad -> 0); upvote_ratio -> double (bad -> NULL)."""
+    """created_utc -> timestamp (epoch seconds within years 1 to 9999, or a date-time
+    string; bad -> NULL); score -> integer (bad, NaN and infinite -> 0); upvote_ratio ->
+    double (bad, NaN and infinite -> NULL)."""
     raw = F.col("created_utc").cast("string")
-    ts = F.coalesce(F.timestamp_seconds(raw.try_cast("double")), F.try_to_timestamp(raw))
+    epoch = raw.try_cast("double")
+    ts = F.coalesce(F.timestamp_seconds(F.when(epoch.between(*EPOCH_RANGE), epoch)), F.try_to_timestamp(raw))
     out = df.withColumn("created_utc", ts)
     if "score" in df.columns:
-        out = out.withColumn("score", F.coalesce(F.col("score").cast("string").try_cast("double"),
-                                                 F.lit(0.0)).cast("long"))
+        score = F.col("score").cast("string").try_cast("double").try_cast("bigint")
+        out = out.withColumn("score", F.coalesce(score, F.lit(0)))
     if "upvote_ratio" in df.columns:
-        out = out.withColumn("upvote_ratio", F.col("upvote_ratio").cast("string").try_cast("double"))
+        out = out.withColumn("upvote_ratio", nan_to_null(F.col("upvote_ratio").cast("string").try_cast("double")))
     return out
 
 

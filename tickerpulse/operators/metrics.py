@@ -17,9 +17,10 @@ SQRT252 = math.sqrt(252.0)
 
 
 def with_returns(curve: DataFrame, key: str = "name", value: str = "portfolio_value") -> DataFrame:
-    """W7 + W16 on a value curve: daily return, running max and drawdown."""
+    """W7 + W16 on a value curve: daily return (NULL after a value of zero or less), running max and drawdown."""
     w = Window.partitionBy(key).orderBy("date")
-    return (curve.withColumn("daily_return", F.try_divide(F.col(value), F.lag(value).over(w)) - 1)
+    before = F.lag(value).over(w)
+    return (curve.withColumn("daily_return", F.when(before > 0, F.col(value) / before - 1))
                  .withColumn("running_max", F.max(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
                  .withColumn("drawdown", F.try_divide(F.col(value) - F.col("running_max"), F.col("running_max"))))
 
@@ -28,10 +29,12 @@ def performance(curve: DataFrame, capital: float, key: str = "name", value: str
     """M12 per curve: total and annualised return (%), volatility (%), Sharpe,
     Sortino (annualised, and the reference's un-annualised form), max drawdown (%).
 
-    Sharpe = mean/std * sqrt(252), 0 when std is 0 or undefined.
+    Sharpe = mean/std * sqrt(252), 0 when std is 0 or undefined. A curve that ends at
+    zero or less has lost everything: its annualised return is -100 %.
     """
     r = with_returns(curve, key, value)
-    neg = F.when(F.col("daily_return") < 0, F.col("daily_return"))
+    # an unchanged value may differ in its last bit between two sums: that is no loss
+    neg = F.when(F.col("daily_return") < -1e-12, F.col("daily_return"))
     agg = r.groupBy(key).agg(
         F.max_by(value, "date").alias("_last"),
         F.count(F.lit(1)).alias("n_days"),
@@ -44,7 +47,8 @@ def performance(curve: DataFrame, capital: float, key: str = "name", value: str
     return agg.select(
         key,
         ((F.col("_last") / capital - 1) * 100).alias("total_return"),
-        ((F.pow(F.col("_last") / capital, 252.0 / F.col("n_days")) - 1) * 100).alias("annualized_return"),
+        F.when(F.col("_last") > 0, (F.pow(F.col("_last") / capital, 252.0 / F.col("n_days")) - 1) * 100)
+         .otherwise(F.lit(-100.0)).alias("annualized_return"),
         (F.col("_std") * SQRT252 * 100).alias("volatility"),
         F.when(std_ok, F.col("_mean") / F.col("_std") * SQRT252).otherwise(F.lit(0.0)).alias("sharpe"),
         F.when(dstd_ok, F.col("_mean") / F.col("_dstd") * SQRT252).otherwise(F.lit(0.0)).alias("sortino"),

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from ..functions.scores import route_by_confidence, score_from_probs
 from ..functions.text import parse_ticker_list
@@ -42,10 +42,10 @@ def model_input(ticker="ticker", text="sentiment_ready_text") -> F.Column:
     return F.concat(F.col(ticker), F.lit(": "), F.coalesce(F.col(text), F.lit("")))
 
 
-def prompt_text(ticker="ticker", text="sentiment_ready_text", template: str = DEFAULT_PROMPT,
-                max_chars: int = 1500) -> F.Column:
-    """A prompt from ``template`` ({ticker}, {text}); the text is cut to ``max_chars``."""
-    body = F.substring(F.coalesce(F.col(text), F.lit("")), 1, max_chars)
+def prompt_text(ticker="ticker", text="sentiment_ready_text", template: str = DEFAULT_PROMPT) -> F.Column:
+    """A prompt from ``template`` ({ticker}, {text}) with the whole text; a model's
+    length limit is the caller's business."""
+    body = F.coalesce(F.col(text), F.lit(""))
     args = sorted([(template.find("{ticker}"), F.col(ticker)), (template.find("{text}"), body)],
                   key=lambda a: a[0])
     fmt = template.replace("%", "%%").replace("{ticker}", "%s").replace("{text}", "%s")
@@ -59,19 +59,22 @@ def score_batches(df: DataFrame, make_scorer: Callable[[], Callable[[list[str]],
 
     ``make_scorer()`` is called once per task and returns ``fn(texts) -> list of
     {label, score, p_pos, p_neu, p_neg}``. A batch whose call raises gets
-    ('neutral', 0.0) with NULL probabilities, as the reference does. Output
-    columns are prefixed with ``prefix``.
+    ('neutral', 0.0) with NULL probabilities, and ``{prefix}failed`` is true for
+    its rows, so they can be counted or scored again. Output columns are prefixed
+    with ``prefix``.
     """
     pairs = [f.strip().split(" ") for f in SCORE_FIELDS.split(",")]
     fields = [name for name, _ in pairs]
     out_schema = StructType(list(df.schema.fields) + [
-        StructField(prefix + name, StringType() if typ == "string" else DoubleType()) for name, typ in pairs])
+        StructField(prefix + name, StringType() if typ == "string" else DoubleType()) for name, typ in pairs]
+        + [StructField(prefix + "failed", BooleanType())])
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fn = make_scorer()
         for pdf in it:
             texts = pdf[text_col].fillna("").astype(str).tolist()
             rows: list[dict] = []
+            failed: list[bool] = []
             for i in range(0, len(texts), batch_size):
                 chunk = texts[i:i + batch_size]
                 try:
@@ -80,9 +83,13 @@ def score_batches(df: DataFrame, make_scorer: Callable[[], Callable[[list[str]],
                         raise ValueError("scorer returned a wrong number of results")
                 except Exception:  # noqa: BLE001  (failed batch -> neutral default)
                     res = [{"label": "neutral", "score": 0.0} for _ in chunk]
+                    failed.extend([True] * len(chunk))
+                else:
+                    failed.extend([False] * len(chunk))
                 rows.extend(res)
             for f in fields:
                 pdf[prefix + f] = [r.get(f) for r in rows]
+            pdf[prefix + "failed"] = failed
             yield pdf
 
     return df.mapInPandas(run, out_schema)

@@ -1,17 +1,15 @@
 """Parameter sweep.
 
-The expensive, parameter-free parts are computed once and checkpointed by the
-caller: the gap-filled shock windows (W2-W4) and the market metrics (W7-W13).
-The grid is then folded into the key space (see :func:`sweep`), so thresholds
-(M3, W14), trades and metrics run once for all points.
+The grid is a table of points. What few parameters share is computed once (see
+:func:`sweep`), and thresholds (M3, W14), trades and metrics run once for all points.
 """
 
 from __future__ import annotations
 
 import itertools
-from dataclasses import replace
+from dataclasses import fields, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import SIGNAL_COLUMNS
@@ -33,89 +31,111 @@ def grid(spec: dict[str, list]) -> list[dict]:
     return [dict(zip(keys, vals)) for vals in itertools.product(*[spec[k] for k in keys])]
 
 
-KEY_SEP = "#"
-SHOCK_COLS = ("min_mentions", "base_z_threshold", "min_abs_sent_change", "mention_sensitivity", "bullish_bias")
-MARKET_COLS = ("z_threshold", "vol_expansion_threshold", "atr_move_threshold")
-EXIT_COLS = ("stop_loss", "take_profit", "max_holding_days")
+SIGNAL_FIELDS = tuple(f.name for f in fields(shock.ShockParams))
+FILTER_FIELDS = tuple(f.name for f in fields(market.MarketParams))
+TRADE_FIELDS = ("max_position", "stop_loss", "take_profit", "max_holding_days", "long_only", "sizing", "trade_weekends")
+WINDOW_FIELDS = ("window_days", "baseline_days", "min_baseline_days")  # these shape the shock windows
+BAR_FIELDS = ("lookback", "atr_days", "recent_days", "min_history")     # these shape the market metrics
+# grid names of the market filter that mean a field of the same object
+MAXIMA = {"pct_3d_z": "z_threshold", "ret_z": "z_threshold", "vol_z": "z_threshold",
+          "vol_expansion": "vol_expansion_threshold", "atr_move": "atr_move_threshold"}
+
+
+def resolve(points: list[dict], base_sp: shock.ShockParams, base_mp: market.MarketParams,
+            base_bp: trades.BacktestParams) -> list[dict]:
+    """Every point with all its fields; a name that is no field of any stage is an error."""
+    known = {*SIGNAL_FIELDS, *FILTER_FIELDS, *TRADE_FIELDS}
+    out = []
+    for k, point in enumerate(points):
+        unknown = set(point) - known
+        if unknown:
+            raise ValueError(f"sweep point {k}: unknown parameters {sorted(unknown)}")
+        full = {f: getattr(base_sp, f) for f in SIGNAL_FIELDS} | {f: getattr(base_mp, f) for f in FILTER_FIELDS}
+        full |= {f: getattr(base_bp, f) for f in TRADE_FIELDS}
+        out.append({"point_id": f"p{k:05d}", **full, **point})
+    return out
 
 
-def _tag(df: DataFrame, pid: str, values: dict) -> DataFrame:
-    """A copy of ``df`` in grid point ``pid``: the key becomes 'pid#ticker' and the
-    point's parameters become columns."""
-    out = df.withColumn("ticker", F.concat(F.lit(pid + KEY_SEP), F.col("ticker")))
-    for k, v in values.items():
-        out = out.withColumn(k, F.lit(v))
-    return out
+def _params(spark, points: list[dict]) -> DataFrame:
+    """The grid as a table: one row per point, one typed column per parameter."""
+    kinds = {bool: "boolean", str: "string", int: "double", float: "double"}
+    names = list(points[0])
+    schema = ", ".join(f"{n} {kinds[type(points[0][n])]}" for n in names)
+    return spark.createDataFrame([tuple(float(v) if kinds[type(v)] == "double" else v for v in p.values()) for p in points], schema)
 
 
-def _union(frames):
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+def sweep(daily: DataFrame, bars: DataFrame, points: list[dict], base_sp: shock.ShockParams,
+          base_mp: market.MarketParams, base_bp: trades.BacktestParams) -> DataFrame:
+    """One leaderboard row per grid point (dicts overriding fields of the base parameters).
 
+    The points are rows of a parameter table; no input is copied per point.
 
-def sweep(windows: DataFrame, mstate: DataFrame, bars: DataFrame, points: list[dict],
-          base_sp: shock.ShockParams, base_mp: market.MarketParams, base_bp: trades.BacktestParams) -> DataFrame:
-    """One leaderboard row per grid point (dicts overriding the base parameters).
+    * Shock windows are computed once per different set of window lengths, market metrics once per
+      different set of bar lengths (usually one each).
+    * A day of a ticker can only be a signal if it passes the loosest thresholds of the grid; those few rows
+      meet the signal sets (different signal parameters) in an equi-join on the window set.
+    * "Moved in the last bars" is a comparison of rolling maxima, so each bar has its maxima once, and
+      a signal compares them with its filter set's thresholds.
+    * Surviving signals meet the points of their (signal set, filter set); trades, equity and metrics then
+      run once over all points, keyed by (point, ticker), against the bars as they are.
 
-    The grid is folded into the key space: the shared, checkpointed inputs
-    (shock windows, market metrics, bars) are unioned once per point with the
-    key 'point#ticker' and the point's thresholds as columns. Signal rule (M3),
-    market flag (W14), trades (T1-T6), equity (T7) and metrics (M12) then run
-    ONCE over all points, keyed and partitioned by that composite key.
-    Window lengths (W2/W3 sizes, 5 recent bars, 20-bar history) are fixed
-    across the grid; they shape the shared inputs.
+    So phase 2 of the reference's sweep, where only exits vary, finds its signals once.
     """
-    spark = windows.sparkSession
-    pids = [f"p{i:03d}" for i in range(len(points))]
-    full = []
-    for pt in points:
-        sp, mp, bp = (replace(base_sp, **{k: v for k, v in pt.items() if hasattr(base_sp, k)}),
-                      replace(base_mp, **{k: v for k, v in pt.items() if hasattr(base_mp, k)}),
-                      replace(base_bp, **{k: v for k, v in pt.items() if hasattr(base_bp, k)}))
-        full.append((sp, mp, bp))
-    # stage boundaries are checkpointed: each later reference is then one scan
-    # instead of a copy of the whole unioned sub-plan
-    w_u = materialize(_union([_tag(windows, pid, {**{c: float(getattr(sp, c)) for c in SHOCK_COLS},
-                                      **{c: float(getattr(bp, c)) for c in EXIT_COLS}})
-                  for pid, (sp, mp, bp) in zip(pids, full)]))
-    m_u = materialize(_union([_tag(mstate, pid, {c: float(getattr(mp, c)) for c in MARKET_COLS})
-                              for pid, (sp, mp, bp) in zip(pids, full)]))
-    b_u = materialize(_union([_tag(bars, pid, {}) for pid in pids]))
-
-    sp_c = replace(base_sp, **{c: F.col(c) for c in SHOCK_COLS})
-    sig = shock.with_signals(w_u, sp_c).filter(F.col("signal_type") != "NONE").withColumnRenamed("date", "signal_date")
-    sig = sig.select(*SIGNAL_COLUMNS, *EXIT_COLS)
-    mp_c = replace(base_mp, **{c: F.col(c) for c in MARKET_COLS})
-    ok = (m_u.withColumn("_moved", market.moved_flag(mp_c))
-             .filter((F.col("bar_n") >= base_mp.min_history) & (F.col("_moved") == 0))
-             .select("ticker", F.col("date").alias("signal_date")))
-    filt = materialize(sig.join(ok, ["ticker", "signal_date"], "left_semi"))
-    point = F.substring_index("ticker", KEY_SEP, 1)
-
-    bp_c = replace(base_bp, **{c: F.col(c) for c in EXIT_COLS})
-    tt = materialize(trades.trade_table(filt, b_u, bp_c).withColumn("point_id", point))
-    keys = spark.createDataFrame([(pid,) for pid in pids], "point_id string")
-    curve = trades.equity_curve(tt, b_u, base_bp, key="point_id", keys=keys)
+    spark = daily.sparkSession
+    full = resolve(points, base_sp, base_mp, base_bp)
+    params = _params(spark, full)
+    set_of = lambda names: F.concat_ws("|", *[F.col(n).cast("string") for n in names])
+    params = params.withColumn("window_set", set_of(WINDOW_FIELDS)).withColumn("bar_set", set_of(BAR_FIELDS))
+    params = materialize(params.withColumn("signal_set", set_of(SIGNAL_FIELDS)).withColumn("filter_set", set_of(FILTER_FIELDS)))
+
+    windows = []
+    for lengths in sorted({tuple(p[f] for f in WINDOW_FIELDS) for p in full}):
+        sp = replace(base_sp, **dict(zip(WINDOW_FIELDS, lengths)))
+        name = "|".join(str(float(x)) for x in lengths)
+        windows.append(shock.shock_windows(daily, sp).withColumn("window_set", F.lit(name)))
+    loose = {f: min(p[f] for p in full) for f in ("min_mentions", "min_abs_sent_change")}
+    able = _union(windows).filter(F.col("baseline_std").isNotNull() & (F.col("baseline_std") > 0) & F.col("window_sentiment").isNotNull()
+                                  & (F.col("window_mentions") >= loose["min_mentions"])
+                                  & (F.col("abs_sent_change") >= loose["min_abs_sent_change"])).drop("z_threshold")
+    signal_sets = params.select("signal_set", "window_set", *[f for f in SIGNAL_FIELDS if f not in WINDOW_FIELDS]).distinct()
+    tried = able.join(signal_sets, "window_set")
+    tried = tried.withColumn("z_threshold", F.col("base_z_threshold") / (
+        1 + F.col("mention_sensitivity") * F.log1p(F.greatest(F.col("window_mentions"), F.lit(1.0)))))
+    rule = replace(base_sp, **{c: F.col(c) for c in ("min_mentions", "min_abs_sent_change", "bullish_bias")})
+    signals = materialize(shock.with_signals(tried, rule).filter(F.col("signal_type") != "NONE")
+                          .withColumnRenamed("date", "signal_date").select("signal_set", *SIGNAL_COLUMNS))
+
+    states = []
+    for lengths in sorted({tuple(p[f] for f in BAR_FIELDS) for p in full}):
+        mp = replace(base_mp, **dict(zip(BAR_FIELDS, lengths)))
+        name = "|".join(str(float(x)) for x in lengths)
+        recent = Window.partitionBy("ticker").orderBy("date").rowsBetween(-(mp.recent_days - 1), 0)
+        tops = [F.max(F.abs(c) if c.endswith("_z") else F.col(c)).over(recent).alias(f"top_{c}") for c in MAXIMA]
+        metrics_of = market.market_metrics(bars, mp).select("ticker", F.col("date").alias("signal_date"), "bar_n", *tops)
+        states.append(metrics_of.filter(F.col("bar_n") >= mp.min_history).withColumn("bar_set", F.lit(name)))
+    pairs = params.select("signal_set", "filter_set", "bar_set", *set(MAXIMA.values())).distinct()
+    moved = F.lit(False)
+    for metric, threshold in MAXIMA.items():
+        moved = moved | F.coalesce(F.col(f"top_{metric}") >= F.col(threshold), F.lit(False))
+    kept = (signals.join(pairs, "signal_set").join(_union(states), ["ticker", "signal_date", "bar_set"]).filter(~moved)
+            .select("signal_set", "filter_set", *SIGNAL_COLUMNS))
+    kept = materialize(kept.join(params.select("point_id", "signal_set", "filter_set", *TRADE_FIELDS),
+                                 ["signal_set", "filter_set"]))
+
+    bp = replace(base_bp, keys=("point_id",), **{c: F.col(c) for c in TRADE_FIELDS})
+    tt = materialize(trades.trade_table(kept, bars, bp))
+    curve = trades.equity_curve(tt, bars, base_bp, key="point_id", keys=params)
     perf = metrics.performance(curve, base_bp.capital, key="point_id")
-    n_sig = filt.groupBy(point.alias("point_id")).agg(
-        F.count_if(F.col("signal_type") == "BUY").alias("n_buy_signals"),
-        F.count_if(F.col("signal_type") == "SELL").alias("n_sell_signals"))
-    n_tr = tt.groupBy("point_id").agg(F.count(F.lit(1)).alias("n_trades"),
-                                      F.count_if(F.col("pnl") > 0).alias("_wins"))
-    params = spark.createDataFrame(
-        [(pid, float(sp.min_mentions), float(sp.base_z_threshold), float(mp.z_threshold),
-          float(bp.stop_loss), float(bp.take_profit), int(bp.max_holding_days))
-         for pid, (sp, mp, bp) in zip(pids, full)],
-        "point_id string, min_mentions double, base_z_threshold double, z_threshold double, "
-        "stop_loss double, take_profit double, max_holding_days int")
-    j = (params.join(perf, "point_id", "left").join(n_sig, "point_id", "left").join(n_tr, "point_id", "left"))
+    n_sig = kept.groupBy("point_id").agg(F.count_if(F.col("signal_type") == "BUY").alias("n_buy_signals"),
+                                         F.count_if(F.col("signal_type") == "SELL").alias("n_sell_signals"))
+    n_tr = tt.groupBy("point_id").agg(F.count(F.lit(1)).alias("n_trades"), F.count_if(F.col("pnl") > 0).alias("_wins"))
+    j = params.join(perf, "point_id", "left").join(n_sig, "point_id", "left").join(n_tr, "point_id", "left")
     n_trades = F.coalesce(F.col("n_trades"), F.lit(0))
     has = n_trades > 0
     return j.select(
         "point_id", "min_mentions", "base_z_threshold", "z_threshold", "stop_loss", "take_profit",
-        "max_holding_days", "total_return", "final_value",
+        F.col("max_holding_days").cast("int").alias("max_holding_days"), "window_days", "baseline_days", "bullish_bias",
+        "long_only", "max_position", "total_return", "final_value",
         n_trades.alias("n_trades"),
         F.coalesce(F.col("n_buy_signals"), F.lit(0)).alias("n_buy_signals"),
         F.coalesce(F.col("n_sell_signals"), F.lit(0)).alias("n_sell_signals"),
@@ -124,6 +144,13 @@ def sweep(windows: DataFrame, mstate: DataFrame, bars: DataFrame, points: list[d
         F.when(has, F.col("max_drawdown")).otherwise(F.lit(0.0)).alias("max_drawdown"))
 
 
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def leaderboard(results: DataFrame, metric: str = "sharpe", n: int = 10) -> DataFrame:
     """The top ``n`` points by ``metric`` (ties by point id)."""
     return results.orderBy(F.col(metric).desc(), "point_id").limit(n)

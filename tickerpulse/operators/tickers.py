@@ -3,9 +3,9 @@ and the exchange union (U2).
 
 Plan shape: candidates are extracted per row with regexp_extract_all, then
 exploded into (id, candidate, variant) rows and semi-joined with the ticker
-dimension. The dimension (the listed-symbol universe, tens of thousands of
-rows at most) is broadcast only after its row count is checked; beyond the cap
-the same join runs as a shuffle join. Only matched (id, symbol) pairs are
+dimension. How the dimension and the stop-list meet the candidates is left to
+adaptive execution, which measures them and broadcasts them below its size
+threshold. Only matched (id, symbol) pairs are
 re-grouped by id, and the result is joined back on id: when the input is
 already hash-partitioned by id (it is after the de-duplication step) the text
 column is never shuffled.
@@ -18,19 +18,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import caps_words, cashtags, class_variants
 
-DEFAULT_BROADCAST_ROWS = 1_000_000
-
 
 def _empty():
     return F.array().cast("array<string>")
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when it has at most ``max_rows`` rows (checked, not assumed)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def normalize_dim(dim: DataFrame) -> DataFrame:
     """Ticker dimension -> distinct upper-cased, trimmed, non-null ``ticker`` values."""
     return (dim.select(F.upper(F.trim(F.col("ticker"))).alias("ticker"))
@@ -39,8 +31,7 @@ def normalize_dim(dim: DataFrame) -> DataFrame:
 
 
 def detect_tickers(df: DataFrame, dim: DataFrame, stoplist: DataFrame | None = None,
-                   id_col: str = "id", text_col: str = "text",
-                   max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                   id_col: str = "id", text_col: str = "text") -> DataFrame:
     """X5 (+J2): add ``mentioned_tickers`` (sorted distinct array) and ``n_tickers``.
 
     A candidate is a cashtag (X2) or an ALL-CAPS word not on the English list
@@ -54,12 +45,10 @@ def detect_tickers(df: DataFrame, dim: DataFrame, stoplist: DataFrame | None = N
                .filter(F.size("_c") > 0)
                .select("_id", F.explode("_c").alias("_cand"))
                .select("_id", "_cand", F.posexplode(class_variants(F.col("_cand"))).alias("_pos", "ticker")))
-    d = broadcast_if_small(normalize_dim(dim), max_broadcast_rows)
-    hits = (cands.join(d, "ticker", "inner")
+    hits = (cands.join(normalize_dim(dim), "ticker", "inner")
                  .groupBy("_id", "_cand").agg(F.min_by("ticker", "_pos").alias("ticker")))
     if stoplist is not None:
-        stop = broadcast_if_small(stoplist.select(F.upper(F.col("word")).alias("ticker")).distinct(),
-                                  max_broadcast_rows)
+        stop = stoplist.select(F.upper(F.col("word")).alias("ticker")).distinct()
         hits = hits.join(stop, "ticker", "left_anti")
     found = hits.groupBy("_id").agg(F.array_sort(F.collect_set("ticker")).alias("_found"))
     out = df.join(found, df[id_col] == found["_id"], "left")
@@ -68,13 +57,6 @@ def detect_tickers(df: DataFrame, dim: DataFrame, stoplist: DataFrame | None = N
                .drop("_id", "_found"))
 
 
-def filter_stoplist(df: DataFrame, stopwords: list[str], col: str = "mentioned_tickers") -> DataFrame:
-    """J2 on an existing list column, with a literal stop-list (row-local, no join)."""
-    stop = sorted({w.upper() for w in stopwords})
-    kept = F.filter(F.coalesce(F.col(col), _empty()), lambda x: ~F.upper(x).isin(*stop)) if stop else F.col(col)
-    return df.withColumn(col, kept).withColumn("n_tickers", F.size(col))
-
-
 def inherit_parent_tickers(df: DataFrame, id_col: str = "id", parent_col: str = "parent_post_id",
                            col: str = "mentioned_tickers") -> DataFrame:
     """J3 + U3: comments take the sorted union of their own and their parent post's symbols.

@@ -19,6 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 
 FAR_FUTURE = "9999-12-31"
 
@@ -40,6 +41,12 @@ class BacktestParams:
     long_only: bool = False
     sizing: str = "composite"      # "composite" (M10/M11) or "flat" (= max_position)
     trade_weekends: bool = False   # Q9: weekend signals never meet the business-day loop
+    # every field but start, end and capital may also be a Column of the signals
+    keys: tuple[str, ...] = ()     # columns that tell apart independent backtests (sweep points)
+
+
+def _pcol(v) -> Column:
+    return v if isinstance(v, Column) else F.lit(v)
 
 
 # ------------------------------------------------------------------ sizing
@@ -72,10 +79,13 @@ def composite_score(columns=None) -> Column:
     return 0.35 * sq + 0.25 * strength + 0.20 * entry + 0.20 * volatility
 
 
-def position_share(composite: Column, max_position, flat: bool = False) -> Column:
-    """min(0.03 + 0.07 * composite, max_position); the flat variant is max_position."""
-    cap = max_position if isinstance(max_position, Column) else F.lit(float(max_position))
-    return cap if flat else F.least(0.03 + 0.07 * composite, cap)
+def position_share(composite: Column, max_position, sizing="composite") -> Column:
+    """min(0.03 + 0.07 * composite, max_position); the flat variant is max_position.
+
+    The constants are fixed values.
+    """
+    cap = _pcol(max_position).cast("double")
+    return F.when(_pcol(sizing) == "flat", cap).otherwise(F.least(0.03 + 0.07 * composite, cap))
 
 
 # ------------------------------------------------------- signals and entry
@@ -96,12 +106,10 @@ def long_only(signals: DataFrame) -> DataFrame:
 
 def tradable_signals(signals: DataFrame, p: BacktestParams) -> DataFrame:
     """Known direction, date inside [start, end] and (unless trade_weekends) Mon-Fri."""
-    s = long_only(signals) if p.long_only else signals
-    s = s.withColumn("dir", direction()).filter(F.col("dir").isNotNull())
+    s = signals.withColumn("dir", direction()).filter(F.col("dir").isNotNull())
+    s = s.filter(~_pcol(p.long_only) | (F.col("dir") == 1))  # a row that is BUY or +1 has direction +1
     s = s.filter(F.col("signal_date").between(as_date(p.start), as_date(p.end)))
-    if not p.trade_weekends:
-        s = s.filter(F.weekday("signal_date") < 5)
-    return s
+    return s.filter(_pcol(p.trade_weekends) | (F.weekday("signal_date") < 5))
 
 
 def next_bar(events: DataFrame, bars: DataFrame, date_col: str, inclusive: bool = False,
@@ -135,10 +143,6 @@ def next_bar(events: DataFrame, bars: DataFrame, date_col: str, inclusive: bool
 
 # ------------------------------------------------------------------- exits
 
-def _pcol(v) -> Column:
-    return v if isinstance(v, Column) else F.lit(v)
-
-
 def _signed_return(price: Column) -> Column:
     """T4: long (x - e)/e, short (e - x)/e."""
     e = F.col("entry_price")
@@ -166,8 +170,9 @@ def candidate_trades(signals: DataFrame, bars: DataFrame, p: BacktestParams) ->
     ent = next_bar(sig, bars_in, "signal_date", inclusive=False, fields=("open",), prefix="entry_")
     ent = (ent.filter(F.col("entry_date").isNotNull())
               .withColumnRenamed("entry_open", "entry_price")
-              .withColumn("trade_id", F.concat_ws("|", "ticker", F.col("signal_date").cast("string"),
+              .withColumn("trade_id", F.concat_ws("|", *p.keys, "ticker", F.col("signal_date").cast("string"),
                                                   "signal_type")))
+    ent = materialize(ent)  # small (one row a signal); four branches below would each repeat the as-of pass
     checked = bars_in.filter((F.weekday("date") < 5) & (F.col("date") >= start)).select("ticker", "date", "close")
     stop, take, mh = F.col("_stop"), F.col("_take"), F.col("_mh")
 
@@ -201,7 +206,7 @@ def candidate_trades(signals: DataFrame, bars: DataFrame, p: BacktestParams) ->
     return t
 
 
-def one_position_per_ticker(cands: DataFrame) -> DataFrame:
+def one_position_per_ticker(cands: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """T5: accept a candidate only if no accepted trade of its ticker is still open
     on its signal date; a trade closes at the start of its exit day (so a signal
     on that day is accepted) and an end_of_period trade never closes.
@@ -211,7 +216,7 @@ def one_position_per_ticker(cands: DataFrame) -> DataFrame:
     items = F.struct(F.col("signal_date").alias("s"), F.col("signal_type").alias("t"),
                      F.col("trade_id").alias("id"), key.alias("x"))
     init = F.struct(F.lit(None).cast("date").alias("last"), F.array().cast("array<string>").alias("ids"))
-    acc = (cands.groupBy("ticker")
+    acc = (cands.groupBy(*keys, "ticker")
                 .agg(F.aggregate(F.array_sort(F.collect_list(items)), init,
                                  lambda a, v: F.when(a["last"].isNull() | (v["s"] >= a["last"]),
                                                      F.struct(v["x"].alias("last"),
@@ -223,13 +228,13 @@ def one_position_per_ticker(cands: DataFrame) -> DataFrame:
 
 def trade_table(signals: DataFrame, bars: DataFrame, p: BacktestParams) -> DataFrame:
     """Accepted trades with notional, P&L and exit reason."""
-    t = one_position_per_ticker(candidate_trades(signals, bars, p))
+    t = one_position_per_ticker(candidate_trades(signals, bars, p), p.keys)
     comp = composite_score(t.columns)
-    share = position_share(comp, p.max_position, flat=(p.sizing == "flat"))
+    share = position_share(comp, p.max_position, p.sizing)
     return t.select(
-        "trade_id", "ticker", "signal_date", "signal_type", "entry_date", "exit_date",
+        *p.keys, "trade_id", "ticker", "signal_date", "signal_type", "entry_date", "exit_date",
         F.when(F.col("dir") == 1, "long").otherwise("short").alias("direction"),
-        "entry_price", "exit_price",
+        "entry_price", "exit_price", F.datediff("exit_date", "entry_date").alias("days_held"),
         (F.lit(p.capital) * share).alias("position_size"),
         comp.alias("signal_score"),
         (F.lit(p.capital) * share * F.col("ret")).alias("pnl"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 # ---------------------------------------------------------------- fixtures
 F2_SENTIMENT_RESULTS = """
 sentiment_results AS (
-  SELECT 'S' || CAST(l_suppkey % 10 AS VARCHAR) AS ticker,
+  SELECT 'S' || CAST(CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE l_suppkey % 16 END AS VARCHAR) AS ticker,
          CAST(epoch(l_shipdate) AS BIGINT) AS created_utc,
          (l_discount - 0.05) / 0.05 AS final_sentiment_score,
          l_quantity / 50.0 AS normalized_upvotes,
@@ -21,13 +21,13 @@ sentiment_results AS (
 
 F3_PRICE_BARS = """
 bars AS (
-  SELECT 'S' || CAST(l_suppkey % 10 AS VARCHAR) AS ticker,
+  SELECT 'S' || CAST(CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE l_suppkey % 16 END AS VARCHAR) AS ticker,
          CAST(l_shipdate AS DATE) AS date,
-         arg_min(l_extendedprice / l_quantity,
+         arg_min(90.0 + (l_extendedprice / l_quantity) % 20.0,
                  (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity)) AS open,
-         max(l_extendedprice / l_quantity) AS high,
-         min(l_extendedprice / l_quantity) AS low,
-         arg_max(l_extendedprice / l_quantity,
+         max(90.0 + (l_extendedprice / l_quantity) % 20.0) AS high,
+         min(90.0 + (l_extendedprice / l_quantity) % 20.0) AS low,
+         arg_max(90.0 + (l_extendedprice / l_quantity) % 20.0,
                  (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity)) AS close,
          sum(l_quantity) AS volume
   FROM lineitem GROUP BY 1, 2)"""
@@ -212,13 +212,13 @@ conv AS (
               WHEN 3 THEN text || ' https://ex.com/x ' WHEN 4 THEN text || ' [link](https://ex.com) '
               WHEN 5 THEN 'short' WHEN 6 THEN NULL ELSE text END AS body,
          CAST(1704067200 + conv_id * 3600 + turn * 60 AS BIGINT) AS created_utc,
-         CAST(length(text) % 500 AS BIGINT) AS score,
+         CAST(CASE WHEN conv_id % 7 IN (3, 5, 6) THEN 0 ELSE length(text) % 500 END AS BIGINT) AS score,
          'r' || CAST(conv_id % 5 AS VARCHAR) AS subreddit
   FROM conversations),
 raw AS (
   SELECT 'post' AS type, 'c' || CAST(conv_id AS VARCHAR) AS id, substring(body, 1, 40) AS title, body,
          created_utc, score, subreddit, CAST(NULL AS VARCHAR) AS parent_post_id,
-         (conv_id % 10) / 10.0 AS upvote_ratio
+         CASE WHEN conv_id % 10 <> 7 THEN (conv_id % 10) / 10.0 END AS upvote_ratio
   FROM conv WHERE turn = 0
   UNION ALL
   SELECT 'comment', 'c' || CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR), NULL, body,
@@ -230,8 +230,8 @@ raw AS (
   FROM conv WHERE turn > 0 AND conv_id % 10 = 0)"""
 
 F1_CLEAN = f"""
-blanked AS (SELECT type, id, {blank('substring(title, 1, 4000)')} AS title,
-                   {blank('substring(body, 1, 4000)')} AS text, created_utc, score, subreddit, parent_post_id,
+blanked AS (SELECT type, id, {blank('title')} AS title,
+                   {blank('body')} AS text, created_utc, score, subreddit, parent_post_id,
                    upvote_ratio
             FROM raw),
 kept AS (SELECT * FROM blanked WHERE text <> '' OR (type = 'post' AND title <> '')),
@@ -291,23 +291,39 @@ inherited AS (
                              WHERE type = 'post' AND len(own_tickers) > 0) p ON p.id = d.parent_post_id)"""
 
 
+# All-caps words that are no symbols, stated again (not imported) so that a slip in either list shows;
+# only words of 2 to 5 capitals matter.
+ENGLISH = ("AFTER AGAIN ALL ALSO AM AN AND ANY ARE AS AT BACK BE BEAT BEEN BEING BEST BOTH BOY BUT BY CAME CAN COME COULD DID "
+           "DOWN EA EACH EVEN EVERY FIND FIRST FOR FROM GET GIVE GO GOING GOOD GOT GREAT HAD HAS HAVE HE HER HERE HIM HOME HOW "
+           "IN INTO IS IT ITS JUST KEEP KNOW LAST LE LEFT LET LIFE LIKE LONG LOOK MADE MAKE MAN MANY MAY MIGHT MORE MOST MOVE "
+           "MUCH MUST NEED NEVER NEW NEXT NIGHT NO NOT NOW OF OLD ON ONLY OTHER OUR OUT OVER OWN PLACE PUT RIGHT SAID SAME SAY "
+           "SEE SHE SINCE SO SOME STILL SUCH TAKE TAX THAN THAT THE THEM THERE THESE THEY THING THINK THIS THOSE TIME TO TOO TWO "
+           "UNDER UP USE VERY WANT WAS WATER WAY WE WELL WENT WERE WHAT WHEN WHERE WHICH WHILE WHO WHY WILL WITH WORK WORLD WOULD "
+           "WRITE YEAR YES YET YOU YOUNG YOUR")
+
+
 def f1_tickers_sql() -> str:
-    from ..functions.text import ENGLISH_WORDS
-    return F1_TICKERS_SQL.replace("{ENGLISH}", " ".join(sorted(ENGLISH_WORDS)))
+    return F1_TICKERS_SQL.replace("{ENGLISH}", ENGLISH)
 
 
 # ------------------------------------------------------------ F5 scores
+# What each answer of F5 must parse to, worked out by hand: (label, score, route, clamped score).
+K1_EXPECTED = (("positive", 0.8, "json", 0.8), ("negative", -0.45, "json", -0.45), ("neutral", 0.5, "json", 0.5),
+               ("negative", -0.7, "regex", -0.7), ("neutral", 0.0, "default", 0.0), ("neutral", 0.0, "default", 0.0),
+               ("neutral", 0.0, "default", 0.0), ("neutral", 0.05, "regex", 0.05), ("positive", 0.3, "regex", 0.3),
+               ("negative", 1.0, "json", 1.0), ("positive", None, "json", None), ("negative", -3.0, "regex", -1.0))
+
+
 def f5_cte() -> str:
-    from ..sources.fixtures import F5_RESPONSES, N_MODELS
     parts = ["vec_id", "'S' || CAST(vec_id % 10 AS VARCHAR) AS ticker",
              "DATE '2024-01-01' + CAST(vec_id % 30 AS INTEGER) AS date"]
-    for j in range(N_MODELS):
-        e = [f"exp(8 * CAST(embedding[{3 * j + k}] AS DOUBLE))" for k in (1, 2, 3)]
+    for j in range(4):
+        # element i (from 1) belongs to logit (i - 1) mod 12; model j has logits 3j, 3j + 1, 3j + 2
+        e = ["exp(8 * (" + " + ".join(f"CAST(embedding[{i}] AS DOUBLE)" for i in range(3 * j + k, 65, 12)) + "))"
+             for k in (1, 2, 3)]
         tot = " + ".join(e)
         for name, x in zip(("p_neg", "p_neu", "p_pos"), e):
             parts.append(f"{x} / ({tot}) AS m{j}_{name}")
-    arr = ", ".join("'" + r.replace("'", "''") + "'" for r in F5_RESPONSES)
-    parts.append(f"[{arr}][CAST(vec_id % 6 AS INTEGER) + 1] AS response")
     return "f5 AS (SELECT " + ",\n  ".join(parts) + " FROM embeddings)"
 
 
@@ -319,32 +335,15 @@ def m4(j: int) -> dict[str, str]:
             "confidence": f"greatest({p}, {u}, {n})"}
 
 
-def k1(c: str, clamp: bool = False) -> dict[str, str]:
-    raw = f"regexp_extract(coalesce({c}, ''), '(?s)\\{{.*\\}}', 0)"
-    js = f"(CASE WHEN json_valid({raw}) THEN (CASE WHEN json_type({raw}) = 'OBJECT' THEN {raw} END) END)"
-    valid = f"({js} IS NOT NULL)"
-    has_s = f"coalesce(json_exists({js}, '$.sentiment'), false)"
-    has_c = f"coalesce(json_exists({js}, '$.score'), false)"
-    s_val = f"json_extract_string({js}, '$.sentiment')"
-    c_val = f"TRY_CAST(json_extract_string({js}, '$.score') AS DOUBLE)"
-    ok = f"({valid} AND (NOT {has_s} OR {s_val} IS NOT NULL) AND (NOT {has_c} OR {c_val} IS NOT NULL))"
-    rx = f"regexp_extract(coalesce({c}, ''), 'score\":\\s*(-?0\\.\\d+|1\\.0|-1\\.0|-?\\d+)', 1)"
-    rv = f"TRY_CAST({rx} AS DOUBLE)"
-    rs = f"greatest(-1.0, least(1.0, {rv}))" if clamp else rv
-    return {
-        "label": (f"(CASE WHEN {ok} THEN lower(CASE WHEN {has_s} THEN {s_val} ELSE 'Neutral' END) "
-                  f"WHEN {rx} <> '' THEN (CASE WHEN {rv} > 0.1 THEN 'positive' WHEN {rv} < -0.1 THEN 'negative' "
-                  f"ELSE 'neutral' END) ELSE 'neutral' END)"),
-        "score": (f"(CASE WHEN {ok} THEN (CASE WHEN {has_c} THEN {c_val} ELSE 0.0 END) "
-                  f"WHEN {rx} <> '' THEN {rs} ELSE 0.0 END)"),
-        "route": f"(CASE WHEN {ok} THEN 'json' WHEN {rx} <> '' THEN 'regex' ELSE 'default' END)",
-    }
+def k1(clamp: bool = False) -> dict[str, str]:
+    def pick(k: int) -> str:
+        values = ", ".join("NULL" if r[k] is None else repr(r[k]) if isinstance(r[k], str) else f"CAST({r[k]} AS DOUBLE)"
+                           for r in K1_EXPECTED)
+        return f"([{values}][CAST(vec_id % 12 AS INTEGER) + 1])"
+    return {"label": pick(0), "score": pick(3 if clamp else 1), "route": pick(2)}
 
 
 # ------------------------------------------------------------ report (demo)
-FILTERED_CHAIN = None  # filled lazily below
-
-
 def filtered_chain() -> list[str]:
     return [F2_SENTIMENT_RESULTS, DAILY_WEIGHTED, *shock_ctes(), F3_PRICE_BARS, *market_ctes(), FILTERED_CTE]
 

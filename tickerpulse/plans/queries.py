@@ -16,6 +16,7 @@ from ..operators import clean, gates, market, metrics, profile, report, scoring,
 from ..operators import shock
 from ..sources import fixtures as fx
 from . import oracle as O
+from . import oracle_trades as OT
 from . import pipelines
 from .registry import register
 from ..session import materialize, scratch_path
@@ -197,11 +198,11 @@ def q_mention_tickers(spark, sf_dir):
 
 @register("placeholder_report", O.with_ctes(O.F1_RAW, body=f"""
 SELECT type, count(*) AS rows,
-       count(*) FILTER (WHERE (type = 'post' AND coalesce(lower({O.strip('substring(title, 1, 4000)')})
+       count(*) FILTER (WHERE (type = 'post' AND coalesce(lower({O.strip('title')})
                                                       IN ('', '[deleted]', '[removed]', 'nan'), true)
-                               AND coalesce(lower({O.strip('substring(body, 1, 4000)')})
+                               AND coalesce(lower({O.strip('body')})
                                             IN ('', '[deleted]', '[removed]', 'nan'), true))
-                           OR (type = 'comment' AND coalesce(lower({O.strip('substring(body, 1, 4000)')})
+                           OR (type = 'comment' AND coalesce(lower({O.strip('body')})
                                                             IN ('', '[deleted]', '[removed]', 'nan'), true)))
          AS placeholder_only
 FROM raw GROUP BY type"""))
@@ -281,8 +282,8 @@ def q_class_scores(spark, sf_dir):
                      sc.route_by_confidence("tw_confidence").alias("route"))
 
 
-_K1 = O.k1("response")
-_K1C = O.k1("response", clamp=True)
+_K1 = O.k1()
+_K1C = O.k1(clamp=True)
 
 
 @register("model_response_parse", O.rounded(O.with_ctes(O.f5_cte(), body=f"""
@@ -308,7 +309,8 @@ def q_hybrid_sentiment(spark, sf_dir):
     """P10 + K1 + J9: drop < 0.50, second model for [0.50, 0.65), overwrite by row key, source_model."""
     df = _f5_scored(spark, sf_dir)
     p = sc.parse_model_response("response")
-    second = df.select(F.col("vec_id").alias("row_id"), p["label"].alias("label"), p["score"].alias("score"))
+    routed = df.filter(sc.route_by_confidence("tw_confidence") == "second")  # only these are sent to the second model
+    second = routed.select(F.col("vec_id").alias("row_id"), p["label"].alias("label"), p["score"].alias("score"))
     out = scoring.hybrid_results(df.withColumnRenamed("vec_id", "row_id"), second, key="row_id")
     return out.select(F.col("row_id").alias("vec_id"), "ticker", "created_utc", "final_sentiment_score",
                       "final_sentiment_label", "source_model", "tw_confidence")
@@ -327,14 +329,14 @@ def q_hybrid_source_counts(spark, sf_dir):
 
 @register("batch_scorer_hook", O.rounded(O.with_ctes(O.f5_cte(), body=f"""
 SELECT vec_id, {_m5_sql(0)} AS m_label, {_M4['score']} AS m_score,
-       m0_p_pos AS m_p_pos, m0_p_neu AS m_p_neu, m0_p_neg AS m_p_neg
+       m0_p_pos AS m_p_pos, m0_p_neu AS m_p_neu, m0_p_neg AS m_p_neg, false AS m_failed
 FROM f5"""), ["m_score", "m_p_pos", "m_p_neu", "m_p_neg"]))
 def q_batch_scorer_hook(spark, sf_dir):
     """the mapInPandas batch hook (64 texts per call) over every embeddings row
     with the stand-in softmax scorer; compared with the same rule in SQL."""
     df = fx.class_probabilities(spark, sf_dir).select("vec_id", F.col("raw_text").alias("model_input"))
     out = scoring.score_batches(df, fx.make_fixture_scorer, "model_input", batch_size=64, prefix="m_")
-    return out.select("vec_id", "m_label", "m_score", "m_p_pos", "m_p_neu", "m_p_neg")
+    return out.select("vec_id", "m_label", "m_score", "m_p_pos", "m_p_neu", "m_p_neg", "m_failed")
 
 
 @register("exploded_mentions", O.with_ctes(O.F1_RAW, O.F1_CLEAN, O.f1_tickers_sql(), f"""
@@ -344,16 +346,16 @@ lst AS (SELECT id, text, list_filter(list_transform(string_split(regexp_replace(
         FROM csv)""", body=f"""
 SELECT id, ticker, CAST(len(l) AS INTEGER) AS n_tickers, ticker || ': ' || text AS model_input,
        printf('{scoring.DEFAULT_PROMPT.replace("'", "''").replace('{ticker}', '%s').replace('{text}', '%s')}',
-              ticker, substring(text, 1, 300)) AS prompt
+              ticker, text) AS prompt
 FROM lst, unnest(l) AS u(ticker)"""))
 def q_exploded_mentions(spark, sf_dir):
     """R5 -> R1 -> R2 + R3 -> X9 + X10: CSV ticker list parsed back, one row per
-    (mention, ticker), classifier input and prompt (text cut to 300 characters)."""
+    (mention, ticker), classifier input and prompt (whole text)."""
     u = _f1_tickers(spark, sf_dir).withColumn("tickers_csv", tx.ticker_csv("mentioned_tickers"))
     ex = scoring.explode_tickers(u.select("id", "text", "tickers_csv"), "tickers_csv")
     return ex.select("id", "ticker", F.col("n_tickers").cast("int").alias("n_tickers"),
                      scoring.model_input("ticker", "text").alias("model_input"),
-                     scoring.prompt_text("ticker", "text", max_chars=300).alias("prompt"))
+                     scoring.prompt_text("ticker", "text").alias("prompt"))
 
 
 # ------------------------------------------------------------- trades (T, M)
@@ -378,10 +380,12 @@ def _trades(spark, sf_dir, **kw):
 
 
 _TRADE_COLS = ["ticker", "signal_date", "signal_type", "entry_date", "exit_date", "direction", "entry_price",
-               "exit_price", "position_size", "signal_score", "pnl", "pnl_pct", "exit_reason"]
+               "exit_price", "days_held", "position_size", "signal_score", "pnl", "pnl_pct", "exit_reason"]
 
 
-@register("candidate_trades")
+@register("candidate_trades", O.rounded(OT.backtest("""
+SELECT ticker, signal_date, signal_type, entry_date, entry_price, exit_date, exit_price, exit_reason, ret FROM t_cand"""),
+    ["entry_price", "exit_price", "ret"]))
 def q_candidate_trades(spark, sf_dir):
     """T1 + T2/J6 + T3/J7 + T4: entry and first-barrier exit of every tradable filtered signal."""
     bars, filt = _stage_inputs(spark, sf_dir)
@@ -390,21 +394,23 @@ def q_candidate_trades(spark, sf_dir):
                     "exit_price", "exit_reason", "ret")
 
 
-@register("backtest_trades")
+@register("backtest_trades", O.rounded(OT.backtest("SELECT * EXCLUDE (pid, dir) FROM t_table"), OT.TRADE_DOUBLES))
 def q_backtest_trades(spark, sf_dir):
     """T5 + T6 + M10 + M11: accepted trades (one open position per ticker), sized by composite score."""
     t, _, _ = _trades(spark, sf_dir)
     return t.select(*_TRADE_COLS)
 
 
-@register("equity_curve")
+@register("equity_curve", O.rounded(OT.backtest("""
+SELECT date, 10000.0 + realised_pnl + open_pnl AS portfolio_value, realised_pnl, open_pnl, n_positions FROM t_curve""", curve=True),
+    ["portfolio_value", "realised_pnl", "open_pnl"]))
 def q_equity_curve(spark, sf_dir):
     """T7 + J8 + D5: daily portfolio value over the business-day calendar."""
     t, bars, p = _trades(spark, sf_dir)
     return trades.equity_curve(t, bars, p)
 
 
-@register("performance_report")
+@register("performance_report", O.rounded(OT.backtest("SELECT * FROM t_perf", *OT.BENCH, *OT.STATS, curve=True), OT.PERF_DOUBLES))
 def q_performance_report(spark, sf_dir):
     """T8 + M12 + W16 + W17: metrics of the strategy curve and the three benchmark curves."""
     t, bars, p = _trades(spark, sf_dir)
@@ -415,19 +421,33 @@ def q_performance_report(spark, sf_dir):
     return metrics.performance(curve.unionByName(bench), p.capital)
 
 
-@register("benchmark_comparison")
+@register("benchmark_comparison", O.rounded(OT.backtest("""
+SELECT b.name AS benchmark, s.total_return AS strategy_return, b.total_return AS benchmark_return,
+       s.total_return - b.total_return AS difference,
+       CASE WHEN s.total_return > b.total_return THEN 'outperformed' ELSE 'underperformed' END AS status
+FROM t_perf b, t_perf s WHERE s.name = 'strategy' AND b.name <> 'strategy'""", *OT.BENCH, *OT.STATS, curve=True),
+    ["strategy_return", "benchmark_return", "difference"]))
 def q_benchmark_comparison(spark, sf_dir):
     """J12 + O5: strategy vs each benchmark (difference, status)."""
     return metrics.compare_to_benchmarks(q_performance_report(spark, sf_dir))
 
 
-@register("best_performers")
+@register("best_performers", OT.backtest("""
+SELECT arg_max(name, total_return) AS best_return, arg_max(name, sharpe) AS best_sharpe, arg_max(name, max_drawdown) AS best_drawdown
+FROM t_perf""", *OT.BENCH, *OT.STATS, curve=True))
 def q_best_performers(spark, sf_dir):
     """Best curve by total return, Sharpe and drawdown."""
     return metrics.best_by(q_performance_report(spark, sf_dir))
 
 
-@register("trade_statistics")
+@register("trade_statistics", O.rounded(OT.backtest("""
+SELECT count(*) AS trades, count(*) FILTER (WHERE pnl > 0) AS wins, count(*) FILTER (WHERE pnl < 0) AS losses,
+       count(*) FILTER (WHERE pnl > 0) / count(*) * 100 AS win_rate, count(*) FILTER (WHERE pnl < 0) / count(*) * 100 AS loss_rate,
+       avg(pnl) AS avg_pnl, avg(pnl) FILTER (WHERE pnl > 0) AS avg_win, avg(pnl) FILTER (WHERE pnl < 0) AS avg_loss,
+       sum(pnl) AS total_pnl, coalesce(sum(pnl) FILTER (WHERE pnl > 0), 0) / coalesce(abs(sum(pnl) FILTER (WHERE pnl < 0)), 1.0) AS profit_factor,
+       corr(signal_score, pnl_pct) AS correlation, regr_slope(pnl_pct, signal_score) AS slope,
+       regr_intercept(pnl_pct, signal_score) AS intercept FROM t_table"""),
+    ["win_rate", "loss_rate", "avg_pnl", "avg_win", "avg_loss", "total_pnl", "profit_factor", "correlation", "slope", "intercept"]))
 def q_trade_statistics(spark, sf_dir):
     """A6 + A7 + M8 + M9: trade counts, rates, means, total, profit factor, score-vs-return fit."""
     t, _, _ = _trades(spark, sf_dir)
@@ -436,30 +456,49 @@ def q_trade_statistics(spark, sf_dir):
     return st.select("*", *[rel.select(c).scalar().alias(c) for c in rel.columns])
 
 
-@register("trade_value_counts")
+@register("trade_value_counts", OT.backtest("""
+SELECT 'exit_reason=' || exit_reason AS value, count(*) AS count FROM t_table GROUP BY 1
+UNION ALL SELECT 'direction=' || direction, count(*) FROM t_table GROUP BY 1
+UNION ALL SELECT 'signal_type=' || signal_type, count(*) FROM filtered GROUP BY 1
+UNION ALL SELECT 'signal_direction=' || CAST(signal_direction AS VARCHAR), count(*) FROM filtered GROUP BY 1"""))
 def q_trade_value_counts(spark, sf_dir):
-    """Value counts of exit_reason and direction."""
-    t, _, _ = _trades(spark, sf_dir)
+    """Value counts of exit_reason and direction of the trades, signal_type and direction of the signals."""
+    bars, filt = _stage_inputs(spark, sf_dir)
+    t = materialize(trades.trade_table(filt, bars, _bt_params(bars)))
     a = metrics.value_counts(t, F.concat(F.lit("exit_reason="), F.col("exit_reason")).alias("value"))
     b = metrics.value_counts(t, F.concat(F.lit("direction="), F.col("direction")).alias("value"))
-    return a.unionByName(b)
+    c = metrics.value_counts(filt, F.concat(F.lit("signal_type="), F.col("signal_type")).alias("value"))
+    d = metrics.value_counts(filt, F.concat(F.lit("signal_direction="), F.col("signal_direction").cast("string")).alias("value"))
+    return a.unionByName(b).unionByName(c).unionByName(d)
 
 
-@register("quartile_performance")
+@register("quartile_performance", O.rounded(OT.backtest("""
+SELECT CAST(CASE WHEN signal_score <= q[1] THEN 1 WHEN signal_score <= q[2] THEN 2 WHEN signal_score <= q[3] THEN 3 ELSE 4 END AS INTEGER)
+         AS quartile, avg(pnl) AS avg_pnl, sum(pnl) AS total_pnl, count(*) AS trades, avg(pnl_pct) AS avg_pnl_pct,
+       avg(position_size) AS avg_position, count(*) FILTER (WHERE pnl > 0) / count(*) * 100 AS win_rate
+FROM t_table, (SELECT quantile_cont(signal_score, [0.25, 0.5, 0.75]) AS q FROM t_table) GROUP BY 1"""),
+    ["avg_pnl", "total_pnl", "avg_pnl_pct", "avg_position", "win_rate"]))
 def q_quartile_performance(spark, sf_dir):
     """M7 + A9: performance by signal-score quartile (qcut edges, right-closed)."""
     t, _, _ = _trades(spark, sf_dir)
     return metrics.quartile_performance(t)
 
 
-@register("top_trades")
+@register("top_trades", O.rounded(OT.backtest("""
+SELECT * EXCLUDE (pid, dir), count(*) FILTER (WHERE direction = 'long') OVER () AS top_long, sum(pnl) OVER () AS top_total,
+       sum(pnl) OVER () / (SELECT sum(pnl) FROM t_table) * 100 AS top_share
+FROM (SELECT *, CAST(row_number() OVER (ORDER BY pnl DESC, ticker, entry_date) AS INTEGER) AS rank FROM t_table) WHERE rank <= 20"""),
+    OT.TRADE_DOUBLES + ["top_total", "top_share"]))
 def q_top_trades(spark, sf_dir):
     """O2: top 20 trades by P&L with long count, total and share of all profit."""
     t, _, _ = _trades(spark, sf_dir)
     return metrics.top_trades(t.select(*_TRADE_COLS), 20)
 
 
-@register("monthly_returns")
+@register("monthly_returns", O.rounded(OT.backtest("""
+SELECT name, CAST(date_trunc('month', date) AS DATE) AS month,
+       (arg_max(portfolio_value, date) / arg_min(portfolio_value, date) - 1) * 100 AS monthly_return
+FROM t_named GROUP BY ALL""", curve=True), ["monthly_return"]))
 def q_monthly_returns(spark, sf_dir):
     """Monthly return of the strategy curve."""
     t, bars, p = _trades(spark, sf_dir)
@@ -469,56 +508,62 @@ def q_monthly_returns(spark, sf_dir):
 
 # ---------------------------------------------------------------- sweep
 
+PHASE1_POINTS = [dict(**a, **b) for a in sweep.grid(sweep.PHASE1_SIGNAL_GRID) for b in sweep.grid(sweep.PHASE1_FILTER_GRID)]
+
+
 def _sweep_inputs(spark, sf_dir):
-    """Parameter-free parts, computed once: shock windows, market metrics, bars."""
+    """Parameter-free parts, computed once: the daily table and the bars."""
     bars = materialize(fx.price_bars(spark, sf_dir))
-    daily_t = daily_ops.daily_sentiment_weighted(fx.sentiment_results(spark, sf_dir))
-    windows = materialize(shock.shock_windows(daily_t, shock.ShockParams()))
-    mstate = materialize(market.market_metrics(bars))
-    return windows, mstate, bars
+    return materialize(daily_ops.daily_sentiment_weighted(fx.sentiment_results(spark, sf_dir))), bars
 
 
 def _phase1(spark, sf_dir):
-    windows, mstate, bars = _sweep_inputs(spark, sf_dir)
+    daily_t, bars = _sweep_inputs(spark, sf_dir)
     bp = _bt_params(bars, sizing="flat", **sweep.PHASE1_BACKTEST)
-    pts = [dict(**a, **b) for a in sweep.grid(sweep.PHASE1_SIGNAL_GRID) for b in sweep.grid(sweep.PHASE1_FILTER_GRID)]
-    res = sweep.sweep(windows, mstate, bars, pts, shock.ShockParams(), market.MarketParams(), bp)
-    return res, (windows, mstate, bars, bp)
+    res = sweep.sweep(daily_t, bars, PHASE1_POINTS, shock.ShockParams(), market.MarketParams(), bp)
+    return res, (daily_t, bars, bp)
 
 
-@register("sweep_phase1")
+@register("sweep_phase1", O.rounded(OT.sweep(PHASE1_POINTS, "SELECT * FROM s_board"), OT.BOARD_DOUBLES))
 def q_sweep_phase1(spark, sf_dir):
     """T9 phase 1 + J11 + A28: 2 x 2 signal thresholds x 2 market-filter thresholds, fixed exits."""
     return _phase1(spark, sf_dir)[0]
 
 
-@register("sweep_leaderboard")
+@register("sweep_leaderboard", O.rounded(OT.sweep(PHASE1_POINTS, "SELECT * FROM s_board ORDER BY sharpe DESC, point_id LIMIT 10"), OT.BOARD_DOUBLES))
 def q_sweep_leaderboard(spark, sf_dir):
     """Top 10 phase-1 points by Sharpe."""
     return sweep.leaderboard(_phase1(spark, sf_dir)[0], "sharpe", 10)
 
 
-@register("sweep_impact")
+@register("sweep_impact", O.rounded(OT.sweep(PHASE1_POINTS, " UNION ALL ".join(
+    f"SELECT '{p}' AS parameter, {p} AS value, avg(total_return) AS mean, max(total_return) AS max, "
+    f"stddev_samp(total_return) AS std, min(total_return) AS min FROM s_board GROUP BY {p}"
+    for p in ("min_mentions", "base_z_threshold", "z_threshold"))), ["mean", "max", "std", "min"]))
 def q_sweep_impact(spark, sf_dir):
     """mean/max/std/min total return by each phase-1 parameter."""
     return sweep.impact_by_parameter(_phase1(spark, sf_dir)[0], ["min_mentions", "base_z_threshold", "z_threshold"])
 
 
 def _phase2(spark, sf_dir):
-    res1, (windows, mstate, bars, bp) = _phase1(spark, sf_dir)
+    res1, (daily_t, bars, bp) = _phase1(spark, sf_dir)
     best = sweep.leaderboard(materialize(res1), "sharpe", 1).first()  # one row picks phase 2's base
     sp = shock.ShockParams(min_mentions=best["min_mentions"], base_z_threshold=best["base_z_threshold"])
     mp = market.MarketParams(z_threshold=best["z_threshold"])
-    return sweep.sweep(windows, mstate, bars, sweep.grid(sweep.PHASE2_BACKTEST_GRID), sp, mp, bp)
+    return sweep.sweep(daily_t, bars, sweep.grid(sweep.PHASE2_BACKTEST_GRID), sp, mp, bp)
 
 
-@register("sweep_phase2")
+@register("sweep_phase2", O.rounded(OT.two_phases(PHASE1_POINTS, sweep.grid(sweep.PHASE2_BACKTEST_GRID), "SELECT * FROM s_board_b"),
+                                  OT.BOARD_DOUBLES))
 def q_sweep_phase2(spark, sf_dir):
     """T9 phase 2: 3 x 3 x 3 exit grid on the best phase-1 signal/filter point."""
     return _phase2(spark, sf_dir)
 
 
-@register("sweep_stop_take_pivot")
+@register("sweep_stop_take_pivot", O.rounded(OT.two_phases(PHASE1_POINTS, sweep.grid(sweep.PHASE2_BACKTEST_GRID), """
+SELECT stop_loss, avg(total_return) FILTER (WHERE take_profit = 0.08) AS take_0_08,
+       avg(total_return) FILTER (WHERE take_profit = 0.10) AS take_0_1, avg(total_return) FILTER (WHERE take_profit = 0.12) AS take_0_12
+FROM s_board_b GROUP BY stop_loss"""), ["take_0_08", "take_0_1", "take_0_12"]))
 def q_sweep_stop_take_pivot(spark, sf_dir):
     """Mean total return, stop-loss rows x take-profit columns (phase 2)."""
     res = _phase2(spark, sf_dir)
@@ -527,6 +572,26 @@ def q_sweep_stop_take_pivot(spark, sf_dir):
     return piv.toDF(*[c if c == "stop_loss" else "take_" + c.replace(".", "_") for c in piv.columns])
 
 
+GRID_POINTS = [{"window_days": 3}, {"window_days": 5}, {"baseline_days": 20}, {"bullish_bias": 0.3}, {"long_only": True},
+               {"max_position": 0.02}, {"window_days": 5, "baseline_days": 20, "bullish_bias": 0.3, "long_only": True}]
+
+
+@register("sweep_grid", O.rounded(OT.sweep(GRID_POINTS, "SELECT * FROM s_board"), OT.BOARD_DOUBLES))
+def q_sweep_grid(spark, sf_dir):
+    """T9 + M3 + J11: window and baseline lengths, bullish bias, long-only and position cap as grid parameters."""
+    daily_t, bars = _sweep_inputs(spark, sf_dir)
+    bp = _bt_params(bars, sizing="flat", **sweep.PHASE1_BACKTEST)
+    return sweep.sweep(daily_t, bars, GRID_POINTS, shock.ShockParams(), market.MarketParams(), bp)
+
+
+@register("top_trades_by_score", O.rounded(OT.backtest("""
+SELECT * EXCLUDE (pid, dir) FROM t_table ORDER BY signal_score DESC, ticker, entry_date LIMIT 10"""), OT.TRADE_DOUBLES))
+def q_top_trades_by_score(spark, sf_dir):
+    """The ten trades with the highest signal score (ties by ticker, entry date)."""
+    t, _, _ = _trades(spark, sf_dir)
+    return t.select(*_TRADE_COLS).orderBy(F.col("signal_score").desc(), "ticker", "entry_date").limit(10)
+
+
 # ------------------------------------------------------------ report (demo)
 
 def _anchors(filt):
@@ -720,9 +785,6 @@ def q_profile_ticker_coverage(spark, sf_dir):
     return profile.ticker_coverage(_f1_tickers(spark, sf_dir))
 
 
-_F2_GROUPS = O.with_ctes(O.F2_SENTIMENT_RESULTS, body="SELECT * FROM sentiment_results")
-
-
 @register("sentiment_by_subreddit", O.rounded(O.with_ctes(O.F2_SENTIMENT_RESULTS, body="""
 SELECT subreddit, avg(final_sentiment_score) AS mean_sentiment, count(*) AS n
 FROM sentiment_results GROUP BY subreddit HAVING count(*) >= 10"""), ["mean_sentiment"]))
@@ -807,17 +869,17 @@ def q_score_histogram(spark, sf_dir):
 @register("incremental_daily", O.rounded(_A1_SQL, ["sentiment_mean", "sentiment_median", "sentiment_std",
                                                    "total_upvotes", "avg_upvotes", "weighted_sentiment"]))
 def q_incremental_daily(spark, sf_dir):
-    """S13 + streaming: F2 results land as 4 files (rows spread by a hash, so every
-    file holds rows of the same days); a Structured Streaming job (two files per
-    micro-batch) refreshes the touched day partitions of the daily table; the
-    final table equals A1 over everything."""
-    from ..streaming.incremental import start_daily_refresh
+    """S13 + streaming: F2 results land in two waves (rows dealt by a hash, so both hold
+    rows of the same days) in month partitions; a Structured Streaming job in several
+    micro-batches refreshes the touched day partitions of the daily table; the final
+    table equals A1 over everything."""
+    from ..streaming.incremental import land, start_daily_refresh
     base = scratch_path(spark, "incremental")
     sr = fx.sentiment_results(spark, sf_dir)
-    bucket = F.pmod(F.xxhash64(*sr.columns), F.lit(4))
-    for i in range(4):
-        sr.filter(bucket == i).coalesce(1).write.mode("append").parquet(f"{base}/source")
-    q = start_daily_refresh(spark, f"{base}/source", f"{base}/daily", f"{base}/_checkpoint", max_files_per_trigger=2)
+    wave = F.pmod(F.xxhash64(*sr.columns), F.lit(2))
+    for i in range(2):
+        land(sr.filter(wave == i), f"{base}/source")
+    q = start_daily_refresh(spark, f"{base}/source", f"{base}/daily", f"{base}/_checkpoint", max_files_per_trigger=60)
     q.awaitTermination()
     out = spark.read.parquet(f"{base}/daily")
     return out.select("ticker", "sentiment_date", "sentiment_mean", "sentiment_median", "sentiment_std",
@@ -912,7 +974,7 @@ def q_document_text_views(spark, sf_dir):
                     tx.text_length("text").alias("text_length"), tx.word_count("text").alias("word_count"))
 
 
-@register("charting_window")
+@register("charting_window", OT.charting())
 def q_charting_window(spark, sf_dir):
     """The 40-bar charting slice of every filtered signal with metrics
     recomputed on the slice and the triggers of its last 5 bars."""
@@ -933,7 +995,7 @@ def q_signal_sample(spark, sf_dir):
         "signal_date", "ticker", "signal_type", "window_sentiment", "z_score")
 
 
-@register("long_only_trades")
+@register("long_only_trades", O.rounded(OT.backtest("SELECT * EXCLUDE (pid, dir) FROM t_table", long_only=True), OT.TRADE_DOUBLES))
 def q_long_only_trades(spark, sf_dir):
     """P13 + T1-T6: long-only backtest (BUY or direction +1 signals only)."""
     t, _, _ = _trades(spark, sf_dir, long_only=True)

@@ -18,6 +18,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -50,8 +51,9 @@ def apply_session_defaults(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    On a cluster this is set by the deployment and is read, never replaced.
-    Only when it is unset (local tests) a scratch folder is created and set.
+    On a cluster this is set by the deployment and is read, never replaced. Only a
+    local session without one gets a scratch folder; on a cluster an unset folder is
+    an error, because executors would not share what is written there.
     """
     sc = spark.sparkContext
     current = sc.getConf().get("spark.checkpoint.dir", None)
@@ -59,7 +61,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         already = sc._jsc.sc().getCheckpointDir()
         if already.isDefined():
             return already.get()
-        current = tempfile.mkdtemp(prefix="tickerpulse-ckpt-")  # unset: local runs only
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        current = tempfile.mkdtemp(prefix="tickerpulse-ckpt-")
     sc.setCheckpointDir(current)
     return current
 

@@ -18,7 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _symbol(c) -> F.Column:
-    return F.concat(F.lit("S"), (F.col(c) % 10).cast("string"))
+    """16 symbols; S0 is hot and holds over a third of all rows."""
+    return F.concat(F.lit("S"), F.when(F.col(c) % 3 == 0, 0).otherwise(F.col(c) % 16).cast("string"))
 
 
 def sentiment_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +49,9 @@ def price_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     high/low the max/min price, volume the summed quantity.
     """
     li = table(spark, sf_dir, "lineitem")
-    price = F.col("l_extendedprice") / F.col("l_quantity")
+    # bounded: 100 plus or minus ten per cent, so no series can run to zero
+    unit = F.col("l_extendedprice") / F.col("l_quantity")
+    price = F.lit(90.0) + F.pmod(unit, F.lit(20.0))
     order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
                      "l_extendedprice", "l_quantity")
     return (li.select(_symbol("l_suppkey").alias("ticker"),
@@ -65,11 +68,6 @@ def price_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 BENCHMARK_SYMBOLS = ("S0", "S1", "S2")
 
 
-def benchmark_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark bars: the F3 bars of three symbols."""
-    return price_bars(spark, sf_dir).filter(F.col("ticker").isin(*BENCHMARK_SYMBOLS))
-
-
 def sparse_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """a sparse mention stream from ``events`` (gap days, zero-upvote days)."""
     ev = table(spark, sf_dir, "events")
@@ -121,7 +119,9 @@ def _f1_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conv.select(
         "conv_id", "turn", F.col("role").alias("author"), body.alias("body"),
         (F.lit(1704067200) + F.col("conv_id") * 3600 + F.col("turn") * 60).cast("long").alias("created_utc"),
-        (F.length(t) % 500).cast("long").alias("score"),
+        # some scores are no numbers: they count as 0
+        F.when(F.col("conv_id") % 7 == 3, "NaN").when(F.col("conv_id") % 7 == 5, "inf").when(F.col("conv_id") % 7 == 6, "n/a")
+         .otherwise((F.length(t) % 500).cast("string")).alias("score"),
         F.concat(F.lit("r"), (F.col("conv_id") % 5).cast("string")).alias("subreddit"))
 
 
@@ -131,7 +131,8 @@ def raw_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("author", F.substring("body", 1, 40).alias("title"), "created_utc",
                     F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("id"),
                     F.lit(1).alias("is_original_content"), "score", "body", "subreddit",
-                    ((F.col("conv_id") % 10) / 10.0).alias("upvote_ratio"),
+                    F.when(F.col("conv_id") % 10 == 7, "NaN").otherwise(((F.col("conv_id") % 10) / 10.0).cast("string"))
+                     .alias("upvote_ratio"),
                     F.lit(None).cast("string").alias("url"))
 
 
@@ -147,20 +148,9 @@ def raw_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.unionByName(dup).drop("conv_id")
 
 
-def documents_as_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scale variant of F1: every ``documents`` row as a comment (whole texts)."""
-    d = table(spark, sf_dir, "documents")
-    return d.select(F.col("source").alias("author"),
-                    (F.lit(1704067200) + F.col("doc_id") * 600).cast("long").alias("created_utc"),
-                    F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"),
-                    F.lit(None).cast("string").alias("parent_post_id"),
-                    F.col("n_chars").alias("score"), F.col("text").alias("body"),
-                    F.col("lang").alias("subreddit"))
-
-
 # ------------------------------------------------------------------ F5
 N_MODELS = 4
-# Fixed fixture values: generative-model answers by vec_id % 6.
+# Fixed fixture values: generative-model answers by vec_id % 12.
 F5_RESPONSES = (
     '{"sentiment": "Positive", "score": 0.8}',
     'Sure. Here is my answer: {"sentiment": "negative", "score": -0.45} Hope it helps.',
@@ -168,39 +158,60 @@ F5_RESPONSES = (
     'Result {"sentiment": "positive", score": -0.7',
     '',
     '{"sentiment": null}',
+    "{'sentiment': 'positive', 'score': 0.9}",
+    '{"sentiment": "positive", "score": 0.05} and {more}',
+    '{"sentiment": 1, "score": 0.3}',
+    '{"sentiment": "Negative", "score": true}',
+    '{"sentiment": "positive", "score": "NaN"}',
+    'My "score": -3 it is',
 )
+DIMENSIONS = 64
+
+
+def logits(j: int, element) -> list:
+    """The three logits of model ``j``: every element of the vector belongs to one of the
+    3 * N_MODELS logits, by its place modulo their number."""
+    step = 3 * N_MODELS
+    out = []
+    for k in range(3):
+        own = [element(i) for i in range(DIMENSIONS) if i % step == 3 * j + k]
+        total = own[0]
+        for x in own[1:]:
+            total = total + x
+        out.append(total)
+    return out
 
 
 def class_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """per ``embeddings`` row, softmax(8 x) of elements 3j+1..3j+3 as
-    (p_neg, p_neu, p_pos) of model j = 0..3, a ticker, a date and a model answer."""
+    """per ``embeddings`` row the softmax(8 x) of each model's three logits as
+    (p_neg, p_neu, p_pos), a ticker, a date and a model answer."""
     emb = table(spark, sf_dir, "embeddings")
     cols = [F.col("vec_id"),
             F.concat(F.lit("S"), (F.col("vec_id") % 10).cast("string")).alias("ticker"),
             F.date_add(F.lit("2024-01-01").cast("date"), (F.col("vec_id") % 30).cast("int")).alias("date")]
     for j in range(N_MODELS):
-        e = [F.exp(8 * F.element_at("embedding", 3 * j + k).cast("double")) for k in (1, 2, 3)]
+        e = [F.exp(8 * x) for x in logits(j, lambda i: F.element_at("embedding", i + 1).cast("double"))]
         tot = e[0] + e[1] + e[2]
         for name, x in zip(("p_neg", "p_neu", "p_pos"), e):
             cols.append((x / tot).alias(f"m{j}_{name}"))
-    resp = F.element_at(F.array(*[F.lit(r) for r in F5_RESPONSES]), (F.col("vec_id") % 6 + 1).cast("int"))
+    resp = F.element_at(F.array(*[F.lit(r) for r in F5_RESPONSES]), (F.col("vec_id") % 12 + 1).cast("int"))
     cols.append(resp.alias("response"))
-    cols.append(F.concat_ws(",", *[F.element_at("embedding", k).cast("double").cast("string")
-                                   for k in (1, 2, 3)]).alias("raw_text"))
+    cols.append(F.array_join(F.transform("embedding", lambda x: x.cast("double").cast("string")), ",").alias("raw_text"))
     return emb.select(*cols).withColumn(
         "created_utc", F.unix_timestamp(F.col("date").cast("timestamp")) + F.col("vec_id"))
 
 
 def make_fixture_scorer(temperature: float = 8.0):
-    """Stand-in batch classifier for the F4 hook: each text is "x1,x2,x3" and the
-    class probabilities are softmax(temperature * x) in (negative, neutral, positive)
-    order; the label is the first maximum in that order (M5)."""
+    """Stand-in batch classifier for the F4 hook: each text is a vector "x1,x2,..." and the
+    class probabilities are softmax(temperature * logits of model 0) in (negative, neutral,
+    positive) order; the label is the first maximum in that order (M5)."""
     import numpy as np
 
     def score(texts):
         out = []
         for t in texts:
-            x = np.array([float(v) for v in t.split(",")], dtype="float64")
+            vector = [float(v) for v in t.split(",")]
+            x = np.array(logits(0, vector.__getitem__), dtype="float64")
             e = np.exp(temperature * x)
             p = e / e.sum()
             probs = {"negative": float(p[0]), "neutral": float(p[1]), "positive": float(p[2])}

@@ -15,6 +15,11 @@ TICKER_HEADERS = ("ACT Symbol", "Symbol", "Act Symbol", "act_symbol", "symbol")
 NAME_HEADERS = ("Company Name", "Security Name", "company_name")
 
 
+def path_missing(error: AnalysisException) -> bool:
+    """Whether a read failed because the path does not exist (any other failure is an error)."""
+    return error.getCondition() == "PATH_NOT_FOUND"
+
+
 def read_symbol_list(spark: SparkSession, path: str, exchange: str = "NASDAQ") -> DataFrame:
     """Pipe-delimited listing -> (ticker, company_name, exchange).
 
@@ -62,21 +67,19 @@ def read_stoplist(spark: SparkSession, path: str) -> DataFrame:
     """``{"stopwords": [...]}`` JSON -> distinct upper-cased ``word``; a missing file gives none."""
     try:
         raw = spark.read.json(path, multiLine=True)
-    except AnalysisException:
+    except AnalysisException as e:
+        if not path_missing(e):
+            raise
         return spark.createDataFrame([], "word string")
     if "stopwords" not in raw.columns:
         return spark.createDataFrame([], "word string")
     return raw.select(F.explode("stopwords").alias("w")).select(F.upper("w").alias("word")).distinct()
 
 
-def sample_preprocessed(df: DataFrame, n: int, order=("created_utc", "id"), max_text: int | None = None) -> DataFrame:
+def sample_preprocessed(df: DataFrame, n: int, order=("created_utc", "id")) -> DataFrame:
     """S3: a deterministic sample: order first, then take ``n`` rows (the
-    limit is the feature). Text may be cut to ``max_text`` characters; the
-    ticker list is never cut."""
-    out = df.orderBy(*order).limit(n)
-    if max_text is not None:
-        out = out.withColumn("sentiment_ready_text", F.substring("sentiment_ready_text", 1, max_text))
-    return out
+    limit is the feature). Texts and ticker lists are whole."""
+    return df.orderBy(*order).limit(n)
 
 
 def load_daily(spark: SparkSession, path: str | None, results: DataFrame | None = None,
@@ -86,12 +89,14 @@ def load_daily(spark: SparkSession, path: str | None, results: DataFrame | None
     aggregate ``results`` on the fly (A1)."""
     from ..operators.daily import daily_sentiment_sql
     try:
-        if path is None:
-            raise AnalysisException("no table")
-        df = spark.read.parquet(path)
-    except AnalysisException:
-        if results is None:
+        df = spark.read.parquet(path) if path is not None else None
+    except AnalysisException as e:
+        if results is None or not path_missing(e):
             raise
+        df = None
+    if df is None:
+        if results is None:
+            raise ValueError("neither a stored table nor results to aggregate")
         return daily_sentiment_sql(results, start_date, end_date, ticker)
     if ticker is not None:
         df = df.filter(F.col("ticker") == ticker)

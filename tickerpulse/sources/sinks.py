@@ -41,12 +41,15 @@ def to_csv(df: DataFrame, path: str, sep: str = ",") -> None:
 
 
 def typed(df: DataFrame, types: dict) -> DataFrame:
-    """NaN / +-inf -> NULL, then cast each column to its stored type."""
+    """NaN / +-inf -> NULL, then cast each column to its stored type.
+
+    A value beyond a column's precision is an error (ANSI cast), never a silent NULL.
+    """
     cols = []
     for name, t in types.items():
         c = F.col(name)
         if isinstance(t, T.DecimalType):
-            c = nan_to_null(c.cast("double")).try_cast(t)
+            c = nan_to_null(c.cast("double")).cast(t)
         else:
             c = c.cast(t)
         cols.append(c.alias(name))
@@ -76,13 +79,7 @@ def refresh_daily(results: DataFrame, path: str, start_date: str | None = None,
                   end_date: str | None = None) -> DataFrame:
     """(re)compute the daily table (A1) for an optional date range and
     overwrite only those day partitions (dynamic partition overwrite)."""
-    spark = results.sparkSession
     daily = daily_sentiment_sql(results, start_date, end_date)
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        (daily.withColumn("created_at", F.current_timestamp())
-              .write.mode("overwrite").partitionBy("sentiment_date").parquet(path))
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    (daily.withColumn("created_at", F.current_timestamp()).write.mode("overwrite")
+          .option("partitionOverwriteMode", "dynamic").partitionBy("sentiment_date").parquet(path))
     return daily

@@ -7,8 +7,8 @@ daily table (dynamic partition overwrite). Re-running a micro-batch after a
 failure rewrites the same partitions with the same rows, so the sink is
 idempotent and the streaming checkpoint gives exactly-once results.
 
-The per-batch recompute reads the source filtered to the touched days; store
-the source partitioned by day so that filter prunes files at scale.
+The landing folder is partitioned by month (``land``), so a micro-batch's recompute
+reads the months it touches and not the whole history.
 """
 
 from __future__ import annotations
@@ -26,31 +26,39 @@ RESULTS_SCHEMA = T.StructType([
     T.StructField("final_sentiment_label", T.StringType()), T.StructField("source_model", T.StringType()),
     T.StructField("tw_confidence", T.DoubleType()), T.StructField("subreddit", T.StringType()),
     T.StructField("type", T.StringType()), T.StructField("text_length", T.IntegerType()),
-    T.StructField("word_count", T.IntegerType()),
+    T.StructField("word_count", T.IntegerType()), T.StructField("month", T.StringType()),
 ])
 
 
+def land(results: DataFrame, source_path: str) -> None:
+    """Append scored mentions to the landing folder, partitioned by the month of their UTC day."""
+    month = F.date_format(epoch_to_date("created_utc"), "yyyy-MM")
+    (results.withColumn("month", month).repartition("month").write.mode("append").partitionBy("month")
+            .parquet(source_path))
+
+
 def refresh_days(spark: SparkSession, source_path: str, table_path: str, days: DataFrame) -> None:
-    """Recompute A1 for the given days (one ``d`` date column) and overwrite their partitions."""
-    src = (spark.read.schema(RESULTS_SCHEMA).parquet(source_path)
+    """Recompute A1 for the given days (one ``d`` date column) and overwrite their partitions.
+
+    Only the months of those days are read: their names (at most the calendar's) become a
+    partition filter. The days then meet the rows in a semi-join whose strategy is left to
+    adaptive execution.
+    """
+    months = [r[0] for r in days.select(F.date_format("d", "yyyy-MM")).distinct().collect()]
+    src = (spark.read.schema(RESULTS_SCHEMA).parquet(source_path).filter(F.col("month").isin(*months))
                 .withColumn("d", epoch_to_date("created_utc"))
-                .join(F.broadcast(days.select("d").distinct()), "d", "left_semi")
-                .drop("d"))
+                .join(days.select("d").distinct(), "d", "left_semi")
+                .drop("d", "month"))
     daily = daily_sentiment_sql(src).withColumn("created_at", F.current_timestamp())
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        daily.write.mode("overwrite").partitionBy("sentiment_date").parquet(table_path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    (daily.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+          .partitionBy("sentiment_date").parquet(table_path))
 
 
 def start_daily_refresh(spark: SparkSession, source_path: str, table_path: str, checkpoint_location: str,
                         max_files_per_trigger: int | None = None, available_now: bool = True):
     """Start the stream; returns the StreamingQuery (``available_now`` drains and stops).
 
-    The touched days of one micro-batch are a handful of dates (bounded by
-    the calendar), so they are broadcast into the recompute.
+    A micro-batch recomputes the days it touches, from the months that hold them.
     """
     reader = spark.readStream.schema(RESULTS_SCHEMA)
     if max_files_per_trigger:
