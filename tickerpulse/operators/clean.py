@@ -80,13 +80,13 @@ def dedupe_by_id(df: DataFrame, id_col: str = "id") -> DataFrame:
 
     Implemented as an aggregation, not a window: ``min_by(row, order)`` is
     combined map-side, so an id with millions of copies is collapsed before
-    the shuffle instead of landing whole in one task. The remaining columns
-    break ties, which makes the pick deterministic.
+    the shuffle instead of landing whole in one task. A 128-bit hash of the remaining
+    columns breaks ties, which makes the pick deterministic without a second copy of the text.
     """
     others = [c for c in df.columns if c != id_col]
     order = F.struct(F.when(F.col("type") == "post", 0).otherwise(1).alias("_t"),
                      (-F.col("created_utc").cast("double")).alias("_c"),
-                     *[F.col(c).cast("string").alias(f"_o{i}") for i, c in enumerate(others)])
+                     F.xxhash64(*others).alias("_h1"), F.xxhash64(F.lit(1), *others).alias("_h2"))
     row = F.struct(*[F.col(c) for c in others])
     return (df.groupBy(id_col).agg(F.min_by(row, order).alias("_r"))
               .select(id_col, *[F.col(f"_r.{c}").alias(c) for c in others]))

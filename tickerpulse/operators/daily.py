@@ -2,9 +2,8 @@
 
 Scale notes: the group-by keys are (ticker, day), so Spark's partial
 aggregation collapses a hot ticker map-side before the shuffle; after it a
-ticker has at most one row per calendar day. ``median`` is an exact
-percentile, whose buffer holds one day's scores of one ticker (the same bound
-the reference's MEDIAN has); use ``approx=True`` to trade it for a sketch.
+ticker has at most one row per calendar day. Medians are exact and counted by
+ranges of scores (``quantiles.py``); ``approx_median=True`` uses a sketch instead.
 """
 
 from __future__ import annotations
@@ -14,10 +13,22 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import safe_div
 from ..functions.dates import epoch_to_date
+from ..session import materialize
+from .quantiles import grouped_quantiles
 
 
-def _median(c, approx: bool):
-    return F.percentile_approx(c, 0.5, 10000) if approx else F.median(c)
+def _medians(df: DataFrame, day: str) -> DataFrame:
+    """``ticker, day, sentiment_median``: exact, by ranges of scores, so a hot symbol's day is spread over tasks."""
+    q = grouped_quantiles(df, ["ticker", day], "final_sentiment_score", [0.5])
+    return q.select(F.col("ticker").alias("_t"), F.col(day).alias("_d"), F.col("q")[0].alias("sentiment_median"))
+
+
+def _with_median(agg: DataFrame, df: DataFrame, day: str, approx: bool) -> DataFrame:
+    """``agg`` with ``sentiment_median`` (already there when ``approx``)."""
+    if approx:
+        return agg
+    m = _medians(df, day)
+    return agg.join(m, agg["ticker"].eqNullSafe(m["_t"]) & agg[day].eqNullSafe(m["_d"]), "left").drop("_t", "_d")
 
 
 def with_sentiment_date(results: DataFrame, start_date: str | None = None,
@@ -44,9 +55,9 @@ def daily_sentiment_sql(results: DataFrame, start_date: str | None = None,
     s, u = F.col("final_sentiment_score"), F.col("normalized_upvotes")
     lab = F.col("final_sentiment_label")
     df = with_sentiment_date(results, start_date, end_date, ticker)
-    return (df.groupBy("ticker", "sentiment_date")
-              .agg(F.avg(s).alias("sentiment_mean"),
-                   _median(s, approx_median).alias("sentiment_median"),
+    sketch = [F.percentile_approx(s, 0.5, 10000).alias("sentiment_median")] if approx_median else []
+    agg = (df.groupBy("ticker", "sentiment_date")
+              .agg(F.avg(s).alias("sentiment_mean"), *sketch,
                    F.when(F.count(s) == 1, F.lit(0.0)).otherwise(F.stddev_samp(s)).alias("sentiment_std"),
                    F.count(F.lit(1)).alias("mentions"),
                    F.sum(u).alias("total_upvotes"),
@@ -55,25 +66,36 @@ def daily_sentiment_sql(results: DataFrame, start_date: str | None = None,
                    F.count_if(lab == "positive").alias("positive_count"),
                    F.count_if(lab == "neutral").alias("neutral_count"),
                    F.count_if(lab == "negative").alias("negative_count")))
+    out = _with_median(agg, df, "sentiment_date", approx_median)
+    return out.select("ticker", "sentiment_date", "sentiment_mean", "sentiment_median", "sentiment_std", "mentions",
+                      "total_upvotes", "avg_upvotes", "weighted_sentiment", "positive_count", "neutral_count", "negative_count")
 
 
-def daily_sentiment_weighted(results: DataFrame, approx_median: bool = False) -> DataFrame:
+def daily_sentiment_weighted(results: DataFrame, approx_median: bool = False, all_medians: bool = True) -> DataFrame:
     """A2: upvote-weighted daily mean; a day whose upvotes sum to 0 takes the median.
 
     Output: ticker, date, sentiment_mean, total_upvotes, sentiment_median, mentions
-    (mentions counts non-null scores).
+    (mentions counts non-null scores). ``all_medians=False`` computes medians only for the
+    days that need one (NULL elsewhere): what the shock rule uses.
     """
     s, u = F.col("final_sentiment_score"), F.col("normalized_upvotes")
     df = (results.withColumn("date", epoch_to_date("created_utc"))
                  .filter(F.col("ticker").isNotNull() & F.col("date").isNotNull()))
+    sketch = [F.percentile_approx(s, 0.5, 10000).alias("sentiment_median")] if approx_median else []
     agg = (df.groupBy("ticker", "date")
              .agg(F.sum(s * u).alias("_su"),
-                  F.coalesce(F.sum(u), F.lit(0.0)).alias("total_upvotes"),
-                  _median(s, approx_median).alias("sentiment_median"),
+                  F.coalesce(F.sum(u), F.lit(0.0)).alias("total_upvotes"), *sketch,
                   F.count(s).alias("mentions")))
+    if not all_medians and not approx_median:
+        agg = materialize(agg)  # one row per ticker and day
+        zero = agg.filter(F.col("total_upvotes") == 0).select("ticker", "date")
+        df = df.join(zero, ["ticker", "date"], "left_semi")
+        if zero.isEmpty():
+            df = df.limit(0)
+    out = _with_median(agg, df, "date", approx_median)
     mean = (F.when(F.col("total_upvotes") == 0, F.col("sentiment_median"))
              .otherwise(safe_div("_su", "total_upvotes")))
-    return agg.select("ticker", "date", mean.alias("sentiment_mean"), "total_upvotes",
+    return out.select("ticker", "date", mean.alias("sentiment_mean"), "total_upvotes",
                       "sentiment_median", "mentions")
 
 
@@ -101,21 +123,3 @@ def gap_fill_calendar(daily: DataFrame, key: str = "ticker", date_col: str = "da
         else:
             out.append(F.when(F.col("_pos") == 0, F.col(c)).alias(c))
     return exploded.select(*out)
-
-
-def ticker_history(results: DataFrame, anchors: DataFrame, days: int = 30) -> DataFrame:
-    """A3: per anchor (ticker, end_date), daily AVG / COUNT / SUM(upvotes) / STDDEV over
-    [end_date - days, end_date].
-
-    The reference asks this for one ticker and date at a time; here every
-    anchor row is answered in one equi-join on (ticker, day): each anchor is
-    expanded to its ``days + 1`` dates (bounded), so no anchor meets rows of
-    other days and nothing is compared pairwise.
-    """
-    per_day = daily_sentiment_sql(results).select(
-        "ticker", F.col("sentiment_date").alias("date"),
-        F.col("sentiment_mean"), F.col("mentions"), F.col("total_upvotes"),
-        F.col("sentiment_std").alias("sentiment_stddev"))
-    span = (anchors.select("ticker", "end_date").distinct()
-                   .withColumn("date", F.explode(F.sequence(F.date_sub("end_date", days), F.col("end_date")))))
-    return span.join(per_day, ["ticker", "date"], "inner")

@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import grouped_quantiles
+
 SQRT252 = math.sqrt(252.0)
 
 
@@ -103,16 +105,14 @@ def trade_stats(trades: DataFrame, group: list[str] | None = None) -> DataFrame:
     return trades.groupBy(*(group or [])).agg(*aggs)
 
 
-def quartile_bins(df: DataFrame, col: str, out: str = "quartile", approx: bool = False) -> DataFrame:
+def quartile_bins(df: DataFrame, col: str, out: str = "quartile") -> DataFrame:
     """M7 (qcut, q=4): edges are the interpolated 25/50/75 % quantiles; bins are
     right-closed with the lowest value included (1..4). Not ``ntile``.
 
     The edges are a scalar subquery (computed once, then a literal to every
-    row). The exact percentile buffers the column's values in one aggregate;
-    ``approx=True`` uses a bounded sketch for very large inputs.
+    row) over exact quantiles by ranges of values; no task holds the whole column.
     """
-    qs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    q = df.agg((F.percentile_approx(col, qs, 100000) if approx else F.percentile(col, qs))).scalar()
+    q = grouped_quantiles(df.withColumn("_all_rows", F.lit(1)), ["_all_rows"], col, [0.25, 0.5, 0.75]).select("q").scalar()
     x = F.col(col)
     b = (F.when(x <= q[0], 1).when(x <= q[1], 2).when(x <= q[2], 3).otherwise(4))
     return df.withColumn(out, F.when(x.isNotNull(), b))

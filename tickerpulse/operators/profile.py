@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import word_count
+from .quantiles import grouped_quantiles
 
 
 def _stack(df_one_row: DataFrame, names: list[str], value_cols: list[str], label: str = "column") -> DataFrame:
@@ -21,20 +22,26 @@ def _stack(df_one_row: DataFrame, names: list[str], value_cols: list[str], label
     return df_one_row.selectExpr(expr)
 
 
-def distinct_counts(df: DataFrame, approx: bool = False) -> DataFrame:
-    """Number of distinct non-null values per column (``approx`` for a sketch)."""
-    f = F.approx_count_distinct if approx else F.count_distinct
-    one = df.agg(*[f(F.col(c)).alias(f"{c}__n_unique") for c in df.columns])
-    return _stack(one, df.columns, ["n_unique"])
+def distinct_counts(df: DataFrame) -> DataFrame:
+    """Number of distinct non-null values per column.
+
+    One pass: each row gives one narrow (column, 128-bit hash) pair per column, which are
+    made distinct before and after a single shuffle; no text is shuffled.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).isNotNull().alias("present"),
+                                         F.xxhash64(F.col(c)).alias("h1"), F.xxhash64(F.lit(1), F.col(c)).alias("h2"))
+                                for c in df.columns]))
+    seen = df.select(pairs.alias("p")).select("p.*").distinct()
+    return seen.groupBy("column").agg(F.count_if("present").alias("n_unique"))
 
 
 def missingness(df: DataFrame) -> DataFrame:
-    """NULL count and share (%) per column, only columns with NULLs."""
-    one = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(c).isNull()).alias(f"{c}__missing")
-                                                    for c in df.columns])
-    n = one.select("_n").scalar()
-    return (_stack(one, df.columns, ["missing"]).filter(F.col("missing") > 0)
-            .withColumn("pct", F.col("missing") / n * 100))
+    """NULL count and share (%) per column, only columns with NULLs; one pass."""
+    total = F.count(F.lit(1))
+    one = df.agg(*[x for c in df.columns for x in (
+        F.count_if(F.col(c).isNull()).alias(f"{c}__missing"),
+        F.try_divide(F.count_if(F.col(c).isNull()) * 100.0, total).alias(f"{c}__pct"))])
+    return _stack(one, df.columns, ["missing", "pct"]).filter(F.col("missing") > 0)
 
 
 def word_stats(df: DataFrame, text: str = "text", short_len: int = 10) -> DataFrame:
@@ -63,21 +70,20 @@ def activity(df: DataFrame, ts: str = "created_utc") -> DataFrame:
     return a.unionByName(b)
 
 
-def date_range(df: DataFrame, ts: str = "created_utc") -> DataFrame:
-    """First and last day and the span in days."""
-    return (df.agg(F.min(F.to_date(ts)).alias("first_date"), F.max(F.to_date(ts)).alias("last_date"))
-              .withColumn("span_days", F.datediff("last_date", "first_date")))
-
-
-def ratio_stats(df: DataFrame, col: str = "upvote_ratio") -> DataFrame:
-    """Mean and median upvote ratio of posts."""
-    return df.filter(F.col("type") == "post").agg(F.avg(col).alias("mean_ratio"), F.median(col).alias("median_ratio"))
-
-
-def id_integrity(df: DataFrame, id_col: str = "id") -> DataFrame:
-    """Total rows, distinct ids, duplicate rows."""
-    return (df.agg(F.count(F.lit(1)).alias("total"), F.count_distinct(id_col).alias("unique_ids"))
-              .withColumn("duplicates", F.col("total") - F.col("unique_ids")))
+def dates_ids_ratios(df: DataFrame, ts: str = "created_utc", id_col: str = "id", ratio: str = "upvote_ratio") -> DataFrame:
+    """A17 + A18 + A19 in two passes: first and last day and span; rows, distinct ids and duplicates;
+    mean and median upvote ratio of posts. Rows are first folded per id, so the distinct
+    count needs no second expansion."""
+    post_ratio = F.when(F.col("type") == "post", F.col(ratio))
+    per_id = df.groupBy(id_col).agg(
+        F.min(F.to_date(ts)).alias("lo"), F.max(F.to_date(ts)).alias("hi"), F.count(F.lit(1)).alias("n"),
+        F.sum(post_ratio).alias("s"), F.count(post_ratio).alias("k"))
+    ids = F.count(id_col)  # a NULL id is no id
+    one = per_id.agg(F.min("lo").alias("first_date"), F.max("hi").alias("last_date"),
+                     F.datediff(F.max("hi"), F.min("lo")).alias("span_days"), F.sum("n").alias("total"), ids.alias("unique_ids"),
+                     (F.sum("n") - ids).alias("duplicates"), F.try_divide(F.sum("s"), F.sum("k")).alias("mean_ratio"))
+    q = grouped_quantiles(df.filter(F.col("type") == "post").withColumn("_all_rows", F.lit(1)), ["_all_rows"], ratio, [0.5])
+    return one.select("*", q.select(F.col("q")[0]).scalar().alias("median_ratio"))
 
 
 def ticker_coverage(df: DataFrame, before: str = "own_tickers", after: str = "mentioned_tickers") -> DataFrame:
@@ -92,22 +98,27 @@ def ticker_coverage(df: DataFrame, before: str = "own_tickers", after: str = "me
 
 def describe(df: DataFrame, cols: list[str]) -> DataFrame:
     """Count, mean, std, min, 25/50/75 % (exact, interpolated) and max per column."""
-    aggs = []
-    for c in cols:
-        q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        aggs += [F.count(c).cast("double").alias(f"{c}__count"), F.avg(c).alias(f"{c}__mean"),
-                 F.stddev_samp(c).alias(f"{c}__std"), F.min(c).cast("double").alias(f"{c}__min"),
-                 q[0].alias(f"{c}__p25"), q[1].alias(f"{c}__p50"), q[2].alias(f"{c}__p75"),
-                 F.max(c).cast("double").alias(f"{c}__max")]
-    return _stack(df.agg(*aggs), cols, ["count", "mean", "std", "min", "p25", "p50", "p75", "max"])
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in cols])).alias("r"))
+    long = long.select("r.*")
+    v = F.col("x")
+    basic = long.groupBy("column").agg(F.count(v).cast("double").alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+                                       F.min(v).alias("min"), F.max(v).alias("max"))
+    q = grouped_quantiles(long, ["column"], "x", [0.25, 0.5, 0.75])
+    return basic.join(q, "column", "left").select(
+        "column", "count", "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
 
 
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pairwise Pearson correlation, long form (a, b, corr) over all ordered pairs."""
-    aggs = [F.corr(a, b).alias(f"{a}|{b}__corr") for a in cols for b in cols]
-    names = [f"{a}|{b}" for a in cols for b in cols]
-    out = _stack(df.agg(*aggs), names, ["corr"], label="pair")
-    return out.select(F.split("pair", r"\|")[0].alias("a"), F.split("pair", r"\|")[1].alias("b"), "corr")
+    """Pairwise Pearson correlation, long form (a, b, corr) over all ordered pairs.
+
+    Each unordered pair is computed once and shown both ways.
+    """
+    aggs = [F.corr(a, b).alias(f"{a}|{b}__corr") for i, a in enumerate(cols) for b in cols[i:]]
+    names = [f"{a}|{b}" for i, a in enumerate(cols) for b in cols[i:]]
+    half = _stack(df.agg(*aggs), names, ["corr"], label="pair").select(
+        F.split("pair", r"\|")[0].alias("a"), F.split("pair", r"\|")[1].alias("b"), "corr")
+    ways = F.array_distinct(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return half.select(F.explode(ways).alias("w"), "corr").select("w.a", "w.b", "corr")
 
 
 def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:

@@ -90,7 +90,7 @@ def with_signals(windows: DataFrame, p: ShockParams = ShockParams()) -> DataFram
 def shock_signals(results: DataFrame, p: ShockParams = ShockParams(),
                   approx_median: bool = False) -> DataFrame:
     """Flagship: sentiment_results -> sentiment_signals (BUY/SELL rows, 12 columns)."""
-    daily = daily_sentiment_weighted(results, approx_median=approx_median)
+    daily = daily_sentiment_weighted(results, approx_median=approx_median, all_medians=False)
     sig = with_signals(shock_windows(daily, p), p)
     return (sig.filter(F.col("signal_type") != "NONE")
                .withColumnRenamed("date", "signal_date")

@@ -7,6 +7,7 @@ DataFrame whose column names equal the oracle SQL's.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import daily as daily_ops
@@ -268,7 +269,8 @@ SELECT vec_id, {_M4['score']} AS tw_score, {_M4['label']} AS tw_label, {_M4['con
        {', '.join(f"{_m5_sql(j)} AS m{j}_label" for j in range(4))},
        {_ENS_MEAN} AS ens_mean, {_ENS_VAR} AS ens_variance, sqrt({_ENS_VAR}) AS ens_std,
        CASE WHEN {_M4['confidence']} < 0.5 THEN 'drop' WHEN {_M4['confidence']} < 0.65 THEN 'second'
-            ELSE 'keep' END AS route
+            ELSE 'keep' END AS route,
+       CASE WHEN {_M4['confidence']} < 0.5 THEN 'second' ELSE 'keep' END AS route_no_drop
 FROM f5"""), ["tw_score", "tw_confidence", "ens_mean", "ens_variance", "ens_std"]))
 def q_class_scores(spark, sf_dir):
     """M4 (score/label/confidence), M5 (first-max label per model), M6 (ensemble mean/var/std), P10 route."""
@@ -279,7 +281,8 @@ def q_class_scores(spark, sf_dir):
     return df.select("vec_id", "tw_score", "tw_label", "tw_confidence", *labels,
                      ens["mean"].alias("ens_mean"), ens["variance"].alias("ens_variance"),
                      ens["std"].alias("ens_std"),
-                     sc.route_by_confidence("tw_confidence").alias("route"))
+                     sc.route_by_confidence("tw_confidence").alias("route"),
+                     sc.route_by_confidence("tw_confidence", None, 0.5).alias("route_no_drop"))
 
 
 _K1 = O.k1()
@@ -607,10 +610,25 @@ _HIST_D = ["sentiment_mean", "total_upvotes", "sentiment_stddev", "weighted_sent
            "baseline_mean", "baseline_std", "z_score"]
 
 
-@register("report_dates", O.with_ctes(*O.filtered_chain(), body="SELECT DISTINCT signal_date FROM filtered"))
+@register("report_dates", O.with_ctes(*O.filtered_chain(), body="""
+SELECT signal_date, CAST(row_number() OVER (ORDER BY signal_date DESC) AS INTEGER) AS place
+FROM (SELECT DISTINCT signal_date FROM filtered)"""))
 def q_report_dates(spark, sf_dir):
-    """Distinct signal days of the filtered signals."""
-    return report.available_dates(_filtered(spark, sf_dir))
+    """Distinct signal days of the filtered signals, the latest first (``place`` 1)."""
+    days = report.available_dates(_filtered(spark, sf_dir))
+    return days.withColumn("place", F.row_number().over(Window.orderBy(F.col("signal_date").desc())))
+
+
+@register("report_signals_latest", O.rounded(O.with_ctes(*O.filtered_chain(), body="""
+SELECT signal_date, ticker, signal_type, window_sentiment, z_score,
+       CAST(row_number() OVER (ORDER BY ticker) AS INTEGER) AS place
+FROM filtered WHERE signal_date = (SELECT max(signal_date) FROM filtered)"""), ["window_sentiment", "z_score"]))
+def q_report_signals_latest(spark, sf_dir):
+    """The signal rows of a chosen date (here the latest), ordered by ticker."""
+    filt = materialize(_filtered(spark, sf_dir))
+    rows = filt.filter(F.col("signal_date") == filt.agg(F.max("signal_date")).scalar())
+    return rows.select("signal_date", "ticker", "signal_type", "window_sentiment", "z_score",
+                       F.row_number().over(Window.orderBy("ticker")).alias("place"))
 
 
 @register("report_signals_by_date", O.with_ctes(*O.filtered_chain(), body="""
@@ -768,9 +786,7 @@ FROM merged"""))
 def q_profile_dates_ids(spark, sf_dir):
     """A17 + A18 + A19: date range and span, id integrity, upvote-ratio mean/median of posts."""
     u = _unified(spark, sf_dir)
-    a, b, c = profile.date_range(u), profile.id_integrity(u), profile.ratio_stats(u)
-    return a.select("*", *[b.select(x).scalar().alias(x) for x in b.columns],
-                    *[c.select(x).scalar().alias(x) for x in c.columns])
+    return profile.dates_ids_ratios(u)
 
 
 @register("profile_ticker_coverage", O.rounded(O.with_ctes(O.F1_RAW, O.F1_CLEAN, O.f1_tickers_sql(), body="""
@@ -905,18 +921,15 @@ def q_sink_signals_typed(spark, sf_dir):
 
 
 @register("sink_filtered_typed", O.with_ctes(*O.filtered_chain(), body=f"""
-SELECT signal_date, ticker, target_date, {', '.join(f'CAST({c} AS DECIMAL(15,4)) AS {c}' for c in O.MARKET_COLS)},
-       CAST(market_moved_flag AS DECIMAL(1,0)) AS market_moved_flag,
-       CAST(z_score AS DECIMAL(15,6)) AS z_score, signal_type
+SELECT signal_date, ticker, target_date, signal_type, {', '.join(f'CAST({c} AS DECIMAL(15,4)) AS {c}' for c in O.MARKET_COLS)},
+       CAST(market_moved_flag AS DECIMAL(1,0)) AS market_moved_flag, CAST(signal_direction AS DECIMAL(3,0)) AS signal_direction,
+       {', '.join(f'CAST({c} AS DECIMAL(15,6)) AS {c}' for c in O.SIGNAL_DOUBLES)}
 FROM filtered"""))
 def q_sink_filtered_typed(spark, sf_dir):
-    """The 21-column filtered-signal table, typed, overwritten, read back (subset compared)."""
+    """The 21-column filtered-signal table, typed, overwritten, read back whole."""
     base = scratch_path(spark, "filtered")
-    out = sinks.load_filtered_signals(_filtered(spark, sf_dir), f"{base}/table")
-    del out
-    t = spark.read.parquet(f"{base}/table")
-    return t.select("signal_date", "ticker", "target_date", *O.MARKET_COLS, "market_moved_flag", "z_score",
-                    "signal_type")
+    sinks.load_filtered_signals(_filtered(spark, sf_dir), f"{base}/table")
+    return spark.read.parquet(f"{base}/table")
 
 
 @register("reference_dim_files", O.with_ctes("""
@@ -1022,19 +1035,28 @@ def q_schema_check(spark, sf_dir):
     return out
 
 
-@register("daily_table_load", O.rounded(_A1_SQL, ["sentiment_mean", "sentiment_median", "sentiment_std",
-                                                  "total_upvotes", "avg_upvotes", "weighted_sentiment"]))
+_LOADED = ["sentiment_mean", "sentiment_median", "sentiment_std", "total_upvotes", "avg_upvotes", "weighted_sentiment"]
+
+
+@register("daily_table_load", O.rounded(f"""
+SELECT 'stored' AS route, * FROM ({_A1_SQL}) AS a WHERE ticker = 'S1' AND sentiment_date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'
+UNION ALL
+SELECT 'fallback', * FROM ({_A1_SQL}) AS b WHERE ticker = 'S2' AND sentiment_date BETWEEN DATE '1997-01-01' AND DATE '1997-12-31'
+UNION ALL
+SELECT 'refreshed', * FROM ({_A1_SQL}) AS c WHERE sentiment_date BETWEEN DATE '1995-02-01' AND DATE '1995-02-28'""", _LOADED))
 def q_daily_table_load(spark, sf_dir):
-    """S13 (batch refresh, day-partitioned) + S12 (load with partition pruning; a
-    missing table falls back to aggregating on the fly)."""
+    """S13 (batch refresh, day-partitioned, whole and by date range) + S12 (load with ticker, from and to
+    filters, partition-pruned; a missing table falls back to aggregating on the fly with the same filters)."""
     sr = fx.sentiment_results(spark, sf_dir)
     base = scratch_path(spark, "daily")
-    missing = readers.load_daily(spark, f"{base}/absent", results=sr)   # fallback route
     sinks.refresh_daily(sr, f"{base}/daily")
-    stored = readers.load_daily(spark, f"{base}/daily").drop("created_at")
-    cols = missing.columns
-    # stored rows; the fallback frame contributes the same schema and no rows
-    return stored.select(*cols).unionByName(missing.filter(F.lit(False)))
+    sinks.refresh_daily(sr, f"{base}/month", "1995-02-01", "1995-02-28")
+    stored = readers.load_daily(spark, f"{base}/daily", None, "S1", "1996-01-01", "1998-12-31")
+    fallback = readers.load_daily(spark, f"{base}/absent", sr, "S2", "1997-01-01", "1997-12-31")
+    month = readers.load_daily(spark, f"{base}/month")
+    parts = [(d.select(F.lit(r).alias("route"), *fallback.columns)) for r, d in
+             (("stored", stored), ("fallback", fallback), ("refreshed", month))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @register("preprocessed_table_load")
