@@ -887,15 +887,15 @@ def q_score_histogram(spark, sf_dir):
 def q_incremental_daily(spark, sf_dir):
     """S13 + streaming: F2 results land in two waves (rows dealt by a hash, so both hold
     rows of the same days) in month partitions; a Structured Streaming job in several
-    micro-batches refreshes the touched day partitions of the daily table; the final
-    table equals A1 over everything."""
+    micro-batches refreshes the touched months of the daily table; the final table equals
+    A1 over everything."""
     from ..streaming.incremental import land, start_daily_refresh
     base = scratch_path(spark, "incremental")
     sr = fx.sentiment_results(spark, sf_dir)
     wave = F.pmod(F.xxhash64(*sr.columns), F.lit(2))
     for i in range(2):
         land(sr.filter(wave == i), f"{base}/source")
-    q = start_daily_refresh(spark, f"{base}/source", f"{base}/daily", f"{base}/_checkpoint", max_files_per_trigger=60)
+    q = start_daily_refresh(spark, f"{base}/source", f"{base}/daily", f"{base}/_checkpoint", max_files_per_trigger=84)
     q.awaitTermination()
     out = spark.read.parquet(f"{base}/daily")
     return out.select("ticker", "sentiment_date", "sentiment_mean", "sentiment_median", "sentiment_std",
@@ -904,11 +904,11 @@ def q_incremental_daily(spark, sf_dir):
 
 
 @register("sink_signals_typed", O.with_ctes(O.F2_SENTIMENT_RESULTS, O.DAILY_WEIGHTED, *O.shock_ctes(), body="""
-SELECT signal_date, ticker, CAST(sentiment_mean AS DECIMAL(15,6)) AS sentiment_mean,
-       CAST(total_upvotes AS DECIMAL(15,6)) AS total_upvotes, CAST(window_sentiment AS DECIMAL(15,6)) AS window_sentiment,
-       CAST(window_mentions AS DECIMAL(15,6)) AS window_mentions, CAST(baseline_mean AS DECIMAL(15,6)) AS baseline_mean,
-       CAST(baseline_std AS DECIMAL(15,6)) AS baseline_std, CAST(z_score AS DECIMAL(15,6)) AS z_score, signal_type,
-       CAST(signal_direction AS DECIMAL(3,0)) AS signal_direction, CAST(signal_score AS DECIMAL(15,6)) AS signal_score
+SELECT signal_date, ticker, CAST(CAST(sentiment_mean AS DECIMAL(38,9)) AS DECIMAL(15,6)) AS sentiment_mean,
+       CAST(CAST(total_upvotes AS DECIMAL(38,9)) AS DECIMAL(15,6)) AS total_upvotes, CAST(CAST(window_sentiment AS DECIMAL(38,9)) AS DECIMAL(15,6)) AS window_sentiment,
+       CAST(CAST(window_mentions AS DECIMAL(38,9)) AS DECIMAL(15,6)) AS window_mentions, CAST(CAST(baseline_mean AS DECIMAL(38,9)) AS DECIMAL(15,6)) AS baseline_mean,
+       CAST(CAST(baseline_std AS DECIMAL(38,9)) AS DECIMAL(15,6)) AS baseline_std, CAST(CAST(z_score AS DECIMAL(38,9)) AS DECIMAL(15,6)) AS z_score, signal_type,
+       CAST(signal_direction AS DECIMAL(3,0)) AS signal_direction, CAST(CAST(signal_score AS DECIMAL(38,9)) AS DECIMAL(15,6)) AS signal_score
 FROM signals"""))
 def q_sink_signals_typed(spark, sf_dir):
     """S10 (+S8): BUY/SELL rows typed (NUMBER(15,6) -> DECIMAL), NaN/inf -> NULL,
@@ -921,9 +921,9 @@ def q_sink_signals_typed(spark, sf_dir):
 
 
 @register("sink_filtered_typed", O.with_ctes(*O.filtered_chain(), body=f"""
-SELECT signal_date, ticker, target_date, signal_type, {', '.join(f'CAST({c} AS DECIMAL(15,4)) AS {c}' for c in O.MARKET_COLS)},
+SELECT signal_date, ticker, target_date, signal_type, {', '.join(f'CAST(CAST({c} AS DECIMAL(38,7)) AS DECIMAL(15,4)) AS {c}' for c in O.MARKET_COLS)},
        CAST(market_moved_flag AS DECIMAL(1,0)) AS market_moved_flag, CAST(signal_direction AS DECIMAL(3,0)) AS signal_direction,
-       {', '.join(f'CAST({c} AS DECIMAL(15,6)) AS {c}' for c in O.SIGNAL_DOUBLES)}
+       {', '.join(f'CAST(CAST({c} AS DECIMAL(38,9)) AS DECIMAL(15,6)) AS {c}' for c in O.SIGNAL_DOUBLES)}
 FROM filtered"""))
 def q_sink_filtered_typed(spark, sf_dir):
     """The 21-column filtered-signal table, typed, overwritten, read back whole."""

@@ -49,7 +49,8 @@ def typed(df: DataFrame, types: dict) -> DataFrame:
     for name, t in types.items():
         c = F.col(name)
         if isinstance(t, T.DecimalType):
-            c = nan_to_null(c.cast("double")).cast(t)
+            # through three more places, so that a tie is not decided by a double's last bit
+            c = nan_to_null(c.cast("double")).cast(T.DecimalType(38, t.scale + 3)).cast(t)
         else:
             c = c.cast(t)
         cols.append(c.alias(name))
@@ -80,6 +81,7 @@ def refresh_daily(results: DataFrame, path: str, start_date: str | None = None,
     """(re)compute the daily table (A1) for an optional date range and
     overwrite only those day partitions (dynamic partition overwrite)."""
     daily = daily_sentiment_sql(results, start_date, end_date)
-    (daily.withColumn("created_at", F.current_timestamp()).write.mode("overwrite")
+    # one file a day: a day has at most one row per ticker
+    (daily.withColumn("created_at", F.current_timestamp()).repartition("sentiment_date").write.mode("overwrite")
           .option("partitionOverwriteMode", "dynamic").partitionBy("sentiment_date").parquet(path))
     return daily

@@ -1,14 +1,11 @@
 """Incremental daily refresh (S13) as a Structured Streaming job.
 
-New ``sentiment_results`` files arrive in a folder. Each micro-batch finds the
-UTC days it touches, recomputes the canonical daily aggregate (A1) for those
-days from the full source, and overwrites only those day partitions of the
-daily table (dynamic partition overwrite). Re-running a micro-batch after a
-failure rewrites the same partitions with the same rows, so the sink is
-idempotent and the streaming checkpoint gives exactly-once results.
-
-The landing folder is partitioned by month (``land``), so a micro-batch's recompute
-reads the months it touches and not the whole history.
+New ``sentiment_results`` files arrive in a landing folder that is partitioned by month
+(``land``). Each micro-batch finds the months it touches, recomputes the canonical daily
+aggregate (A1) for those months, reading only their partitions, and overwrites only those
+month partitions of the daily table (dynamic partition overwrite). Re-running a micro-batch
+after a failure rewrites the same partitions with the same rows, so the sink is idempotent
+and the streaming checkpoint gives exactly-once results.
 """
 
 from __future__ import annotations
@@ -37,28 +34,22 @@ def land(results: DataFrame, source_path: str) -> None:
             .parquet(source_path))
 
 
-def refresh_days(spark: SparkSession, source_path: str, table_path: str, days: DataFrame) -> None:
-    """Recompute A1 for the given days (one ``d`` date column) and overwrite their partitions.
+def refresh_months(spark: SparkSession, source_path: str, table_path: str, months: list[str]) -> None:
+    """Recompute A1 for whole months (``yyyy-MM``) and overwrite their partitions.
 
-    Only the months of those days are read: their names (at most the calendar's) become a
-    partition filter. The days then meet the rows in a semi-join whose strategy is left to
-    adaptive execution.
+    The months are a partition filter on the source; no other month is read.
     """
-    months = [r[0] for r in days.select(F.date_format("d", "yyyy-MM")).distinct().collect()]
-    src = (spark.read.schema(RESULTS_SCHEMA).parquet(source_path).filter(F.col("month").isin(*months))
-                .withColumn("d", epoch_to_date("created_utc"))
-                .join(days.select("d").distinct(), "d", "left_semi")
-                .drop("d", "month"))
+    src = spark.read.schema(RESULTS_SCHEMA).parquet(source_path).filter(F.col("month").isin(*months)).drop("month")
     daily = daily_sentiment_sql(src).withColumn("created_at", F.current_timestamp())
-    (daily.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-          .partitionBy("sentiment_date").parquet(table_path))
+    daily = daily.withColumn("month", F.date_format("sentiment_date", "yyyy-MM")).repartition("month")
+    daily.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(table_path)
 
 
 def start_daily_refresh(spark: SparkSession, source_path: str, table_path: str, checkpoint_location: str,
                         max_files_per_trigger: int | None = None, available_now: bool = True):
     """Start the stream; returns the StreamingQuery (``available_now`` drains and stops).
 
-    A micro-batch recomputes the days it touches, from the months that hold them.
+    A micro-batch recomputes the months it touches.
     """
     reader = spark.readStream.schema(RESULTS_SCHEMA)
     if max_files_per_trigger:
@@ -66,10 +57,10 @@ def start_daily_refresh(spark: SparkSession, source_path: str, table_path: str,
     stream = reader.parquet(source_path)
 
     def upsert(batch: DataFrame, epoch_id: int) -> None:
-        days = batch.select(epoch_to_date("created_utc").alias("d")).filter(F.col("d").isNotNull()).distinct()
-        if days.isEmpty():
-            return
-        refresh_days(batch.sparkSession, source_path, table_path, days)
+        touched = batch.select("month").filter(F.col("month").isNotNull()).distinct()
+        months = [r[0] for r in touched.collect()]  # at most the calendar's months
+        if months:
+            refresh_months(batch.sparkSession, source_path, table_path, months)
 
     w = stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint_location)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
