@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, katz, licences, packing, pii, quality_model, quality_rules, secrets, simhash
+from . import decontaminate, html_text, katz, licences, packing, pii, quality_model, quality_rules, secrets, simhash, sql
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -71,4 +71,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_decontaminate, op2_html_text, op3_quality_model, op4_quality_rules, op5_packing, op6_secrets, op7_katz, op8_simhash,
         op9_pii, op10_licences)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_decontaminate": sql.OP1, "op4_quality_rules": sql.OP4}
