@@ -38,12 +38,6 @@ def to_trading_day(c) -> Column:
     return F.date_sub(d, F.greatest(F.weekday(d) - 4, F.lit(0)))
 
 
-def business_days(start, end) -> Column:
-    """Array of Mon-Fri dates between ``start`` and ``end`` inclusive."""
-    days = F.sequence(col(start), col(end), F.expr("INTERVAL 1 DAY"))
-    return F.filter(days, lambda d: F.weekday(d) < 5)
-
-
 def days_between(later, earlier) -> Column:
     """Calendar days held."""
     return F.datediff(col(later), col(earlier))

@@ -46,11 +46,12 @@ def with_sentiment_date(results: DataFrame, start_date: str | None = None,
 
 def daily_sentiment_sql(results: DataFrame, start_date: str | None = None,
                         end_date: str | None = None, ticker: str | None = None,
-                        approx_median: bool = False) -> DataFrame:
+                        approx_median: bool = False, with_median: bool = True) -> DataFrame:
     """A1: the canonical ``sentiment_daily`` table, one row per (ticker, UTC day).
 
     STDDEV follows the database convention: 0 for a single value (Spark's
-    ``stddev_samp`` alone gives NULL there).
+    ``stddev_samp`` alone gives NULL there). ``with_median=False`` leaves that column NULL
+    for callers that do not read it.
     """
     s, u = F.col("final_sentiment_score"), F.col("normalized_upvotes")
     lab = F.col("final_sentiment_label")
@@ -66,7 +67,10 @@ def daily_sentiment_sql(results: DataFrame, start_date: str | None = None,
                    F.count_if(lab == "positive").alias("positive_count"),
                    F.count_if(lab == "neutral").alias("neutral_count"),
                    F.count_if(lab == "negative").alias("negative_count")))
-    out = _with_median(agg, df, "sentiment_date", approx_median)
+    if with_median:
+        out = _with_median(agg, df, "sentiment_date", approx_median)
+    else:
+        out = agg.withColumn("sentiment_median", F.lit(None).cast("double"))
     return out.select("ticker", "sentiment_date", "sentiment_mean", "sentiment_median", "sentiment_std", "mentions",
                       "total_upvotes", "avg_upvotes", "weighted_sentiment", "positive_count", "neutral_count", "negative_count")
 

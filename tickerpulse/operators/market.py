@@ -142,10 +142,3 @@ def charting_window(bars: DataFrame, anchors: DataFrame, window_bars: int = 40,
              .withColumn("trig_vol_expansion", recent & (F.col("vol_expansion") >= p.vol_expansion_threshold))
              .withColumn("trig_atr_move", recent & (F.col("atr_move") >= p.atr_move_threshold))
              .drop("ticker").withColumnRenamed("_t", "ticker"))
-
-
-def daily_returns(bars: DataFrame) -> DataFrame:
-    """W7 + W15: daily return close/prev - 1 and the full 3-bar moving average."""
-    w = Window.partitionBy("ticker").orderBy("date")
-    return (bars.withColumn("daily_return", ieee_div(F.col("close"), F.lag("close", 1).over(w)) - 1)
-                .withColumn("ma_3", rolling(F.avg, "close", w.rowsBetween(-2, 0), 3)))

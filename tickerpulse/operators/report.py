@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import rolling, safe_div, stable_round
+from ..functions.dates import window_start
 from .daily import daily_sentiment_sql
 
 ANCHOR = ["ticker", "end_date"]
@@ -35,7 +36,7 @@ def signals_by_date(signals: DataFrame) -> DataFrame:
 
 def _expand(anchors: DataFrame, days: int) -> DataFrame:
     return (anchors.select(*ANCHOR).distinct()
-                   .withColumn("date", F.explode(F.sequence(F.date_sub("end_date", days), F.col("end_date")))))
+                   .withColumn("date", F.explode(F.sequence(window_start("end_date", days), F.col("end_date")))))
 
 
 def sentiment_history(results: DataFrame, anchors: DataFrame, signals: DataFrame | None = None,
@@ -44,7 +45,7 @@ def sentiment_history(results: DataFrame, anchors: DataFrame, signals: DataFrame
     per anchor, the 3-row window over days WITH data (no gap fill), and the
     stored signal metrics of that ticker and day (left join; two signals on one
     day give two rows)."""
-    per_day = daily_sentiment_sql(results).select(
+    per_day = daily_sentiment_sql(results, with_median=False).select(
         "ticker", F.col("sentiment_date").alias("date"), "sentiment_mean", "mentions",
         "total_upvotes", F.col("sentiment_std").alias("sentiment_stddev"))
     h = _expand(anchors, days).join(per_day, ["ticker", "date"])

@@ -19,6 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.dates import days_between
 from ..session import materialize
 
 FAR_FUTURE = "9999-12-31"
@@ -234,7 +235,7 @@ def trade_table(signals: DataFrame, bars: DataFrame, p: BacktestParams) -> DataF
     return t.select(
         *p.keys, "trade_id", "ticker", "signal_date", "signal_type", "entry_date", "exit_date",
         F.when(F.col("dir") == 1, "long").otherwise("short").alias("direction"),
-        "entry_price", "exit_price", F.datediff("exit_date", "entry_date").alias("days_held"),
+        "entry_price", "exit_price", days_between("exit_date", "entry_date").alias("days_held"),
         (F.lit(p.capital) * share).alias("position_size"),
         comp.alias("signal_score"),
         (F.lit(p.capital) * share * F.col("ret")).alias("pnl"),
@@ -245,7 +246,7 @@ def trade_table(signals: DataFrame, bars: DataFrame, p: BacktestParams) -> DataF
 def calendar(spark, start, end) -> DataFrame:
     """The Mon-Fri dates of [start, end]."""
     days = spark.range(1).select(F.explode(F.sequence(as_date(start), as_date(end))).alias("date"))
-    return days.filter(F.weekday("date") < 5)
+    return days.filter(F.weekday("date") < 5)  # a filter, because bounds may be scalar subqueries
 
 
 def equity_curve(trades: DataFrame, bars: DataFrame, p: BacktestParams, spark=None,
