@@ -17,6 +17,7 @@ from ..operators import clean, gates, market, metrics, profile, report, scoring,
 from ..operators import shock
 from ..sources import fixtures as fx
 from . import oracle as O
+from . import oracle_text as OX
 from . import oracle_trades as OT
 from . import pipelines
 from .registry import register
@@ -214,7 +215,7 @@ def q_placeholder_report(spark, sf_dir):
     return clean.placeholder_report(u)
 
 
-@register("preprocessed_mentions")
+@register("preprocessed_mentions", OX.preprocessed("date"))
 def q_preprocessed_mentions(spark, sf_dir):
     """Full preprocessing (all steps above + X6 normalisation + P9 + R5 + D3) -> preprocessed_data."""
     pp = pipelines.preprocess(fx.raw_posts(spark, sf_dir), fx.raw_comments(spark, sf_dir),
@@ -974,7 +975,7 @@ def q_reference_dim_files(spark, sf_dir):
 
 # ------------------------------------------------------------ remaining ops
 
-@register("document_text_views")
+@register("document_text_views", OX.text_views())
 def q_document_text_views(spark, sf_dir):
     """X6 (default and compatibility modes) + X7 + X8 over the whole text of every
     ``documents`` row, with the row's detected symbols protected."""
@@ -1008,6 +1009,25 @@ def q_signal_sample(spark, sf_dir):
         "signal_date", "ticker", "signal_type", "window_sentiment", "z_score")
 
 
+@register("preprocessed_sample", f"SELECT * FROM ({OX.preprocessed('date')}) ORDER BY created_utc, id LIMIT 25")
+def q_preprocessed_sample(spark, sf_dir):
+    """S3: a deterministic sample of preprocessed rows, whole texts: ordered by time and id, the first 25."""
+    pp = pipelines.preprocessed_table(pipelines.preprocess(
+        fx.raw_posts(spark, sf_dir), fx.raw_comments(spark, sf_dir), fx.ticker_dim(spark), fx.ticker_stoplist(spark)))
+    return readers.sample_preprocessed(pp, 25)
+
+
+@register("exploded_mentions_all", O.with_ctes(O.F1_RAW, O.F1_CLEAN, O.f1_tickers_sql(), body="""
+SELECT id, unnest(mentioned_tickers) AS ticker,
+       CAST(len(mentioned_tickers) AS INTEGER) AS n_tickers FROM inherited WHERE len(mentioned_tickers) > 0
+UNION ALL SELECT id, NULL, 0 FROM inherited WHERE len(mentioned_tickers) = 0"""))
+def q_exploded_mentions_all(spark, sf_dir):
+    """R2, keeping mentions without a ticker (a NULL ticker)."""
+    u = _f1_tickers(spark, sf_dir).withColumn("tickers_csv", tx.ticker_csv("mentioned_tickers"))
+    ex = scoring.explode_tickers(u.select("id", "tickers_csv"), "tickers_csv", keep_empty=True)
+    return ex.select("id", "ticker", F.col("n_tickers").cast("int").alias("n_tickers"))
+
+
 @register("long_only_trades", O.rounded(OT.backtest("SELECT * EXCLUDE (pid, dir) FROM t_table", long_only=True), OT.TRADE_DOUBLES))
 def q_long_only_trades(spark, sf_dir):
     """P13 + T1-T6: long-only backtest (BUY or direction +1 signals only)."""
@@ -1059,7 +1079,7 @@ def q_daily_table_load(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@register("preprocessed_table_load")
+@register("preprocessed_table_load", OX.preprocessed("date_col"))
 def q_preprocessed_table_load(spark, sf_dir):
     """Truncate-and-load of preprocessed_data (date stored as date_col), read back."""
     pp = pipelines.preprocessed_table(pipelines.preprocess(
