@@ -136,6 +136,11 @@ def train(docs: DataFrame, text_col: str = "text", t: Training = Training()) ->
     known = checkpointed(templates(docs.sparkSession))
     order = F.xxhash64(F.col("words"))
     pool = paragraphs(docs, text_col, docs.columns[0]).where(F.size("words") >= 3).select("words")
+    # the wanted rows have the smallest hashes: a cut-off that leaves about eight times as many documents' worth
+    # of them keeps the merge of the tasks' candidates small at any number of tasks
+    share = 8 * 4 * t.negatives / max(1, docs.count())
+    if share < 1:
+        pool = pool.where(order <= F.lit(int(share * (1 << 64)) - (1 << 63)))
     sample = checkpointed(pool.orderBy(order, "words").limit(4 * t.negatives))
     negatives = checkpointed(_dissimilar(sample.distinct(), known, 0.3).limit(t.negatives).withColumn("half", F.pmod(order, F.lit(2))))
     label = F.array_position(F.array(*map(F.lit, FAMILIES)), F.col("family")).cast("double") - 1
