@@ -5,7 +5,7 @@ given to the unseen: for a word pair through the back-off weight of its first wo
 class of unknown words. Weights are normalised exactly, so the probabilities after any word (and after the
 start of a text) add up to one over the known words, the end of the text and the unknown class.
 
-The corpus is never gathered in one place, and texts are not shuffled. Documents are read once into
+The corpus is never gathered in one place, and texts are not shuffled. Documents are read into
 *chunks* of about ``CHUNK_TOKENS`` tokens, which hold the chunk's different words and each token's number. Then:
 
 1. *Words.* Each chunk sends its different words with their training counts to word tables, partitioned by word
@@ -17,6 +17,9 @@ The corpus is never gathered in one place, and texts are not shuffled. Documents
 3. *Scores.* A chunk evaluates every token: the pair if it was seen, else the weight times the word, else
    the weight times the unknown class.
 
+The chunks are cut from the documents once per step, which costs less than keeping them, so the documents
+have to be a stored table (or a checkpoint) that gives the same rows in the same partitions each time.
+
 Everything sent is combined within its chunk first, so a word or pair that makes up a third of all tokens
 is one entry per chunk. The pairs of a very frequent first word are dealt over several tables, whose sums
 the chunk adds. Tables are packed numpy arrays in binary columns, written to the shared checkpoint
@@ -30,6 +33,7 @@ probability one; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -43,7 +47,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 from .quality_model import fold
 
-CHUNK_TOKENS = 1_000_000
+CHUNK_TOKENS = 2_000_000
 TABLE_TOKENS = 2_000_000
 RARE = 5  # counts up to this one are discounted
 _END = b""  # no word is empty
@@ -51,11 +55,15 @@ _START = 0xFFFF_FFFF  # a context only
 
 
 def _packed(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes())
+    """Compressed byte planes: the high bytes of small numbers then cost next to nothing."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def _unpacked(data: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(kind)
 
 
 def discounts(counts_of_counts: list[int]) -> np.ndarray:
@@ -82,7 +90,7 @@ def _factor(d: np.ndarray, counts: np.ndarray) -> np.ndarray:
 class WordLevel:
     """Lower-order probabilities as a function of a word's total count; count 0 is the unknown class."""
 
-    def __init__(self, total: int, different: int, counts_of_counts: list[int], rare_mass: list[int]):
+    def __init__(self, total: int, different: int, counts_of_counts: list[int]):
         self.total, self.different = total, different
         d = discounts(counts_of_counts)
         freed = sum((1 - d[r]) * r * counts_of_counts[r - 1] for r in range(1, RARE + 1))
@@ -97,8 +105,8 @@ class WordLevel:
 
 
 def chunks(docs: DataFrame, text_col: str, id_col: str, held_out_fold: int) -> DataFrame:
-    """``chunk, docs, train, sizes, words, counts, codes``: the different words' hashes (sorted), their training
-    counts, and every token's place among them; the documents' ids, whether they train, and their tokens."""
+    """``chunk, docs, train, sizes, words, counts, codes``: the different words' hashes in order of appearance, their
+    training counts, and every token's place among them; the documents' ids, whether they train, and their tokens."""
     train = F.coalesce(fold(F.col(id_col)) != held_out_fold, F.lit(True))
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), train.alias("train"))
     id_type = narrow.schema["doc_id"].dataType.simpleString()
@@ -107,13 +115,9 @@ def chunks(docs: DataFrame, text_col: str, id_col: str, held_out_fold: int) -> D
         sizes = np.array([len(w) for w in own], np.uint32)
         codes, names = pd.factorize(np.array([w for words in own for w in words], dtype=object))
         hashes = np.array([xxhash.xxh64_intdigest(w) for w in names], np.uint64)
-        order = np.argsort(hashes)
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        codes = place[codes]
-        counts = np.bincount(codes[np.repeat(np.array(train, bool), sizes)], minlength=len(order))
+        counts = np.bincount(codes[np.repeat(np.array(train, bool), sizes)], minlength=len(hashes))
         row = [pa.array([number]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([train], pa.list_(pa.bool_())),
-               *(pa.array([_packed(x)], pa.binary()) for x in (sizes, hashes[order], counts.astype(np.uint32), codes.astype(np.uint32)))]
+               *(pa.array([_packed(x)], pa.binary()) for x in (sizes, hashes, counts.astype(np.uint32), codes.astype(np.uint32)))]
         return pa.RecordBatch.from_arrays(row, ["chunk", "docs", "train", "sizes", "words", "counts", "codes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,10 +147,8 @@ def _schema(names: dict[str, str]) -> str:
 
 
 _WORD_ASK = {"part": "int", "chunk": "long", "words": "binary", "counts": "binary"}
-_WORD_REPLY = {"part": "int", "chunk": "long", "numbers": "binary", "totals": "binary"}
-_PAIR_ASK = {"kind": "int", "part": "int", "chunk": "long", "first": "binary", "pairs": "binary", "second": "binary",
-             "known": "binary", "counts": "binary"}
-_PAIR_REPLY = {"part": "int", "chunk": "long", "totals": "binary", "sums": "binary"}
+_PAIR_ASK = {"part": "int", "chunk": "long", "first": "binary", "pairs": "binary", "second": "binary", "known": "binary", "counts": "binary"}
+_REPLY = {"part": "int", "chunk": "long", "a": "binary", "b": "binary"}
 
 
 def _counts_of_counts(totals: np.ndarray) -> np.ndarray:
@@ -177,72 +179,84 @@ def word_tables(parts: DataFrame, n_tables: int) -> DataFrame:
             own = which[at:at + len(w)]
             at += len(w)
             rows.append((part, c, _packed(own.astype(np.uint32)), _packed(totals[own])))
-        return _rows(_WORD_REPLY, rows)
+        return _rows(_REPLY, rows)
 
     asked = parts.select("chunk", "words", "counts").mapInArrow(ask, _schema(_WORD_ASK))
-    return asked.groupBy("part").applyInArrow(table, _schema(_WORD_REPLY))
+    return asked.groupBy("part").applyInArrow(table, _schema(_REPLY))
 
 
-def pair_requests(parts: DataFrame, answers: DataFrame, n_tables: int, offsets: np.ndarray, start_count: int, total: int,
-                  n_pair_tables: int) -> DataFrame:
-    """Per chunk a row of kind 0 that the chunk keeps (token's pair, second words' totals, first words and their
-    totals, pairs per first word) and rows of kind 1 that it sends to the pair tables."""
-    def one(chunk: pa.Table, replies: pa.Table) -> pa.Table:
-        if not chunk.num_rows:
-            return _rows(_PAIR_ASK, [])
-        row = chunk.to_pylist()[0]
-        words, codes, sizes = _unpacked(row["words"], "u8"), _unpacked(row["codes"], "u4").astype(np.int64), _unpacked(row["sizes"], "u4").astype(np.int64)
+class Layout:
+    """One chunk's different word pairs, in the order of the tables they belong to; the same on every call."""
+
+    def __init__(self, row: dict, replies: list[dict], set_up: Setup):
+        words, codes = _unpacked(row["words"], "u8"), _unpacked(row["codes"], "u4").astype(np.int64)
+        self.sizes = _unpacked(row["sizes"], "u4").astype(np.int64)
         number, known = np.zeros(len(words), np.uint64), np.zeros(len(words), np.int64)
-        where = (words % np.uint64(n_tables)).astype(np.int64)
-        for r in replies.to_pylist():
+        where = (words % np.uint64(set_up.tables)).astype(np.int64)
+        for r in replies:
             own = where == r["part"]
-            number[own] = _unpacked(r["numbers"], "u4").astype(np.uint64) + np.uint64(offsets[r["part"]])
-            known[own] = _unpacked(r["totals"], "u8").astype(np.int64)
+            number[own] = _unpacked(r["a"], "u4").astype(np.uint64) + np.uint64(set_up.offsets[r["part"]])
+            known[own] = _unpacked(r["b"], "u8").astype(np.int64)
         # contexts: the token before, or the start
         second, second_known = number[codes], known[codes]
         first, first_known = np.roll(second, 1), np.roll(second_known, 1)
-        begins = np.cumsum(sizes) - sizes
-        first[begins], first_known[begins] = _START, start_count
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        first[self.begins], first_known[self.begins] = _START, set_up.starts
         # a frequent first word has its pairs in several tables, chosen by the second word
-        tables = np.maximum(1, -(-first_known * n_pair_tables // max(1, total)))
-        mixed = first * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)
-        salt = (second * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(20)).astype(np.int64) % tables
-        part = (mixed.astype(np.int64) + salt) % n_pair_tables
+        spread = np.maximum(1, -(-first_known * set_up.tables // max(1, set_up.total)))
+        mixed = (first * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)).astype(np.int64)
+        salt = (second * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(20)).astype(np.int64) % spread
+        part = (mixed + salt) % set_up.tables
         key = first << np.uint64(32) | second
         order = np.lexsort((key, part))
-        new = np.r_[True, (key[order][1:] != key[order][:-1]) | (part[order][1:] != part[order][:-1])] if len(key) else np.zeros(0, bool)
-        token_pair = np.empty(len(key), np.uint32)
-        token_pair[order] = (np.cumsum(new) - 1).astype(np.uint32)
+        new = np.r_[True, (key[order][1:] != key[order][:-1]) | (part[order][1:] != part[order][:-1])]
+        self.token_pair = np.empty(len(key), np.int64)
+        self.token_pair[order] = np.cumsum(new) - 1
         pick = order[new]
-        learnt = np.repeat(np.array(row["train"], bool), sizes)
-        counts = np.bincount(token_pair[learnt], minlength=len(pick))
-        pair_part, pair_first, pair_second, pair_known = part[pick], first[pick], second[pick], second_known[pick]
+        self.token_known = second_known
+        learnt = np.repeat(np.array(row["train"], bool), self.sizes)
+        self.counts = np.bincount(self.token_pair[learnt], minlength=len(pick))
+        self.part, self.second, self.known = part[pick], second[pick], second_known[pick]
         # every table that holds a first word's pairs is asked for its sums, also where this chunk has no pair
-        several = tables > 1
-        _, where_first = np.unique(first[several], return_index=True)
-        extra_first, extra_part = [], []
-        for f, t, m in zip(first[several][where_first], tables[several][where_first], mixed[several][where_first]):
-            spread = np.unique((int(m) + np.arange(int(t))) % n_pair_tables)
-            extra_first.append(np.full(len(spread), f, np.uint64))
-            extra_part.append(spread)
-        first_known_of = dict(zip(first[several][where_first].tolist(), first_known[several][where_first].tolist()))
-        has = np.rec.fromarrays([np.concatenate([pair_part, *extra_part]), np.concatenate([pair_first, *extra_first])], names="p,f")
-        asked = np.unique(has)
-        a_part, a_first = asked["p"].astype(np.int64), asked["f"].astype(np.uint64)
-        place = np.searchsorted(asked, np.rec.fromarrays([pair_part, pair_first], dtype=asked.dtype))
-        per_first = np.bincount(place, minlength=len(asked))
-        a_known = np.zeros(len(asked), np.int64)
-        a_known[place] = first_known[pick]
-        for k in np.flatnonzero(per_first == 0):
-            a_known[k] = first_known_of[int(a_first[k])]
-        cid = row["chunk"]
-        rows = [(0, -1, cid, _packed(a_first), _packed(per_first.astype(np.uint32)), _packed(token_pair), _packed(pair_known.astype(np.uint64)),
-                 _packed(a_known.astype(np.uint64)))]
-        for t in np.unique(a_part).tolist():
-            f, p = slice(*np.searchsorted(a_part, [t, t + 1])), slice(*np.searchsorted(pair_part, [t, t + 1]))
-            rows.append((1, t, cid, _packed(a_first[f].astype(np.uint32)), _packed(per_first[f].astype(np.uint32)), _packed(pair_second[p].astype(np.uint32)),
-                         _packed(pair_known[p].astype(np.uint64)), _packed(counts[p].astype(np.uint32))))
-        return _rows(_PAIR_ASK, rows)
+        several = np.flatnonzero(spread > 1)
+        names, at = np.unique(first[several], return_index=True)
+        parts, firsts, totals = [self.part], [first[pick]], [first_known[pick]]
+        for name, k in zip(names, several[at]):
+            tables = np.unique((mixed[k] + np.arange(spread[k])) % set_up.tables)
+            parts.append(tables)
+            firsts.append(np.full(len(tables), name, np.uint64))
+            totals.append(np.full(len(tables), first_known[k]))
+        both = np.rec.fromarrays([np.concatenate(parts), np.concatenate(firsts)], names="p,f")
+        asked, at = np.unique(both, return_index=True)
+        self.ask_part, self.ask_first = asked["p"].astype(np.int64), asked["f"].astype(np.uint64)
+        self.context = np.concatenate(totals)[at]
+        mine = np.rec.fromarrays([self.part, first[pick]], dtype=asked.dtype)
+        self.owner = np.searchsorted(asked, mine)
+        self.pairs = np.bincount(self.owner, minlength=len(asked))
+
+    def requests(self, chunk: int) -> list[tuple]:
+        rows = []
+        for t in np.unique(self.ask_part).tolist():
+            f, p = slice(*np.searchsorted(self.ask_part, [t, t + 1])), slice(*np.searchsorted(self.part, [t, t + 1]))
+            rows.append((t, chunk, _packed(np.diff(self.ask_first[f].astype(np.int64), prepend=0)), _packed(self.pairs[f].astype(np.uint32)),
+                         _packed(self.second[p].astype(np.uint32)), _packed(self.known[p].astype(np.uint64)), _packed(self.counts[p].astype(np.uint32))))
+        return rows
+
+
+@dataclass(frozen=True)
+class Setup:
+    """What every task needs to know: table count, first word number of each table, training documents and tokens."""
+    tables: int
+    offsets: np.ndarray
+    starts: int
+    total: int
+
+
+def pair_requests(parts: DataFrame, answers: DataFrame, set_up: Setup) -> DataFrame:
+    """What each chunk sends to the pair tables."""
+    def one(chunk: pa.Table, replies: pa.Table) -> pa.Table:
+        rows = chunk.to_pylist()
+        return _rows(_PAIR_ASK, Layout(rows[0], replies.to_pylist(), set_up).requests(rows[0]["chunk"]) if rows else [])
 
     small = parts.select("chunk", "train", "sizes", "words", "codes").groupBy("chunk")
     return small.cogroup(answers.where("chunk >= 0").groupBy("chunk")).applyInArrow(one, _schema(_PAIR_ASK))
@@ -253,7 +267,8 @@ def pair_tables(requests: DataFrame, level: WordLevel) -> DataFrame:
     def table(group: pa.Table) -> pa.Table:
         part, chunk = group["part"][0].as_py(), group["chunk"].to_pylist()
         cols = {c: [_unpacked(x, k) for x in group[c].to_pylist()] for c, k in
-                (("first", "u4"), ("pairs", "u4"), ("second", "u4"), ("known", "u8"), ("counts", "u4"))}
+                (("first", "i8"), ("pairs", "u4"), ("second", "u4"), ("known", "u8"), ("counts", "u4"))}
+        cols["first"] = [np.cumsum(x).astype(np.uint32) for x in cols["first"]]
         firsts, per = np.concatenate(cols["first"]), np.concatenate(cols["pairs"])
         key = np.repeat(firsts, per).astype(np.uint64) << np.uint64(32) | np.concatenate(cols["second"])
         different, at, which = np.unique(key, return_index=True, return_inverse=True)
@@ -265,35 +280,40 @@ def pair_tables(requests: DataFrame, level: WordLevel) -> DataFrame:
         for r in range(1, RARE + 1):
             sums[:, r - 1] = np.bincount(owner[totals == r], minlength=len(names))
         sums[:, RARE] = np.bincount(owner[totals > 0], lower[totals > 0], len(names))
+        seen = np.bincount(owner[totals > 0], minlength=len(names))
         rows = [(part, -1, _packed(_counts_of_counts(totals[totals > 0]).astype(np.int64)), b"")]
         p = f = 0
-        for c, seconds, own in zip(chunk, cols["second"], cols["first"]):
-            rows.append((part, c, _packed(totals[which[p:p + len(seconds)]].astype(np.uint32)), _packed(sums[first_at[f:f + len(own)]])))
+        for c, seconds, own, pairs in zip(chunk, cols["second"], cols["first"], cols["pairs"]):
+            total, mine = totals[which[p:p + len(seconds)]], first_at[f:f + len(own)]
+            reply = sums[mine]
+            # a chunk that holds all seen pairs of a first word adds up their probabilities itself
+            held = np.bincount(np.repeat(np.arange(len(own)), pairs), total > 0, len(own))
+            reply[held == seen[mine], RARE] = 0.0
+            rows.append((part, c, _packed(total.astype(np.uint32)), _packed(reply.ravel())))
             p, f = p + len(seconds), f + len(own)
-        return _rows(_PAIR_REPLY, rows)
+        return _rows(_REPLY, rows)
 
-    return requests.where("kind = 1").groupBy("part").applyInArrow(table, _schema(_PAIR_REPLY))
+    return requests.groupBy("part").applyInArrow(table, _schema(_REPLY))
 
 
-def _evaluate(kept: dict, replies: list[dict], level: WordLevel, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each token's probability, and its word's total count."""
+def _evaluate(own: Layout, replies: list[dict], level: WordLevel, d: np.ndarray) -> np.ndarray:
+    """Each token's probability."""
     replies.sort(key=lambda r: r["part"])
-    totals = np.concatenate([_unpacked(r["totals"], "u4") for r in replies]).astype(np.int64)
-    sums = np.concatenate([_unpacked(r["sums"], "f8").reshape(-1, RARE + 1) for r in replies])
-    firsts, per, context = _unpacked(kept["first"], "u8"), _unpacked(kept["pairs"], "u4"), _unpacked(kept["counts"], "u8").astype(np.int64)
-    known = _unpacked(kept["known"], "u8").astype(np.int64)
-    _, same = np.unique(firsts, return_inverse=True)  # a first word dealt over several tables has its sums added
+    totals = np.concatenate([_unpacked(r["a"], "u4") for r in replies]).astype(np.int64)
+    sums = np.concatenate([_unpacked(r["b"], "f8").reshape(-1, RARE + 1) for r in replies]).copy()
+    lower = level(own.known)
+    mine = np.bincount(own.owner[totals > 0], lower[totals > 0], len(own.ask_first))
+    sums[:, RARE] = np.where(sums[:, RARE] == 0, mine, sums[:, RARE])
+    _, same = np.unique(own.ask_first, return_inverse=True)  # a first word dealt over several tables has its sums added
     joined = np.zeros((same.max() + 1, RARE + 1))
     np.add.at(joined, same, sums)
     joined = joined[same]
     freed = joined[:, :RARE] @ ((1 - d[1:RARE + 1]) * np.arange(1, RARE + 1))
-    whole = np.where(freed > 0, context, context + 1)  # nothing rare after this word: the unseen get one count
+    whole = np.where(freed > 0, own.context, own.context + 1)  # nothing rare after this word: the unseen get one count
     freed = np.where(freed > 0, freed, 1.0)
-    weight = np.where(context > 0, freed / np.maximum(whole, 1) / np.maximum(1 - joined[:, RARE], 1e-300), 1.0)
-    owner = np.repeat(np.arange(len(firsts)), per)
-    p = np.where(totals > 0, _factor(d, totals) * totals / np.maximum(whole[owner], 1), weight[owner] * level(known))
-    tokens = _unpacked(kept["second"], "u4")
-    return p[tokens], known[tokens]
+    weight = np.where(own.context > 0, freed / np.maximum(whole, 1) / np.maximum(1 - joined[:, RARE], 1e-300), 1.0)
+    p = np.where(totals > 0, _factor(d, totals) * totals / np.maximum(whole[own.owner], 1), weight[own.owner] * lower)
+    return p[own.token_pair]
 
 
 def score_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", held_out_fold: int = 1) -> DataFrame:
@@ -301,40 +321,39 @@ def score_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 
     ``score`` is the model's log10 probability of the text; ``base_score`` that of smoothed word counts.
     """
-    parts = checkpointed(chunks(docs, text_col, id_col, held_out_fold))
-    size = parts.agg(F.sum(F.size("docs")).alias("docs"), F.sum(F.size(F.filter("train", lambda t: t))).alias("train"),
-                     F.count("*").alias("chunks")).first()
-    tokens = (size["chunks"] or 0) * CHUNK_TOKENS
-    n_tables = max(8, -(-tokens // TABLE_TOKENS))
+    # chunks are cut again where they are needed, which costs less than keeping them
+    parts = chunks(docs, text_col, id_col, held_out_fold)
+    size = parts.agg(F.sum(F.size(F.filter("train", lambda t: t))).alias("train"), F.count("*").alias("chunks")).first()
+    n_tables = max(8, -(-(size["chunks"] or 0) * CHUNK_TOKENS // TABLE_TOKENS))
     answers = checkpointed(word_tables(parts, n_tables))
-    summary = {r["part"]: _unpacked(r["numbers"], "i8") for r in answers.where("chunk = -1").collect()}  # one row a table
+    summary = {r["part"]: _unpacked(r["a"], "i8") for r in answers.where("chunk = -1").collect()}  # one row a table
     stats = np.array([summary.get(t, np.zeros(RARE + 4, np.int64)) for t in range(n_tables)])
-    offsets = np.cumsum(stats[:, 0]) - stats[:, 0]
     total, different, of_words = int(stats[:, 2].sum()), int(stats[:, 1].sum()), stats[:, 3:].sum(axis=0).tolist()
-    level = WordLevel(total, different, of_words, [])
-    requests = checkpointed(pair_requests(parts, answers, n_tables, offsets, size["train"] or 0, total, n_tables))
-    replies = checkpointed(pair_tables(requests, level))
+    set_up = Setup(n_tables, np.cumsum(stats[:, 0]) - stats[:, 0], size["train"] or 0, total)
+    level = WordLevel(total, different, of_words)
+    replies = checkpointed(pair_tables(pair_requests(parts, answers, set_up), level))
     of_pairs = np.zeros(RARE + 1, np.int64)
     for r in replies.where("chunk = -1").collect():  # one row a table
-        of_pairs += _unpacked(r["totals"], "i8")
+        of_pairs += _unpacked(r["a"], "i8")
     d = discounts(of_pairs.tolist())
     id_type = parts.schema["docs"].dataType.elementType.simpleString()
     smooth = total + 0.5 * (different + 1)
 
-    def score(kept: pa.Table, own: pa.Table) -> pa.Table:
-        rows = kept.to_pylist()
+    def score(chunk: pa.Table, mail: pa.Table) -> pa.Table:
+        rows, mailed = chunk.to_pylist(), mail.to_pylist()
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-        kinds = [kept.schema.field("docs").type.value_type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        kinds = [chunk.schema.field("docs").type.value_type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         if not rows:
             return pa.table([pa.array([], k) for k in kinds], names)
         row = rows[0]
-        p, known = _evaluate(row, own.to_pylist(), level, d)
-        sizes = _unpacked(row["sizes"], "u4").astype(np.int64)
-        begins = np.cumsum(sizes) - sizes
-        per = [np.add.reduceat(x, begins) for x in ((known > 0).astype(np.int64), np.log10((known + 0.5) / smooth), np.log10(p))]
-        cols = [row["docs"], [not t for t in row["train"]], sizes, per[0], [total] * len(sizes), per[1], per[2]]
+        own = Layout(row, [m for m in mailed if not m["pairs"]], set_up)
+        p = _evaluate(own, [m for m in mailed if m["pairs"]], level, d)
+        known = own.token_known
+        per = [np.add.reduceat(x, own.begins) for x in ((known > 0).astype(np.int64), np.log10((known + 0.5) / smooth), np.log10(p))]
+        cols = [row["docs"], [not t for t in row["train"]], own.sizes, per[0], [total] * len(own.sizes), per[1], per[2]]
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
-    mine = requests.where("kind = 0").join(parts.select("chunk", "docs", "train", "sizes"), "chunk")
-    return mine.groupBy("chunk").cogroup(replies.where("chunk >= 0").groupBy("chunk")).applyInArrow(
+    mail = answers.withColumn("pairs", F.lit(False)).unionByName(replies.withColumn("pairs", F.lit(True))).where("chunk >= 0")
+    needed = parts.select("chunk", "docs", "train", "sizes", "words", "codes")
+    return needed.groupBy("chunk").cogroup(mail.groupBy("chunk")).applyInArrow(
         score, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
