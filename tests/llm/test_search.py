@@ -206,3 +206,25 @@ def test_stages_take_empty_tables(spark, none):
     only = none.select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, only, "/root/testdata/sf0.001").count() == 0
+
+
+def test_rows_that_share_an_id_are_judged_by_their_own_text(spark):
+    item = " ".join(f"item{k}" for k in range(40))
+    half, rest = " ".join(item.split()[:22]), " ".join(item.split()[18:])
+    clean = [" ".join(f"{name}{k}" for k in range(60)) for name in ("red", "green", "blue")]
+    rows = [(None, clean[0]), (None, f"start {item} end"), (None, half), (None, rest), (None, None), (5, clean[1]), (5, item), (5, item), (6, half),
+            (6, rest)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["n_shared"]) for r in decontaminate.contained_items(docs, items).collect()}
+    assert got == {(None, 1, 36), (5, 1, 36)}
+    stay = Counter((r["doc_id"], r["text"]) for r in decontaminate.drop_contaminated(docs, items).collect())
+    assert stay == Counter((i, t) for i, t in rows if item not in (t or ""))
+
+
+def test_keep_one_keeps_each_component_under_shared_ids(spark):
+    text = [" ".join(f"{name}{k}" for k in range(60)) for name in ("red", "green", "blue")]
+    rows = [(5, text[0]), (5, text[1]), (5, text[1]), (3, text[2]), (5, text[2]), (None, text[0]), (None, "left alone"), (None, "and another")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = Counter((r["doc_id"], r["text"]) for r in simhash.keep_one(docs).collect())
+    assert kept == Counter([(5, text[0]), (5, text[1]), (3, text[2]), (None, "left alone"), (None, "and another")])

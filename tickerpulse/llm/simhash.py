@@ -62,17 +62,21 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > len(values), bitorder="little").view("<u8")[0])
 
 
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 3) -> DataFrame:
-    """``(doc_id, fp)``, one row per row; ``fp`` is the fingerprint as a signed long."""
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    """``(doc_id, h, fp)``, one row per row: the hash of the text, and the fingerprint as a signed long."""
+    narrow = docs.select(F.col(id_col).alias("doc_id"), _text_hash(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
     id_type = narrow.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t, shingle) for t in b.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(fps.view(np.int64))], ["doc_id", "h", "fp"])
 
-    return narrow.mapInArrow(run, f"doc_id {id_type}, fp long")
+    return narrow.mapInArrow(run, f"doc_id {id_type}, h long, fp long")
 
 
 def pivot_fingerprints(n: int = PIVOTS) -> list[int]:
@@ -188,7 +192,7 @@ def links(classes: DataFrame, max_bits: int = 3) -> DataFrame:
 
 
 def components(prints: DataFrame, max_bits: int = 3) -> DataFrame:
-    """``(doc_id, fp)`` rows with ``root``, the smallest fingerprint that links reach, and
+    """``(doc_id, h, fp)`` rows with ``root``, the smallest fingerprint that links reach, and
     ``component_id``, the smallest doc_id there.
 
     ``prints`` should be checkpointed: it is read twice.
@@ -198,35 +202,32 @@ def components(prints: DataFrame, max_bits: int = 3) -> DataFrame:
     joined = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_class = checkpointed(joined.join(names, "root").select("fp", "root", "component_id"))
-    return prints.join(of_class, "fp").select("doc_id", "fp", "root", "component_id")
+    return prints.join(of_class, "fp").select("doc_id", "h", "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 3,
                     max_bits: int = 3) -> DataFrame:
-    """``(doc_id, fp, root, component_id)`` for every row of ``docs``."""
+    """``(doc_id, h, fp, root, component_id)`` for every row of ``docs``."""
     return components(checkpointed(fingerprints(docs, text_col, id_col, shingle)), max_bits)
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
     """One row of ``docs`` for each component: the one with the smallest doc_id.
 
-    If that id stands in several rows, the one with the smallest text hash stays. A component without
-    any id keeps one row of its smallest fingerprint.
+    If that id stands in several rows of the component, the one with the smallest text hash stays. A component
+    without any id keeps one row of its smallest fingerprint. Rows are told apart by (doc_id, hash of the
+    text), so texts of other components under the same id neither stand in for the kept row nor come with it.
     """
     marked = near_duplicates(docs, shingle=shingle, max_bits=max_bits)
-    order = F.struct(F.xxhash64("text"), F.col("text"))
-    whole = F.struct(*docs.columns).alias("row")
-    named = checkpointed(marked.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n_rows")))
-    once = docs.join(named.where("n_rows = 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    again = docs.join(named.where("n_rows > 1").select("doc_id"), "doc_id", "left_semi")
-    several = again.groupBy("doc_id").agg(F.min_by(whole, order).alias("row")).select("row.*")
-    nameless = checkpointed(marked.where("component_id IS NULL").groupBy("root").agg(F.min("fp").alias("fp")))
-    out = once.unionByName(several)
-    if nameless.isEmpty():
-        return out
-    blank = docs.where("doc_id IS NULL").select(F.col("text").alias("doc_id"), "text", whole)
-    prints = fingerprints(blank, shingle=shingle).distinct().withColumnRenamed("doc_id", "text")
-    kept = prints.join(nameless, "fp").select("fp", "text")
-    rows = blank.select("text", "row").join(kept, blank["text"].eqNullSafe(kept["text"])).select("fp", blank["text"], "row")
-    solo = rows.groupBy("fp").agg(F.min_by("row", order).alias("row")).select("row.*")
-    return out.unionByName(solo.select(*docs.columns))
+    able = marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id", "h").agg(
+        F.min("fp").alias("fp"), F.count("*").alias("n_rows"))
+    order = F.struct(F.when(F.col("doc_id").isNull(), F.col("fp")).alias("fp"), "h", "n_rows")
+    chosen = checkpointed(able.groupBy("root").agg(F.min(order).alias("c"), F.first("doc_id").alias("kept_id")).select(
+        "kept_id", F.col("c.h").alias("kept_h"), F.col("c.n_rows").alias("n_rows")))
+    own = docs["doc_id"].eqNullSafe(F.col("kept_id")) & (_text_hash(docs["text"]) == F.col("kept_h"))
+    once = docs.join(chosen.where("n_rows = 1"), own, "left_semi")
+    again = docs.join(chosen.where("n_rows > 1"), own, "left_semi")
+    row = F.struct(*docs.columns).alias("row")
+    several = again.select("doc_id", _text_hash(F.col("text")).alias("__h"), row).groupBy("doc_id", "__h").agg(
+        F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row.*")
+    return once.unionByName(several)
