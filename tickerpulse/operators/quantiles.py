@@ -14,7 +14,7 @@ from ..session import materialize
 
 
 def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
-    """``keys`` and ``q``: array of the interpolated quantiles of the non-null ``value`` s per key."""
+    """``keys`` and ``q``: array of the interpolated quantiles of the non-null ``value`` s per key; null keys are groups too."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
     dealt = materialize(counts.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id()))
     parts = dealt.groupBy(*keys, "_part").agg(F.sum("_n").alias("_size"))  # one row per key and range
@@ -22,7 +22,11 @@ def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[fl
     parts = parts.select(*keys, "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_base"),
                          F.sum("_size").over(Window.partitionBy(*keys)).alias("_all"))
     running = Window.partitionBy(*keys, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = dealt.withColumn("_upto", F.sum("_n").over(running)).join(parts, [*keys, "_part"])
+    parts = parts.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col("_part").alias("_of"), "_base", "_all")
+    same = F.col("_part") == F.col("_of")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    placed = dealt.withColumn("_upto", F.sum("_n").over(running)).join(parts, same)
     last = F.col("_base") + F.col("_upto") - 1   # rank (from 0) of the value's last copy
     first = last - F.col("_n") + 1
     wanted = [F.lit(p) * (F.col("_all") - 1) for p in probs]
