@@ -228,3 +228,20 @@ def test_keep_one_keeps_each_component_under_shared_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = Counter((r["doc_id"], r["text"]) for r in simhash.keep_one(docs).collect())
     assert kept == Counter([(5, text[0]), (5, text[1]), (3, text[2]), (None, "left alone"), (None, "and another")])
+
+
+def test_secret_parts_link_at_a_gap_of_the_scope_wherever_they_stand(spark):
+    scope, size = 12, 5
+    rows, want = [], set()
+    for at in range(0, 3 * scope + 3):
+        for gap in (scope - 1, scope, scope + 1):
+            ident, secret = (at, "weak_id", at + size), (at + size + gap, "weak_secret", at + 2 * size + gap)
+            for swap in (False, True):
+                a, b = (ident, secret) if not swap else ((at, "weak_secret", at + size), (at + size + gap, "weak_id", at + 2 * size + gap))
+                uid = len(rows)
+                rows.append((uid, [], [a, b]))
+                if gap <= scope:
+                    want |= {(uid, *a), (uid, *b)}
+    span = "array<struct<start:bigint,kind:string,end:bigint>>"
+    table = spark.createDataFrame(rows, f"uid long, base {span}, weak {span}")
+    assert {tuple(r) for r in secrets.linked_parts(table, scope).collect()} == want

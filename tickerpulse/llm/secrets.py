@@ -12,7 +12,8 @@ Parts are linked by an interval join inside a document: two parts are in one sco
 them is at most ``scope`` characters. A weak part is reported (kinds ``weak_id``, ``weak_secret``,
 ``endpoint``) only if a complement stands in its scope: an identifier needs a secret, a secret an
 identifier or an endpoint, an endpoint a secret that has an identifier in its own scope or is a base
-one. The join is by blocks of ``scope`` characters: every block keeps, for each role, only the
+one. The join is by blocks of ``scope + 1`` characters, so that a gap of ``scope`` is at most one block
+away: every block keeps, for each role, only the
 outermost places, and a part looks into its own and the two neighbouring blocks. So a document with many
 parts makes rows in proportion to them, not pairs.
 
@@ -83,7 +84,8 @@ def linked_parts(rows: DataFrame, scope: int = 400) -> DataFrame:
     part = rows.where(F.size("weak") > 0).select("uid", F.explode(F.concat("base", "weak")).alias("p")).select("uid", "p.*")
     role = (F.when(F.col("kind").isin("access", "weak_id"), "id").when(F.col("kind") == "endpoint", "endpoint")
             .otherwise("secret"))
-    part = part.select("*", role.alias("role"), F.floor(F.col("start") / scope).alias("first"), F.floor((F.col("end") - 1) / scope).alias("last"))
+    size = scope + 1
+    part = part.select("*", role.alias("role"), F.floor(F.col("start") / size).alias("first"), F.floor((F.col("end") - 1) / size).alias("last"))
 
     def near(asked: DataFrame, offered: DataFrame, role_name: str) -> DataFrame:
         """``asked`` rows that have an offered part at most ``scope`` characters away."""
@@ -92,9 +94,9 @@ def linked_parts(rows: DataFrame, scope: int = 400) -> DataFrame:
         at = seen.select("uid", "block", "start", "end")
         # nearest part wholly before / after a place need only the outermost ends of the block
         reach = at.groupBy("uid", "block").agg(
-            F.max(F.when(F.floor((F.col("end") - 1) / scope) <= F.col("block") - 1, F.col("end"))).alias("left_end"),
-            F.min(F.when(F.floor(F.col("start") / scope) >= F.col("block") + 1, F.col("start"))).alias("right_start"),
-            F.max((F.floor(F.col("start") / scope) <= F.col("block")) & (F.floor((F.col("end") - 1) / scope) >= F.col("block"))).alias("inside"))
+            F.max(F.when(F.floor((F.col("end") - 1) / size) <= F.col("block") - 1, F.col("end"))).alias("left_end"),
+            F.min(F.when(F.floor(F.col("start") / size) >= F.col("block") + 1, F.col("start"))).alias("right_start"),
+            F.max((F.floor(F.col("start") / size) <= F.col("block")) & (F.floor((F.col("end") - 1) / size) >= F.col("block"))).alias("inside"))
         looked = asked.withColumn("block", F.explode(F.sequence("first", "last")))
         hit = looked.join(reach, ["uid", "block"]).where(
             F.col("inside") | (F.col("start") - F.col("left_end") <= scope) | (F.col("right_start") - F.col("end") <= scope))
