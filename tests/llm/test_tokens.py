@@ -166,3 +166,29 @@ def test_pipeline_is_its_stages(spark, tmp_path):
     assert seen[0] > seen[1] >= seen[2] == seen[3] == seen[4]
     ran = corpus_pipeline.run(spark, base)
     assert Counter(tuple(r) for r in ran.collect()) == Counter(tuple(r) for r in docs.collect())
+
+
+def test_katz_steps_agree_when_splits_are_planned_anew(spark, tmp_path, monkeypatch):
+    rows = [(k, " ".join(f"w{(k * 7 + j * j) % 23}" for j in range(30))) for k in range(60)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(6).write.parquet(path)
+    names = {"spark.sql.files.maxPartitionBytes": ("1g", "1b"), "spark.sql.files.openCostInBytes": ("0", "0"), "spark.sql.files.minPartitionNum": ("1", "6")}
+    score = lambda: {r["doc_id"]: round(r["score"], 6) for r in katz.score_documents(spark.read.parquet(path)).collect()}
+    tables = katz.word_tables
+
+    def planned_anew(*args):
+        out = tables(*args).persist()
+        out.count()
+        for name, (_, value) in names.items():
+            spark.conf.set(name, value)
+        return out
+
+    try:
+        for name, (value, _) in names.items():
+            spark.conf.set(name, value)
+        want = score()
+        monkeypatch.setattr(katz, "word_tables", planned_anew)
+        assert score() == want and len(want) == 60
+    finally:
+        for name in names:
+            spark.conf.unset(name)

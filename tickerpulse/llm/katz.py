@@ -5,7 +5,7 @@ given to the unseen: for a word pair through the back-off weight of its first wo
 class of unknown words. Weights are normalised exactly, so the probabilities after any word (and after the
 start of a text) add up to one over the known words, the end of the text and the unknown class.
 
-The corpus is never gathered in one place, and texts are not shuffled. Documents are read into
+The corpus is never gathered in one place, and texts are not shuffled. Documents are read once into
 *chunks* of about ``CHUNK_TOKENS`` tokens, which hold the chunk's different words and each token's number. Then:
 
 1. *Words.* Each chunk sends its different words with their training counts to word tables, partitioned by word
@@ -17,8 +17,8 @@ The corpus is never gathered in one place, and texts are not shuffled. Documents
 3. *Scores.* A chunk evaluates every token: the pair if it was seen, else the weight times the word, else
    the weight times the unknown class.
 
-The chunks are cut from the documents once per step, which costs less than keeping them, so the documents
-have to be a stored table (or a checkpoint) that gives the same rows in the same partitions each time.
+The chunks are cut from the documents once and stored: all steps meet by chunk number, and numbers made
+anew would follow the file splits, which Spark plans by the cores it has at that moment.
 
 Everything sent is combined within its chunk first, so a word or pair that makes up a third of all tokens
 is one entry per chunk. The pairs of a very frequent first word are dealt over several tables, whose sums
@@ -321,8 +321,7 @@ def score_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 
     ``score`` is the model's log10 probability of the text; ``base_score`` that of smoothed word counts.
     """
-    # chunks are cut again where they are needed, which costs less than keeping them
-    parts = chunks(docs, text_col, id_col, held_out_fold)
+    parts = checkpointed(chunks(docs, text_col, id_col, held_out_fold))
     size = parts.agg(F.sum(F.size(F.filter("train", lambda t: t))).alias("train"), F.count("*").alias("chunks")).first()
     n_tables = max(8, -(-(size["chunks"] or 0) * CHUNK_TOKENS // TABLE_TOKENS))
     answers = checkpointed(word_tables(parts, n_tables))
