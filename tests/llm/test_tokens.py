@@ -168,6 +168,17 @@ def test_pipeline_is_its_stages(spark, tmp_path):
     assert Counter(tuple(r) for r in ran.collect()) == Counter(tuple(r) for r in docs.collect())
 
 
+@pytest.mark.parametrize("targets", [None, {"s1": 0.7, None: 0.1}])
+def test_any_number_of_sources_gives_the_pieces_of_the_closed_form(spark, monkeypatch, targets):
+    docs = spark.createDataFrame([(k, "alpha beta gamma " * (1 + k * 7 % 40), None if k % 9 == 0 else f"s{min(k % 97, k % 5 * 30)}") for k in range(400)],
+                                 "doc_id long, text string, source string").repartition(3, "doc_id")
+    p = packing.Packing(64, 4)
+    few = Counter(tuple(r) for r in packing.pack(docs, PATH, p, targets).collect())
+    monkeypatch.setattr(packing, "CLOSED_FORM_SOURCES", 0)
+    many = Counter(tuple(r) for r in packing.pack(docs, PATH, p, targets).collect())
+    assert few == many and sum(few.values()) > 400
+
+
 def test_katz_steps_agree_when_splits_are_planned_anew(spark, tmp_path, monkeypatch):
     rows = [(k, " ".join(f"w{(k * 7 + j * j) % 23}" for j in range(30))) for k in range(60)]
     path = str(tmp_path / "docs")

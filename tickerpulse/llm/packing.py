@@ -13,6 +13,10 @@ source's queue. Those places are running sums: within a task while it tokenizes,
 the tasks' totals. Counters are thus carried across partitions without a pass over the documents in order, and
 a source with a third of all rows is spread over as many tasks as hold it.
 
+With few sources each task knows all queues, and a window's order follows in closed form. With more, the shares
+(window, source, tokens) are a Spark table, whose running sums give each share's place in the stream;
+pieces meet it by (window, source). A share is at least one piece, so that table is no larger than the result.
+
 Targets default to the sources' own shares of all tokens; then all queues run dry together. With other
 targets, a queue that runs dry leaves its place in later windows to the rest.
 
@@ -35,10 +39,12 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 from .tokens import word_tokenizer
 
-#: The per-source table goes through the driver; more sources than this are refused, not cut.
-MAX_SOURCES = 100_000
-#: Task totals (task, source) up to this many rows are broadcast, else joined by shuffle.
+#: Up to this many sources, tasks place pieces by the closed form over all queues; beyond it by a table of shares.
+CLOSED_FORM_SOURCES = 256
+#: Task totals (task, source) and shares (window, source) up to this many rows are broadcast, else joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: Windows per block of the running sums.
+_BLOCK = 4096
 _FRACTION = 16  # bits after the point of a quantum
 
 
@@ -80,13 +86,16 @@ class Rounds:
 
     def __init__(self, lengths: list[int], shares: list[float] | None, p: Packing):
         self.total = np.array(lengths, np.int64)
-        window = p.sequence_tokens * p.window_sequences
-        whole = sum(lengths)
-        exact = [(n * window << _FRACTION, whole) for n in lengths] if shares is None else [
-            (int(s * window * (1 << _FRACTION)), 1) for s in shares]
-        self.quantum = np.array([max(1, -(-a // b)) for a, b in exact], np.int64)
+        self.quantum = _quantum(lengths, sum(lengths), shares, p)
         self.size = p.sequence_tokens
 
+    @classmethod
+    def of(cls, total: np.ndarray, quantum: np.ndarray, p: Packing) -> Rounds:
+        """From known quanta, one entry a row."""
+        out = cls.__new__(cls)
+        out.total, out.quantum, out.size = total, quantum, p.sequence_tokens
+        return out
+
     def served(self, source: int, window: np.ndarray) -> np.ndarray:
         """Tokens that a queue has given after so many windows."""
         last = -((-self.total[source] << _FRACTION) // self.quantum[source])
@@ -108,21 +117,22 @@ class Rounds:
         last = -((-total << _FRACTION) // quantum)
         return np.minimum(total, (quantum * np.minimum(window, last)) >> _FRACTION)
 
-    def pieces(self, source: np.ndarray, place: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Row, start, length, window and stream place of every piece of documents at ``place``."""
+    def turns(self, source: np.ndarray, place: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Row, window, and first and end place in its queue, of what each window takes of documents at ``place``."""
         first, last = self.window_of(source, place), self.window_of(source, place + size - 1)
         row, window = _spread(first, last)
         s = source[row]
         a = np.maximum(place[row], self.served_each(s, window - 1))
         b = np.minimum((place + size)[row], self.served_each(s, window))
-        at = self.start_of(s, window) + a
         some = b > a  # a quantum below one token leaves windows without a share
-        row, window, a, b, at = row[some], window[some], a[some], b[some], at[some]
-        part, block = _spread(at // self.size, (at + b - a - 1) // self.size)
-        low = np.maximum(at[part], block * self.size)
-        high = np.minimum((at + b - a)[part], (block + 1) * self.size)
-        start = a[part] - place[row[part]] + low - at[part]
-        return row[part], start, high - low, window[part], low
+        return row[some], window[some], a[some], b[some]
+
+    def pieces(self, source: np.ndarray, place: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Row, start, length, window and stream place of every piece of documents at ``place``."""
+        row, window, a, b = self.turns(source, place, size)
+        at = self.start_of(source[row], window) + a
+        part, low, n = _cut(at, b - a, self.size)
+        return row[part], a[part] - place[row[part]] + low - at[part], n, window[part], low
 
 
 def _spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,6 +142,118 @@ def _spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return row, first[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
 
 
+def _cut(at: np.ndarray, length: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, stream place and length of the parts of runs at ``at`` that lie in one sequence each."""
+    part, block = _spread(at // size, (at + length - 1) // size)
+    low = np.maximum(at[part], block * size)
+    return part, low, np.minimum((at + length)[part], (block + 1) * size) - low
+
+
+def _quantum(lengths: list[int], whole: int, shares: list[float] | None, p: Packing) -> np.ndarray:
+    window = p.sequence_tokens * p.window_sequences
+    exact = [(n * window << _FRACTION, whole) for n in lengths] if shares is None else [
+        (int(s * window * (1 << _FRACTION)), 1) for s in shares]
+    return np.array([max(1, -(-a // b)) for a, b in exact], np.int64)
+
+
+def shares_of(rates: DataFrame) -> DataFrame:
+    """``(window, queue, at)``: the stream place of each share that is not empty, from ``rates(queue, total, quantum)``.
+
+    A queue of one token or more a window has a share in each of its windows; a slower one has one token a
+    share, so its shares are found from its tokens.
+    """
+    one = 1 << _FRACTION
+    up = lambda a: f"({a} + quantum - 1) div quantum"
+    last = F.expr(up(f"total * {one}"))
+    steps = F.when(F.col("quantum") >= one, last).otherwise(F.col("total"))
+    blocks = rates.where("total > 0").select("*", last.alias("last"), steps.alias("steps"))
+    blocks = blocks.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(steps - 1) div {_BLOCK}"))).alias("b"))
+    each = blocks.select("*", F.explode(F.sequence(F.col("b") * _BLOCK + 1, F.least("steps", (F.col("b") + 1) * _BLOCK))).alias("k"))
+    each = each.withColumn("window", F.when(F.col("quantum") >= one, F.col("k")).otherwise(F.expr(up(f"k * {one}"))))
+    served = lambda w: F.least("total", F.shiftright(F.col("quantum") * F.least(w, "last"), _FRACTION))
+    size = served(F.col("window")) - served(F.col("window") - 1)
+    share = checkpointed(each.select("window", "queue", size.alias("n")).where("n > 0"))
+    # three running sums: blocks of windows, windows in a block, queues in a window
+    total = share.groupBy("window").agg(F.sum("n").alias("n")).withColumn("block", F.expr(f"window div {_BLOCK}"))
+    total = checkpointed(total)
+    past = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    before = lambda w: F.coalesce(F.sum("n").over(past(w)), F.lit(0))
+    base = total.groupBy("block").agg(F.sum("n").alias("n")).select("block", before(W.orderBy("block")).alias("base"))
+    start = total.select("window", "block", before(W.partitionBy("block").orderBy("window")).alias("inner")).join(base, "block")
+    start = start.select("window", (F.col("base") + F.col("inner")).alias("start"))
+    own = share.select("window", "queue", before(W.partitionBy("window").orderBy("queue")).alias("own"))
+    return own.join(start, "window").select("window", "queue", (F.col("start") + F.col("own")).alias("at"))
+
+
+def _pack_many(tokens: DataFrame, bases: DataFrame, queues: DataFrame, p: Packing, targets: dict[str | None, float] | None) -> DataFrame:
+    """``pack`` for any number of sources: nothing per source leaves the Spark tables."""
+    whole = queues.agg(F.sum("n")).first()[0]
+    scale = 1.0
+    if targets is not None:  # the weights of all sources add up to this
+        own = F.col("source").isin([t for t in targets if t is not None]) | (F.col("source").isNull() & F.lit(None in targets))
+        named = queues.where(own).collect()  # at most one row a target
+        scale = sum(targets[q["source"]] for q in named) + (whole - sum(q["n"] for q in named)) / whole
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names, lengths = b.column("source").to_pylist(), b.column("n").to_pylist()
+            shares = None if targets is None else [targets.get(name, n / whole) / scale for name, n in zip(names, lengths)]
+            yield pa.RecordBatch.from_arrays([b.column("source"), b.column("n"), pa.array(_quantum(lengths, whole, shares, p))],
+                                             ["queue", "total", "quantum"])
+
+    rates = checkpointed(queues.mapInArrow(rate, "queue string, total long, quantum long"))
+    known = bases.join(rates.withColumnRenamed("queue", "of"), F.col("queue").eqNullSafe(F.col("of"))).drop("of")
+    small = F.broadcast(known) if bases.count() <= BROADCAST_ROWS else known
+    placed = tokens.withColumnRenamed("task", "t").join(small, (F.col("t") == F.col("task")) & F.col("source").eqNullSafe(F.col("queue"))).select(
+        "doc_id", "source", "n_tokens", (F.col("before") + F.col("base")).alias("place"), "ids", "total", "quantum")
+    id_type = placed.schema["doc_id"].dataType.simpleString()
+
+    def turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            place, size = b.column("place").to_numpy(), b.column("n_tokens").to_numpy()
+            rounds = Rounds.of(b.column("total").to_numpy(), b.column("quantum").to_numpy(), p)
+            each = np.arange(len(place))
+            row, window, a, end = rounds.turns(each, place, size)
+            start, skip, packed = a - place[row], a - rounds.served_each(row, window - 1), b.column("ids").to_pylist()
+            for begin in range(0, len(row), 4096):
+                own = slice(begin, begin + 4096)
+                take, cut = pa.array(row[own]), []
+                for r, s, n in zip(row[own].tolist(), start[own].tolist(), (end - a)[own].tolist()):
+                    width = len(packed[r]) // int(size[r])
+                    cut.append(packed[r][width * s:width * (s + n)])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id").take(take), b.column("source").take(take), b.column("n_tokens").take(take), pa.array(start[own]),
+                     pa.array((end - a)[own]), pa.array(window[own]), pa.array(skip[own]), pa.array(cut, pa.binary())],
+                    ["doc_id", "source", "doc_tokens", "start", "length", "window", "skip", "ids"])
+
+    taken = placed.mapInArrow(turns, f"doc_id {id_type}, source string, doc_tokens long, start long, length long, window long, skip long, ids binary")
+    shares = checkpointed(shares_of(rates).withColumnRenamed("window", "of"))
+    near = F.broadcast(shares) if shares.count() <= BROADCAST_ROWS else shares
+    met = taken.join(near, (F.col("window") == F.col("of")) & F.col("source").eqNullSafe(F.col("queue"))).select(
+        "doc_id", "start", "length", "doc_tokens", (F.col("at") + F.col("skip")).alias("at"), "source", "window", "ids")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, length, start = (b.column(c).to_numpy() for c in ("at", "length", "start"))
+            packed = b.column("ids").to_pylist()
+            row, low, n = _cut(at, length, p.sequence_tokens)
+            skip, take, ids = low - at[row], pa.array(row), []
+            for r, s, k in zip(row.tolist(), skip.tolist(), n.tolist()):
+                ids.append(np.frombuffer(packed[r], f"<u{len(packed[r]) // int(length[r])}")[s:s + k].astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id").take(take), pa.array(start[row] + skip), pa.array(n), b.column("doc_tokens").take(take),
+                 pa.array(low // p.sequence_tokens), pa.array(low % p.sequence_tokens), b.column("source").take(take),
+                 b.column("window").take(take), pa.array(ids, pa.binary())],
+                ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "source", "window", "ids"])
+
+    return met.mapInArrow(cut, _pieces_schema(id_type))
+
+
+def _pieces_schema(id_type: str) -> str:
+    return (f"doc_id {id_type}, start long, length long, doc_tokens long, sequence_id long, offset long, source string, "
+            "window long, ids binary")
+
+
 def pack(docs: DataFrame, path: str, p: Packing = Packing(), targets: dict[str | None, float] | None = None) -> DataFrame:
     """One row per piece: ``doc_id, start, length, doc_tokens, sequence_id, offset, source, window, ids``.
 
@@ -142,9 +264,10 @@ def pack(docs: DataFrame, path: str, p: Packing = Packing(), targets: dict[str |
     totals = checkpointed(tokens.groupBy("task", "source").agg(F.sum("n_tokens").alias("n")))
     order = W.partitionBy("source").orderBy("task").rowsBetween(W.unboundedPreceding, -1)
     bases = checkpointed(totals.select("task", F.col("source").alias("queue"), F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base")))
-    queues = totals.groupBy("source").agg(F.sum("n").alias("n")).orderBy("source").limit(MAX_SOURCES + 1).collect()
-    if len(queues) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: group them into fewer queues first")
+    lengths_of = checkpointed(totals.groupBy("source").agg(F.sum("n").alias("n")))
+    if lengths_of.count() > CLOSED_FORM_SOURCES:
+        return _pack_many(tokens, bases, lengths_of, p, targets)
+    queues = lengths_of.orderBy("source").collect()  # at most CLOSED_FORM_SOURCES rows
     names, lengths = [q["source"] for q in queues], [q["n"] for q in queues]
     shares = None
     if targets is not None:
@@ -180,8 +303,7 @@ def pack(docs: DataFrame, path: str, p: Packing = Packing(), targets: dict[str |
                      pa.array(cut, pa.binary())],
                     ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "source", "window", "ids"])
 
-    return placed.mapInArrow(run, f"doc_id {id_type}, start long, length long, doc_tokens long, sequence_id long, "
-                                  "offset long, source string, window long, ids binary")
+    return placed.mapInArrow(run, _pieces_schema(id_type))
 
 
 def digest(pieces: DataFrame) -> DataFrame:
