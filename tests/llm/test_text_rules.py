@@ -117,3 +117,35 @@ def test_licences(spark, none):
     found = licences.scan(docs, model=model).where("doc_id >= 1000 AND families <> ''")
     assert found.count() == 0
     assert licences.scan(none, model=model).count() == 0
+
+
+PLAIN = "one hundred and fifty characters of text without any comma in it at all so that it earns few points but is part of the article as it stands here ok"
+RICH = "a long paragraph, with commas, many of them, so that it scores well, far more than others, and wins, clearly, over all the rest, of the page"
+
+
+def parts_of(html):
+    """Every ``[name]`` that the main text holds."""
+    return set(re.findall(r"\[(\w+)\]", html_text.main_text(html)))
+
+
+@pytest.mark.parametrize("html, want", [
+    # sections of one article, the second without a comma
+    (f"<body><nav><a href=x>[menu]</a></nav><article><h1>[title]</h1><section><h2>[first]</h2><p>{RICH}</p><p>{RICH}</p></section>"
+     f"<section><h2>[second]</h2><p>[x]{PLAIN}</p><p>{PLAIN}</p></section></article></body>", "title first second x"),
+    # sections without an article element, and a heading one level up
+    (f"<body><div><h1>[title]</h1><div><div><p>{RICH}</p><p>{RICH}</p></div><div><h2>[second]</h2><p>{PLAIN}</p><p>{PLAIN}</p></div></div></div></body>",
+     "title second"),
+    # a long list wins; a table, a short list and a wrapped lead stay
+    ("<body><div><div>[lead] stands in its own element</div><ul>" + "<li>[item] entry of the list</li>" * 30 + "</ul><table><tr><td>[cell]</td>"
+     "<td>12</td></tr></table><ol><li>[short]</li></ol></div></body>", "lead item cell short"),
+    # a list in one section of an article
+    ("<main><section><ul>" + "<li>[item] entry of the list</li>" * 30 + f"</ul></section><section><p>[prose]{PLAIN}</p></section></main>", "item prose"),
+    # layout classes
+    (f"<body class=x><div class='page with-sidebar'><article><p>[text]{RICH}</p></article><div class=sidebar><p>[aside]{RICH}</p></div></div></body>", "text"),
+    (f"<body><div id='header-layout no-nav'><p>[text]{RICH}</p><p>{RICH}</p></div><div class=comments><p>[reply] short</p></div></body>", "text"),
+    # comments stay away, however long, and link lists too
+    (f"<body><article><p>[text]{RICH}</p></article><div class=comments>" + f"<article class=comment><p>[reply]{RICH}</p></article>" * 9
+     + "</div><ul><li><a href=x>[other] page</a></li><li><a href=y>[other] page</a></li></ul></body>", "text"),
+])
+def test_whole_articles(html, want):
+    assert parts_of(html) == set(want.split())

@@ -4,9 +4,13 @@ A page is read once into a light element tree. Every paragraph (the text directl
 element) earns points: one, one per comma, and up to three for its length. The points pass to its
 container in full, to the next ancestor by half, and to each further one by a share that falls with
 the distance. A container's score is its points times one minus its link density (the share of its
-characters inside links). The best container is kept, and with it those of its siblings that score well
-against it or are link-poor text of their own. Menus, headers, footers, sidebars, notices, adverts, forms,
-comments and everything that is not text never count, by element or by class and id words.
+characters inside links). The best container is kept, and with it those of its siblings, of any element, that
+score well against it or are link-poor. The same goes for the siblings of each ancestor below an article or
+main element, or below one that has a fair share of its points from other children; above that, link-poor headings.
+
+Menus, headers, footers, sidebars, notices, adverts, forms, comments and everything that is not text never
+count, by element or by class and id words. A class or id word alone does not rule out an element that holds the
+page's article, or most of the page's points where no article stands elsewhere: such words also name layouts.
 
 The text of what is kept: character references decoded, white space inside a block turned into one
 space, blocks joined in page order by one space. Nothing else is dropped or cut.
@@ -55,21 +59,25 @@ PARAGRAPHS = frozenset("p li dt dd td th pre blockquote h1 h2 h3 h4 h5 h6 figcap
 SCOPES = frozenset("ul ol dl table article section div main body html".split())
 
 
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Share of an ancestor's points outside the kept child from which on its other children are looked at.
+SEVERAL = 0.2
+
+
 def _unwanted(name: str, attrs: str) -> bool:
-    if name in DROPPED:
-        return True
-    if not attrs or name in KEPT_NAMES:
-        return False
-    if _HIDDEN.search(attrs):
-        return True
-    return any(not NOT_ARTICLE.isdisjoint(_WORDS.findall("".join(m).lower())) for m in _NAMED.findall(attrs))
+    return name in DROPPED or bool(attrs) and name not in KEPT_NAMES and _HIDDEN.search(attrs) is not None
+
+
+def _marked(name: str, attrs: str) -> bool:
+    """Whether a class, id or role word says that this is not the article."""
+    return bool(attrs) and any(not NOT_ARTICLE.isdisjoint(_WORDS.findall("".join(m).lower())) for m in _NAMED.findall(attrs))
 
 
 class _Page:
-    """Elements as parallel lists: name, parent, dropped; and the text runs in page order."""
+    """Elements as parallel lists: name, parent, dropped, marked by a class word; and the text runs in page order."""
 
     def __init__(self, source: str):
-        self.name, self.parent, self.drop = ["#page"], [-1], [False]
+        self.name, self.parent, self.drop, self.mark = ["#page"], [-1], [False], [False]
         self.runs: list[tuple[int, str, bool]] = []  # block element, text, inside a link
         self.stack = [0]
         self.links = 0
@@ -135,6 +143,7 @@ class _Page:
         self.name.append(name)
         self.parent.append(here)
         self.drop.append(self.drop[here] or _unwanted(name, attrs))
+        self.mark.append(not self.drop[-1] and _marked(name, attrs))
         if not attrs.endswith("/"):
             self.stack.append(len(self.name) - 1)
             self.links += name == "a"
@@ -154,6 +163,27 @@ class _Page:
         return None
 
 
+def _drop_marked(page: _Page, worth: dict[int, float]) -> None:
+    """Drop what a class word marks, unless it holds the page's article or most of the points."""
+    held = [0.0] * len(page.name)
+    for block, points in worth.items():
+        held[block] += points
+    for e in range(len(page.name) - 1, 0, -1):  # parents stand before their children
+        held[page.parent[e]] += held[e]
+    article = max((e for e, name in enumerate(page.name) if name in ("article", "main") and not page.mark[e] and held[e] > 0),
+                  key=lambda e: (held[e], -e), default=0)
+    above, at = set(), article
+    while at >= 0:
+        above.add(at)
+        at = page.parent[at]
+    in_article = [False] * len(page.name)
+    for e in range(1, len(page.name)):
+        in_article[e] = not article or e == article or in_article[page.parent[e]]
+        most = held[e] > 0.5 * held[0] and in_article[e]
+        marked = page.mark[e] and page.name[e] not in KEPT_NAMES and not (article and e in above) and not most
+        page.drop[e] = page.drop[e] or marked or page.drop[page.parent[e]]
+
+
 def main_text(source: str | None) -> str:
     """The main text of one page."""
     if not source or not source.strip():
@@ -166,40 +196,60 @@ def main_text(source: str | None) -> str:
         commas[block] = commas.get(block, 0) + text.count(",") + text.count("，") + text.count("、")
         if link:
             linked[block] = linked.get(block, 0) + n
+    worth = {block: 1 + commas[block] + min(3.0, n / 100) for block, n in size.items() if n}
+    if any(page.mark):
+        _drop_marked(page, worth)
     points: dict[int, float] = {}
-    total, links = [0] * len(page.name), [0] * len(page.name)
-    for block, n in size.items():
-        if not n:
+    total, links, held = [0] * len(page.name), [0] * len(page.name), [0.0] * len(page.name)
+    for block, value in worth.items():
+        if page.drop[block]:
             continue
-        worth = 1 + commas[block] + min(3.0, n / 100)
         at = page.parent[block] if page.name[block] in PARAGRAPHS and block else block
         level = 0
         while at >= 0:
-            points[at] = points.get(at, 0.0) + (worth if level == 0 else worth / 2 if level == 1 else worth / (3 * level))
+            points[at] = points.get(at, 0.0) + (value if level == 0 else value / 2 if level == 1 else value / (3 * level))
             at, level = page.parent[at], level + 1
         at = block
         while at >= 0:
-            total[at] += n
+            total[at] += size[block]
             links[at] += linked.get(block, 0)
+            held[at] += value
             at = page.parent[at]
     if not points:
         return ""
     score = {e: p * (1 - links[e] / total[e]) for e, p in points.items()}
     best = max(score, key=lambda e: (score[e], e))
-    keep = {best}
-    floor = max(10.0, 0.2 * score[best])
+    children: dict[int, list[int]] = {}
     for e in range(1, len(page.name)):
-        if page.parent[e] == page.parent[best] and e != best and total[e] and not page.drop[e]:
-            density = links[e] / total[e]
-            own_text = page.name[e] in PARAGRAPHS and (density < 0.25 if total[e] > 80 else density == 0)
-            if score.get(e, 0.0) >= floor or own_text:
+        if total[e] and not page.drop[e]:
+            children.setdefault(page.parent[e], []).append(e)
+
+    def poor(length: int, in_links: int) -> bool:
+        return length > 0 and (in_links < 0.25 * length if length > 80 else in_links == 0)
+
+    path = [best]  # the best container and its ancestors
+    while page.parent[path[-1]] >= 0:
+        path.append(page.parent[path[-1]])
+    top = min(1, len(path) - 1)  # up to here, the other children are looked at
+    for k in range(1, len(path)):
+        others = sum(held[e] for e in children.get(path[k], ()) if e != path[k - 1] and poor(total[e], links[e]))
+        if others and (page.name[path[k]] in ("article", "main") or others >= SEVERAL * held[path[k - 1]]):
+            top = k
+    keep, direct = {best}, set()
+    for k in range(1, len(path)):
+        here = path[k]
+        for e in children.get(here, ()):
+            if e != path[k - 1] and (poor(total[e], links[e]) and (k <= top or page.name[e] in HEADINGS)
+                                     or k <= top and score.get(e, 0.0) >= 0.2 * score[best]):
                 keep.add(e)
+        if k <= top and poor(size.get(here, 0), linked.get(here, 0)):
+            direct.add(here)
     inside = [False] * len(page.name)
     for e in range(len(page.name)):
-        inside[e] = e in keep or (e > 0 and inside[page.parent[e]])
+        inside[e] = not page.drop[e] and (e in keep or (e > 0 and inside[page.parent[e]]))
     out, last = [], None
     for block, text, _ in page.runs:
-        if inside[block]:
+        if inside[block] or block in direct:
             if block != last:
                 out.append(" ")
                 last = block
