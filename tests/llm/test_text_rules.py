@@ -149,3 +149,23 @@ def parts_of(html):
 ])
 def test_whole_articles(html, want):
     assert parts_of(html) == set(want.split())
+
+
+def test_licence_cut_covers_all_paragraphs(spark):
+    scored = spark.createDataFrame([(k if k < 5000 else None, p) for k, p in enumerate([i / 10_000 for i in range(4980)] + [
+        0.6 + i / 100 for i in range(20)] + [0.99] * 30)] * 2, "h long, probability double")
+    distinct = [i / 10_000 for i in range(4980)] + [0.6 + i / 100 for i in range(20)]
+    assert licences.calibrate(scored) == pytest.approx(np.quantile(distinct, 0.999))
+    one_odd = scored.where("h < 4980").unionByName(spark.createDataFrame([(9000, 0.98)], scored.schema))
+    assert licences.calibrate(one_odd) == 0.5
+    assert licences.calibrate(scored.limit(0)) == 0.5
+
+
+def test_licence_negatives_are_different_paragraphs(spark):
+    t = licences.Training(negatives=40)
+    lines = [f"some words of line {k} here" for k in range(300)]
+    hashes = {r["w"]: r["h"] for r in spark.createDataFrame([(x,) for x in lines], "w string").selectExpr("w", "xxhash64(split(w, ' ')) h").collect()}
+    smallest = min(lines, key=hashes.get)
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate(lines + ["\n".join([smallest] * 1000)])], "doc_id long, text string")
+    got = licences._negatives(docs, "text", licences._pool(licences.templates(spark)), t).collect()
+    assert [" ".join(r["words"]) for r in got] == sorted(lines, key=hashes.get)[:40]

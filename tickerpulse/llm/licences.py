@@ -5,11 +5,12 @@ of the vocabulary of the licence templates; a multinomial logistic regression wi
 each family's and the unknown class's probability.
 
 * **Training.** Positives are the template sentences, alone and in runs; negatives are paragraphs of the
-  corpus that share little with any template: a sample of ``Training.negatives`` rows, the
-  ones with the smallest hash, so it does not depend on the order of the table.
-* **Calibration.** Every second negative is kept from the fit. The cut that a family's probability has to
-  pass is the largest of ``Training.least_probability`` and the ``1 - false_rate`` quantile of the best
-  family probability over these unseen negatives; below it a paragraph is ``unknown``.
+  corpus that share little with any template: of the ``Training.negatives`` different ones with the smallest
+  hash every second one, so the sample depends neither on the order of the table nor on repeated lines.
+* **Calibration.** The cut that a family's probability has to pass is the largest of
+  ``Training.least_probability`` and the ``1 - false_rate`` quantile of the best family probability over all
+  different paragraphs of the corpus that share little with any template and were not fitted on; below it a
+  paragraph is ``unknown``. Paragraphs are scored once, and the scores stored for both uses.
 * **Confirmation.** A predicted family stands only if a template sentence of that family has at least
   ``overlap`` of its word pairs in the paragraph, or the paragraph has that share of its pairs in one.
 
@@ -20,6 +21,7 @@ licence; repeated rows and null ids are scanned one by one; an empty table gives
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -28,6 +30,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from .common import checkpointed, keyed, once
 
 # fixed values: customary notices of each family
@@ -67,6 +70,8 @@ TEMPLATES = {
 }
 UNKNOWN = "unknown"
 FAMILIES = (UNKNOWN, *sorted(TEMPLATES))
+LEAST_WORDS = 3  # of a negative
+SHARED = 0.3  # largest share of a negative's word pairs that templates have
 
 
 @dataclass(frozen=True)
@@ -114,6 +119,8 @@ class LicenceModel:
     vocabulary: CountVectorizerModel
     regression: LogisticRegressionModel
     cut: float
+    #: Dissimilar paragraphs of even hash up to this one were fitted on.
+    fitted_to: int | None
 
     def predict(self, df: DataFrame) -> DataFrame:
         """``df`` with ``family`` and ``probability``: the best family, whatever the unknown class has."""
@@ -124,40 +131,99 @@ class LicenceModel:
         return p.select(*df.columns, best.alias("probability"), name.alias("family"))
 
 
-def _dissimilar(words: DataFrame, known: DataFrame, share: float) -> DataFrame:
-    """Rows whose word pairs are mostly not template pairs; pairs of all templates are one small array."""
-    pool = known.agg(F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pool"))  # bounded by TEMPLATES
-    own = words.select("words", once(_pairs(F.col("words"))).alias("pairs")).crossJoin(F.broadcast(pool))
-    return own.where(F.size(F.array_intersect("pairs", "pool")) <= share * F.size("pairs")).select("words")
+def _is_dissimilar(pairs: Column, pool: Column, share: float) -> Column:
+    """Whether word pairs are mostly not template pairs."""
+    return F.size(F.array_intersect(pairs, pool)) <= share * F.size(pairs)
 
 
-def train(docs: DataFrame, text_col: str = "text", t: Training = Training()) -> LicenceModel:
-    """The classifier and its calibrated cut."""
+def _pool(known: DataFrame) -> Column:
+    """The pairs of all templates: one small array, bounded by TEMPLATES."""
+    pairs = sorted({p for r in known.select("pairs").collect() for p in r["pairs"]})
+    return F.lit(pairs) if pairs else F.array().cast("array<string>")
+
+
+def _negatives(docs: DataFrame, text_col: str, pool: Column, t: Training) -> DataFrame:
+    """``(h, words)``: the ``t.negatives`` different dissimilar paragraphs with the smallest hashes, if there are as many."""
+    lines = paragraphs(docs, text_col, docs.columns[0]).where(F.size("words") >= LEAST_WORDS).select(
+        F.xxhash64("words").alias("h"), "words")
+    wanted = 4 * t.negatives
+    while True:
+        hashes = checkpointed(lines.select("h").distinct().orderBy("h").limit(wanted))  # of 8 bytes a row
+        edge = hashes.agg(F.max("h").alias("edge"), F.count("*").alias("n")).first()
+        near = lines.where(F.col("h") <= F.lit(edge["edge"])).distinct()
+        unlike = near.where(_is_dissimilar(_pairs(F.col("words")), pool, SHARED))
+        found = checkpointed(unlike.orderBy("h", "words").limit(t.negatives))
+        if edge["n"] < wanted or found.count() >= t.negatives:
+            return found
+        wanted *= 4
+
+
+def fit(docs: DataFrame, text_col: str = "text", t: Training = Training()) -> LicenceModel:
+    """The classifier, not calibrated yet (cut 0)."""
     known = checkpointed(templates(docs.sparkSession))
-    order = F.xxhash64(F.col("words"))
-    pool = paragraphs(docs, text_col, docs.columns[0]).where(F.size("words") >= 3).select("words")
-    # the wanted rows have the smallest hashes: a cut-off that leaves about eight times as many documents' worth
-    # of them keeps the merge of the tasks' candidates small at any number of tasks
-    share = 8 * 4 * t.negatives / max(1, docs.count())
-    if share < 1:
-        pool = pool.where(order <= F.lit(int(share * (1 << 64)) - (1 << 63)))
-    sample = checkpointed(pool.orderBy(order, "words").limit(4 * t.negatives))
-    negatives = checkpointed(_dissimilar(sample.distinct(), known, 0.3).limit(t.negatives).withColumn("half", F.pmod(order, F.lit(2))))
+    negatives = _negatives(docs, text_col, _pool(known), t)
+    edge = negatives.agg(F.max("h").alias("edge")).first()["edge"]
     label = F.array_position(F.array(*map(F.lit, FAMILIES)), F.col("family")).cast("double") - 1
     runs = known.groupBy("family").agg(F.flatten(F.collect_list("words")).alias("words"))
     positives = known.select("family", "words").unionByName(runs).select(label.alias("label"), "words", F.lit(20.0).alias("weight"))
-    fit_on = positives.unionByName(negatives.where("half = 0").select(F.lit(0.0).alias("label"), "words", F.lit(1.0).alias("weight")))
+    fit_on = positives.unionByName(negatives.where(F.pmod("h", F.lit(2)) == 0).select(F.lit(0.0).alias("label"), "words", F.lit(1.0).alias("weight")))
     vocabulary = CountVectorizer(inputCol="grams", outputCol="__counts", binary=True, vocabSize=1 << 16).fit(_grams(known))
     regression = LogisticRegression(featuresCol="__counts", labelCol="label", weightCol="weight", probabilityCol="__probability",
                                     predictionCol="__prediction", rawPredictionCol="__raw", family="multinomial",
                                     regParam=t.penalty, elasticNetParam=1.0, standardization=False, maxIter=60)
-    model = LicenceModel(vocabulary, regression.fit(vocabulary.transform(_grams(checkpointed(fit_on)))), 0.0)
-    unseen = model.predict(negatives.where("half = 1").select("words"))
-    high = unseen.agg(F.percentile("probability", F.lit(1 - t.false_rate)).alias("q")).first()["q"]
-    model.cut = max(t.least_probability, high or 0.0)
+    return LicenceModel(vocabulary, regression.fit(vocabulary.transform(_grams(checkpointed(fit_on)))), 0.0, edge)
+
+
+def train(docs: DataFrame, text_col: str = "text", t: Training = Training()) -> LicenceModel:
+    """The classifier and its calibrated cut."""
+    model = fit(docs, text_col, t)
+    model.cut = calibrate(scores(docs, model, text_col, docs.columns[0], t), t)
     return model
 
 
+def scores(docs: DataFrame, model: LicenceModel, text_col: str = "text", id_col: str = "doc_id", t: Training = Training()) -> DataFrame:
+    """``(uid, doc_id, probability, family, alike, h)`` of every paragraph, stored: ``family`` and ``alike`` (whether a
+    template confirms it) where the probability passes the least one, ``h`` where the paragraph calibrates."""
+    found = model.predict(paragraphs(docs, text_col, id_col))
+    known = templates(docs.sparkSession)
+    h = F.xxhash64("words")
+    seen = F.lit(False) if model.fitted_to is None else (h <= F.lit(model.fitted_to)) & (F.pmod(h, F.lit(2)) == 0)
+    unlike = _is_dissimilar(_pairs(F.col("words")), _pool(known), SHARED)
+    calibrates = F.when((F.size("words") >= LEAST_WORDS) & ~seen, F.when(unlike, h))
+    by_family = F.broadcast(known.groupBy("family").agg(F.collect_list("pairs").alias("known")))
+    likely = found.withColumn("family", F.when((F.col("probability") > t.least_probability) & (F.size("words") > 0), F.col("family")))
+    own = F.when(F.col("family").isNotNull(), _pairs(F.col("words")))
+    checked = likely.withColumn("own", own).join(by_family, "family", "left")
+    alike = F.exists("known", lambda k: F.size(F.array_intersect("own", k)) >= t.overlap * F.least(
+        F.size(k), F.greatest(F.size("own"), F.lit(2))))
+    path = scratch_path(docs.sparkSession, "licence-scores")
+    checked.select("uid", "doc_id", "probability", "family", F.when(F.col("family").isNotNull(), alike).alias("alike"),
+                   calibrates.alias("h")).write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
+def calibrate(scored: DataFrame, t: Training = Training()) -> float:
+    """The cut, from the scores of all different paragraphs that calibrate."""
+    each = scored.where("h IS NOT NULL").groupBy("h").agg(F.max("probability").alias("p"))
+    above = F.col("p") > t.least_probability
+    n, high, below = each.agg(F.count("*"), F.count_if(above), F.max(F.when(~above, F.col("p")))).first()
+    place = (n - 1) * (1 - t.false_rate)  # of the quantile in ascending order, from 0
+    if not n or place <= n - high - 1:
+        return t.least_probability
+    # the quantile lies between two neighbouring values, the lower one of which may be the largest below
+    ranks = [math.floor(place) - (n - high), math.ceil(place) - (n - high)]
+    top = scored.where(F.col("h").isNotNull() & (F.col("probability") > t.least_probability)).groupBy("h").agg(
+        F.max("probability").alias("p"))
+    found = [below if r < 0 else _ranked(top, r, high) for r in ranks]
+    return max(t.least_probability, found[0] + (place - math.floor(place)) * (found[1] - found[0]))
+
+
+def _ranked(top: DataFrame, rank: int, n: int) -> float:
+    """The value of ``top.p`` at ``rank`` of ``n`` from 0, exactly: the percentile there needs no interpolation."""
+    counts = top.groupBy("p").agg(F.count("*").alias("n"))
+    return counts.agg(F.expr(f"percentile(p, {rank / max(1, n - 1)!r}D, n)")).first()[0]
+
+
 def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", t: Training = Training(),
          model: LicenceModel | None = None) -> DataFrame:
     """``doc_id, licence, families, n_paragraphs, probability`` of every row.
@@ -165,15 +231,9 @@ def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", t: Tra
     ``families`` lists the confirmed families, ``licence`` is the one of the most probable paragraph
     (``none`` without one), ``n_paragraphs`` counts confirmed paragraphs.
     """
-    model = model or train(docs, text_col, t)
-    found = model.predict(paragraphs(docs, text_col, id_col))
-    by_family = F.broadcast(templates(docs.sparkSession).groupBy("family").agg(F.collect_list("pairs").alias("known")))
-    likely = found.withColumn("family", F.when((F.col("probability") > model.cut) & (F.size("words") > 0), F.col("family")))
-    own = F.when(F.col("family").isNotNull(), _pairs(F.col("words")))
-    checked = likely.withColumn("own", own).join(by_family, "family", "left")
-    alike = F.exists("known", lambda k: F.size(F.array_intersect("own", k)) >= t.overlap * F.least(
-        F.size(k), F.greatest(F.size("own"), F.lit(2))))
-    confirmed = F.coalesce(F.col("family").isNotNull() & alike, F.lit(False))
+    checked = scores(docs, model or fit(docs, text_col, t), text_col, id_col, t)
+    cut = model.cut if model else calibrate(checked, t)
+    confirmed = F.coalesce((F.col("probability") > cut) & F.col("alike"), F.lit(False))
     rows = checked.select("uid", "doc_id", F.when(confirmed, F.col("family")).alias("family"),
                           F.when(confirmed, F.col("probability")).alias("probability"))
     each = rows.groupBy("uid", "doc_id").agg(
