@@ -245,3 +245,16 @@ def test_secret_parts_link_at_a_gap_of_the_scope_wherever_they_stand(spark):
     span = "array<struct<start:bigint,kind:string,end:bigint>>"
     table = spark.createDataFrame(rows, f"uid long, base {span}, weak {span}")
     assert {tuple(r) for r in secrets.linked_parts(table, scope).collect()} == want
+
+
+def test_bootstrap_follows_a_chain_of_any_length(spark):
+    edges = []
+    for k in range(8):  # pattern k holds instances of step k, mostly, and some of step k + 1
+        for x in "abc":
+            edges += [(f"p{k}", f"{x}{k}", k == 0, 10), (f"p{k}", f"{x}{k + 1}", False, 1)]
+    edges += [("the", f"{x}3", False, 1) for x in "abc"]
+    table = spark.createDataFrame(edges, "pattern string, instance string, seed boolean, n long").cache()
+    totals = spark.createDataFrame([(f"p{k}", 33) for k in range(8)] + [("the", 500)], "pattern string, total long")
+    conf, scores = pii.bootstrap(table, totals)
+    assert {r["pattern"] for r in conf.collect()} == {f"p{k}" for k in range(8)}
+    assert {r["instance"] for r in scores.collect()} == {f"{x}{k}" for x in "abc" for k in range(9)}

@@ -13,7 +13,8 @@ that finds identifiers no pattern describes:
   for an identifier, each weighted by its score; it needs ``min_support`` distinct instances. An
   instance's score is the noisy-or of its accepted patterns' confidences; seeds score 1. Instances of
   score ``accept`` or more are held for identifiers in the next round, so patterns found late can find
-  more. Words like "the" occur mostly before other words, and so never become patterns.
+  more. Confidences and scores only grow, and rounds go on until no pattern or instance is added and they
+  stand still, so a chain of any length is followed. Words like "the" occur mostly before other words, and so never become patterns.
 * **Discovery.** Mentions of held instances after an accepted pattern become spans of kind ``found``,
   unless they touch a base span.
 
@@ -40,6 +41,8 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BROADCAST_ROWS = 200_000
+#: Relative growth of the summed confidences and scores from which on a round has changed nothing.
+STILL = 1e-6
 KINDS = ("email", "ip", "card", "phone")
 #: A run of identifier characters with a digit; its value must hold five digits (checked afterwards).
 CANDIDATE = r"(?<![\p{L}\p{N}./_+#@-])(?=[\p{L}./_+#@-]*+[0-9])[\p{L}\p{N}./_+#@-]{5,}+"
@@ -48,7 +51,6 @@ MASK = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]",
 
 @dataclass(frozen=True)
 class Bootstrap:
-    rounds: int = 3
     min_support: int = 3
     min_confidence: float = 0.5
     accept: float = 0.5
@@ -152,7 +154,8 @@ def bootstrap(edges: DataFrame, totals: DataFrame, p: Bootstrap = Bootstrap()) -
     ``edges`` hold only patterns of ``totals``; both are checkpointed tables.
     """
     scores = edges.where("seed").select("instance").distinct().withColumn("score", F.lit(1.0))
-    for _ in range(p.rounds):
+    before = None
+    while True:
         held = edges.join(scores, "instance")
         strength = held.groupBy("pattern").agg(F.sum(F.col("n") * F.col("score")).alias("hits"),
                                                F.count("*").alias("support"))
@@ -166,7 +169,11 @@ def bootstrap(edges: DataFrame, totals: DataFrame, p: Bootstrap = Bootstrap()) -
         reached = scores.where((F.col("noisy_or") >= p.accept) & ~F.col("seed")).select("instance", F.col("noisy_or").alias("score"))
         seeds = edges.where("seed").select("instance").distinct().withColumn("score", F.lit(1.0))
         scores = checkpointed(seeds.unionByName(reached))
-    return conf, scores
+        now = (*conf.agg(F.count("*"), F.coalesce(F.sum("confidence"), F.lit(0.0))).first(),
+               *scores.agg(F.count("*"), F.coalesce(F.sum("score"), F.lit(0.0))).first())
+        if before and now[0] == before[0] and now[2] == before[2] and now[1] + now[3] - before[1] - before[3] <= STILL * (now[1] + now[3]):
+            return conf, scores
+        before = now
 
 
 def find_personal_data(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
