@@ -2,7 +2,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from paths import SF01
 from tickerpulse.operators import market
 from tickerpulse.sources import fixtures as fx
 

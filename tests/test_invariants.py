@@ -1,7 +1,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from paths import SF01
 from tickerpulse.operators import gates, market, shock, trades
 from tickerpulse.sources import fixtures as fx
 

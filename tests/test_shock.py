@@ -3,7 +3,7 @@ import datetime as dt
 import duckdb
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from paths import SF01
 from tickerpulse.operators import daily, shock
 from tickerpulse.plans.registry import all_queries
 from tickerpulse.sources import fixtures as fx
