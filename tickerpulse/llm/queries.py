@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, katz, licences, packing, pii, quality_model, quality_rules, secrets, simhash, sql
+from . import decontaminate, html_text, katz, licences, packing, periodic, pii, quality_model, quality_rules, secrets, simhash, sql
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -66,9 +67,24 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def planted_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words that op13's contract looks at: every tenth document's tail is made periodic. Null ids stay as they are."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    a = h // 10 % n
+    p = 1 + (n - a) // (3 + h // 10 % 8)
+    return words[:a] + (words[a:a + p] * (n // p + 1))[:n - a]
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document: at least six words and four periods long."""
+    return periodic.digest(periodic.find_runs(table(spark, sf_dir, "documents"), words_of=planted_period))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_decontaminate, op2_html_text, op3_quality_model, op4_quality_rules, op5_packing, op6_secrets, op7_katz, op8_simhash,
-        op9_pii, op10_licences)}
+        op9_pii, op10_licences, op13_runs)}
 
 SQL: dict[str, str] = {"op1_decontaminate": sql.OP1, "op4_quality_rules": sql.OP4}
