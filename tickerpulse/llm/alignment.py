@@ -5,8 +5,8 @@ the space itself. A place where tokens of both end closes a group; the A and B t
 linked. A pair's count is the number of its links in the whole corpus.
 
 1. **First pass.** Every task aligns its documents and adds up its links by pair. Both tokenizers cut
-   between a character that is no white space and a space, so stretches between such cuts are aligned
-   by themselves, each different one once, and kept in a bounded memo.
+   between a character that is no white space and a space (and around a single line end), so stretches
+   between such cuts are aligned by themselves, each different one once, and kept in a bounded memo.
 2. **Minimal perfect hash.** The distinct pairs are dealt into parts of bounded size; each part's task
    finds, level by level, the places that only one of its keys hashes to and sets their bits; the others
    go to the next level. A key's number is the rank of its bit over all parts: 0 to n - 1, without gaps.
@@ -31,7 +31,7 @@ import os
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import accumulate, chain, count
+from itertools import chain, compress, count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +47,6 @@ SHIFT = 24
 _CUT = re.compile(r"(?<=\S)(?= )(?! \Z)")  # a space alone at the end stays with its word: B adds none to nothing
 _LATIN = re.compile("[\\x00-\u024f]*")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
-_WIDE = re.compile(r"\s | \Z")
 
 
 @dataclass(frozen=True)
@@ -61,11 +60,15 @@ class Sizes:
     branch: int = 16
 
 
-UNSPELT = ("", 0, 0, 0, ())
+_SEPARATORS = ",|;\n"  # after a token in the groups string; a line end closes a stretch
 
 
 class Aligner:
-    """Alignment of whole texts, by stretches that both tokenizers cut at."""
+    """Alignment of whole texts, by stretches that both tokenizers cut at.
+
+    A stretch's key is its text without the space it begins with; one that begins with a line end, and one
+    with white space inside or at its end, is its own key (the latter begin with a space, the former never does).
+    """
 
     def __init__(self, path_a: str, path_b: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task, one core
@@ -75,21 +78,24 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_file=path_b)
         shown = {c: bytes([k]) for k, c in _BYTES.items()}
-        size = set(self.a.get_vocab(with_added_tokens=True).values())
-        self.bytes_a = {i: b"".join(shown.get(c) or c.encode("latin-1") for c in t)
-                        for t, i in self.a.get_vocab(with_added_tokens=False).items()}
+        self.bytes_a = [b""] * (max(self.a.get_vocab(with_added_tokens=True).values(), default=0) + 1)
+        for t, i in self.a.get_vocab(with_added_tokens=False).items():
+            self.bytes_a[i] = b"".join(shown.get(c) or c.encode("latin-1") for c in t)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(m[1], 16)]) if (m := _BYTE.fullmatch(p)) else p.replace("▁", " ").encode() for p in pieces]
-        if len(pieces) > 1 << SHIFT or max(size, default=0) >= 1 << 31:
+        if len(pieces) > 1 << SHIFT or len(self.bytes_a) > 1 << 31:
             raise ValueError("too many token ids for a pair of 55 bits")
         # A's split pattern ends a token before white space; a piece of B may begin with spaces, but one
-        # with a space further on could reach over a cut
+        # with a space further on could reach over a cut, and so could one with a line end
         shape = json.loads(self.a.to_str())
         split = shape["pre_tokenizer"] or {}
         byte_level = (split.get("type"), split.get("use_regex"), split.get("add_prefix_space")) == ("ByteLevel", True, False)
         self.cuts = byte_level and not any("▁" in p.lstrip("▁") for p in pieces)
+        self.lines = self.cuts and not any("\n" in p for p in pieces) and self.b.encode("\n", out_type=str) == ["▁", "<0x0A>"]
         self.fast = self._ranked(shape) if byte_level else None
-        self.shown = list(map(str, range(max(len(pieces), max(size, default=0) + 1))))
+        self.size_a, self.size_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
+        self.ids = max(len(self.bytes_a), len(pieces))
+        self.shown = [f"{i}{c}" for c in _SEPARATORS for i in range(self.ids)]
         self.clear()
 
     def clear(self) -> None:
@@ -111,57 +117,88 @@ class Aligner:
         merged = [vocab.get("".join(m) if isinstance(m, list) else m.replace(" ", "", 1), -1) for m in shape["model"]["merges"]]
         if shape["normalizer"] or any(a >= b for a, b in zip([255, *merged], merged)):
             return None
-        return tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks={t: i for i, t in self.bytes_a.items()}, special_tokens={})
-
-    def _ids_a(self, stretches: list[str]) -> list[list[int]]:
-        """A's ids; by ranks for characters that every version of the split pattern sorts alike."""
-        if not self.fast:
-            return [c.ids for c in self.a.encode_batch_fast(stretches, add_special_tokens=False)]
-        rest = [s for s in stretches if not _LATIN.fullmatch(s)]
-        slow = iter([c.ids for c in self.a.encode_batch_fast(rest, add_special_tokens=False)])
-        encode = self.fast.encode_ordinary
-        return [encode(s) if _LATIN.fullmatch(s) else next(slow) for s in stretches]
-
-    def _align(self, stretch: str, a: list[int], b: list[int]) -> tuple:
-        """``groups, n_a, n_b, n_groups, pairs`` of one stretch; ``UNSPELT`` if the tokens do not spell it."""
-        out_a, out_b = [self.bytes_a.get(i, b"") for i in a], [self.bytes_b[i] for i in b]
-        raw = stretch.encode()
-        if b"".join(out_a) != raw or b"".join(out_b) != raw:
-            return UNSPELT
-        after_a = dict(zip(accumulate(map(len, out_a)), count(1)))  # by end: tokens of A up to there
-        shown = self.shown
-        groups, pairs = [], []
-        first_a = first_b = 0
-        for j, end in enumerate(accumulate(map(len, out_b)), 1):
-            i = after_a.get(end)
-            if i:
-                left = shown[a[first_a]] if i - first_a == 1 else ",".join([shown[x] for x in a[first_a:i]])
-                right = shown[b[first_b]] if j - first_b == 1 else ",".join([shown[x] for x in b[first_b:j]])
-                groups.append(f"{left}|{right}")
-                pairs.append(a[i - 1] << SHIFT | b[j - 1])
-                first_a, first_b = i, j
-        return ";".join(groups), len(a), len(b), len(groups), tuple(pairs)
+        return tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks={self.bytes_a[i]: i for i in vocab.values()}, special_tokens={})
 
     def stretches(self, text: str) -> list[str]:
-        """A space and the text, cut where neither tokenizer reaches over; each stretch without the space it begins with."""
+        """Keys of the text's stretches; some may be no keys (``irregular``): then ``cut_exactly``."""
+        if not self.cuts:
+            return [" " + text]
+        if "  " in text or text[0] in " \n" or text[-1] in " \n" or "\n\n" in text or "\n " in text or " \n" in text:
+            return self.cut_exactly(text)
+        return (text.replace("\n", " \n") if self.lines else text).split(" ")
+
+    @staticmethod
+    def irregular(key: str) -> bool:
+        """A piece between two spaces (or a space and a line end) that does not end where both tokenizers cut."""
+        return not key or (key[0] != " " and key[-1].isspace())
+
+    def cut_exactly(self, text: str) -> list[str]:
+        """Keys of the stretches between a character that is no white space and a space."""
         if not self.cuts:
-            return [text]
-        if _WIDE.search(" " + text):
-            return [s[1:] for s in _CUT.split(" " + text)]
-        return text.split(" ")
-
-    def learn(self, missing: list[str]) -> None:
-        """Align stretches that the memo lacks."""
-        whole = [" " + s for s in missing]
-        found = list(map(self._align, whole, self._ids_a(whole), self.b.encode(missing, num_threads=1)))
-        self.memo.update(zip(missing, count(len(self.memo))))
-        groups, *numbers, pairs = zip(*found)
+            return [" " + text]
+        return [s if len(s.split()) != 1 or s[1].isspace() or s[-1].isspace() else s[1:] for s in _CUT.split(" " + text)]
+
+    def learn(self, keys: list[str]) -> None:
+        """Align stretches that the memo lacks. Plain ones are put together for A, which cuts between them anyway,
+        by ranks if their characters are sorted alike by every version of the split pattern."""
+        plain, odd = [k for k in keys if k[0] != " "], [k for k in keys if k[0] == " "]
+        groups = [(plain, True)]
+        if not self.fast or not _LATIN.fullmatch("".join(plain)):
+            latin = [bool(self.fast and _LATIN.fullmatch(k)) for k in plain]
+            groups = [(list(compress(plain, latin)), True), ([k for k, x in zip(plain, latin) if not x], False)]
+        for own, by_rank in groups:
+            if own:
+                text = "".join([k if k[0] == "\n" else " " + k for k in own])
+                self._learn(own, text, self.fast.encode_ordinary(text) if by_rank else self.a.encode(text, add_special_tokens=False).ids)
+        if odd:
+            coded = self.a.encode_batch_fast(odd, add_special_tokens=False)
+            self._learn(odd, "".join(odd), list(chain.from_iterable([c.ids for c in coded])))
+
+    def _learn(self, keys: list[str], joined: str, ids_a: list[int]) -> None:
+        """Align stretches that make up ``joined`` and whose A tokens, one stretch after the other, are ``ids_a``."""
+        odd = keys[0][0] == " "
+        coded = self.b.encode([k[1:] for k in keys] if odd else keys, num_threads=1)
+        line = [k[0] == "\n" for k in keys]
+        if any(line):
+            coded = [c[1:] if x else c for c, x in zip(coded, line)]  # B adds a space where the text has none
+        text = joined.encode()
+        size = np.array(list(map(len, keys if joined.isascii() else map(str.encode, keys))), np.int64)
+        if not odd:
+            size += 1 - np.array(line, np.int64)
+        a, n_b = np.array(ids_a, np.int64), np.array(list(map(len, coded)), np.int64)
+        b = np.fromiter(chain.from_iterable(coded), np.int64, int(n_b.sum()))
+        if b"".join(map(self.bytes_a.__getitem__, ids_a)) != text:
+            raise ValueError("tokenizer A does not spell its text")
+        ends, end_a, end_b = np.cumsum(size), np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        bad = _by_owner(self.size_b[b], n_b) != size
+        if not bad.any() and b"".join(map(self.bytes_b.__getitem__, b.tolist())) != text:
+            bad = np.array([b"".join(map(self.bytes_b.__getitem__, c)) != text[e - n:e] for c, e, n in zip(coded, ends.tolist(), size.tolist())])
+        if bad.any():  # the others by themselves
+            good = ~bad
+            self._note(list(compress(keys, bad)), [""] * int(bad.sum()), np.zeros((3, int(bad.sum())), np.int64), np.zeros(0, np.int64), True)
+            if good.any():
+                rest = b"".join([text[e - n:e] for e, n, g in zip(ends.tolist(), size.tolist(), good.tolist()) if g]).decode()
+                self._learn(list(compress(keys, good)), rest, a[np.repeat(good, size)[end_a - 1]].tolist())
+            return
+        common = np.intersect1d(end_a, end_b, assume_unique=True)
+        last_a, last_b = np.searchsorted(end_a, common), np.searchsorted(end_b, common)
+        group_a, group_b = np.searchsorted(common, end_a), np.searchsorted(common, end_b)
+        # the groups string: A's tokens of a group, B's tokens of it, the next group
+        order = np.empty(len(a) + len(b), np.int64)
+        before = np.append(0, last_b + 1)[group_a]
+        order[np.arange(len(a)) + before] = a + np.where(last_a[group_a] == np.arange(len(a)), self.ids, 0)
+        closes = np.where(np.isin(common, ends, assume_unique=True), 3 * self.ids, 2 * self.ids)
+        order[np.arange(len(b)) + last_a[group_b] + 1] = b + np.where(last_b[group_b] == np.arange(len(b)), closes[group_b], 0)
+        groups = "".join(map(self.shown.__getitem__, order.tolist())).split("\n")[:-1]
+        n_a, n_groups = (np.diff(np.searchsorted(x, ends, side="right"), prepend=0) for x in (end_a, common))
+        self._note(keys, groups, np.stack([n_a, n_b, n_groups]), a[last_a] << SHIFT | b[last_b], False)
+
+    def _note(self, keys: list[str], groups: list[str], numbers: np.ndarray, pairs: np.ndarray, unspelt: bool) -> None:
+        self.memo.update(zip(keys, count(len(self.memo))))
         self.groups.extend(groups)
-        self.numbers = np.hstack([self.numbers, np.array(numbers, np.int64)])
-        sizes = np.fromiter(map(len, pairs), np.int64, len(pairs))
-        self.sizes = np.append(self.sizes, sizes)
-        self.pairs = np.append(self.pairs, np.fromiter(chain.from_iterable(pairs), np.int64, int(sizes.sum())))
-        self.unspelt = np.append(self.unspelt, [f is UNSPELT for f in found])
+        self.numbers = np.hstack([self.numbers, numbers])
+        self.sizes, self.pairs = np.append(self.sizes, numbers[2]), np.append(self.pairs, pairs)
+        self.unspelt = np.append(self.unspelt, np.full(len(keys), unspelt))
 
 
 _LOADED: dict[tuple[str, str], Aligner] = {}
@@ -186,16 +223,31 @@ class Group:
 
     def __init__(self, align: Aligner, texts: list[str | None]):
         cut = [align.stretches(t) if t else [] for t in texts]
-        missing = [s for s in set(chain.from_iterable(cut)) if s not in align.memo]
+        flat, which = self._look_up(align, cut)
+        missing = np.flatnonzero(which < 0).tolist()
+        own = [flat[i] for i in missing]
+        bad = {k for k in dict.fromkeys(own) if align.irregular(k)}
+        if bad:
+            places = [i for i, k in zip(missing, own) if k in bad]
+            again = set((np.searchsorted(self.starts, places, side="right") - 1).tolist())
+            cut = [align.cut_exactly(t) if k in again else own for k, (t, own) in enumerate(zip(texts, cut))]
+            flat, which = self._look_up(align, cut)
+            missing = np.flatnonzero(which < 0).tolist()
+            own = [flat[i] for i in missing]
         if missing:
-            align.learn(missing)
+            align.learn(list(dict.fromkeys(own)))
+            which[missing] = [align.memo[k] for k in own]
         self.align, self.texts = align, len(texts)
-        self.starts = np.concatenate(([0], np.cumsum([len(own) for own in cut], dtype=np.int64)))
-        which = np.fromiter(map(align.memo.__getitem__, chain.from_iterable(cut)), np.int64, int(self.starts[-1]))
         wrong = _by_owner(align.unspelt[which], np.diff(self.starts))
         self.spelt = wrong == 0
         self.used, self.which = which[np.repeat(self.spelt, np.diff(self.starts))], which
 
+    def _look_up(self, align: Aligner, cut: list[list[str]]) -> tuple[list[str], np.ndarray]:
+        """All keys, and their numbers in the memo (-1: not there)."""
+        flat = list(chain.from_iterable(cut))
+        self.starts = np.concatenate(([0], np.cumsum([len(own) for own in cut], dtype=np.int64)))
+        return flat, np.fromiter(map(align.memo.get, flat, repeat(-1)), np.int64, len(flat))
+
     def sums(self, per_stretch: np.ndarray) -> np.ndarray:
         """``per_stretch`` added up by text."""
         return np.where(self.spelt, _by_owner(per_stretch[self.which], np.diff(self.starts)), 0)
