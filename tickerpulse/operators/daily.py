@@ -3,7 +3,8 @@
 Scale notes: the group-by keys are (ticker, day), so Spark's partial
 aggregation collapses a hot ticker map-side before the shuffle; after it a
 ticker has at most one row per calendar day. Medians are exact and counted by
-ranges of scores (``quantiles.py``); ``approx_median=True`` uses a sketch instead.
+ranges of scores (``daily_state.py``, one scan and one shuffle of the raw rows, for A1;
+``quantiles.py`` for A2); ``approx_median=True`` uses a sketch instead.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import safe_div
 from ..functions.dates import epoch_to_date
 from ..session import materialize
+from .daily_state import daily_from_state, value_state
 from .quantiles import grouped_quantiles
 
 
@@ -56,6 +58,8 @@ def daily_sentiment_sql(results: DataFrame, start_date: str | None = None,
     s, u = F.col("final_sentiment_score"), F.col("normalized_upvotes")
     lab = F.col("final_sentiment_label")
     df = with_sentiment_date(results, start_date, end_date, ticker)
+    if with_median and not approx_median:
+        return daily_from_state(value_state(df), merged=True)
     sketch = [F.percentile_approx(s, 0.5, 10000).alias("sentiment_median")] if approx_median else []
     agg = (df.groupBy("ticker", "sentiment_date")
               .agg(F.avg(s).alias("sentiment_mean"), *sketch,
@@ -67,10 +71,7 @@ def daily_sentiment_sql(results: DataFrame, start_date: str | None = None,
                    F.count_if(lab == "positive").alias("positive_count"),
                    F.count_if(lab == "neutral").alias("neutral_count"),
                    F.count_if(lab == "negative").alias("negative_count")))
-    if with_median:
-        out = _with_median(agg, df, "sentiment_date", approx_median)
-    else:
-        out = agg.withColumn("sentiment_median", F.lit(None).cast("double"))
+    out = agg if approx_median else agg.withColumn("sentiment_median", F.lit(None).cast("double"))
     return out.select("ticker", "sentiment_date", "sentiment_mean", "sentiment_median", "sentiment_std", "mentions",
                       "total_upvotes", "avg_upvotes", "weighted_sentiment", "positive_count", "neutral_count", "negative_count")
 

@@ -22,7 +22,7 @@ from . import oracle_trades as OT
 from . import pipelines
 from .registry import register
 from ..session import materialize, scratch_path
-from ..sources import readers, sinks
+from ..sources import readers, sinks, versions
 
 # ------------------------------------------------------------------ flagship
 
@@ -886,19 +886,18 @@ def q_score_histogram(spark, sf_dir):
 @register("incremental_daily", O.rounded(_A1_SQL, ["sentiment_mean", "sentiment_median", "sentiment_std",
                                                    "total_upvotes", "avg_upvotes", "weighted_sentiment"]))
 def q_incremental_daily(spark, sf_dir):
-    """S13 + streaming: F2 results land in two waves (rows dealt by a hash, so both hold
-    rows of the same days) in month partitions; a Structured Streaming job in several
-    micro-batches refreshes the touched months of the daily table; the final table equals
+    """S13 + streaming: F2 results land in three waves (rows dealt by a hash, so later waves hold
+    late rows of the same days) in month partitions; a Structured Streaming job merges each
+    micro-batch into the daily state and replaces the touched days; the final table equals
     A1 over everything."""
     from ..streaming.incremental import land, start_daily_refresh
     base = scratch_path(spark, "incremental")
     sr = fx.sentiment_results(spark, sf_dir)
-    wave = F.pmod(F.xxhash64(*sr.columns), F.lit(2))
-    for i in range(2):
+    wave = F.pmod(F.xxhash64(*sr.columns), F.lit(3))
+    for i in range(3):
         land(sr.filter(wave == i), f"{base}/source")
-    q = start_daily_refresh(spark, f"{base}/source", f"{base}/daily", f"{base}/_checkpoint", max_files_per_trigger=84)
-    q.awaitTermination()
-    out = spark.read.parquet(f"{base}/daily")
+        start_daily_refresh(spark, f"{base}/source", f"{base}/daily", f"{base}/_checkpoint").awaitTermination()
+    out = readers.load_daily(spark, f"{base}/daily")
     return out.select("ticker", "sentiment_date", "sentiment_mean", "sentiment_median", "sentiment_std",
                       "mentions", "total_upvotes", "avg_upvotes", "weighted_sentiment",
                       "positive_count", "neutral_count", "negative_count")
@@ -918,7 +917,7 @@ def q_sink_signals_typed(spark, sf_dir):
     base = scratch_path(spark, "signals")
     sinks.load_signals(sig, f"{base}/table")
     sinks.to_csv(sig, f"{base}/csv")
-    return spark.read.parquet(f"{base}/table")
+    return versions.read_table(spark, f"{base}/table")
 
 
 @register("sink_filtered_typed", O.with_ctes(*O.filtered_chain(), body=f"""
@@ -930,7 +929,7 @@ def q_sink_filtered_typed(spark, sf_dir):
     """The 21-column filtered-signal table, typed, overwritten, read back whole."""
     base = scratch_path(spark, "filtered")
     sinks.load_filtered_signals(_filtered(spark, sf_dir), f"{base}/table")
-    return spark.read.parquet(f"{base}/table")
+    return versions.read_table(spark, f"{base}/table")
 
 
 @register("reference_dim_files", O.with_ctes("""
@@ -1086,4 +1085,4 @@ def q_preprocessed_table_load(spark, sf_dir):
         fx.raw_posts(spark, sf_dir), fx.raw_comments(spark, sf_dir), fx.ticker_dim(spark), fx.ticker_stoplist(spark)))
     path = scratch_path(spark, "preprocessed")
     sinks.load_preprocessed(pp, path)
-    return spark.read.parquet(path)
+    return versions.read_table(spark, path)

@@ -84,20 +84,20 @@ def sample_preprocessed(df: DataFrame, n: int, order=("created_utc", "id")) -> D
 
 def load_daily(spark: SparkSession, path: str | None, results: DataFrame | None = None,
                ticker: str | None = None, start_date: str | None = None, end_date: str | None = None) -> DataFrame:
-    """Daily rows filtered by ticker / date range from the stored table
-    (partition-pruned on ``sentiment_date``); if the table is missing,
-    aggregate ``results`` on the fly (A1)."""
+    """Daily rows filtered by ticker / date range from the newest version of the stored table
+    (only the months of the range are read); if the table is missing, aggregate ``results`` on the fly (A1)."""
     from ..operators.daily import daily_sentiment_sql
-    try:
-        df = spark.read.parquet(path) if path is not None else None
-    except AnalysisException as e:
-        if results is None or not path_missing(e):
-            raise
-        df = None
-    if df is None:
+    from .versions import VersionedTable
+    table = VersionedTable(spark, path) if path is not None else None
+    m = table.manifest() if table else None
+    if m is None:
         if results is None:
             raise ValueError("neither a stored table nor results to aggregate")
         return daily_sentiment_sql(results, start_date, end_date, ticker)
+    first, last = (start_date or "")[:7], (end_date or "9999-99")[:7]
+    bounded = start_date is not None or end_date is not None
+    months = [p for p in m.parts if "/" not in p and (not bounded or p[:1].isdigit() and first <= p <= last)]
+    df = table.rows(m, months)
     if ticker is not None:
         df = df.filter(F.col("ticker") == ticker)
     if start_date is not None:

@@ -1,19 +1,20 @@
-"""Sinks (S8-S11, S13): text exports and typed, overwrite-style table loads.
+"""Sinks (S8-S11, S13): text exports, and typed tables that are replaced atomically.
 
-Tables are Parquet (or catalog tables) written with ``mode('overwrite')``;
-the daily table is partitioned by day and refreshed with dynamic partition
-overwrite, so a date-range refresh only replaces the affected partitions.
+A load stages its rows and publishes them as the table's next version (``versions.py``): readers see the old
+table until then, and a load that is killed leaves it. The daily table is split by month; a refresh of
+a date range replaces the rows of its days, those that have vanished included.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import nan_to_null
 from ..operators.daily import daily_sentiment_sql
 from ..schemas import FILTERED_SIGNAL_COLUMNS, SIGNAL_COLUMNS
+from .versions import Manifest, VersionedTable
 
 # Stored column types of the signal tables.
 SIGNAL_TYPES = {
@@ -30,6 +31,19 @@ FILTERED_EXTRA_TYPES = {
     "atr_14": T.DecimalType(15, 4), "atr_move": T.DecimalType(15, 4), "market_moved_flag": T.DecimalType(1, 0),
 }
 
+DAILY_SCHEMA = T.StructType(
+    [T.StructField("ticker", T.StringType()), T.StructField("sentiment_date", T.DateType())]
+    + [T.StructField(c, T.DoubleType()) for c in ("sentiment_mean", "sentiment_median", "sentiment_std")]
+    + [T.StructField("mentions", T.LongType())]
+    + [T.StructField(c, T.DoubleType()) for c in ("total_upvotes", "avg_upvotes", "weighted_sentiment")]
+    + [T.StructField(c, T.LongType()) for c in ("positive_count", "neutral_count", "negative_count")]
+    + [T.StructField("created_at", T.TimestampType())])
+
+
+def month_of(day: Column) -> Column:
+    """``yyyy-MM``: the part of the daily table that a day belongs to."""
+    return F.date_format(day, "yyyy-MM")
+
 
 def to_csv(df: DataFrame, path: str, sep: str = ",") -> None:
     """Header CSV; list columns are joined with ',' first."""
@@ -58,30 +72,45 @@ def typed(df: DataFrame, types: dict) -> DataFrame:
 
 
 def load_signals(df: DataFrame, path: str) -> DataFrame:
-    """Keep BUY/SELL rows, typed columns, overwrite the table; returns the typed frame."""
+    """Keep BUY/SELL rows, typed columns, replace the table; returns the typed frame."""
     out = typed(df.filter(F.col("signal_type").isin("BUY", "SELL")).select(*SIGNAL_COLUMNS), SIGNAL_TYPES)
-    out.write.mode("overwrite").parquet(path)
+    VersionedTable(df.sparkSession, path).replace(out)
     return out
 
 
 def load_filtered_signals(df: DataFrame, path: str) -> DataFrame:
-    """The filtered-signal table, 21 typed columns, overwrite."""
+    """The filtered-signal table, 21 typed columns, replaced."""
     out = typed(df.select(*FILTERED_SIGNAL_COLUMNS), {**SIGNAL_TYPES, **FILTERED_EXTRA_TYPES})
-    out.write.mode("overwrite").parquet(path)
+    VersionedTable(df.sparkSession, path).replace(out)
     return out
 
 
 def load_preprocessed(df: DataFrame, path: str) -> None:
     """Truncate-and-load of preprocessed_data (``date`` stored as ``date_col``)."""
-    df.withColumnRenamed("date", "date_col").write.mode("overwrite").parquet(path)
-
-
-def refresh_daily(results: DataFrame, path: str, start_date: str | None = None,
-                  end_date: str | None = None) -> DataFrame:
-    """(re)compute the daily table (A1) for an optional date range and
-    overwrite only those day partitions (dynamic partition overwrite)."""
-    daily = daily_sentiment_sql(results, start_date, end_date)
-    # one file a day: a day has at most one row per ticker
-    (daily.withColumn("created_at", F.current_timestamp()).repartition("sentiment_date").write.mode("overwrite")
-          .option("partitionOverwriteMode", "dynamic").partitionBy("sentiment_date").parquet(path))
-    return daily
+    VersionedTable(df.sparkSession, path).replace(df.withColumnRenamed("date", "date_col"))
+
+
+def refresh_daily(results: DataFrame, path: str, start_date: str | None = None, end_date: str | None = None) -> Manifest:
+    """(re)compute the daily table (A1), whole or for the days from ``start_date`` to ``end_date``.
+
+    A whole refresh replaces every row. One of a range replaces the rows of its days (a day without results
+    has none afterwards) and keeps all other days, of which only those in the range's months are read.
+    """
+    table = VersionedTable(results.sparkSession, path)
+    base = table.manifest()
+    if base and base.marks:
+        raise ValueError(f"{path} is kept up by a stream, whose state a refresh would not know")
+    fresh = daily_sentiment_sql(results, start_date, end_date).withColumn("created_at", F.current_timestamp())
+    fresh = fresh.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in DAILY_SCHEMA])
+    parts: dict[str, list[str]] = {}
+    if base and (start_date is not None or end_date is not None):
+        first, last = (start_date or "")[:7], (end_date or "9999-99")[:7]
+        # a part that is no month holds the rows without a day, which no range reaches
+        hit = [m for m in base.parts if m[:1].isdigit() and first <= m <= last]
+        parts = {m: f for m, f in base.parts.items() if m not in hit}
+        day = F.col("sentiment_date")
+        inside = F.lit(True)
+        for bound, test in ((start_date, day >= F.to_date(F.lit(start_date))), (end_date, day <= F.to_date(F.lit(end_date)))):
+            inside = inside & test if bound is not None else inside
+        fresh = fresh.unionByName(table.rows(base, hit).filter(~inside))
+    return table.publish(base, DAILY_SCHEMA, parts | table.write(fresh.withColumn("month", month_of(F.col("sentiment_date"))), "month"))
