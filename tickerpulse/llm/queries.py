@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontaminate, html_text, katz, licences, packing, periodic, pii, quality_model, quality_rules, secrets, simhash, sql
+from . import alignment, decontaminate, html_text, katz, language, licences, packing, periodic, pii, quality_model, quality_rules, secrets, simhash, sql
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -67,6 +67,11 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by a conditional random field over its words, and the spans of each language."""
+    return language.predict_documents(table(spark, sf_dir, "documents"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level alignment of two tokenizers for every document, with corpus-wide counts of linked pairs."""
     paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
@@ -91,6 +96,6 @@ def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_decontaminate, op2_html_text, op3_quality_model, op4_quality_rules, op5_packing, op6_secrets, op7_katz, op8_simhash,
-        op9_pii, op10_licences, op12_alignment, op13_runs)}
+        op9_pii, op10_licences, op11_language, op12_alignment, op13_runs)}
 
 SQL: dict[str, str] = {"op1_decontaminate": sql.OP1, "op4_quality_rules": sql.OP4}
