@@ -1,19 +1,24 @@
 """Parameter sweep.
 
-The grid is a table of points. What few parameters share is computed once (see
-:func:`sweep`), and thresholds (M3, W14), trades and metrics run once for all points.
+The grid is a table of points. What few parameters share is computed once (see :func:`shared_stages`): signals and
+moved bars per set of their parameters, exits and marks once per (signal, exit parameters). A point then picks
+its signals and exits by equi-joins. :func:`sweep` runs a grid as one plan, :func:`sweep_in_shards` a large
+one (the reference's three groups make 31,104 points) in shards of points that survive an interruption.
 """
 
 from __future__ import annotations
 
+import hashlib
 import itertools
-from dataclasses import fields, replace
+import json
+from dataclasses import asdict, dataclass, fields, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import SIGNAL_COLUMNS
 from ..session import materialize
+from ..sources.versions import VersionedTable
 from . import market, metrics, shock, trades
 
 # The two-phase grid of the reference's sweep.
@@ -23,6 +28,11 @@ PHASE1_BACKTEST = {"stop_loss": 0.07, "take_profit": 0.10, "max_holding_days": 7
                    "long_only": False}
 PHASE2_BACKTEST_GRID = {"stop_loss": [0.05, 0.07, 0.10], "take_profit": [0.08, 0.10, 0.12],
                         "max_holding_days": [5, 7, 10]}
+# The three parameter groups of the reference's full grid (72 x 27 x 16 points).
+FULL_SIGNAL_GRID = {"window_days": [3, 5], "baseline_days": [21, 30], "min_mentions": [3, 5], "base_z_threshold": [1.5, 1.8, 2.0],
+                    "bullish_bias": [0.0, 0.3, 0.5]}
+FULL_FILTER_GRID = {"z_threshold": [1.5, 2.0, 2.5], "vol_expansion_threshold": [1.5, 1.75, 2.0], "atr_move_threshold": [1.5, 2.0, 2.5]}
+FULL_BACKTEST_GRID = {"stop_loss": [0.05, 0.07], "take_profit": [0.10, 0.15], "max_holding_days": [5, 10], "long_only": [True, False]}
 
 
 def grid(spec: dict[str, list]) -> list[dict]:
@@ -56,6 +66,11 @@ def resolve(points: list[dict], base_sp: shock.ShockParams, base_mp: market.Mark
     return out
 
 
+def full_grid() -> list[dict]:
+    """All combinations of the three groups, exits varying fastest, so that neighbours share their signals."""
+    return grid(FULL_SIGNAL_GRID | FULL_FILTER_GRID | FULL_BACKTEST_GRID)
+
+
 def _params(spark, points: list[dict]) -> DataFrame:
     """The grid as a table: one row per point, one typed column per parameter."""
     kinds = {bool: "boolean", str: "string", int: "double", float: "double"}
@@ -64,11 +79,33 @@ def _params(spark, points: list[dict]) -> DataFrame:
     return spark.createDataFrame([tuple(float(v) if kinds[type(v)] == "double" else v for v in p.values()) for p in points], schema)
 
 
-def sweep(daily: DataFrame, bars: DataFrame, points: list[dict], base_sp: shock.ShockParams,
-          base_mp: market.MarketParams, base_bp: trades.BacktestParams) -> DataFrame:
-    """One leaderboard row per grid point (dicts overriding fields of the base parameters).
+EXIT_FIELDS = ("stop_loss", "take_profit", "max_holding_days")
+
+
+def _set_of(names) -> Column:
+    return F.concat_ws("|", *[F.col(n).cast("string") for n in names])
+
+
+def _point_table(spark, full: list[dict]) -> DataFrame:
+    """One row per point, with the names of the parameter sets it belongs to."""
+    sets = {"window_set": WINDOW_FIELDS, "bar_set": BAR_FIELDS, "signal_set": SIGNAL_FIELDS, "filter_set": FILTER_FIELDS,
+            "exit_set": EXIT_FIELDS}
+    params = _params(spark, full)
+    return params.select("*", *[_set_of(names).alias(k) for k, names in sets.items()])
 
-    The points are rows of a parameter table; no input is copied per point.
+
+@dataclass(frozen=True)
+class Shared:
+    """What all points of a grid share: unmoved signals by (signal set, filter set); the exits of every different signal
+    by exit set; and the marks of these trades: their return at each day's close while held."""
+    kept: DataFrame
+    exits: DataFrame
+    marks: DataFrame
+
+
+def shared_stages(daily: DataFrame, bars: DataFrame, full: list[dict], base_sp: shock.ShockParams,
+                  base_mp: market.MarketParams, base_bp: trades.BacktestParams) -> Shared:
+    """The stages below the points, for resolved points ``full``; no input is copied per point.
 
     * Shock windows are computed once per different set of window lengths, market metrics once per
       different set of bar lengths (usually one each).
@@ -76,18 +113,10 @@ def sweep(daily: DataFrame, bars: DataFrame, points: list[dict], base_sp: shock.
       meet the signal sets (different signal parameters) in an equi-join on the window set.
     * "Moved in the last bars" is a comparison of rolling maxima, so each bar has its maxima once, and
       a signal compares them with its filter set's thresholds.
-    * Surviving signals meet the points of their (signal set, filter set); trades, equity and metrics then
-      run once over all points, keyed by (point, ticker), against the bars as they are.
-
-    So phase 2 of the reference's sweep, where only exits vary, finds its signals once.
+    * An exit follows from the signal's ticker, day and direction and from the exit parameters, so the barriers are
+      searched once for each of these, however many points use them; likewise the marks while a trade is held.
     """
-    spark = daily.sparkSession
-    full = resolve(points, base_sp, base_mp, base_bp)
-    params = _params(spark, full)
-    set_of = lambda names: F.concat_ws("|", *[F.col(n).cast("string") for n in names])
-    params = params.withColumn("window_set", set_of(WINDOW_FIELDS)).withColumn("bar_set", set_of(BAR_FIELDS))
-    params = materialize(params.withColumn("signal_set", set_of(SIGNAL_FIELDS)).withColumn("filter_set", set_of(FILTER_FIELDS)))
-
+    params = _point_table(daily.sparkSession, full)
     windows = []
     for lengths in sorted({tuple(p[f] for f in WINDOW_FIELDS) for p in full}):
         sp = replace(base_sp, **dict(zip(WINDOW_FIELDS, lengths)))
@@ -102,8 +131,8 @@ def sweep(daily: DataFrame, bars: DataFrame, points: list[dict], base_sp: shock.
     tried = tried.withColumn("z_threshold", F.col("base_z_threshold") / (
         1 + F.col("mention_sensitivity") * F.log1p(F.greatest(F.col("window_mentions"), F.lit(1.0)))))
     rule = replace(base_sp, **{c: F.col(c) for c in ("min_mentions", "min_abs_sent_change", "bullish_bias")})
-    signals = materialize(shock.with_signals(tried, rule).filter(F.col("signal_type") != "NONE")
-                          .withColumnRenamed("date", "signal_date").select("signal_set", *SIGNAL_COLUMNS))
+    signals = (shock.with_signals(tried, rule).filter(F.col("signal_type") != "NONE")
+               .withColumnRenamed("date", "signal_date").select("signal_set", *SIGNAL_COLUMNS))
 
     states = []
     for lengths in sorted({tuple(p[f] for f in BAR_FIELDS) for p in full}):
@@ -117,19 +146,44 @@ def sweep(daily: DataFrame, bars: DataFrame, points: list[dict], base_sp: shock.
     moved = F.lit(False)
     for metric, threshold in MAXIMA.items():
         moved = moved | F.coalesce(F.col(f"top_{metric}") >= F.col(threshold), F.lit(False))
-    kept = (signals.join(pairs, "signal_set").join(_union(states), ["ticker", "signal_date", "bar_set"]).filter(~moved)
-            .select("signal_set", "filter_set", *SIGNAL_COLUMNS))
-    kept = materialize(kept.join(params.select("point_id", "signal_set", "filter_set", *TRADE_FIELDS),
-                                 ["signal_set", "filter_set"]))
-
-    bp = replace(base_bp, keys=("point_id",), **{c: F.col(c) for c in TRADE_FIELDS})
-    tt = materialize(trades.trade_table(kept, bars, bp))
-    curve = trades.equity_curve(tt, bars, base_bp, key="point_id", keys=params)
+    kept = materialize(signals.join(pairs, "signal_set").join(_union(states), ["ticker", "signal_date", "bar_set"]).filter(~moved)
+                       .select("signal_set", "filter_set", *SIGNAL_COLUMNS))
+
+    exit_sets = sorted({tuple(float(p[f]) for f in EXIT_FIELDS) for p in full})
+    each = F.explode(F.array(*[F.struct(*[F.lit(v).alias(f) for f, v in zip(EXIT_FIELDS, e)]) for e in exit_sets]))
+    asked = kept.select("ticker", "signal_date", "signal_type", "signal_direction").distinct().withColumn("_e", each)
+    asked = asked.select("*", *[F.col(f"_e.{f}").alias(f) for f in EXIT_FIELDS]).withColumn("exit_set", _set_of(EXIT_FIELDS)).drop("_e")
+    bp = replace(base_bp, keys=("exit_set",), long_only=False, trade_weekends=True, **{f: F.col(f) for f in EXIT_FIELDS})
+    exits = materialize(trades.candidate_trades(asked, bars, bp).drop("trade_id", "signal_direction", *EXIT_FIELDS))
+    return Shared(kept, exits, materialize(trades.held_returns(exits, bars, base_bp).select(*EXIT_KEYS, "date", "unit")))
+
+
+EXIT_KEYS = ["exit_set", "ticker", "signal_date", "signal_type"]
+
+
+def board(shared: Shared, spark, full: list[dict], base_bp: trades.BacktestParams) -> DataFrame:
+    """One leaderboard row per point of ``full``: trades, equity and metrics keyed by the point.
+
+    Signals meet the points of their (signal set, filter set), and the exits and marks of their exit set, in
+    equi-joins; only "one open position per ticker" and the sums per day are a point's own work.
+    """
+    params = materialize(_point_table(spark, full))
+    chosen = shared.kept.join(params.select("point_id", "signal_set", "filter_set", "exit_set", "max_position", "long_only", "sizing",
+                                            "trade_weekends"), ["signal_set", "filter_set"])
+    cands = chosen.join(shared.exits, EXIT_KEYS).filter((~F.col("long_only") | (F.col("dir") == 1))
+                                                        & (F.col("trade_weekends") | (F.weekday("signal_date") < 5)))
+    cands = cands.withColumn("trade_id", F.concat_ws("|", "point_id", "ticker", F.col("signal_date").cast("string"), "signal_type"))
+    taken = trades.one_position_per_ticker(cands, ("point_id",))
+    bp = replace(base_bp, keys=("point_id", "exit_set"), max_position=F.col("max_position"), sizing=F.col("sizing"))
+    tt = materialize(trades.sized(taken, bp))
+    marks = (tt.join(shared.marks, EXIT_KEYS).groupBy("point_id", "date")
+             .agg(F.sum(F.coalesce(F.col("position_size") * F.col("unit"), F.lit(0.0))).alias("_open"), F.count(F.lit(1)).alias("n_positions")))
+    curve = trades.equity_curve(tt, None, base_bp, key="point_id", keys=params, marks=marks)
     perf = metrics.performance(curve, base_bp.capital, key="point_id")
-    n_sig = kept.groupBy("point_id").agg(F.count_if(F.col("signal_type") == "BUY").alias("n_buy_signals"),
-                                         F.count_if(F.col("signal_type") == "SELL").alias("n_sell_signals"))
+    n_sig = shared.kept.groupBy("signal_set", "filter_set").agg(F.count_if(F.col("signal_type") == "BUY").alias("n_buy_signals"),
+                                                                F.count_if(F.col("signal_type") == "SELL").alias("n_sell_signals"))
     n_tr = tt.groupBy("point_id").agg(F.count(F.lit(1)).alias("n_trades"), F.count_if(F.col("pnl") > 0).alias("_wins"))
-    j = params.join(perf, "point_id", "left").join(n_sig, "point_id", "left").join(n_tr, "point_id", "left")
+    j = params.join(perf, "point_id", "left").join(n_sig, ["signal_set", "filter_set"], "left").join(n_tr, "point_id", "left")
     n_trades = F.coalesce(F.col("n_trades"), F.lit(0))
     has = n_trades > 0
     return j.select(
@@ -141,7 +195,43 @@ def sweep(daily: DataFrame, bars: DataFrame, points: list[dict], base_sp: shock.
         F.coalesce(F.col("n_sell_signals"), F.lit(0)).alias("n_sell_signals"),
         F.when(has, F.col("_wins") / n_trades * 100).otherwise(F.lit(0.0)).alias("win_rate"),
         F.when(has, F.col("sharpe")).otherwise(F.lit(0.0)).alias("sharpe"),
-        F.when(has, F.col("max_drawdown")).otherwise(F.lit(0.0)).alias("max_drawdown"))
+        F.when(has, F.col("max_drawdown")).otherwise(F.lit(0.0)).alias("max_drawdown"),
+        "vol_expansion_threshold", "atr_move_threshold")
+
+
+def sweep(daily: DataFrame, bars: DataFrame, points: list[dict], base_sp: shock.ShockParams,
+          base_mp: market.MarketParams, base_bp: trades.BacktestParams) -> DataFrame:
+    """One leaderboard row per grid point (dicts overriding fields of the base parameters)."""
+    full = resolve(points, base_sp, base_mp, base_bp)
+    shared = shared_stages(daily, bars, full, base_sp, base_mp, base_bp)
+    return board(shared, daily.sparkSession, full, base_bp).drop("vol_expansion_threshold", "atr_move_threshold")
+
+
+def sweep_in_shards(daily: DataFrame, bars: DataFrame, points: list[dict], base_sp: shock.ShockParams, base_mp: market.MarketParams,
+                    base_bp: trades.BacktestParams, path: str, shard_points: int = 1024) -> DataFrame:
+    """T9 for large grids: the rows of :func:`sweep` and the two other filter thresholds, kept in the versioned table at ``path``.
+
+    Points are run ``shard_points`` at a time; a finished shard is published as a part of the table, named by
+    a hash of its points and of the base parameters. A run that was interrupted finds its finished shards
+    there and computes the others only. Parts of other grids in the table are kept, and not returned.
+    """
+    spark = daily.sparkSession
+    full = resolve(points, base_sp, base_mp, base_bp)
+    fixed = json.dumps([repr(asdict(base_sp)), repr(asdict(base_mp)), base_bp.capital])
+    shards = {}
+    for k in range(0, len(full), shard_points):
+        own = full[k:k + shard_points]
+        shards["shard-" + hashlib.sha256((fixed + json.dumps(own, sort_keys=True)).encode()).hexdigest()[:24]] = own
+    table = VersionedTable(spark, path)
+    m = table.manifest()
+    open_shards = {name: own for name, own in shards.items() if not m or name not in m.parts}
+    if open_shards:
+        shared = shared_stages(daily, bars, full, base_sp, base_mp, base_bp)
+        for name, own in open_shards.items():
+            rows = board(shared, spark, own, base_bp)
+            (folders,) = table.write(rows).values()
+            m = table.publish(m, rows.schema, (dict(m.parts) if m else {}) | {name: folders})
+    return table.rows(m, list(shards))
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:

@@ -229,7 +229,11 @@ def one_position_per_ticker(cands: DataFrame, keys: tuple[str, ...] = ()) -> Dat
 
 def trade_table(signals: DataFrame, bars: DataFrame, p: BacktestParams) -> DataFrame:
     """Accepted trades with notional, P&L and exit reason."""
-    t = one_position_per_ticker(candidate_trades(signals, bars, p), p.keys)
+    return sized(one_position_per_ticker(candidate_trades(signals, bars, p), p.keys), p)
+
+
+def sized(t: DataFrame, p: BacktestParams) -> DataFrame:
+    """Notional and P&L (M10, M11, T4) of accepted candidates."""
     comp = composite_score(t.columns)
     share = position_share(comp, p.max_position, p.sizing)
     return t.select(
@@ -249,8 +253,20 @@ def calendar(spark, start, end) -> DataFrame:
     return days.filter(F.weekday("date") < 5)  # a filter, because bounds may be scalar subqueries
 
 
-def equity_curve(trades: DataFrame, bars: DataFrame, p: BacktestParams, spark=None,
-                 key: str | None = None, keys: DataFrame | None = None) -> DataFrame:
+def held_returns(trades: DataFrame, bars: DataFrame, p: BacktestParams) -> DataFrame:
+    """A row per trade and business day it is held (entry <= day < exit; end_of_period trades stay held until
+    ``p.end``), with ``unit``: the trade's return at the day's close, null when the ticker has no bar."""
+    end = as_date(p.end)
+    last_held = F.when(F.col("exit_reason") == "end_of_period", end).otherwise(F.date_sub("exit_date", 1))
+    # sequence() counts down when stop < start: no held day then
+    days = F.explode(F.when(F.least(last_held, end) >= F.col("entry_date"), F.sequence(F.col("entry_date"), F.least(last_held, end))))
+    held = trades.withColumn("date", days).filter(F.weekday("date") < 5)
+    return (held.join(bars.select("ticker", "date", "close"), ["ticker", "date"], "left")
+            .withColumn("unit", _signed_return(F.col("close"))).drop("close"))
+
+
+def equity_curve(trades: DataFrame, bars: DataFrame | None, p: BacktestParams, spark=None,
+                 key: str | None = None, keys: DataFrame | None = None, marks: DataFrame | None = None) -> DataFrame:
     """T7 (+J8): portfolio value on every business day of [start, end].
 
     value = capital + realised P&L of trades closed on or before the day
@@ -263,6 +279,7 @@ def equity_curve(trades: DataFrame, bars: DataFrame, p: BacktestParams, spark=No
 
     With ``key`` (a column of ``trades``) there is one curve per key value;
     ``keys`` lists all of them (a curve without trades stays at capital).
+    ``marks``: the sums by key and day (``_open``, ``n_positions``), if they are known already.
     """
     spark = spark or trades.sparkSession
     end = as_date(p.end)
@@ -274,16 +291,11 @@ def equity_curve(trades: DataFrame, bars: DataFrame, p: BacktestParams, spark=No
         cal = calendar(spark, p.start, p.end)
     closed = (trades.filter(F.col("exit_reason") != "end_of_period")
                     .groupBy(*kc, F.col("exit_date").alias("date")).agg(F.sum("pnl").alias("_realised")))
-    last_held = F.when(F.col("exit_reason") == "end_of_period", end).otherwise(F.date_sub("exit_date", 1))
-    held = (trades.select(*kc, "ticker", "entry_price", "position_size",
-                          F.when(F.col("direction") == "long", 1).otherwise(-1).alias("dir"),
-                          # sequence() counts down when stop < start: no held day then
-                          F.explode(F.when(F.least(last_held, end) >= F.col("entry_date"),
-                                           F.sequence(F.col("entry_date"), F.least(last_held, end))))
-                          .alias("date"))
-                  .filter(F.weekday("date") < 5))
-    marks = (held.join(bars.select("ticker", "date", "close"), ["ticker", "date"], "left")
-                 .withColumn("_m", F.coalesce(F.col("position_size") * _signed_return(F.col("close")), F.lit(0.0)))
+    if marks is None:
+        sides = trades.select(*kc, "ticker", "entry_date", "exit_date", "exit_reason", "entry_price", "position_size",
+                              F.when(F.col("direction") == "long", 1).otherwise(-1).alias("dir"))
+        marks = (held_returns(sides, bars, p)
+                 .withColumn("_m", F.coalesce(F.col("position_size") * F.col("unit"), F.lit(0.0)))
                  .groupBy(*kc, "date").agg(F.sum("_m").alias("_open"), F.count(F.lit(1)).alias("n_positions")))
     w = Window.partitionBy(*kc).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     return (cal.join(closed, kc + ["date"], "left").join(marks, kc + ["date"], "left")

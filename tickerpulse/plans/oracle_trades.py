@@ -140,13 +140,14 @@ def windows(lengths: list[tuple[int, int]]) -> list[str]:
 
 
 POINT_COLUMNS = ("pid, min_mentions, base_z_threshold, z_threshold, stop_loss, take_profit, max_holding_days, window_days, baseline_days, "
-                 "bullish_bias, long_only, max_position, sizing")
+                 "bullish_bias, long_only, max_position, sizing, vol_expansion_threshold, atr_move_threshold")
 
 
 def values(points: list[dict]) -> str:
     """``t_points`` from dicts over the reference's sweep defaults."""
     base = {"min_mentions": 5, "base_z_threshold": 2.0, "z_threshold": 2.0, "stop_loss": 0.07, "take_profit": 0.10, "max_holding_days": 7,
-            "window_days": 3, "baseline_days": 30, "bullish_bias": 0.0, "long_only": False, "max_position": 0.10, "sizing": "'flat'"}
+            "window_days": 3, "baseline_days": 30, "bullish_bias": 0.0, "long_only": False, "max_position": 0.10, "sizing": "'flat'",
+            "vol_expansion_threshold": 1.75, "atr_move_threshold": 2.0}
     rows = []
     for k, point in enumerate(points):
         full = base | point
@@ -167,13 +168,15 @@ SWEEP = [
                              AND abs(window_sentiment - baseline_mean) >= 0.1 AS ok
                     FROM s_base x JOIN t_points q ON q.window_days = x.window_days AND q.baseline_days = x.baseline_days)) b
         JOIN t_points p ON p.pid = b.pid WHERE b.signal_type IS NOT NULL)""",
-    """s_moved AS (SELECT ticker, date, bar_n, z_threshold, max(hit) OVER (PARTITION BY z_threshold, ticker ORDER BY date
-                                                                       ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS moved
-        FROM (SELECT m.*, z_threshold, CASE WHEN abs(pct_3d_z) >= z_threshold OR abs(ret_z) >= z_threshold OR abs(vol_z) >= z_threshold
-                                               OR vol_expansion >= 1.75 OR atr_move >= 2.0 THEN 1 ELSE 0 END AS hit
-              FROM m4 m CROSS JOIN (SELECT DISTINCT z_threshold FROM t_points) d))""",
+    """s_moved AS (SELECT ticker, date, bar_n, z_threshold, vol_expansion_threshold, atr_move_threshold,
+                       max(hit) OVER (PARTITION BY z_threshold, vol_expansion_threshold, atr_move_threshold, ticker ORDER BY date
+                                      ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS moved
+        FROM (SELECT m.*, d.*, CASE WHEN abs(pct_3d_z) >= z_threshold OR abs(ret_z) >= z_threshold OR abs(vol_z) >= z_threshold
+                                               OR vol_expansion >= vol_expansion_threshold OR atr_move >= atr_move_threshold THEN 1 ELSE 0 END AS hit
+              FROM m4 m CROSS JOIN (SELECT DISTINCT z_threshold, vol_expansion_threshold, atr_move_threshold FROM t_points) d))""",
     """t_in AS MATERIALIZED (SELECT s.* FROM s_sig s JOIN s_moved m ON m.ticker = s.ticker AND m.date = s.signal_date
-                              AND m.z_threshold = s.z_threshold WHERE m.bar_n >= 20 AND m.moved = 0)""",
+                              AND m.z_threshold = s.z_threshold AND m.vol_expansion_threshold = s.vol_expansion_threshold
+                              AND m.atr_move_threshold = s.atr_move_threshold WHERE m.bar_n >= 20 AND m.moved = 0)""",
     *TRADES, *table(composite=False), *CURVE, "t_curves AS (SELECT * FROM t_named)", *STATS,
     """s_board AS MATERIALIZED (SELECT p.pid AS point_id, CAST(min_mentions AS DOUBLE) AS min_mentions,
           CAST(base_z_threshold AS DOUBLE) AS base_z_threshold, CAST(z_threshold AS DOUBLE) AS z_threshold,

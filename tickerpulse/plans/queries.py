@@ -588,6 +588,21 @@ def q_sweep_grid(spark, sf_dir):
     return sweep.sweep(daily_t, bars, GRID_POINTS, shock.ShockParams(), market.MarketParams(), bp)
 
 
+#: Two values of five parameters out of all three groups of the full grid, the others as in phase 1.
+THREE_GROUPS = sweep.grid({"window_days": [3, 5], "z_threshold": [1.5, 2.5], "atr_move_threshold": [1.5, 2.5], "max_holding_days": [5, 10],
+                           "long_only": [True, False]})
+
+
+@register("sweep_three_groups", O.rounded(OT.sweep(THREE_GROUPS, """
+SELECT b.*, p.vol_expansion_threshold, p.atr_move_threshold FROM s_board b JOIN t_points p ON p.pid = b.point_id"""), OT.BOARD_DOUBLES))
+def q_sweep_three_groups(spark, sf_dir):
+    """T9 + J11 over all three parameter groups at once, in two shards of points that are published one by one;
+    the 31,104 points of ``sweep.full_grid()`` take the same way."""
+    daily_t, bars = _sweep_inputs(spark, sf_dir)
+    bp = _bt_params(bars, sizing="flat", **sweep.PHASE1_BACKTEST)
+    return sweep.sweep_in_shards(daily_t, bars, THREE_GROUPS, shock.ShockParams(), market.MarketParams(), bp, scratch_path(spark, "sweep"), 16)
+
+
 @register("top_trades_by_score", O.rounded(OT.backtest("""
 SELECT * EXCLUDE (pid, dir) FROM t_table ORDER BY signal_score DESC, ticker, entry_date LIMIT 10"""), OT.TRADE_DOUBLES))
 def q_top_trades_by_score(spark, sf_dir):
