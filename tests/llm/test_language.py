@@ -28,7 +28,7 @@ def test_messages_equal_the_sum_over_all_labellings():
                 for x, y in zip(p, p[1:]):
                     pairs[x, y] += w
             at += m
-        chain = language.Chain(score, first, step)
+        chain = language.Chain(language.scaled(score), first, step)
         assert np.allclose(chain.posterior(), want) and np.allclose(chain.pairs(), pairs)
 
 
@@ -50,7 +50,7 @@ def test_the_fit_climbs_the_likelihood():
         return total
 
     score, step = rng.normal(size=(n, k)), rng.normal(size=(k, k))
-    chain = language.Chain(score, first, step)
+    chain = language.Chain(language.scaled(score), first, step)
     seen = np.zeros((k, k))
     np.add.at(seen, (label[:-1][~first[1:]], label[1:][~first[1:]]), 1)
     by_step, by_score = seen - chain.pairs(), np.eye(k)[label] - chain.posterior()

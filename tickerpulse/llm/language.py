@@ -31,6 +31,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,16 +46,17 @@ MEMO_WORDS = 400_000
 COUNTED_WORDS = 300_000
 GRAMS = (1, 2, 3, 4)
 _NO_LETTER = re.compile(r"[^\S\n]|[^\w\n]|[\d_]")
-_BLOCK = 128
+_BLOCK = 256  # words
+_SCALE = 16   # steps between scalings
 
 
 @dataclass(frozen=True)
 class Settings:
-    windows: int = 400
+    windows: int = 300
     width: int = 40
     share: float = 1 / 20_000
     buckets: int = 1 << 16
-    rounds: int = 40
+    rounds: int = 30
     penalty: float = 1e-3
     piece: int = 12      # mean words of a piece between changes of language in the fitting sequences
     doubt: float = 0.3   # windows with less posterior mass on their label leave the second fit
@@ -89,28 +91,42 @@ def _by_label(owner: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     return np.stack([np.bincount(owner, weights=values[:, k], minlength=size) for k in range(values.shape[1])], axis=1)
 
 
+def scaled(emission: np.ndarray) -> np.ndarray:
+    """Emission factors of at most 1 from scores by word and label."""
+    return np.exp(emission - emission.max(axis=1, keepdims=True))
+
+
 class Chain:
-    """Forward-backward over many sequences laid end to end."""
-
-    def __init__(self, emission: np.ndarray, first: np.ndarray, transition: np.ndarray):
-        """``emission``: scores by word and label; ``first``: whether a word begins a sequence; ``transition``: scores."""
-        n, k = emission.shape
-        blocks = max(1, -(-n // _BLOCK))
-        fill = blocks * _BLOCK - n
-        e = np.exp(emission - emission.max(axis=1, keepdims=True))
-        self.e = np.concatenate([e, np.ones((fill, k))]).reshape(blocks, _BLOCK, k)
-        self.first = np.append(first, np.ones(fill, bool)).reshape(blocks, _BLOCK)
+    """Forward-backward over many sequences laid end to end.
+
+    Words are cut into blocks, and all blocks take their j-th step together: arrays are (step, label, block).
+    Messages are scaled now and then; the scale of a word's messages cancels in its results.
+    """
+
+    def __init__(self, factors: np.ndarray, first: np.ndarray, transition: np.ndarray):
+        """``factors``: by word and label (``scaled``); ``first``: whether a word begins a sequence; ``transition``: scores."""
+        self.n, self.k = factors.shape
+        blocks = max(1, -(-self.n // _BLOCK))
+        fill = blocks * _BLOCK - self.n
+        e = np.concatenate([factors, np.ones((fill, self.k))]).reshape(blocks, _BLOCK, self.k)
+        self.e = np.ascontiguousarray(e.transpose(1, 2, 0))
+        self.first = np.ascontiguousarray(np.append(first, np.ones(fill, bool)).reshape(blocks, _BLOCK).T)
         self.t = np.exp(transition - transition.max())
-        self.n, self.k = n, k
         self._messages()
 
     def _messages(self) -> None:
         e, first, t, k = self.e, self.first, self.t, self.k
-        blocks = len(e)
-        step = np.broadcast_to(np.eye(k), (blocks, k, k)).copy()
+        blocks = e.shape[2]
+        starts = [np.flatnonzero(f) for f in first]
+        step = np.broadcast_to(np.eye(k)[:, :, None], (k, k, blocks)).copy()  # (to, from, block)
         for j in range(_BLOCK):  # each block's product of (transition or restart) times emission
-            step = np.where(first[:, j, None, None], step.sum(axis=2, keepdims=True) / k, step @ t) * e[:, j, None, :]
-            step /= step.sum(axis=(1, 2), keepdims=True)
+            new = (t.T @ step.reshape(k, -1)).reshape(k, k, blocks)
+            own = starts[j]
+            if len(own):
+                new[:, :, own] = step[:, :, own].sum(axis=0) / k
+            new *= e[j][:, None, :]
+            step = new / new.sum(axis=(0, 1)) if j % _SCALE == 0 else new
+        step = np.ascontiguousarray((step / step.sum(axis=(0, 1))).transpose(2, 1, 0))  # (block, from, to)
         into, back = np.empty((blocks, k)), np.empty((blocks, k))
         v = w = np.full(k, 1 / k)
         for b in range(blocks):
@@ -122,25 +138,34 @@ class Chain:
             w = step[b] @ w
             w = w / w.sum()
         self.alpha, self.beta = np.empty_like(e), np.empty_like(e)
+        v, w = np.ascontiguousarray(into.T), np.ascontiguousarray(back.T)
         for j in range(_BLOCK):
-            into = np.where(first[:, j, None], 1 / k, into @ t) * e[:, j]
-            into /= into.sum(axis=1, keepdims=True)
-            self.alpha[:, j] = into
+            new = t.T @ v
+            own = starts[j]
+            new[:, own] = v[:, own].sum(axis=0) / k
+            new *= e[j]
+            v = new / new.sum(axis=0) if j % _SCALE == 0 else new
+            self.alpha[j] = v
         for j in range(_BLOCK - 1, -1, -1):
-            self.beta[:, j] = back
-            own = e[:, j] * back
-            back = np.where(first[:, j, None], own.sum(axis=1, keepdims=True), own @ t.T)
-            back /= back.sum(axis=1, keepdims=True)
+            self.beta[j] = w
+            after = e[j] * w
+            w = t @ after
+            own = starts[j]
+            w[:, own] = after[:, own].sum(axis=0)
+            if j % _SCALE == 0:
+                w /= w.sum(axis=0)
+
+    def _by_word(self, x: np.ndarray) -> np.ndarray:
+        return x.transpose(2, 0, 1).reshape(-1, self.k)[:self.n]
 
     def posterior(self) -> np.ndarray:
         p = self.alpha * self.beta
-        return (p / p.sum(axis=2, keepdims=True)).reshape(-1, self.k)[:self.n]
+        return self._by_word(p / p.sum(axis=1, keepdims=True))
 
     def pairs(self) -> np.ndarray:
         """Expected number of each (label, next label) over all neighbours."""
-        a = self.alpha.reshape(-1, self.k)[:self.n]
-        b = (self.e * self.beta).reshape(-1, self.k)[:self.n]
-        inner = ~self.first.reshape(-1)[1:self.n]
+        a, b = self._by_word(self.alpha), self._by_word(self.e * self.beta)
+        inner = ~self.first.T.reshape(-1)[1:self.n]
         a, b = a[:-1][inner], b[1:][inner]
         z = ((a @ self.t) * b).sum(axis=1, keepdims=True)
         return (a / z).T @ b * self.t
@@ -204,7 +229,7 @@ def fit(windows: list[tuple[int, list[str]]], languages: list[str], lexicon: dic
         moment = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
         for step in range(1, s.rounds + 1):
             emission = _by_label(owner, model.grams[bucket], len(known)) + vector @ model.lexicon_weights
-            chain = Chain(emission[which], first, model.transition)
+            chain = Chain(scaled(emission)[which], first, model.transition)
             rest = _by_label(which, truth - chain.posterior(), len(known)) / len(words)
             slope = [_by_label(bucket, rest[owner], s.buckets), vector.T @ rest, (seen - chain.pairs()) / len(words)]
             for p, g, (m, v) in zip(params, slope, moment):
@@ -213,11 +238,8 @@ def fit(windows: list[tuple[int, list[str]]], languages: list[str], lexicon: dic
                 v += 0.01 * (g * g - v)
                 p += 0.1 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-9)
         if not again:
-            kept = []
-            for part in windows:
-                share = posterior_mass(model, [part[1]])[0]
-                if share[part[0]] >= s.doubt * share.sum():
-                    kept.append(part)
+            mass = posterior_mass(model, [own for _, own in windows])
+            kept = [p for p, share in zip(windows, mass) if share[p[0]] >= s.doubt * share.sum()]
             if {p[0] for p in kept} == {p[0] for p in windows}:
                 windows = kept
     return model
@@ -231,7 +253,7 @@ def posterior_mass(model: Field, texts: list[list[str]]) -> np.ndarray:
         sizes = np.array([len(t) for t in texts])
         first = np.zeros(len(flat), bool)
         first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
-        p = Chain(model.emission(flat), first, model.transition).posterior()
+        p = Chain(scaled(model.emission(flat)), first, model.transition).posterior()
         p[[not w for w in flat]] = 0
         out = _by_label(np.repeat(np.arange(len(texts)), sizes), p, len(texts))
     return out
@@ -315,7 +337,7 @@ class _Tagger:
 
     def clear(self) -> None:
         self.memo: dict[str, int] = {}
-        self.emission = np.zeros((0, len(self.model.languages)))
+        self.factors = np.zeros((0, len(self.model.languages)))
         self.letters = np.zeros(0, bool)
 
     def group(self, texts: list[str | None]) -> tuple[np.ndarray, list[list[tuple[int, int, str]]]]:
@@ -327,18 +349,20 @@ class _Tagger:
         k = len(self.model.languages)
         if not flat:
             return np.zeros((len(texts), k)), [[] for _ in texts]
-        missing = [w for w in set(flat) if w not in self.memo]
-        if missing:
+        which = np.fromiter(map(self.memo.get, flat, repeat(-1)), np.int64, len(flat))
+        new = np.flatnonzero(which < 0).tolist()
+        if new:
+            missing = list(dict.fromkeys([flat[i] for i in new]))
             own = forms([w.decode() for w in missing])
             self.memo.update(zip(missing, range(len(self.memo), len(self.memo) + len(missing))))
-            self.emission = np.concatenate([self.emission, self.model.emission(own)])
+            which[new] = [self.memo[flat[i]] for i in new]
+            self.factors = np.concatenate([self.factors, scaled(self.model.emission(own))])
             self.letters = np.append(self.letters, [bool(w) for w in own])
-        which = np.fromiter(map(self.memo.__getitem__, flat), np.int64, len(flat))
         sizes = np.array([len(own) for own in cut])
         starts = np.cumsum(sizes) - sizes
         first = np.zeros(len(flat), bool)
         first[starts[sizes > 0]] = True
-        p = Chain(self.emission[which], first, self.model.transition).posterior()
+        p = Chain(self.factors[which], first, self.model.transition).posterior()
         p[~self.letters[which]] = 0
         total = np.concatenate([np.zeros((1, k)), np.cumsum(p, axis=0)])
         mass = np.maximum(total[starts + sizes] - total[starts], 0)
