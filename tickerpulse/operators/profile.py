@@ -5,10 +5,11 @@ per-column results are unpivoted with ``stack`` into long form.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import word_count
+from ..session import materialize
 from .quantiles import grouped_quantiles
 
 
@@ -46,28 +47,30 @@ def missingness(df: DataFrame) -> DataFrame:
 
 def word_stats(df: DataFrame, text: str = "text", short_len: int = 10) -> DataFrame:
     """Word counts (mean, median, min, max) of non-empty texts, per type and
-    overall, and the share (%) of texts of at most ``short_len`` characters."""
-    v = df.filter(F.col(text).isNotNull() & (F.col(text) != "")).withColumn("_w", word_count(text))
-    aggs = [F.count(F.lit(1)).alias("texts"), F.avg("_w").alias("mean_words"), F.median("_w").alias("median_words"),
-            F.min("_w").alias("min_words"), F.max("_w").alias("max_words"),
-            (F.count_if(F.length(text) <= short_len) / F.count(F.lit(1)) * 100).alias("short_pct")]
-    per_type = v.groupBy(F.col("type").alias("scope")).agg(*aggs)
-    overall = v.agg(*aggs).select(F.lit("all").alias("scope"), "*")
-    return per_type.unionByName(overall)
+    overall, and the share (%) of texts of at most ``short_len`` characters; from one pass that counts
+    texts by type and number of words."""
+    words = df.filter(F.col(text).isNotNull() & (F.col(text) != "")).groupBy("type", word_count(text).alias("w")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.length(text) <= short_len).alias("short"))  # a row per type and word count
+    scopes = F.explode(F.array(F.struct(F.lit(False).alias("all"), F.col("type").alias("scope")), F.struct(F.lit(True).alias("all"), F.lit("all").alias("scope"))))
+    own = words.withColumn("s", scopes).groupBy("s", "w").agg(F.sum("n").alias("n"), F.sum("short").alias("short"))
+    scope = Window.partitionBy("s")
+    ranked = own.withColumn("last", F.sum("n").over(scope.orderBy("w")) - 1).withColumn("middle", (F.sum("n").over(scope) - 1) / 2)
+    at = lambda rank: F.max(F.when(rank.between(F.col("last") - F.col("n") + 1, F.col("last")), F.col("w")))
+    return ranked.groupBy("s").agg(
+        F.sum("n").alias("texts"), (F.sum(F.col("n") * F.col("w")) / F.sum("n")).alias("mean_words"),
+        ((at(F.floor("middle")) + at(F.ceil("middle"))) / 2).alias("median_words"), F.min("w").alias("min_words"), F.max("w").alias("max_words"),
+        (F.sum("short") / F.sum("n") * 100).alias("short_pct")).select(F.col("s.scope").alias("scope"), "texts", "mean_words", "median_words",
+                                                                       "min_words", "max_words", "short_pct")
 
 
 def activity(df: DataFrame, ts: str = "created_utc") -> DataFrame:
-    """Row counts for all 7 weekdays (0 = Monday) and all 24 hours, zeros kept."""
-    spark = df.sparkSession
-    wd = df.groupBy(F.weekday(ts).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    hr = df.groupBy(F.hour(ts).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    spine_w = spark.range(7).select(F.col("id").cast("int").alias("value"))
-    spine_h = spark.range(24).select(F.col("id").cast("int").alias("value"))
-    a = spine_w.join(wd, "value", "left").select(F.lit("weekday").alias("dimension"), "value",
-                                                  F.coalesce("n", F.lit(0)).alias("n"))
-    b = spine_h.join(hr, "value", "left").select(F.lit("hour").alias("dimension"), "value",
-                                                  F.coalesce("n", F.lit(0)).alias("n"))
-    return a.unionByName(b)
+    """Row counts for all 7 weekdays (0 = Monday) and all 24 hours, zeros kept; one pass."""
+    slots = df.groupBy(F.weekday(ts).alias("weekday"), F.hour(ts).alias("hour")).agg(F.count(F.lit(1)).alias("n"))  # 7 x 24 rows
+    each = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in ("weekday", "hour")]))
+    counts = slots.select(each.alias("s"), "n").groupBy("s.dimension", "s.value").agg(F.sum("n").alias("n"))
+    spine = df.sparkSession.range(31).select(F.when(F.col("id") < 7, "weekday").otherwise("hour").alias("dimension"),
+                                             F.when(F.col("id") < 7, F.col("id")).otherwise(F.col("id") - 7).cast("int").alias("value"))
+    return spine.join(counts, ["dimension", "value"], "left").select("dimension", "value", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def dates_ids_ratios(df: DataFrame, ts: str = "created_utc", id_col: str = "id", ratio: str = "upvote_ratio") -> DataFrame:
@@ -126,8 +129,10 @@ def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
 
     Bin assignment follows the usual histogram rule: floor of the scaled
     offset, then one correction step against the explicit edges
-    lo + k * (hi - lo) / bins, so values on an edge land in the upper bin.
+    lo + k * (hi - lo) / bins, so values on an edge land in the upper bin. The rows are
+    read once, to count equal values; extremes and bins come from the counts.
     """
+    df = materialize(df.groupBy(col).agg(F.count(F.lit(1)).alias("_n")))
     lo = df.agg(F.min(col)).scalar()
     hi = df.agg(F.max(col)).scalar()
     step = (hi - lo) / bins
@@ -139,7 +144,7 @@ def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
     k0 = F.least(F.floor((x - lo) * (F.lit(float(bins)) / (hi - lo))).cast("int"), F.lit(bins - 1))
     k = (F.when(x < edge(k0), k0 - 1)
           .when((x >= edge(k0 + 1)) & (k0 != bins - 1), k0 + 1).otherwise(k0))
-    counts = (df.filter(x.isNotNull()).groupBy((k + 1).alias("bin")).agg(F.count(F.lit(1)).alias("n")))
+    counts = (df.filter(x.isNotNull()).groupBy((k + 1).alias("bin")).agg(F.sum("_n").alias("n")))
     spine = df.sparkSession.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
     return (spine.join(counts, "bin", "left")
                  .select("bin", edge(F.col("bin") - 1).alias("bin_start"), edge(F.col("bin")).alias("bin_end"),

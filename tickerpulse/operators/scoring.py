@@ -17,6 +17,8 @@ from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField,
 
 from ..functions.scores import route_by_confidence, score_from_probs
 from ..functions.text import parse_ticker_list
+from ..session import materialize
+from ..sources.versions import ConcurrentPublish, VersionedTable
 
 SCORE_FIELDS = "label string, score double, p_pos double, p_neu double, p_neg double"
 
@@ -95,6 +97,73 @@ def score_batches(df: DataFrame, make_scorer: Callable[[], Callable[[list[str]],
     return df.mapInPandas(run, out_schema)
 
 
+SCORED = "scores"  # the part of a score table
+
+
+def score_memoised(df: DataFrame, path: str, model: str, make_scorer: Callable[[], Callable[[list[str]], list[dict]]],
+                   text_col: str = "model_input", batch_size: int = 64, prefix: str = "m_", attempts: int = 3) -> DataFrame:
+    """F4 with a memory: every different text is scored once by ``model``, over all runs and rows.
+
+    Results live in the versioned table at ``path`` by the SHA-256 of model name and text. Only texts that it lacks are
+    scored (once each), and published together when they are done, so a run that is killed leaves the table as
+    it was and one that is repeated scores nothing. Batches that fail are tried ``attempts`` times, each
+    time in smaller batches, so that one bad text does not take its neighbours along; what still fails is not stored:
+    its rows get ('neutral', 0.0) and ``{prefix}failed``, and the next run tries again. A null text counts as empty.
+    """
+    spark = df.sparkSession
+    table = VersionedTable(spark, path)
+    fields = [f.strip().split(" ")[0] for f in SCORE_FIELDS.split(",")]
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    key = F.sha2(F.concat(F.lit(model + "\n"), text), 256)
+    store = _stored(table)
+    asked = df.select(key.alias("_key")).distinct()
+    lacking = materialize(asked if store is None else asked.join(store.select("_key"), "_key", "left_anti"))
+    # only texts that are to be scored move, once each
+    todo = materialize(df.select(key.alias("_key"), text.alias("_text")).join(lacking, "_key", "left_semi").dropDuplicates(["_key"]))
+    done = []
+    for attempt in range(attempts):
+        if todo.isEmpty():
+            break
+        scored = materialize(score_batches(todo, make_scorer, "_text", max(1, batch_size // 8 ** attempt), prefix=""))
+        done.append(scored.where("NOT failed").select("_key", *fields))
+        todo = scored.where("failed").select("_key", "_text")
+    if done:
+        new = done[0]
+        for part in done[1:]:
+            new = new.unionByName(part)
+        _append(table, new)
+        store = _stored(table)
+    found = df.withColumn("_key", key)
+    if store is None:
+        store = spark.createDataFrame([], "_key string, " + SCORE_FIELDS)
+    named = store.select("_key", F.lit(True).alias("_known"), *[F.col(f).alias(prefix + f) for f in fields])
+    out = found.join(named, "_key", "left")
+    known = F.col("_known").isNotNull()
+    neutral = {"label": F.lit("neutral"), "score": F.lit(0.0)}
+    for f, v in neutral.items():
+        out = out.withColumn(prefix + f, F.when(known, F.col(prefix + f)).otherwise(v))
+    return out.withColumn(prefix + "failed", ~known).drop("_key", "_known")
+
+
+def _stored(table: VersionedTable) -> DataFrame | None:
+    """One row per key (two runs at once may have scored the same text)."""
+    rows = table.read()
+    return None if rows is None else rows.dropDuplicates(["_key"])
+
+
+def _append(table: VersionedTable, rows: DataFrame) -> None:
+    """Publish ``rows`` beside what the table holds, also what another run publishes meanwhile."""
+    (folders,) = table.write(rows).values()
+    while True:
+        base = table.manifest()
+        held = base.parts[SCORED] if base else []
+        try:
+            table.publish(base, rows.schema, {SCORED: held + folders})
+            return
+        except ConcurrentPublish:
+            continue
+
+
 def with_model_scores(df: DataFrame, p_neg="p_neg", p_neu="p_neu", p_pos="p_pos", prefix: str = "tw_") -> DataFrame:
     """M4 applied to probability columns: ``{prefix}score``, ``label``, ``confidence``."""
     s = score_from_probs(p_neg, p_neu, p_pos)

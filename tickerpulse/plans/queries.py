@@ -331,10 +331,13 @@ def q_hybrid_source_counts(spark, sf_dir):
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-@register("batch_scorer_hook", O.rounded(O.with_ctes(O.f5_cte(), body=f"""
+_SCORER_SQL = O.rounded(O.with_ctes(O.f5_cte(), body=f"""
 SELECT vec_id, {_m5_sql(0)} AS m_label, {_M4['score']} AS m_score,
        m0_p_pos AS m_p_pos, m0_p_neu AS m_p_neu, m0_p_neg AS m_p_neg, false AS m_failed
-FROM f5"""), ["m_score", "m_p_pos", "m_p_neu", "m_p_neg"]))
+FROM f5"""), ["m_score", "m_p_pos", "m_p_neu", "m_p_neg"])
+
+
+@register("batch_scorer_hook", _SCORER_SQL)
 def q_batch_scorer_hook(spark, sf_dir):
     """the mapInPandas batch hook (64 texts per call) over every embeddings row
     with the stand-in softmax scorer; compared with the same rule in SQL."""
@@ -343,6 +346,17 @@ def q_batch_scorer_hook(spark, sf_dir):
     return out.select("vec_id", "m_label", "m_score", "m_p_pos", "m_p_neu", "m_p_neg", "m_failed")
 
 
+@register("memoised_scorer", _SCORER_SQL)
+def q_memoised_scorer(spark, sf_dir):
+    """F4 + J9: the same scores from a table that keeps each text's result: half of the rows are scored in a first
+    run, a second run over all rows scores the texts that are new to it only."""
+    df = fx.class_probabilities(spark, sf_dir).select("vec_id", F.col("raw_text").alias("model_input"))
+    path = scratch_path(spark, "scores")
+    scoring.score_memoised(df.where(F.pmod(F.hash("vec_id"), F.lit(2)) == 0), path, "softmax", fx.make_fixture_scorer)
+    out = scoring.score_memoised(df, path, "softmax", fx.make_fixture_scorer)
+    return out.select("vec_id", "m_label", "m_score", "m_p_pos", "m_p_neu", "m_p_neg", "m_failed")
+
+
 @register("exploded_mentions", O.with_ctes(O.F1_RAW, O.F1_CLEAN, O.f1_tickers_sql(), f"""
 csv AS (SELECT id, text, array_to_string(mentioned_tickers, ',') AS tickers_csv FROM inherited)""", f"""
 lst AS (SELECT id, text, list_filter(list_transform(string_split(regexp_replace(tickers_csv, '[\\[\\]''"]', '', 'g'),
