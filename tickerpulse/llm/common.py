@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import gc
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
 
+#: Elements that are appended one by one before they go into an array of blocks.
+APPEND_BLOCK = 128
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,6 +25,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return materialize(df)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps: it does when the driver's objects for them are collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def keyed(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``(uid, doc_id, text)`` only, so further columns of any name cannot clash.
 
@@ -54,17 +65,47 @@ def matches(text: Column, pattern: str, present: Column | None = None) -> Column
         p.alias("before"), m.alias("value"), F.length(p).cast("long").alias("gap"),
         F.length(m).cast("long").alias("len")))
     pairs = F.filter(pairs, lambda x: x["value"].isNotNull())
-    empty = F.lit(None).cast("array<struct<start:bigint,end:bigint,value:string,before:string>>")
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"),
-                    F.array().cast("array<struct<start:bigint,end:bigint,value:string,before:string>>").alias("out"))
-    placed = F.aggregate(pairs, zero, lambda acc, x: F.struct(
-        (acc["at"] + x["gap"] + x["len"]).alias("at"),
-        F.concat(acc["out"], F.array(F.struct(
-            (acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["len"]).alias("end"),
-            x["value"].alias("value"), x["before"].alias("before")))).alias("out")),
-        lambda acc: acc["out"])
+    kind = "struct<start:bigint,end:bigint,value:string,before:string>"
+    placed = gathered(pairs, F.lit(0).cast("bigint"), kind, lambda at, x: (at + x["gap"] + x["len"], F.array(F.struct(
+        (at + x["gap"]).alias("start"), (at + x["gap"] + x["len"]).alias("end"), x["value"].alias("value"), x["before"].alias("before")))))
     has = text.rlike(pattern) if present is None else present & text.rlike(pattern)
-    return F.coalesce(F.when(has, placed), F.coalesce(empty, F.array()))
+    return F.coalesce(F.when(has, placed), F.array().cast(f"array<{kind}>"))
+
+
+def gathered(items: Column, state: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """The elements that ``step(state, item) -> (next state, array of elements)`` gives for all items in order.
+
+    An append copies the array it appends to, so elements are gathered in blocks of ``APPEND_BLOCK`` and the
+    blocks in another array: work is in proportion to the items, up to hundreds of thousands of them.
+    """
+    none = F.array().cast(f"array<{kind}>")
+    zero = F.struct(state.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("blocks"), none.alias("block"))
+
+    def add(acc: Column, x: Column) -> Column:
+        after, more = step(acc["state"], x)
+        full = F.size(acc["block"]) >= APPEND_BLOCK
+        return F.struct(after.alias("state"),
+                        F.when(full, F.concat(acc["blocks"], F.array(acc["block"]))).otherwise(acc["blocks"]).alias("blocks"),
+                        F.when(full, more).otherwise(F.concat(acc["block"], more)).alias("block"))
+
+    return F.aggregate(items, zero, add, lambda acc: F.flatten(F.concat(acc["blocks"], F.array(acc["block"]))))
+
+
+def covered(spans: Column) -> Column:
+    """A byte per code point up to the last span's end: 1 inside a span, 0 outside. Wrap it in ``once`` before a lambda."""
+    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].cast("bigint").alias("start"), s["end"].cast("bigint").alias("end"))))
+    kind = "struct<gap:bigint,len:bigint>"
+    pieces = gathered(order, F.lit(0).cast("bigint"), kind, lambda at, s: (F.greatest(at, s["end"]), F.when(
+        s["end"] > at, F.array(F.struct((F.greatest(at, s["start"]) - at).alias("gap"), (s["end"] - F.greatest(at, s["start"])).alias("len"))))
+        .otherwise(F.array().cast(f"array<{kind}>"))))
+    return F.array_join(F.transform(pieces, lambda p: F.concat(
+        F.repeat(F.lit("0"), p["gap"].cast("int")), F.repeat(F.lit("1"), p["len"].cast("int")))), "").cast("binary")
+
+
+def touches(cover: Column, span: Column) -> Column:
+    """Whether ``span`` shares a place with the spans that ``cover`` was made of."""
+    own = F.substring(cover, (span["start"] + 1).cast("int"), (span["end"] - span["start"]).cast("int"))
+    return F.contains(own, F.lit("1").cast("binary"))
 
 
 def span_text(spans: Column) -> Column:

@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, release
 from .quality_model import fold
 
 CHUNK_TOKENS = 2_000_000
@@ -273,6 +273,8 @@ def pair_tables(requests: DataFrame, level: WordLevel) -> DataFrame:
         key = np.repeat(firsts, per).astype(np.uint64) << np.uint64(32) | np.concatenate(cols["second"])
         different, at, which = np.unique(key, return_index=True, return_inverse=True)
         totals = np.bincount(which, np.concatenate(cols["counts"]), len(different)).astype(np.int64)
+        if len(totals) and totals.max() > 0xFFFF_FFFF:
+            raise OverflowError("a word pair was seen more often than 32 bits can count")
         lower = level(np.concatenate(cols["known"])[at].astype(np.int64))
         names, first_at = np.unique(firsts, return_inverse=True)
         owner = np.searchsorted(names, (different >> np.uint64(32)).astype(np.uint32))
@@ -325,12 +327,16 @@ def score_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     size = parts.agg(F.sum(F.size(F.filter("train", lambda t: t))).alias("train"), F.count("*").alias("chunks")).first()
     n_tables = max(8, -(-(size["chunks"] or 0) * CHUNK_TOKENS // TABLE_TOKENS))
     answers = checkpointed(word_tables(parts, n_tables))
+    release(docs.sparkSession)
     summary = {r["part"]: _unpacked(r["a"], "i8") for r in answers.where("chunk = -1").collect()}  # one row a table
     stats = np.array([summary.get(t, np.zeros(RARE + 4, np.int64)) for t in range(n_tables)])
     total, different, of_words = int(stats[:, 2].sum()), int(stats[:, 1].sum()), stats[:, 3:].sum(axis=0).tolist()
     set_up = Setup(n_tables, np.cumsum(stats[:, 0]) - stats[:, 0], size["train"] or 0, total)
     level = WordLevel(total, different, of_words)
+    if int(stats[:, 0].sum()) >= _START:
+        raise OverflowError("more different words than 32 bits can number")
     replies = checkpointed(pair_tables(pair_requests(parts, answers, set_up), level))
+    release(docs.sparkSession)
     of_pairs = np.zeros(RARE + 1, np.int64)
     for r in replies.where("chunk = -1").collect():  # one row a table
         of_pairs += _unpacked(r["a"], "i8")

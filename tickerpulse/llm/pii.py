@@ -32,7 +32,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, keyed, kind_count, matches, once, span_text
+from .common import checkpointed, covered, gathered, keyed, kind_count, matches, once, span_text, touches
 
 # Fixed patterns. Possessive repeats keep what the plain ones match (nothing follows them that could
 # take characters back) and make the matcher iterate instead of recursing on very long runs.
@@ -115,8 +115,8 @@ def mention_table(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     """
     found = keyed(docs, text_col, id_col).select("uid", "doc_id", F.xxhash64("text").alias("h"), once(_mentions(F.col("text"))).alias("all"))
     found = found.select("uid", "doc_id", "h", "all", F.filter("all", lambda m: m["kind"] != "found").alias("base"))
-    free = F.filter("all", lambda m: (m["kind"] != "found") | ~F.exists(
-        "base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    found = found.select("*", once(covered(F.col("base"))).alias("cover"))
+    free = F.filter("all", lambda m: (m["kind"] != "found") | ~touches(F.col("cover"), m))
     return found.select("uid", "doc_id", "h", F.transform("base", lambda b: F.struct(
         b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end"))).alias("base"),
                         F.transform(free, lambda m: F.struct(
@@ -202,18 +202,28 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", id_col: str = "d
     return both.select("uid", "doc_id", "h", "base", spans.alias("spans"))
 
 
-def mask_spans(text: Column, spans: Column) -> Column:
-    """``text`` with each span replaced by its kind's mark; of overlapping spans the earlier, then longer, counts."""
+_WIDE = "UTF-32"  # four bytes a code point, so that a slice needs no scan from the text's start
+
+
+def wide(text: Column) -> Column:
+    """The text behind one more character (a mark of byte order at its start is then text). Wrap it in ``once``."""
+    return F.encode(F.concat(F.lit("x"), text), _WIDE)
+
+
+def mask_spans(wide_text: Column, spans: Column) -> Column:
+    """The text of ``wide`` with each span replaced by its kind's mark; of overlapping spans the earlier, then longer, counts."""
     marks = F.create_map(*(F.lit(x) for kv in MASK.items() for x in kv))
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(
-        s["start"].cast("int").alias("start"), (-s["end"]).cast("int").alias("minus_end"), s["kind"].alias("kind"))))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(ordered, zero, lambda acc, s: F.struct(
-        F.greatest(acc["at"], -s["minus_end"]).alias("at"),
-        F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(
-            acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.element_at(marks, s["kind"])))
-        .alias("out")), lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+        s["start"].cast("bigint").alias("start"), (-s["end"]).cast("bigint").alias("minus_end"), s["kind"].alias("kind"))))
+    kind = "struct<from:bigint,len:bigint,mark:string>"
+    pieces = gathered(ordered, F.lit(0).cast("bigint"), kind, lambda at, s: (F.greatest(at, -s["minus_end"]), F.when(
+        s["start"] >= at, F.array(F.struct(at.alias("from"), (s["start"] - at).alias("len"), F.element_at(marks, s["kind"]).alias("mark"))))
+        .otherwise(F.array().cast(f"array<{kind}>"))))
+    cut = lambda start, size: F.hex(F.substring(wide_text, (4 * start + 5).cast("int"), (4 * size).cast("int")))
+    shown = F.array_join(F.transform(pieces, lambda p: F.concat(cut(p["from"], p["len"]), F.hex(F.encode(p["mark"], _WIDE)))), "")
+    rest = cut(F.array_max(F.transform(spans, lambda s: s["end"].cast("bigint"))), F.length(wide_text).cast("bigint"))
+    start = F.hex(F.encode(F.lit("x"), _WIDE))
+    return F.substring(F.decode(F.unhex(F.concat(start, shown, rest)), _WIDE), F.lit(2), F.lit(2**31 - 1))
 
 
 def mask_documents(docs: DataFrame, params: Bootstrap = Bootstrap()) -> DataFrame:
@@ -227,11 +237,14 @@ def mask_documents(docs: DataFrame, params: Bootstrap = Bootstrap()) -> DataFram
         F.first("spans").alias("mask_spans")))
     own = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     joined = docs.join(masks, docs["doc_id"].eqNullSafe(masks["mask_id"]) & (own == masks["h"]), "left")
-    new = F.when(masks["mask_spans"].isNotNull(), mask_spans(docs["text"], masks["mask_spans"])).otherwise(docs["text"])
-    masked = joined.select(*(docs[c] for c in docs.columns if c != "text"), new.alias("text"),
-                           masks["mask_spans"].isNotNull().alias("__masked"))
+    has = masks["mask_spans"].isNotNull()
+    joined = joined.select(*[docs[c] for c in docs.columns], masks["mask_spans"].alias("__spans"),
+                           once(F.when(has, wide(docs["text"]))).alias("__wide"))
+    new = F.when(F.col("__spans").isNotNull(), mask_spans(F.col("__wide"), F.col("__spans"))).otherwise(F.col("text"))
+    masked = joined.withColumn("text", new)
     if "n_chars" in docs.columns:
-        masked = masked.withColumn("n_chars", F.when(F.col("__masked"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        size = F.length("text").cast(docs.schema["n_chars"].dataType)
+        masked = masked.withColumn("n_chars", F.when(F.col("__spans").isNotNull(), size).otherwise(F.col("n_chars")))
     return masked.select(*docs.columns)
 
 

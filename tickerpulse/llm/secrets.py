@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, keyed, kind_count, matches, span_text
+from .common import checkpointed, covered, keyed, kind_count, matches, once, span_text, touches
 
 # fixed patterns
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))"""
@@ -120,9 +120,10 @@ def find_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     Spans are array<struct<kind,start,end>> in code points, end exclusive; ``uid`` holds for this table alone.
     """
     text = F.col("text")
-    rows = keyed(docs, text_col, id_col).select("uid", "doc_id", base_spans(text).alias("base"), weak_spans(text).alias("weak"))
-    rows = checkpointed(rows.withColumn("weak", F.filter("weak", lambda w: ~F.exists(
-        "base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))))
+    rows = keyed(docs, text_col, id_col).select("uid", "doc_id", once(F.struct(base_spans(text).alias("base"), weak_spans(text).alias("weak"))).alias("s"))
+    rows = rows.select("uid", "doc_id", "s.base", "s.weak")
+    rows = rows.select("*", once(covered(F.col("base"))).alias("cover"))
+    rows = checkpointed(rows.withColumn("weak", F.filter("weak", lambda w: ~touches(F.col("cover"), w))).drop("cover"))
     extra = linked_parts(rows, scope).groupBy("uid").agg(F.collect_list(F.struct("start", "kind", "end")).alias("extra"))
     joined = rows.select("uid", "doc_id", "base").join(extra, "uid", "left")
     every = F.concat("base", F.coalesce("extra", F.array().cast(_SPAN)))
