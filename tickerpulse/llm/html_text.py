@@ -37,9 +37,9 @@ _TAG = re.compile(
     r"|<(?P<raw>script|style|title|textarea|xmp|iframe|noembed|noframes)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[a-zA-Z/!?][^>]*(?:>|\Z)", re.S | re.I)
-_NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
-_WORDS = re.compile(r"[a-z]+")
+_ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span "
@@ -50,7 +50,8 @@ DROPPED = frozenset("head nav header footer aside form button select option menu
 NOT_ARTICLE = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav "
                         "navbar navigation footer header masthead breadcrumb breadcrumbs comment comments disqus respond cookie cookies "
                         "consent notice popup modal overlay share sharing social subscribe newsletter signup login related "
-                        "recommended pagination pager widget toolbar complementary contentinfo search".split())
+                        "recommended pagination pager widget toolbar complementary contentinfo search commentlist commentlisting reviews "
+                        "userreviews".split())
 KEPT_NAMES = frozenset("html body article main".split())
 #: An element that a new one of the listed names ends.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -64,13 +65,29 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SEVERAL = 0.2
 
 
+def _attributes(attrs: str) -> dict[str, str]:
+    """Names (lower case) and values of a tag's attributes, the first of each name."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attrs):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
+
+
+def _hidden(own: dict[str, str]) -> bool:
+    return ("hidden" in own and own["hidden"].lower() != "until-found") or own.get("aria-hidden", "").strip().lower() == "true" \
+        or bool(_NO_DISPLAY.search(own.get("style", "")))
+
+
 def _unwanted(name: str, attrs: str) -> bool:
-    return name in DROPPED or bool(attrs) and name not in KEPT_NAMES and _HIDDEN.search(attrs) is not None
+    return name in DROPPED or bool(attrs) and name not in KEPT_NAMES and _hidden(_attributes(attrs))
 
 
 def _marked(name: str, attrs: str) -> bool:
-    """Whether a class, id or role word says that this is not the article."""
-    return bool(attrs) and any(not NOT_ARTICLE.isdisjoint(_WORDS.findall("".join(m).lower())) for m in _NAMED.findall(attrs))
+    """Whether a class, id or role word says that this is not the article. Words end at capitals too (sidebarLeft)."""
+    if not attrs:
+        return False
+    own = _attributes(attrs)
+    return any(not NOT_ARTICLE.isdisjoint(w.lower() for w in _WORDS.findall(own.get(key, ""))) for key in ("class", "id", "role"))
 
 
 class _Page:

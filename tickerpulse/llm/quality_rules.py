@@ -156,7 +156,7 @@ def keep_good(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
             cols = dict(zip(batch.schema.names, batch.columns))
             cols["text"] = pa.array([v[-1] for v in verdicts], cols["text"].type)
             if "n_chars" in cols:
-                cols["n_chars"] = pa.array([len(v[-1]) for v in verdicts], pa.int64())
+                cols["n_chars"] = pa.array([len(v[-1]) for v in verdicts], cols["n_chars"].type)
             out = pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
             yield out.filter(pa.array([v[-2] for v in verdicts], pa.bool_()))
 
