@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,8 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-#: Elements that are appended one by one before they go into an array of blocks.
-APPEND_BLOCK = 128
+RUN = 64
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -25,12 +23,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return materialize(df)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps: it does when the driver's objects for them are collected."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def keyed(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``(uid, doc_id, text)`` only, so further columns of any name cannot clash.
 
@@ -65,41 +57,47 @@ def matches(text: Column, pattern: str, present: Column | None = None) -> Column
         p.alias("before"), m.alias("value"), F.length(p).cast("long").alias("gap"),
         F.length(m).cast("long").alias("len")))
     pairs = F.filter(pairs, lambda x: x["value"].isNotNull())
-    kind = "struct<start:bigint,end:bigint,value:string,before:string>"
-    placed = gathered(pairs, F.lit(0).cast("bigint"), kind, lambda at, x: (at + x["gap"] + x["len"], F.array(F.struct(
-        (at + x["gap"]).alias("start"), (at + x["gap"] + x["len"]).alias("end"), x["value"].alias("value"), x["before"].alias("before")))))
+    placed = let(pairs, lambda ps: let(before_each(F.transform(ps, lambda x: x["gap"] + x["len"]), F.lit(0), lambda a, b: a + b), lambda at: F.transform(
+        ps, lambda x, i: F.struct((F.get(at, i) + x["gap"]).alias("start"), (F.get(at, i) + x["gap"] + x["len"]).alias("end"),
+                                  x["value"].alias("value"), x["before"].alias("before")))))
     has = text.rlike(pattern) if present is None else present & text.rlike(pattern)
-    return F.coalesce(F.when(has, placed), F.array().cast(f"array<{kind}>"))
+    return F.coalesce(F.when(has, placed), F.array().cast("array<struct<start:bigint,end:bigint,value:string,before:string>>"))
+
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)``, with ``value`` evaluated once however often the body uses it, also inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-def gathered(items: Column, state: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
-    """The elements that ``step(state, item) -> (next state, array of elements)`` gives for all items in order.
 
-    An append copies the array it appends to, so elements are gathered in blocks of ``APPEND_BLOCK`` and the
-    blocks in another array: work is in proportion to the items, up to hundreds of thousands of them.
+def before_each(values: Column, zero: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For every element, ``join`` (a sum, a maximum) of the elements before it; ``values`` is array<bigint>.
+
+    ``aggregate`` copies its accumulator at every step, so one that gathers an array takes quadratic time. Here every
+    element joins the ones before it in its block of ``RUN``, the blocks before that in its block of blocks, and
+    the blocks of blocks before that: three short runs for up to hundreds of thousands of elements.
     """
-    none = F.array().cast(f"array<{kind}>")
-    zero = F.struct(state.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("blocks"), none.alias("block"))
+    start = zero.cast("bigint")
+    total = lambda part: F.aggregate(part, start, join)
+    blocks = lambda a: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / RUN).cast("int")), lambda b: total(F.slice(a, b * RUN + 1, F.lit(RUN))))
+
+    def within(a: Column, outer: Callable[[Column], Column]) -> Column:
+        """For every element of ``a``: what ``outer`` gives for its block, and the elements before it in the block."""
+        return F.transform(a, lambda _, i: let(F.floor(i / RUN).cast("int"), lambda b: join(outer(b), total(F.slice(a, b * RUN + 1, i - b * RUN)))))
 
-    def add(acc: Column, x: Column) -> Column:
-        after, more = step(acc["state"], x)
-        full = F.size(acc["block"]) >= APPEND_BLOCK
-        return F.struct(after.alias("state"),
-                        F.when(full, F.concat(acc["blocks"], F.array(acc["block"]))).otherwise(acc["blocks"]).alias("blocks"),
-                        F.when(full, more).otherwise(F.concat(acc["block"], more)).alias("block"))
+    def long(a: Column) -> Column:
+        return let(blocks(a), lambda one: let(blocks(one), lambda two: let(
+            F.transform(two, lambda _, i: total(F.slice(two, F.lit(1), i))), lambda before_two: let(
+                within(one, lambda b: F.get(before_two, b)), lambda before_one: within(a, lambda b: F.get(before_one, b))))))
 
-    return F.aggregate(items, zero, add, lambda acc: F.flatten(F.concat(acc["blocks"], F.array(acc["block"]))))
+    return let(values, lambda a: F.when(F.size(a) <= RUN, F.transform(a, lambda _, i: total(F.slice(a, F.lit(1), i)))).otherwise(long(a)))
 
 
 def covered(spans: Column) -> Column:
-    """A byte per code point up to the last span's end: 1 inside a span, 0 outside. Wrap it in ``once`` before a lambda."""
-    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].cast("bigint").alias("start"), s["end"].cast("bigint").alias("end"))))
-    kind = "struct<gap:bigint,len:bigint>"
-    pieces = gathered(order, F.lit(0).cast("bigint"), kind, lambda at, s: (F.greatest(at, s["end"]), F.when(
-        s["end"] > at, F.array(F.struct((F.greatest(at, s["start"]) - at).alias("gap"), (s["end"] - F.greatest(at, s["start"])).alias("len"))))
-        .otherwise(F.array().cast(f"array<{kind}>"))))
-    return F.array_join(F.transform(pieces, lambda p: F.concat(
-        F.repeat(F.lit("0"), p["gap"].cast("int")), F.repeat(F.lit("1"), p["len"].cast("int")))), "").cast("binary")
+    """A byte per code point up to the last span's end: 1 inside a span, 0 outside; for spans of one kind, which follow
+    one another. Wrap it in ``once`` before a lambda."""
+    return F.array_join(F.transform(spans, lambda s, i: F.concat(
+        F.repeat(F.lit("0"), (s["start"] - F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))).cast("int")),
+        F.repeat(F.lit("1"), (s["end"] - s["start"]).cast("int")))), "").cast("binary")
 
 
 def touches(cover: Column, span: Column) -> Column:

@@ -44,7 +44,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, release
+from ..session import scratch_path
+from .common import checkpointed
 from .quality_model import fold
 
 CHUNK_TOKENS = 2_000_000
@@ -318,16 +319,26 @@ def _evaluate(own: Layout, replies: list[dict], level: WordLevel, d: np.ndarray)
     return p[own.token_pair]
 
 
+def stored(parts: DataFrame, docs: DataFrame) -> DataFrame:
+    """The chunks as a table in the shared folder, bucketed by chunk: the cogroups read them where they are, and only
+    the answers move. Each task writes its few chunks straight to their buckets."""
+    spark = docs.sparkSession
+    buckets = min(100_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions()))
+    path = scratch_path(spark, "katz-chunks")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    parts.write.format("parquet").bucketBy(buckets, "chunk").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def score_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", held_out_fold: int = 1) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
     ``score`` is the model's log10 probability of the text; ``base_score`` that of smoothed word counts.
     """
-    parts = checkpointed(chunks(docs, text_col, id_col, held_out_fold))
+    parts = stored(chunks(docs, text_col, id_col, held_out_fold), docs)
     size = parts.agg(F.sum(F.size(F.filter("train", lambda t: t))).alias("train"), F.count("*").alias("chunks")).first()
     n_tables = max(8, -(-(size["chunks"] or 0) * CHUNK_TOKENS // TABLE_TOKENS))
     answers = checkpointed(word_tables(parts, n_tables))
-    release(docs.sparkSession)
     summary = {r["part"]: _unpacked(r["a"], "i8") for r in answers.where("chunk = -1").collect()}  # one row a table
     stats = np.array([summary.get(t, np.zeros(RARE + 4, np.int64)) for t in range(n_tables)])
     total, different, of_words = int(stats[:, 2].sum()), int(stats[:, 1].sum()), stats[:, 3:].sum(axis=0).tolist()
@@ -336,7 +347,6 @@ def score_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     if int(stats[:, 0].sum()) >= _START:
         raise OverflowError("more different words than 32 bits can number")
     replies = checkpointed(pair_tables(pair_requests(parts, answers, set_up), level))
-    release(docs.sparkSession)
     of_pairs = np.zeros(RARE + 1, np.int64)
     for r in replies.where("chunk = -1").collect():  # one row a table
         of_pairs += _unpacked(r["a"], "i8")

@@ -32,7 +32,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, covered, gathered, keyed, kind_count, matches, once, span_text, touches
+from .common import before_each, checkpointed, covered, keyed, kind_count, let, matches, once, span_text, touches
 
 # Fixed patterns. Possessive repeats keep what the plain ones match (nothing follows them that could
 # take characters back) and make the matcher iterate instead of recursing on very long runs.
@@ -115,8 +115,9 @@ def mention_table(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     """
     found = keyed(docs, text_col, id_col).select("uid", "doc_id", F.xxhash64("text").alias("h"), once(_mentions(F.col("text"))).alias("all"))
     found = found.select("uid", "doc_id", "h", "all", F.filter("all", lambda m: m["kind"] != "found").alias("base"))
-    found = found.select("*", once(covered(F.col("base"))).alias("cover"))
-    free = F.filter("all", lambda m: (m["kind"] != "found") | ~touches(F.col("cover"), m))
+    by_kind = F.array(*[let(F.filter("base", lambda b, k=k: b["kind"] == k), covered) for k in KINDS])
+    found = found.select("*", once(by_kind).alias("cover"))
+    free = F.filter("all", lambda m: (m["kind"] != "found") | ~F.exists("cover", lambda c: touches(c, m)))
     return found.select("uid", "doc_id", "h", F.transform("base", lambda b: F.struct(
         b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end"))).alias("base"),
                         F.transform(free, lambda m: F.struct(
@@ -215,10 +216,10 @@ def mask_spans(wide_text: Column, spans: Column) -> Column:
     marks = F.create_map(*(F.lit(x) for kv in MASK.items() for x in kv))
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(
         s["start"].cast("bigint").alias("start"), (-s["end"]).cast("bigint").alias("minus_end"), s["kind"].alias("kind"))))
-    kind = "struct<from:bigint,len:bigint,mark:string>"
-    pieces = gathered(ordered, F.lit(0).cast("bigint"), kind, lambda at, s: (F.greatest(at, -s["minus_end"]), F.when(
-        s["start"] >= at, F.array(F.struct(at.alias("from"), (s["start"] - at).alias("len"), F.element_at(marks, s["kind"]).alias("mark"))))
-        .otherwise(F.array().cast(f"array<{kind}>"))))
+    pieces = let(ordered, lambda own: let(before_each(F.transform(own, lambda s: -s["minus_end"]), F.lit(0), lambda a, b: F.greatest(a, b)), lambda at: F.transform(
+        own, lambda s, i: F.when(s["start"] >= F.get(at, i), F.struct(
+            F.get(at, i).alias("from"), (s["start"] - F.get(at, i)).alias("len"), F.element_at(marks, s["kind"]).alias("mark"))))))
+    pieces = F.filter(pieces, lambda p: p.isNotNull())
     cut = lambda start, size: F.hex(F.substring(wide_text, (4 * start + 5).cast("int"), (4 * size).cast("int")))
     shown = F.array_join(F.transform(pieces, lambda p: F.concat(cut(p["from"], p["len"]), F.hex(F.encode(p["mark"], _WIDE)))), "")
     rest = cut(F.array_max(F.transform(spans, lambda s: s["end"].cast("bigint"))), F.length(wide_text).cast("bigint"))
