@@ -100,6 +100,10 @@ def covered(spans: Column) -> Column:
         F.repeat(F.lit("1"), (s["end"] - s["start"]).cast("int")))), "").cast("binary")
 
 
+def of_kind(spans: Column, kind: str) -> Column:
+    return F.filter(spans, lambda s: s["kind"] == kind)
+
+
 def touches(cover: Column, span: Column) -> Column:
     """Whether ``span`` shares a place with the spans that ``cover`` was made of."""
     own = F.substring(cover, (span["start"] + 1).cast("int"), (span["end"] - span["start"]).cast("int"))
@@ -112,4 +116,4 @@ def span_text(spans: Column) -> Column:
 
 
 def kind_count(spans: str, kind: str) -> Column:
-    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return F.size(of_kind(F.col(spans), kind)).cast("long").alias(f"n_{kind}")

@@ -32,7 +32,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import before_each, checkpointed, covered, keyed, kind_count, let, matches, once, span_text, touches
+from .common import before_each, checkpointed, covered, keyed, kind_count, let, matches, of_kind, once, span_text, touches
 
 # Fixed patterns. Possessive repeats keep what the plain ones match (nothing follows them that could
 # take characters back) and make the matcher iterate instead of recursing on very long runs.
@@ -115,7 +115,7 @@ def mention_table(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     """
     found = keyed(docs, text_col, id_col).select("uid", "doc_id", F.xxhash64("text").alias("h"), once(_mentions(F.col("text"))).alias("all"))
     found = found.select("uid", "doc_id", "h", "all", F.filter("all", lambda m: m["kind"] != "found").alias("base"))
-    by_kind = F.array(*[let(F.filter("base", lambda b, k=k: b["kind"] == k), covered) for k in KINDS])
+    by_kind = F.array(*[let(of_kind(F.col("base"), k), covered) for k in KINDS])
     found = found.select("*", once(by_kind).alias("cover"))
     free = F.filter("all", lambda m: (m["kind"] != "found") | ~F.exists("cover", lambda c: touches(c, m)))
     return found.select("uid", "doc_id", "h", F.transform("base", lambda b: F.struct(

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, covered, keyed, kind_count, let, matches, once, span_text, touches
+from .common import checkpointed, covered, keyed, kind_count, let, matches, of_kind, once, span_text, touches
 
 # fixed patterns
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))"""
@@ -122,7 +122,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     text = F.col("text")
     rows = keyed(docs, text_col, id_col).select("uid", "doc_id", once(F.struct(base_spans(text).alias("base"), weak_spans(text).alias("weak"))).alias("s"))
     rows = rows.select("uid", "doc_id", "s.base", "s.weak")
-    by_kind = F.array(*[let(F.filter("base", lambda b, k=k: b["kind"] == k), covered) for k in KINDS])
+    by_kind = F.array(*[let(of_kind(F.col("base"), k), covered) for k in KINDS])
     rows = rows.select("*", once(by_kind).alias("cover"))
     rows = checkpointed(rows.withColumn("weak", F.filter("weak", lambda w: ~F.exists("cover", lambda c: touches(c, w)))).drop("cover"))
     extra = linked_parts(rows, scope).groupBy("uid").agg(F.collect_list(F.struct("start", "kind", "end")).alias("extra"))
