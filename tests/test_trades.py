@@ -50,6 +50,14 @@ def test_metrics_of_a_curve_that_is_lost(spark):
     assert steps[1] is None and steps[2] == -0.5 and steps[3] == pytest.approx(-1.2) and steps[4] is None
 
 
+def test_statistics_of_no_trades(spark):
+    none = spark.createDataFrame([], "pnl double, pnl_pct double, signal_score double")
+    got = metrics.trade_stats(none).first().asDict()
+    assert (got["trades"], got["wins"], got["losses"], got["profit_factor"]) == (0, 0, 0, 0.0)
+    assert got["win_rate"] is None and got["loss_rate"] is None and got["total_pnl"] is None
+    assert metrics.score_relationship(none).first().asDict() == {"correlation": None, "slope": None, "intercept": None}
+
+
 def test_sweep_rejects_unknown_parameters():
     base = shock.ShockParams(), market.MarketParams(), trades.BacktestParams(start="2024-01-01", end="2024-02-01")
     with pytest.raises(ValueError, match="stop_los"):
