@@ -58,6 +58,16 @@ def test_statistics_of_no_trades(spark):
     assert metrics.score_relationship(none).first().asDict() == {"correlation": None, "slope": None, "intercept": None}
 
 
+def test_relationship_of_few_trades(spark):
+    kind = "signal_score double, pnl_pct double"
+    same_score = metrics.score_relationship(spark.createDataFrame([(3.0, 1.0), (3.0, 2.0)], kind)).first()
+    same_return = metrics.score_relationship(spark.createDataFrame([(3.0, 1.0), (4.0, 1.0)], kind)).first()
+    assert same_score["correlation"] is None and same_score["slope"] is None
+    assert same_return["correlation"] is None and same_return["slope"] == 0.0
+    got = metrics.score_relationship(spark.createDataFrame([(1.0, 2.0), (2.0, 1.0), (3.0, 6.0), (None, 9.0), (7.0, None)], kind)).first()
+    assert got["correlation"] == pytest.approx(4 / (2 * 14) ** 0.5)
+
+
 def test_sweep_rejects_unknown_parameters():
     base = shock.ShockParams(), market.MarketParams(), trades.BacktestParams(start="2024-01-01", end="2024-02-01")
     with pytest.raises(ValueError, match="stop_los"):
