@@ -39,6 +39,16 @@ def test_normalize_default_protects_only_detected(spark):
     assert df.select(tx.normalize_text("t", "k")).first()[0] == "go $CI and der a now the QUE"
 
 
+def test_both_views_come_from_one_pass(spark):
+    texts = ["Go $CI and DER.A now, the QUE", "ab\u00e9 x-y.z [a b](http://c d) http", "BRK.B-A $AAPL's toolong", "raw \x01 Foo.Bar \x02 and \x01ci", None, ""]
+    df = spark.createDataFrame([(t, ["DER-A", "QUE"]) for t in texts], "t string, k array<string>")
+    got = df.select(tx.normalized_views("t", "k").alias("v")).select("v.*").collect()
+    alone = df.select(tx.normalize_text("t", "k"), tx.normalize_text("t", compat=True)).collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in alone]
+    assert tuple(got[0]) == ("go $CI and der a now the QUE", "GO $CI AND DER.A NOW THE QUE")
+    assert tuple(got[2]) == ("brk b a $AAPL s toolong", "BRK.B a $AAPL s toolong") and tuple(got[4]) == ("", "")
+
+
 def test_stopword_literals(spark):
     cases = [("The IN and THE of it", ["IN"], "IN"), ("a, the. (and) buy!", [], "buy!"), ("-- cat ... dog", [], "cat dog"),
              ("IN the money", [], "money"), (None, [], "")]

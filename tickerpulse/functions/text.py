@@ -49,9 +49,10 @@ on off over under again further then once
 
 # Candidate patterns.
 CASHTAG_RE = r"\$([A-Za-z]{1,5}(?:[.-][A-Za-z]{1,2})?)\b"
-CAPS_WORD_RE = r"\b([A-Z]{2,5}(?:[.-][A-Z]{1,2})?)\b"
+CAPS_WORD_RE = r"(?=[A-Z])\b([A-Z]{2,5}(?:[.-][A-Z]{1,2})?)\b"
 # Any ticker-shaped token: optional cashtag, 2-5 letters, optional class suffix.
-TICKER_SHAPE_RE = r"(?<!\w)(?:\$[A-Za-z]{1,5}|[A-Za-z]{2,5})(?:[.-][A-Za-z]{1,2})?(?!\w)"
+# (What rules a place out cheaply comes first, and letters are taken possessively: no shorter run can end a word.)
+TICKER_SHAPE_RE = r"(?=[$A-Za-z])(?<![A-Za-z0-9_])(?<!\w)(?:\$[A-Za-z]{1,5}+|[A-Za-z]{2,5}+)(?:[.-][A-Za-z]{1,2}+)?(?!\w)"
 
 _U = "(?U)"
 _MARK_OPEN, _MARK_CLOSE = "\u0001", "\u0002"
@@ -158,26 +159,41 @@ def normalize_text(c, tickers=None, compat: bool = False) -> Column:
     cashtags plus words whose upper form is in the array column ``tickers``
     (the row's detected symbols).
     """
+    return _joined(_marked_tokens(c), tickers, compat)
+
+
+def normalized_views(c, tickers=None) -> Column:
+    """X6 in both modes: struct<normalized, normalized_compat>, from one pass over the text."""
+    both = F.transform(F.array(_marked_tokens(c)), lambda toks: F.struct(
+        _joined(toks, tickers, False).alias("normalized"), _joined(toks, tickers, True).alias("normalized_compat")))
+    return F.get(both, F.lit(0))
+
+
+def _marked_tokens(c) -> Column:
+    """The words of a text without links; a ticker-shaped token has its marks on."""
     s = F.coalesce(col(c), F.lit(""))
-    s = F.regexp_replace(s, r"\[([^\]]+)\]\(http[^)\s]*\)", "$1")
-    s = F.regexp_replace(s, r"http\S+", " ")
+    linkless = F.regexp_replace(F.regexp_replace(s, r"\[([^\]]+)\]\(http[^)\s]*\)", "$1"), r"http\S+", " ")
+    s = F.when(F.contains(s, F.lit("http")), linkless).otherwise(s)
     s = F.regexp_replace(s, _U + TICKER_SHAPE_RE, _MARK_OPEN + "$0" + _MARK_CLOSE)
-    toks = F.regexp_extract_all(s, F.lit(f"{_MARK_OPEN}[^{_MARK_CLOSE}]*{_MARK_CLOSE}|[A-Za-z0-9_]+"), 0)
+    return F.regexp_extract_all(s, F.lit(f"{_MARK_OPEN}[^{_MARK_CLOSE}]*{_MARK_CLOSE}|[A-Za-z0-9_]+"), 0)
+
 
+def _joined(toks, tickers, compat: bool) -> Column:
     def fix(t):
-        inner = F.regexp_replace(t, f"[{_MARK_OPEN}{_MARK_CLOSE}]", "")
+        inner = F.replace(F.replace(t, F.lit(_MARK_OPEN), F.lit("")), F.lit(_MARK_CLOSE), F.lit(""))
         marked = F.startswith(t, F.lit(_MARK_OPEN))
+        low = F.lower(inner)
+        plain = F.when(low.rlike("[^a-z0-9_]"), F.trim(F.regexp_replace(low, "[^a-z0-9_]+", " "))).otherwise(low)
         if compat:
-            keep = marked
+            fixed = F.upper(inner)
         else:
-            tick = tickers if tickers is not None else F.array().cast("array<string>")
-            keep = marked & (F.startswith(inner, F.lit("$"))
-                             | F.array_contains(col(tick), F.upper(inner)))
-        plain = F.regexp_replace(F.lower(inner), "[^a-z0-9_]+", " ")
-        return F.when(keep, F.upper(inner)).otherwise(F.trim(plain))
+            keep = F.startswith(inner, F.lit("$"))
+            if tickers is not None:
+                keep = keep | ((F.size(col(tickers)) > 0) & F.array_contains(col(tickers), F.upper(inner)))
+            fixed = F.when(keep, F.upper(inner)).otherwise(plain)
+        return F.when(marked, fixed).otherwise(F.lower(t))  # an unmarked token is of [A-Za-z0-9_] only
 
-    words = F.filter(F.transform(toks, fix), lambda x: x != "")
-    return F.array_join(words, " ")
+    return F.array_join(F.filter(F.transform(toks, fix), lambda x: x != ""), " ")
 
 
 def remove_stopwords(c, tickers=None, compat: bool = False) -> Column:
@@ -188,18 +204,18 @@ def remove_stopwords(c, tickers=None, compat: bool = False) -> Column:
     the text with ``compat=True``, else the array column ``tickers``.
     """
     s = F.coalesce(col(c), F.lit(""))
-    words = split_words(s)
     if compat:
         tick = F.transform(F.regexp_extract_all(s, F.lit(_U + TICKER_SHAPE_RE), 0), lambda x: F.upper(x))
     else:
         tick = col(tickers) if tickers is not None else F.array().cast("array<string>")
     stop = sorted(STOPWORDS)
+    # all words are cleaned in one pass: white space stays, so the two lists run in step
+    clean = F.split(F.lower(F.regexp_replace(s, _U + rf"[^\w{WS_CLASS[1:-1]}]+", "")), WS_CLASS)
 
-    def keep(w):
-        clean = F.lower(F.regexp_replace(w, r"(?U)\W", ""))
-        return (clean != "") & (F.array_contains(tick, F.upper(w)) | ~clean.isin(*stop))
+    def kept(w, own):
+        return F.when((own != "") & (~own.isin(*stop) | F.array_contains(tick, F.upper(w))), w)
 
-    return F.array_join(F.filter(words, keep), " ")
+    return F.array_join(F.zip_with(F.split(s, WS_CLASS), clean, kept), " ")  # array_join leaves nulls out
 
 
 # ------------------------------------------------------------------ lists
