@@ -206,3 +206,9 @@ def test_katz_steps_agree_when_splits_are_planned_anew(spark, tmp_path, monkeypa
     finally:
         for name in names:
             spark.conf.unset(name)
+
+
+def test_katz_pairs_are_numbered_without_their_keys():
+    keys = np.array([7, 3, 7, 1 << 60, 3, 0])
+    different, which = katz._distinct(keys)
+    assert different.tolist() == [0, 3, 7, 1 << 60] and different[which].tolist() == keys.tolist()

@@ -186,6 +186,16 @@ def word_tables(parts: DataFrame, n_tables: int) -> DataFrame:
     return asked.groupBy("part").applyInArrow(table, _schema(_REPLY))
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys in order, and every key's place among them."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.r_[True, ordered[1:] != ordered[:-1]]
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return ordered[new], which
+
+
 class Layout:
     """One chunk's different word pairs, in the order of the tables they belong to; the same on every call."""
 
@@ -198,40 +208,44 @@ class Layout:
             own = where == r["part"]
             number[own] = _unpacked(r["a"], "u4").astype(np.uint64) + np.uint64(set_up.offsets[r["part"]])
             known[own] = _unpacked(r["b"], "u8").astype(np.int64)
-        # contexts: the token before, or the start
-        second, second_known = number[codes], known[codes]
-        first, first_known = np.roll(second, 1), np.roll(second_known, 1)
+        # words by rank of their number, so that a pair fits one number; contexts: the token before, or the start
+        by_number = np.argsort(number)
+        rank = np.empty(len(words) + 1, np.int64)
+        rank[by_number], rank[-1] = np.arange(len(words)), len(words)
+        number, known = np.r_[number[by_number], np.uint64(_START)], np.r_[known[by_number], set_up.starts]
+        second = rank[codes]
+        self.token_known = known[second]
+        first = np.roll(second, 1)
         self.begins = np.cumsum(self.sizes) - self.sizes
-        first[self.begins], first_known[self.begins] = _START, set_up.starts
+        first[self.begins] = len(words)
+        pairs, which = _distinct(first * len(number) + second)
+        first, second = pairs // len(number), pairs % len(number)
+        first_known = known[first]
         # a frequent first word has its pairs in several tables, chosen by the second word
         spread = np.maximum(1, -(-first_known * set_up.tables // max(1, set_up.total)))
-        mixed = (first * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)).astype(np.int64)
-        salt = (second * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(20)).astype(np.int64) % spread
+        mixed = (number[first] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)).astype(np.int64)
+        salt = (number[second] * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(20)).astype(np.int64) % spread
         part = (mixed + salt) % set_up.tables
-        key = first << np.uint64(32) | second
-        order = np.lexsort((key, part))
-        new = np.r_[True, (key[order][1:] != key[order][:-1]) | (part[order][1:] != part[order][:-1])]
-        self.token_pair = np.empty(len(key), np.int64)
-        self.token_pair[order] = np.cumsum(new) - 1
-        pick = order[new]
-        self.token_known = second_known
+        order = np.argsort(part.astype(np.min_scalar_type(set_up.tables)), kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.token_pair = place[which]
         learnt = np.repeat(np.array(row["train"], bool), self.sizes)
-        self.counts = np.bincount(self.token_pair[learnt], minlength=len(pick))
-        self.part, self.second, self.known = part[pick], second[pick], second_known[pick]
+        self.counts = np.bincount(self.token_pair[learnt], minlength=len(order))
+        self.part, self.second, self.known = part[order], number[second[order]], known[second[order]]
         # every table that holds a first word's pairs is asked for its sums, also where this chunk has no pair
+        mine = self.part.astype(np.uint64) << np.uint64(32) | number[first[order]]
         several = np.flatnonzero(spread > 1)
         names, at = np.unique(first[several], return_index=True)
-        parts, firsts, totals = [self.part], [first[pick]], [first_known[pick]]
+        new = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
+        asks, totals = [mine[new]], [first_known[order][new]]
         for name, k in zip(names, several[at]):
             tables = np.unique((mixed[k] + np.arange(spread[k])) % set_up.tables)
-            parts.append(tables)
-            firsts.append(np.full(len(tables), name, np.uint64))
+            asks.append(tables.astype(np.uint64) << np.uint64(32) | number[name])
             totals.append(np.full(len(tables), first_known[k]))
-        both = np.rec.fromarrays([np.concatenate(parts), np.concatenate(firsts)], names="p,f")
-        asked, at = np.unique(both, return_index=True)
-        self.ask_part, self.ask_first = asked["p"].astype(np.int64), asked["f"].astype(np.uint64)
+        asked, at = np.unique(np.concatenate(asks), return_index=True)
+        self.ask_part, self.ask_first = (asked >> np.uint64(32)).astype(np.int64), asked & np.uint64(0xFFFF_FFFF)
         self.context = np.concatenate(totals)[at]
-        mine = np.rec.fromarrays([self.part, first[pick]], dtype=asked.dtype)
         self.owner = np.searchsorted(asked, mine)
         self.pairs = np.bincount(self.owner, minlength=len(asked))
 
