@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import checkpointed, keyed, once
+from .common import checkpointed, keyed, let, once
 
 # fixed values: customary notices of each family
 TEMPLATES = {
@@ -107,11 +107,11 @@ def paragraphs(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     return lines.select("uid", "doc_id", "paragraph", once(_words(F.col("line"))).alias("words"))
 
 
-def _grams(df: DataFrame) -> DataFrame:
+def _grams(df: DataFrame, words: str = "words") -> DataFrame:
     """``grams``: word 1-, 2- and 3-grams of ``words``."""
     for n in (2, 3):
-        df = NGram(n=n, inputCol="words", outputCol=f"__{n}").transform(df)
-    return df.withColumn("grams", F.concat("words", "__2", "__3")).drop("__2", "__3")
+        df = NGram(n=n, inputCol=words, outputCol=f"__{n}").transform(df)
+    return df.withColumn("grams", F.concat(words, "__2", "__3")).drop("__2", "__3")
 
 
 @dataclass
@@ -124,25 +124,47 @@ class LicenceModel:
 
     def predict(self, df: DataFrame) -> DataFrame:
         """``df`` with ``family`` and ``probability``: the best family, whatever the unknown class has."""
-        scored = self.regression.transform(self.vocabulary.transform(_grams(df)))
+        near = df.withColumn("__near", once(_near(F.col("words"), self.telling())))
+        scored = self.regression.transform(self.vocabulary.transform(_grams(near, "__near")))
         p = scored.select(*df.columns, once(vector_to_array("__probability")).alias("__p"))
         best = F.array_max(F.slice("__p", 2, len(FAMILIES) - 1))
         name = F.element_at(F.array(*map(F.lit, FAMILIES)), F.array_position("__p", best).cast("int"))
         return p.select(*df.columns, best.alias("probability"), name.alias("family"))
 
+    def telling(self) -> list[str]:
+        """The words of all grams that have a weight in some class; the penalty leaves the others none."""
+        weighted = self.regression.coefficientMatrix.toArray().any(axis=0)
+        return sorted({w for gram, on in zip(self.vocabulary.vocabulary, weighted) if on for w in gram.split(" ")})
 
-def _is_dissimilar(pairs: Column, pool: Column, share: float) -> Column:
-    """Whether word pairs are mostly not template pairs."""
-    return F.size(F.array_intersect(pairs, pool)) <= share * F.size(pairs)
 
+def _near(words: Column, wanted: list[str]) -> Column:
+    """``words`` less those that are neither wanted nor next after a wanted one: the same grams of wanted words
+    are left, as what is left between two runs of wanted words keeps them apart."""
+    if not wanted:
+        return F.slice(words, 1, 0)
+    return F.filter(words, lambda w, i: w.isin(*wanted) | ((i > 0) & F.coalesce(F.get(words, i - 1).isin(*wanted), F.lit(False))))
 
-def _pool(known: DataFrame) -> Column:
-    """The pairs of all templates: one small array, bounded by TEMPLATES."""
-    pairs = sorted({p for r in known.select("pairs").collect() for p in r["pairs"]})
-    return F.lit(pairs) if pairs else F.array().cast("array<string>")
 
+def _shared(words: Column, pool: list[str]) -> Column:
+    """How many different word pairs of ``words`` are in ``pool``."""
+    if not pool:
+        return F.lit(0)
+    # a word alone is a pair by itself, so it must not come out of a longer text
+    near = F.when(F.size(words) < 2, words).otherwise(F.concat(_near(words, sorted({w for p in pool for w in p.split(" ")})), F.array(F.lit(""))))
+    return F.size(F.filter(_pairs(near), lambda p: p.isin(*pool)))
 
-def _negatives(docs: DataFrame, text_col: str, pool: Column, t: Training) -> DataFrame:
+
+def _is_dissimilar(words: Column, pool: list[str], share: float) -> Column:
+    """Whether the word pairs are mostly not template pairs."""
+    return let(_shared(words, pool), lambda shared: (shared == 0) | (shared <= share * F.size(_pairs(words))))
+
+
+def _pool(known: DataFrame) -> list[str]:
+    """The pairs of all templates: one small list, bounded by TEMPLATES."""
+    return sorted({p for r in known.select("pairs").collect() for p in r["pairs"]})
+
+
+def _negatives(docs: DataFrame, text_col: str, pool: list[str], t: Training) -> DataFrame:
     """``(h, words)``: the ``t.negatives`` different dissimilar paragraphs with the smallest hashes, if there are as many."""
     lines = paragraphs(docs, text_col, docs.columns[0]).where(F.size("words") >= LEAST_WORDS).select(
         F.xxhash64("words").alias("h"), "words")
@@ -150,8 +172,8 @@ def _negatives(docs: DataFrame, text_col: str, pool: Column, t: Training) -> Dat
     while True:
         hashes = checkpointed(lines.select("h").distinct().orderBy("h").limit(wanted))  # of 8 bytes a row
         edge = hashes.agg(F.max("h").alias("edge"), F.count("*").alias("n")).first()
-        near = lines.where(F.col("h") <= F.lit(edge["edge"])).distinct()
-        unlike = near.where(_is_dissimilar(_pairs(F.col("words")), pool, SHARED))
+        near = checkpointed(lines.where(F.col("h") <= F.lit(edge["edge"])).distinct())  # about as many rows, tested once each
+        unlike = near.where(_is_dissimilar(F.col("words"), pool, SHARED))
         found = checkpointed(unlike.orderBy("h", "words").limit(t.negatives))
         if edge["n"] < wanted or found.count() >= t.negatives:
             return found
@@ -188,7 +210,7 @@ def scores(docs: DataFrame, model: LicenceModel, text_col: str = "text", id_col:
     known = templates(docs.sparkSession)
     h = F.xxhash64("words")
     seen = F.lit(False) if model.fitted_to is None else (h <= F.lit(model.fitted_to)) & (F.pmod(h, F.lit(2)) == 0)
-    unlike = _is_dissimilar(_pairs(F.col("words")), _pool(known), SHARED)
+    unlike = _is_dissimilar(F.col("words"), _pool(known), SHARED)
     calibrates = F.when((F.size("words") >= LEAST_WORDS) & ~seen, F.when(unlike, h))
     by_family = F.broadcast(known.groupBy("family").agg(F.collect_list("pairs").alias("known")))
     likely = found.withColumn("family", F.when((F.col("probability") > t.least_probability) & (F.size("words") > 0), F.col("family")))
