@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tickerpulse.llm import html_text, licences, quality_model, quality_rules
 from tickerpulse.llm.quality_rules import LineRules, judge
@@ -169,3 +170,21 @@ def test_licence_negatives_are_different_paragraphs(spark):
     docs = spark.createDataFrame([(k, x) for k, x in enumerate(lines + ["\n".join([smallest] * 1000)])], "doc_id long, text string")
     got = licences._negatives(docs, "text", licences._pool(licences.templates(spark)), t).collect()
     assert [" ".join(r["words"]) for r in got] == sorted(lines, key=hashes.get)[:40]
+
+
+def test_licence_scores_need_longer_grams_of_near_paragraphs_only(spark):
+    docs = spark.createDataFrame([(i, f"some plain words of line {i} and no more\nLicensed under the MIT License.") for i in range(60)], "doc_id long, text string")
+    model = licences.fit(docs, t=licences.Training(negatives=40))
+    pool = licences._pool(licences.templates(spark))
+    lines = ["licensed under the mit license", "the mit is not a license of the kind", "under x the x mit x license", "no such word", "license", "", "the",
+             "of the of the of the of the", "prose that ends with all rights", "a b c d e f g h under the", "released under the released under the bsd license"]
+    words = spark.createDataFrame([(n, x.split()) for n, x in enumerate(lines)], "n int, words array<string>")
+    near = words.withColumn("near", licences._near(F.col("words"), sorted({*pool, *model.pairs()})))
+    pairs = [list(zip(x.split(), x.split()[1:])) for x in lines]
+    known = [{p for p in ps if " ".join(p) in pool} for ps in pairs]
+    rows = {r["n"]: r for r in near.withColumn("unlike", licences._is_dissimilar(F.col("near"), pool, 0.3)).collect()}
+    assert [rows[n]["near"] for n in range(len(lines))] == [x.split() if k else [] for x, k in zip(lines, known)]
+    assert [rows[n]["unlike"] for n in range(len(lines))] == [len(k) <= 0.3 * len(set(ps)) for k, ps in zip(known, pairs)]
+    assert {len(k) > 0 for k in known} == {r["unlike"] for r in rows.values()} == {True, False}
+    whole = {r["n"]: (r["family"], r["probability"]) for r in model.predict(words).collect()}
+    assert {r["n"]: (r["family"], r["probability"]) for r in model.predict(near, "near").collect()} == whole

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import checkpointed, keyed, once
+from .common import checkpointed, keyed, let, once
 
 # fixed values: customary notices of each family
 TEMPLATES = {
@@ -107,13 +107,23 @@ def paragraphs(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     return lines.select("uid", "doc_id", "paragraph", once(_words(F.col("line"))).alias("words"))
 
 
-def _grams(df: DataFrame) -> DataFrame:
-    """``grams``: word 1-, 2- and 3-grams of ``words``."""
+def _grams(df: DataFrame, longer: str = "words") -> DataFrame:
+    """``grams``: the words of ``words`` and the word 2- and 3-grams of ``longer``."""
     for n in (2, 3):
-        df = NGram(n=n, inputCol="words", outputCol=f"__{n}").transform(df)
+        df = NGram(n=n, inputCol=longer, outputCol=f"__{n}").transform(df)
     return df.withColumn("grams", F.concat("words", "__2", "__3")).drop("__2", "__3")
 
 
+def _near(words: Column, pairs: list[str]) -> Column:
+    """``words`` where two neighbouring ones are one of ``pairs``, else no word; ``pairs`` are bounded by TEMPLATES.
+
+    Most paragraphs hold no pair of any template, so building their pairs and longer n-grams would find nothing.
+    """
+    first = sorted({p.split(" ")[0] for p in pairs})
+    starts = F.filter(words, lambda w, i: w.isin(first) & F.concat(w, F.lit(" "), F.get(words, i + 1)).isin(pairs))
+    return F.when(F.size(starts) > 0, words).otherwise(F.slice(words, 1, 0))
+
+
 @dataclass
 class LicenceModel:
     vocabulary: CountVectorizerModel
@@ -122,27 +132,34 @@ class LicenceModel:
     #: Dissimilar paragraphs of even hash up to this one were fitted on.
     fitted_to: int | None
 
-    def predict(self, df: DataFrame) -> DataFrame:
-        """``df`` with ``family`` and ``probability``: the best family, whatever the unknown class has."""
-        scored = self.regression.transform(self.vocabulary.transform(_grams(df)))
+    def pairs(self) -> list[str]:
+        """The first two words of every longer gram of the vocabulary: without one of them a paragraph has no such gram."""
+        return sorted({" ".join(g.split(" ")[:2]) for g in self.vocabulary.vocabulary if " " in g})
+
+    def predict(self, df: DataFrame, longer: str = "words") -> DataFrame:
+        """``df`` with ``family`` and ``probability``: the best family, whatever the unknown class has.
+
+        ``longer`` holds the words again, but may be empty where there is none of ``pairs``.
+        """
+        scored = self.regression.transform(self.vocabulary.transform(_grams(df, longer)))
         p = scored.select(*df.columns, once(vector_to_array("__probability")).alias("__p"))
         best = F.array_max(F.slice("__p", 2, len(FAMILIES) - 1))
         name = F.element_at(F.array(*map(F.lit, FAMILIES)), F.array_position("__p", best).cast("int"))
         return p.select(*df.columns, best.alias("probability"), name.alias("family"))
 
 
-def _is_dissimilar(pairs: Column, pool: Column, share: float) -> Column:
-    """Whether word pairs are mostly not template pairs."""
-    return F.size(F.array_intersect(pairs, pool)) <= share * F.size(pairs)
+def _is_dissimilar(words: Column, pool: list[str], share: float) -> Column:
+    """Whether the word pairs of ``words`` are mostly not template pairs; no words have none."""
+    mostly_not = let(_pairs(words), lambda pairs: F.size(F.filter(pairs, lambda p: p.isin(pool))) <= share * F.size(pairs))
+    return (F.size(words) == 0) | mostly_not
 
 
-def _pool(known: DataFrame) -> Column:
-    """The pairs of all templates: one small array, bounded by TEMPLATES."""
-    pairs = sorted({p for r in known.select("pairs").collect() for p in r["pairs"]})
-    return F.lit(pairs) if pairs else F.array().cast("array<string>")
+def _pool(known: DataFrame) -> list[str]:
+    """The pairs of all templates: one small list, bounded by TEMPLATES."""
+    return sorted({p for r in known.select("pairs").collect() for p in r["pairs"]})
 
 
-def _negatives(docs: DataFrame, text_col: str, pool: Column, t: Training) -> DataFrame:
+def _negatives(docs: DataFrame, text_col: str, pool: list[str], t: Training) -> DataFrame:
     """``(h, words)``: the ``t.negatives`` different dissimilar paragraphs with the smallest hashes, if there are as many."""
     lines = paragraphs(docs, text_col, docs.columns[0]).where(F.size("words") >= LEAST_WORDS).select(
         F.xxhash64("words").alias("h"), "words")
@@ -151,7 +168,8 @@ def _negatives(docs: DataFrame, text_col: str, pool: Column, t: Training) -> Dat
         hashes = checkpointed(lines.select("h").distinct().orderBy("h").limit(wanted))  # of 8 bytes a row
         edge = hashes.agg(F.max("h").alias("edge"), F.count("*").alias("n")).first()
         near = lines.where(F.col("h") <= F.lit(edge["edge"])).distinct()
-        unlike = near.where(_is_dissimilar(_pairs(F.col("words")), pool, SHARED))
+        # behind once, or the test moves below the distinct and meets every paragraph
+        unlike = near.select("h", "words", once(_is_dissimilar(F.col("words"), pool, SHARED)).alias("unlike")).where("unlike").drop("unlike")
         found = checkpointed(unlike.orderBy("h", "words").limit(t.negatives))
         if edge["n"] < wanted or found.count() >= t.negatives:
             return found
@@ -184,11 +202,13 @@ def train(docs: DataFrame, text_col: str = "text", t: Training = Training()) ->
 def scores(docs: DataFrame, model: LicenceModel, text_col: str = "text", id_col: str = "doc_id", t: Training = Training()) -> DataFrame:
     """``(uid, doc_id, probability, family, alike, h)`` of every paragraph, stored: ``family`` and ``alike`` (whether a
     template confirms it) where the probability passes the least one, ``h`` where the paragraph calibrates."""
-    found = model.predict(paragraphs(docs, text_col, id_col))
     known = templates(docs.sparkSession)
+    pool = _pool(known)
+    near = once(_near(F.col("words"), sorted({*pool, *model.pairs()})))
+    found = model.predict(paragraphs(docs, text_col, id_col).withColumn("near", near), "near")
     h = F.xxhash64("words")
     seen = F.lit(False) if model.fitted_to is None else (h <= F.lit(model.fitted_to)) & (F.pmod(h, F.lit(2)) == 0)
-    unlike = _is_dissimilar(_pairs(F.col("words")), _pool(known), SHARED)
+    unlike = _is_dissimilar(F.col("near"), pool, SHARED)  # a paragraph with a template pair is near
     calibrates = F.when((F.size("words") >= LEAST_WORDS) & ~seen, F.when(unlike, h))
     by_family = F.broadcast(known.groupBy("family").agg(F.collect_list("pairs").alias("known")))
     likely = found.withColumn("family", F.when((F.col("probability") > t.least_probability) & (F.size("words") > 0), F.col("family")))
